@@ -76,7 +76,7 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 if out is None:
                     store.create_dir(top, recursive=True)
-                    out = store.open_output_stream(path)
+                    out = store.open_output_stream(path, compression=None)
                 if row["chunk_no"] == 0:
                     if member:
                         out.write(member.compress(END) + member.flush())
@@ -125,7 +125,7 @@ def read_chunks(manifest: DataFrame, folder: str, chunk: int = CHUNK) -> DataFra
 
     def rows(path: str) -> Iterator[tuple]:
         store, _ = _store(folder)
-        with store.open_input_stream(path) as stream:
+        with store.open_input_stream(path, compression=None) as stream:
             now: list | None = None
             for fields, data in _members(stream, chunk):
                 if fields is not None:
