@@ -111,16 +111,17 @@ def _logistic(at: list[np.ndarray], value: list[np.ndarray], y: np.ndarray, l2:
     return w, b
 
 
-def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through margins of rows that weren't trained on."""
+def _platt(margin: np.ndarray, y: np.ndarray, even: bool = False) -> tuple[float, float]:
+    """Slope and shift of a logistic curve through margins of rows that weren't trained on; even: both classes weigh the same."""
     good, n = y.sum(), len(y)
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (n - good + 2))
+    weight = np.where(y > 0, 0.5 * n / max(good, 1), 0.5 * n / max(n - good, 1)) if even else np.ones(n)
     a, b = 1.0, 0.0
     x = np.stack([margin, np.ones(n)], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        da, db = np.linalg.solve(h, x.T @ (p - target))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        da, db = np.linalg.solve(h, x.T @ (weight * (p - target)))
         a, b = a - da, b - db
     return float(a), float(b)
 

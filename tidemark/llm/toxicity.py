@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples.
 
 A bounded sample of labelled rows (those with the smallest hash of their id) gives the terms (words, and word beginnings of
-four and five bytes, that go with the label: z score of their share among toxic rows) and the examples: TF-IDF vectors over
+four and five bytes, that go with the label: z score and share of toxic rows among theirs) and the examples: TF-IDF vectors over
 these terms. Examples are kept as an inverted index with, for each term and block of examples, the largest weight. A text's
 nearest examples by cosine are exact: blocks are taken by the bound that these weights give, until no other block can hold a
 nearer one. The vote is weighted by nearness; its calibration (Platt) is made with each example scored by the others.
@@ -31,13 +31,12 @@ _CLEAN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def terms(text: str) -> Counter:
-    """Words of a text and their beginnings, with counts."""
+    """Words of a text with counts, and their beginnings, which count once."""
     words = text.lower().encode("utf-8", "surrogatepass").translate(_CLEAN).split()
     out = Counter(words)
     for w in list(out):
         if len(w) >= 6:
-            out[b"^" + w[:4]] += out[w]
-            out[b"^" + w[:5]] += out[w]
+            out[b"^" + w[:4]] = out[b"^" + w[:5]] = 1
     return out
 
 
@@ -100,7 +99,7 @@ class Index:
 
     def calibrate(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
         votes = np.array([self.vote(*self.nearest(t, w, i)) for i, (t, w) in enumerate(rows)])
-        slope, shift = _platt(votes, self.labels.astype(float))
+        slope, shift = _platt(votes, self.labels.astype(float), even=True)
         if slope > 0:
             self.slope, self.shift = slope, shift
 
@@ -109,7 +108,7 @@ class Index:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * self.vote(near, cosine) + self.shift)))), near
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 6000, most_terms: int = 4096, least_rows: int = 4, least_z: float = 5.0) -> Index | None:
+def train(docs: DataFrame, labels: DataFrame, bound: int = 6000, most_terms: int = 4096, least_rows: int = 5, least_z: float = 5.0, least_share: float = 0.5) -> Index | None:
     """An index of at most bound examples and most_terms terms; labels: doc_id, toxic. Null without rows of both classes."""
     own = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = texts(docs).join(own, "doc_id").select("doc_id", "label", "text").persist()
@@ -133,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 6000, most_terms: int
     p = bad / n
     z = (F.col("toxic") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
     sums = rows.mapInArrow(counted, "term binary, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    chosen = sums.where((F.col("n") >= least_rows) & (z >= least_z)).orderBy(z.desc(), "term").limit(most_terms).select("term", "n").collect()
+    chosen = sums.where((F.col("n") >= least_rows) & (z >= least_z) & (F.col("toxic") >= F.col("n") * least_share)).orderBy(z.desc(), "term").limit(most_terms).select("term", "n").collect()
     vocabulary = {bytes(r["term"]): i for i, r in enumerate(chosen)}
     idf = np.array([math.log((n + 1) / (r["n"] + 1)) + 1 for r in chosen])
 
