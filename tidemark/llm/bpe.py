@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -195,7 +195,7 @@ def _classes() -> np.ndarray:
 class Encoder:
     """Texts to ids: cuts texts by the pattern of the rank files and keeps the ids of pieces that it has met."""
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         self.merges, self.classes = Merges(read_ranks(path)), _classes()
@@ -232,22 +232,17 @@ class Encoder:
                 cut[q + k] = True
         return np.flatnonzero(cut)
 
-    def split(self, batch: list[str]) -> Iterator[list[str]]:
-        """The pieces of each text."""
+    def split(self, batch: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pieces of all texts, and how many pieces there are up to the end of each."""
         joined = "".join(batch)
-        if not joined:
-            yield from ([] for _ in batch)
-            return
         size = np.fromiter(map(len, batch), np.int64, len(batch))
+        if not joined:
+            return [], size
         ends = np.cumsum(size)
         begins = (ends - size)[size > 0]
         at = self.cuts(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), begins)
         bound = np.append(at, len(joined)).tolist()
-        upto = np.searchsorted(at, ends).tolist()
-        done = 0
-        for k in upto:
-            yield [joined[a:b] for a, b in zip(bound[done:k], bound[done + 1 : k + 1], strict=True)]
-            done = k
+        return list(map(joined.__getitem__, map(slice, bound, bound[1:]))), np.searchsorted(at, ends)
 
     def _learn(self, new: list[str]) -> None:
         ids, counts = self.merges.encode([p.encode("utf-8", "surrogatepass") for p in new])
@@ -276,14 +271,19 @@ class Encoder:
     def _encode(self, batch: list[str]) -> Iterator[np.ndarray]:
         if len(self.index) > self.LIMIT:
             self._clear()
-        split = list(self.split(batch))
-        if new := set(chain.from_iterable(split)).difference(self.index):
-            self._learn(list(new))
-        for parts in split:
-            at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-            counts = self.count[at]
-            before = np.cumsum(counts) - counts
-            yield self.ids[np.repeat(self.first[at] - before, counts) + np.arange(int(counts.sum()))]
+        parts, upto = self.split(batch)
+        at = np.fromiter(map(self.index.get, parts, repeat(-1)), np.int64, len(parts))
+        lacking = np.flatnonzero(at < 0).tolist()
+        if lacking:
+            self._learn(list({parts[i]: None for i in lacking}))
+            at[lacking] = [self.index[parts[i]] for i in lacking]
+        counts = self.count[at]
+        ends = np.cumsum(counts)
+        ids = self.ids[np.repeat(self.first[at] - ends + counts, counts) + np.arange(len(counts) and int(ends[-1]))]
+        done = 0
+        for k in np.concatenate([[0], ends])[upto].tolist():
+            yield ids[done:k]
+            done = k
 
 
 _encoders: dict[str, Encoder] = {}
