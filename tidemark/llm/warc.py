@@ -114,7 +114,7 @@ def _members(stream: pa.NativeFile, chunk: int) -> Iterator[tuple[dict | None, b
             yield None, data[:left]
             left -= min(left, len(data))
         if decoder.eof:
-            raw, decoder, left = decoder.unused_data + raw, zlib.decompressobj(31), -1
+            raw, decoder, left = decoder.unused_data, zlib.decompressobj(31), -1  # all that is left, the tail too
 
 
 def read_chunks(manifest: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
