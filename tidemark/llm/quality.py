@@ -112,10 +112,11 @@ def _logistic(at: list[np.ndarray], value: list[np.ndarray], y: np.ndarray, l2:
 
 
 def _platt(margin: np.ndarray, y: np.ndarray, even: bool = False) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through margins of rows that weren't trained on; even: both classes weigh the same."""
+    """Slope and shift of a logistic curve through margins of rows that weren't trained on; even: the rarer class weighs
+    more, half way to the weight of the other."""
     good, n = y.sum(), len(y)
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (n - good + 2))
-    weight = np.where(y > 0, 0.5 * n / max(good, 1), 0.5 * n / max(n - good, 1)) if even else np.ones(n)
+    weight = np.sqrt(np.where(y > 0, n / max(good, 1), n / max(n - good, 1))) if even else np.ones(n)
     a, b = 1.0, 0.0
     x = np.stack([margin, np.ones(n)], 1)
     for _ in range(50):
