@@ -42,19 +42,52 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-class WordHashes(dict):
-    """Word (bytes) to 64-bit hash; emptied when it gets large."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: A value for each byte, and the base of the polynomial whose values over a word's bytes are its hash. Both pseudo-random.
+BYTES = np.array([xxhash.xxh3_64_intdigest(f"byte {i}") for i in range(256)], dtype=np.uint64)
+BASE = xxhash.xxh3_64_intdigest("base") | 5
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_powers: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of BASE and of its inverse, at least n of each."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(1 << 20, 1 << (n - 1).bit_length())
+        _powers[:] = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            own = np.full(size, base, dtype=np.uint64)
+            own[0] = 1
+            _powers.append(np.multiply.accumulate(own))
+    return _powers
+
+
+def word_hashes(texts: list[str], lower: bool = False, most_bytes: int = 1 << 20) -> Iterator[np.ndarray]:
+    """64-bit hashes of the words (runs without blanks and \\t\\n\\v\\f\\r) of each text; lower: A-Z count as a-z."""
+    group: list[bytes] = []
+    size = 0
+    for text in texts:
+        data = text.encode("utf-8", "surrogatepass")
+        group.append(data.lower() if lower else data)  # of bytes: A-Z only
+        size += len(data) + 1
+        if size >= most_bytes:
+            yield from _word_hashes(group)
+            group, size = [], 0
+    if group:
+        yield from _word_hashes(group)
+
+
+def _word_hashes(group: list[bytes]) -> Iterator[np.ndarray]:
+    data = np.frombuffer(b"\n".join([b"", *group, b""]), dtype=np.uint8)
+    power, inverse = _powers_to(len(data))
+    edge = np.flatnonzero(np.diff(BLANK[data].view(np.int8))) + 1
+    start, end = edge[::2], edge[1::2]
+    upto = np.cumsum(BYTES[data] * power[: len(data)])
+    words = mixed((upto[end - 1] - upto[start - 1]) * inverse[start])
+    ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
+    done = 0
+    for k in np.searchsorted(start, ends).tolist():
+        yield words[done:k]
+        done = k
 
 
 #: Odd multipliers, one for each place of an n-gram.

@@ -5,9 +5,10 @@ row of it. Of each row only a prefix enters: the n-grams, the most frequent ones
 A block's product gives, for each pair, how many of these it shares; pairs whose sizes or whose counts and remaining
 lengths rule the similarity out are dropped, the others' sets are compared whole.
 
-An n-gram found in few sets gives all their pairs. One found in many gives pairs with a few anchors first; when those links
-have made components, only pairs across components are left, and all of these are compared. So no link between different
-components is lost, and a group of like documents doesn't give all its pairs. Components come from alternating stars
+An n-gram found in few sets gives all their pairs. One found in many gives pairs with a few anchors first. A few partners of
+each document are compared; when their links have made components, only pairs across components are left, now with all
+that they share, and all of these are compared that the bounds don't rule out. So no link between different components is
+lost, and a group of like documents doesn't give all its pairs. Components come from alternating stars
 on tables written to the shared folder.
 
 Null or empty texts have no n-grams and are linked with nothing. Texts with fewer words than n have one n-gram, the whole.
@@ -16,16 +17,15 @@ Rows with equal ids are one document that has all their links; null ids are link
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PLACES, WordHashes, mixed, ngram_hashes, partitions, pieces, texts, written
+from .common import PLACES, mixed, ngram_hashes, partitions, pieces, texts, word_hashes, written
 
 #: Similarity in hundredths.
 PERCENT = 75
@@ -33,6 +33,8 @@ N = 5
 #: An n-gram in more sets than this gives pairs with ANCHORS of them first.
 FEW = 24
 ANCHORS = 8
+#: Of each document so many partners (those with the smallest ids) are compared before components are made.
+FIRST = 3
 #: At most so many of the most frequent n-grams are put last; which ones only changes the work, never the result.
 FREQUENT = 1 << 16
 
@@ -40,12 +42,14 @@ ENTRY = np.dtype([("token", "<u8"), ("doc", "<u4"), ("at", "<u4")])
 ROW = np.dtype([("id", "<i8"), ("size", "<i4"), ("digest", "<u8")])
 
 
-def shingles(text: str, hashes: WordHashes, n: int = N) -> np.ndarray:
-    """Sorted distinct hashes of a text's n-grams, A-Z lower-cased."""
-    words = hashes.of(text.encode("utf-8", "surrogatepass").lower().split())  # of bytes: A-Z only, ASCII white space only
-    if 0 < len(words) < n:
-        return mixed(np.array([(words * PLACES[: len(words)]).sum() + np.uint64(len(words))], dtype=np.uint64))
-    return np.unique(ngram_hashes(words, n))
+def shingles(texts_: list[str], n: int = N) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's n-grams, A-Z lower-cased."""
+    for words in word_hashes(texts_, lower=True):
+        if 0 < len(words) < n:
+            yield mixed(np.array([(words * PLACES[: len(words)]).sum() + np.uint64(len(words))], dtype=np.uint64))
+        else:
+            own = np.sort(ngram_hashes(words, n))
+            yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
 
 
 def _needed(size: np.ndarray, percent: int) -> np.ndarray:
@@ -56,17 +60,20 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, digest of every document; and token, found for n-grams frequent in a chunk of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, total = WordHashes(), [], 0
+        held, total = [], 0
 
         def frequent() -> Iterator[pa.RecordBatch]:
-            token, count = np.unique(np.concatenate(held), return_counts=True)
+            all_ = np.concatenate(held)
+            cell = (all_ >> np.uint64(42)).astype(np.int32)  # only tokens of cells that are met often can be frequent
+            all_ = all_[np.bincount(cell, minlength=1 << 22)[cell] >= 8]
+            token, count = np.unique(all_, return_counts=True)
             keep = np.flatnonzero(count >= 8)
             keep = keep[np.argsort(-count[keep], kind="stable")[:4096]]
             if len(keep):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(keep), pa.int64()), pa.nulls(len(keep), pa.int64()), pa.nulls(len(keep), pa.binary()), pa.array(token[keep].view(np.int64)), pa.array(count[keep])], names)
 
         for batch in pieces(batches):
-            sets = [shingles(t, hashes, n) for t in batch.column("text").to_pylist()]
+            sets = list(shingles(batch.column("text").to_pylist(), n))
             digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             k = len(sets)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
@@ -86,11 +93,10 @@ def _incidence(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, bloc
     """block, data: packed prefix entries and the rows (documents) that they belong to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in pieces(batches, 32 << 20):
             rows, entries = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                tokens = shingles(text, hashes, n)
+            for doc, tokens in zip(batch.column("doc_id").to_pylist(), shingles(batch.column("text").to_pylist(), n), strict=True):
                 size = len(tokens)
                 if not size or doc is None:
                     continue
@@ -161,14 +167,14 @@ def _fits(size_a, at_a, size_b, at_b, percent: int) -> np.ndarray:
 
 
 def _product(incidence: DataFrame, percent: int) -> DataFrame:
-    """Pairs: a, b, size_a, size_b, shared, partial. Entries of n-grams in many sets: a (the n-gram), b (id), size_b, shared (place)
+    """Pairs: a, b, size_a, size_b, shared (n-grams found in few sets), star (in many, as far as anchors met them). Entries of n-grams in many sets: a (the n-gram), b (id), size_b, shared (place)
     with size_a -1."""
-    names = ["a", "b", "size_a", "size_b", "shared", "partial"]
+    names = ["a", "b", "size_a", "size_b", "shared", "star"]
 
-    def batch(a, b, sa, sb, shared, partial) -> Iterator[pa.RecordBatch]:
+    def batch(a, b, sa, sb, shared, star) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(a), 100_000):
             s = slice(k, k + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(a[s].astype(np.int64)), pa.array(b[s].astype(np.int64)), pa.array(sa[s].astype(np.int32)), pa.array(sb[s].astype(np.int32)), pa.array(shared[s].astype(np.int32)), pa.array(partial[s].astype(bool))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(a[s].astype(np.int64)), pa.array(b[s].astype(np.int64)), pa.array(sa[s].astype(np.int32)), pa.array(sb[s].astype(np.int32)), pa.array(shared[s].astype(np.int32)), pa.array(star[s].astype(np.int32))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = [d for x in batches for d in x.column("data").to_pylist()]
@@ -207,36 +213,34 @@ def _product(incidence: DataFrame, percent: int) -> DataFrame:
                 pair(np.full(len(own), anchor), own, True)
         if found:
             key, part = np.concatenate(found), np.concatenate(partial)
-            key, back, shared = np.unique(key, return_inverse=True, return_counts=True)
-            some = np.bincount(back, part, len(key)) > 0
+            key, back, seen = np.unique(key, return_inverse=True, return_counts=True)
+            star = np.bincount(back, part, len(key)).astype(np.int64)
             i, j = key // len(docs), key % len(docs)
-            yield from batch(docs[i], docs[j], size_of[i], size_of[j], shared, some)
+            yield from batch(docs[i], docs[j], size_of[i], size_of[j], seen - star, star)
         if len(many):
             rows = np.concatenate([np.arange(edge[g], edge[g + 1]) for g in many])
             minus = np.full(len(rows), -1)
             yield from batch(token[rows].view(np.int64), id_[rows], minus, size[rows], at[rows], np.zeros(len(rows)))
 
-    return incidence.mapInArrow(run, "a long, b long, size_a int, size_b int, shared int, partial boolean")
+    return incidence.mapInArrow(run, "a long, b long, size_a int, size_b int, shared int, star int")
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs that what they share in their prefixes, and what is left of them, doesn't rule out."""
-    total = pairs.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("shared").alias("shared"), F.max("partial").alias("partial"))
+    """The pairs whose sizes, shared n-grams of their prefixes and remaining lengths leave the similarity possible."""
     rest = F.ceil(F.greatest("size_a", "size_b") * percent / 100) - 1
-    return total.where(F.col("partial") | ((100 + percent) * (F.col("shared") + rest) >= percent * (F.col("size_a") + F.col("size_b")))).select("a", "b")
+    return pairs.where((100 + percent) * (F.col("shared") + F.col("star") + rest) >= percent * (F.col("size_a") + F.col("size_b")))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, own = WordHashes(), None, None
+        last, own = None, None
         for batch in batches:
             good = []
-            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+            for a, ta, other in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), shingles(batch.column("text_b").to_pylist(), n), strict=True):
                 if last != (a, ta):
-                    last, own = (a, ta), shingles(ta, hashes, n)
-                other = shingles(tb, hashes, n)
+                    last, own = (a, ta), next(shingles([ta], n))
                 both = np.sort(np.concatenate([own, other]))
                 common = int((both[1:] == both[:-1]).sum())
                 good.append(100 * common >= percent * (len(own) + len(other) - common))
@@ -282,7 +286,23 @@ def _crossing(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     most = 1 + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1) + F.least("at_a", "at_b")
     ok = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))) & (100 * small >= percent * large) & ((100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b")))
-    return left.join(right, "token").where(ok).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    met = left.join(right, "token").where(ok)
+    ordered = F.col("id_a") < F.col("id_b")
+    met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.when(ordered, F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"), F.when(ordered, F.col("size_b")).otherwise(F.col("size_a")).alias("size_b"))
+    return met.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.count("*").alias("star"))
+
+
+def _with_crossing(pairs: DataFrame, crossing: DataFrame) -> DataFrame:
+    """All pairs; those across components with all that they share: n-grams found in few sets, and in many."""
+    both = pairs.select("a", "b", "size_a", "size_b", "shared", F.lit(0).cast("long").alias("star")).unionByName(crossing.withColumn("shared", F.lit(0).cast("long")))
+    return both.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("shared").alias("shared"), F.sum("star").alias("star"))
+
+
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose members are in different components."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    held = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return held.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -294,14 +314,18 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     frequent = np.sort(rows["token"].to_numpy().astype(np.int64).view(np.uint64))
     blocks = partitions(spark)
     found = written(_product(_incidence(docs, frequent, n, percent, blocks).repartition(blocks, "block"), percent), "pairs")
-    links = written(_verified(_possible(found.where("size_a >= 0"), percent), docs, n, percent), "links")
+    sums = found.where("size_a >= 0").groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("shared").alias("shared"), F.sum("star").alias("star"))
+    pairs = written(sums, "pairs")
+    # first a few partners of each document; then what is left between the components that these links make
+    partner = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+    tried = written(_possible(pairs, percent).select("a", "b").withColumn("k", partner).where(F.col("k") <= FIRST).select("a", "b"), "tried")
+    links = written(_verified(tried, docs, n, percent), "links")
     labels = components(links)
     entries = found.where("size_a < 0").select(F.col("a").alias("token"), F.col("b").alias("id"), F.col("size_b").alias("size"), F.col("shared").alias("at"))
-    if entries.limit(1).count():
-        crossing = _crossing(entries, labels, percent).join(links, ["a", "b"], "left_anti")
-        more = written(_verified(crossing, docs, n, percent), "links")
-        if more.limit(1).count():
-            labels = components(links.union(more))
+    rest = _across(_possible(_with_crossing(pairs, _crossing(entries, labels, percent)), percent).select("a", "b"), labels).join(tried, ["a", "b"], "left_anti")
+    more = written(_verified(written(rest, "tried"), docs, n, percent), "links")
+    if more.limit(1).count():
+        labels = components(links.union(more))
     documents = profile.where("digest is not null")
     reps = documents.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
     own = documents.select("doc_id", "n_shingles", "digest").join(reps, ["digest", "n_shingles"], "left")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ngram_hashes, partitions, pieces, texts
+from .common import ngram_hashes, partitions, pieces, texts, word_hashes
 
 GRAM = 8
 WINDOW = 20
@@ -178,11 +178,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     source = texts(docs).where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in pieces(batches, 16 << 20):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h, start, n = _runs(hashes.of(text.encode("utf-8", "surrogatepass").split()), window, gram)
+            for doc, words in zip(batch.column("doc_id").to_pylist(), word_hashes(batch.column("text").to_pylist()), strict=True):
+                h, start, n = _runs(words, window, gram)
                 own = np.empty(len(h), RUN)
                 own["h"], own["doc"], own["start"], own["n"] = h, doc, start, n
                 rows.append(own)
