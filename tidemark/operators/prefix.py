@@ -21,11 +21,19 @@ def ranges(df: DataFrame, order: str, parts: int | None = None) -> list:
     return sorted(set(found or []))
 
 
+def _range_of(key: Column, cuts: list, lo: int = 0, hi: int | None = None) -> Column:
+    """How many cuts are at or below key, by a tree of comparisons; nulls: 0."""
+    hi = len(cuts) if hi is None else hi
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key >= F.lit(cuts[mid]), _range_of(key, cuts, mid + 1, hi)).otherwise(_range_of(key, cuts, lo, mid))
+
+
 def global_prefix_sum(df: DataFrame, order: str, columns: Sequence[str], descending: bool = False, tie: Sequence[str] = (), cuts: list | None = None) -> DataFrame:
     """df with before_<c> for each column: the sum of c over all rows that come before by (order, tie)."""
     cuts = ranges(df, order) if cuts is None else cuts
-    bounds = F.array(*map(F.lit, cuts)) if cuts else None
-    part = F.size(F.filter(bounds, lambda b: b <= F.col(order))) if cuts else F.lit(0)
+    part = _range_of(F.col(order), cuts)
     held = df.withColumn("__part", -part if descending else part)
     sums = held.groupBy("__part").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"__s_{c}") for c in columns])
     # one row for each range, so this window is over a bounded table
