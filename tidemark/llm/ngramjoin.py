@@ -34,7 +34,7 @@ N = 5
 FEW = 24
 ANCHORS = 8
 #: Of each document so many partners (those with the smallest ids) are compared before components are made.
-FIRST = 3
+FIRST = 8
 #: At most so many of the most frequent n-grams are put last; which ones only changes the work, never the result.
 FREQUENT = 1 << 16
 
@@ -79,7 +79,7 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
             held += sets
             total += sum(map(len, sets))
-            if total >= 4_000_000:
+            if total >= 2_000_000:
                 yield from frequent()
                 held, total = [], 0
         if held:
@@ -94,7 +94,7 @@ def _incidence(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, bloc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in pieces(batches, 32 << 20):
+        for batch in pieces(batches, 16 << 20):
             rows, entries = [], []
             for doc, tokens in zip(batch.column("doc_id").to_pylist(), shingles(batch.column("text").to_pylist(), n), strict=True):
                 size = len(tokens)
