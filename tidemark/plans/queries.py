@@ -272,15 +272,15 @@ def _scored(v):
 
 
 for _name, _column, _sql in (
-    ("accuracy", metrics.accuracy("y", "p"), "avg(CAST(y = p AS DOUBLE))"),
-    ("precision", metrics.precision("y", "p"), "count(*) FILTER (y = 1 AND p = 1) / nullif(CAST(count(*) FILTER (p = 1) AS DOUBLE), 0)"),
-    ("recall", metrics.recall("y", "p"), "count(*) FILTER (y = 1 AND p = 1) / nullif(CAST(count(*) FILTER (y = 1) AS DOUBLE), 0)"),
-    ("f1", metrics.f1("y", "p"), "2 * count(*) FILTER (y = 1 AND p = 1) / nullif(CAST(count(*) FILTER (y = 1) + count(*) FILTER (p = 1) AS DOUBLE), 0)"),
-    ("hinge", metrics.hinge("y", F.col("s")), "avg(greatest(0, 1 - (2 * y - 1) * s))"),
-    ("mae", metrics.mae(F.col("y"), F.col("s")), "avg(abs(y - s))"),
-    ("r_squared", metrics.r_squared("y", "s"), "pow(corr(y, s), 2)"),
+    ("accuracy", lambda: metrics.accuracy("y", "p"), "avg(CAST(y = p AS DOUBLE))"),
+    ("precision", lambda: metrics.precision("y", "p"), "count(*) FILTER (y = 1 AND p = 1) / nullif(CAST(count(*) FILTER (p = 1) AS DOUBLE), 0)"),
+    ("recall", lambda: metrics.recall("y", "p"), "count(*) FILTER (y = 1 AND p = 1) / nullif(CAST(count(*) FILTER (y = 1) AS DOUBLE), 0)"),
+    ("f1", lambda: metrics.f1("y", "p"), "2 * count(*) FILTER (y = 1 AND p = 1) / nullif(CAST(count(*) FILTER (y = 1) + count(*) FILTER (p = 1) AS DOUBLE), 0)"),
+    ("hinge", lambda: metrics.hinge("y", F.col("s")), "avg(greatest(0, 1 - (2 * y - 1) * s))"),
+    ("mae", lambda: metrics.mae(F.col("y"), F.col("s")), "avg(abs(y - s))"),
+    ("r_squared", lambda: metrics.r_squared("y", "s"), "pow(corr(y, s), 2)"),
 ):
-    register(f"metric_{_name}", f"SELECT {_sql} AS {_name} FROM {_SCORED}", _name)(lambda v, c=_column: _scored(v).agg(c))
+    register(f"metric_{_name}", f"SELECT {_sql} AS {_name} FROM {_SCORED}", _name)(lambda v, c=_column: _scored(v).agg(c()))
 register("metric_zero_one_by_class", f"SELECT avg(a) AS accuracy, avg(z) AS on_zeros, avg(o) AS on_ones FROM (SELECT split, avg(CAST(y = p AS DOUBLE)) AS a, avg(CAST(y = p AS DOUBLE)) FILTER (y = 0) AS z, avg(CAST(y = p AS DOUBLE)) FILTER (y = 1) AS o FROM {_SCORED} GROUP BY split) u", "accuracy on_zeros on_ones")(lambda v: metrics.zero_one_by_class(_scored(v), "split", "y", "p"))
 _PROBS = "SELECT vec_id, label, p, exp(e) / sum(exp(e)) OVER (PARTITION BY vec_id) AS q FROM {cells} WHERE p < 10"
 
