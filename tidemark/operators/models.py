@@ -111,7 +111,7 @@ def group_then_regress(train: DataFrame, test: DataFrame, group: str, features:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                d = r._asdict() if False else dict(zip(pdf.columns, r, strict=True))
+                d = dict(zip(pdf.columns, r, strict=True))
                 a = np.array([[d[f"{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
                 penalty = alpha * np.eye(k)
                 penalty[0, 0] = 0

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import images, metrics, models, prep, search
+from ..operators import images, metrics, models, prefix, prep, search
+from ..sources import io
 from .recast import as_sql, view
 
 QUERIES: dict = {}
@@ -156,3 +157,73 @@ def search_genetic(v):
 register("train_and_report")(lambda v: metrics.classification_report(_classified(v, "tree", maxDepth=4), "survived", "prediction"))
 register("image_region_stats")(lambda v: images.region_stats(images.as_arrays(v("pixels"))))
 register("image_resize_rotate")(lambda v: images.augment(images.as_arrays(v("pixels")), 6, 6))
+
+
+@register("variance_cutoff")
+def variance_cutoff(v):
+    """The fewest components that explain more than half of the variance."""
+    rows = v("embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
+    _, explained = models.pca_reduce(rows, "vec_id", [f"f{i}" for i in range(64)], share=0.5)
+    return rows.sparkSession.createDataFrame([(len(explained), float(sum(explained)))], "k long, explained double")
+
+
+@register("svd_components")
+def svd_components(v):
+    """The first 20 right vectors of the centred matrix, as projections of every row."""
+    rows = v("embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
+    return models.pca_reduce(rows, "vec_id", [f"f{i}" for i in range(64)], count=20)[0].select("vec_id", F.posexplode("components").alias("component", "value"))
+
+
+@register("select_rfe")
+def select_rfe(v):
+    rows = prep.scale_standard(_loss(v), _X).cache()
+
+    def fit(own):
+        return dict(zip(own, map(abs, models.pipeline(own, models.linear("target", "ordinary", 0)).fit(rows).stages[-1].coefficients), strict=True))
+
+    def score(own):
+        return -float(models.pipeline(own, models.linear("target", "ordinary", 0)).fit(rows).transform(rows).agg(metrics.mae(F.col("target"), F.col("prediction"))).first()[0])
+
+    return rows.sparkSession.createDataFrame([(",".join(f), s) for f, s in search.select_rfe(rows, _X, fit, score)], "features string, score double")
+
+
+@register("select_top25_by_forest")
+def select_top25_by_forest(v):
+    """Scaled columns, a forest of 25 trees, the 25 strongest columns."""
+    names = [f"f{i}" for i in range(64)]
+    rows = v("embeddings").select(F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
+    model = models.pipeline(names, models.classifier("forest", "label", numTrees=25)).fit(prep.scale_standard(rows, names))
+    return models.importances(model.stages[-1], names, rows.sparkSession).orderBy(F.desc("mean"), "name").limit(25)
+
+
+register("baseline_first_forest")(lambda v: _classified(v, "forest", numTrees=20, maxDepth=6))
+register("split_shuffle")(lambda v: v("passengers").select("id", (prep.shuffled("id", 11) < 0.3 * 4294967296).alias("is_test")))
+register("load_titanic_table")(lambda v: _passengers(v).join(prefix.integerize([v("passengers")], "embarked").withColumnRenamed("code", "embarked_code"), "embarked", "left").select("id", "survived", *_PX, "embarked_code", F.lit(1.0).alias("weight")))
+
+
+@register("predict_and_submit")
+def predict_and_submit(v):
+    """Fitted on the labelled rows, predicted for the others, every id with a whole prediction."""
+    rows = _passengers(v)
+    got = models.pipeline(_PX, models.classifier("tree", "survived", maxDepth=4)).fit(rows.where("id % 4 <> 0")).transform(rows.where("id % 4 = 0"))
+    return io.submission(rows.where("id % 4 = 0"), got.select("id", "prediction"), "id", "prediction", whole=True)
+
+
+@register("fit_with_search")
+def fit_with_search(v):
+    """Grid search, then the best is fitted on all rows and stored with its score if that beats the stored one."""
+    rows = prep.cv_kfold(_passengers(v), "id", 2).cache()
+    found = search.grid_search(rows, "fold", 2, _PX, "survived", lambda p: models.classifier("tree", "survived", **p), {"maxDepth": [2, 3]}, metrics.accuracy("survived", "prediction"), "id")
+    path = io.fresh(rows.sparkSession, "model")
+    stored = io.save_if_better(models.pipeline(_PX, models.classifier("tree", "survived", **found[0][0])).fit(rows), found[0][1], path, rows.sparkSession)
+    return rows.sparkSession.createDataFrame([(str(found[0][0]), float(stored))], "parameters string, score double")
+
+
+@register("sink_model_best")
+def sink_model_best(v):
+    """A stored model is replaced only by a better one."""
+    rows = _passengers(v)
+    model = models.pipeline(_PX, models.classifier("tree", "survived", maxDepth=2)).fit(rows)
+    path = io.fresh(rows.sparkSession, "model")
+    kept = [io.save_if_better(model, s, path, rows.sparkSession) for s in (0.5, 0.4, 0.9)]
+    return rows.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(kept)], "step long, stored double")
