@@ -195,7 +195,7 @@ def _classes() -> np.ndarray:
 class Encoder:
     """Texts to ids: cuts texts by the pattern of the rank files and keeps the ids of pieces that it has met."""
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         self.merges, self.classes = Merges(read_ranks(path)), _classes()

@@ -6,8 +6,9 @@ A block's product gives, for each pair, how many of these it shares; pairs whose
 lengths rule the similarity out are dropped, the others' sets are compared whole.
 
 An n-gram found in few sets gives all their pairs. One found in many gives pairs with a few anchors first. A few partners of
-each document are compared; when their links have made components, only pairs across components are left, now with all
-that they share, and all of these are compared that the bounds don't rule out. So no link between different components is
+each document are compared; when their links have made components, documents outside a large one are compared with its
+member that has most links. Then only pairs across components are left, now with all that they share, and all of these
+are compared that the bounds don't rule out. So no link between different components is
 lost, and a group of like documents doesn't give all its pairs. Components come from alternating stars
 on tables written to the shared folder.
 
@@ -112,7 +113,7 @@ def _incidence(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, bloc
                 seen.add((whole, doc))
                 rows.append((doc, size, digest))
                 entries.append(own)
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             if not rows:
                 continue
@@ -236,7 +237,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             good = []
             for a, ta, other in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), shingles(batch.column("text_b").to_pylist(), n), strict=True):
                 if last != (a, ta):
@@ -276,20 +277,58 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _crossing(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components among the sets that share a frequent n-gram: each member outside the n-gram's main component with all others."""
+def _to_hubs(entries: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the documents outside an n-gram's main component, where that is large, with the member of it that has most links."""
+    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    own = entries.join(labels.join(degree, "node", "left"), entries.id == F.col("node"), "left").select("token", "id", "size", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    parts = own.groupBy("token", "component").agg(F.count("*").alias("k"), F.max(F.struct("degree", (-F.col("id")).alias("minus"), "size")).alias("hub"))
+    main = parts.groupBy("token").agg(F.max(F.struct("k", "component", "hub")).alias("m")).where(F.col("m.k") > FEW)
+    main = main.select("token", F.col("m.component").alias("main"), (-F.col("m.hub.minus")).alias("hub"), F.col("m.hub.size").alias("hub_size"))
+    met = own.join(main, "token").where((F.col("component") != F.col("main")) & (100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")))
+    return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _crossing(entries: DataFrame, pairs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components among the sets that share a frequent n-gram, with how many of these they share (star): each member
+    outside the n-gram's main component with all others.
+
+    Where the main component is large, its members share many n-grams, so each set meets the others once, by component, with all of
+    them; the bound on what the pair can share is part of the join. Pairs that also share n-grams found in few sets are known, and
+    looked up. Elsewhere sets meet by n-gram."""
     own = entries.join(labels, entries.id == labels.node, "left").select("token", "id", "size", "at", F.coalesce("component", "id").alias("component"))
-    main = own.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    own = own.join(main, "token")
-    left = own.where("component <> main").select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "size", "at", "component")))
-    right = own.select("token", "main", *(F.col(c).alias(f"{c}_b") for c in ("id", "size", "at", "component")))
+    main = own.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("m"))
+    own = own.join(main.select("token", F.col("m.component").alias("main"), (F.col("m.k") > FEW).alias("large")), "token")
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))) & (100 * small >= percent * large)
+    need = percent * (F.col("size_a") + F.col("size_b"))
+
+    def sides(df: DataFrame, on: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+        shared = [c for c in ("token", "main") if c in df.columns]
+        side = lambda t: df.select(*[c for c in shared if t == "b" or c in on], *(F.col(c).alias(f"{c}_{t}") for c in columns))
+        return side("a"), side("b")
+
+    few = own.where(~F.col("large"))
+    left, right = sides(few.where("component <> main"), ["token"], ["id", "size", "at", "component"])[0], sides(few, ["token"], ["id", "size", "at", "component"])[1]
     most = 1 + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1) + F.least("at_a", "at_b")
-    ok = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))) & (100 * small >= percent * large) & ((100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b")))
-    met = left.join(right, "token").where(ok)
+    by_token = left.join(right, "token").where(apart & ((100 + percent) * most >= need)).withColumn("star", F.lit(1).cast("long"))
+
+    # a set's n-grams of one main component (no more than its prefix has), and how many it has in other large groups
+    total = entries.groupBy("id").agg(F.count("*").alias("total"))
+    sets = own.where("large").groupBy("id", "main").agg(F.first("size").alias("size"), F.first("component").alias("component"), F.collect_list("token").alias("tokens"))
+    sets = sets.join(total, "id").withColumn("other", F.col("total") - F.size("tokens")).drop("total")
+    names = ["id", "size", "component", "tokens", "other"]
+    left, right = sides(sets.where("component <> main"), ["main"], names)[0], sides(sets, ["main"], names)[1]
+    met = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
+    rest = F.ceil(large * percent / 100) - 1
+    by_main = left.join(right, "main").where(apart & (met > 0) & ((100 + percent) * (met + F.least("other_a", "other_b") + rest) >= need)).withColumn("star", met)
+    known = pairs.where("shared > 0").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    both = known.join(sides(sets, ["main"], names)[0], "id_a").join(sides(sets, ["main"], names)[1], ["id_b", "main"])
+    known = both.where((F.col("component_a") != F.col("component_b")) & (met > 0)).withColumn("star", met)
+
     ordered = F.col("id_a") < F.col("id_b")
-    met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.when(ordered, F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"), F.when(ordered, F.col("size_b")).otherwise(F.col("size_a")).alias("size_b"))
-    return met.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.count("*").alias("star"))
+    out = [F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.when(ordered, F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"), F.when(ordered, F.col("size_b")).otherwise(F.col("size_a")).alias("size_b"), "star"]
+    by_main = by_main.select("main", *out).union(known.select("main", *out)).distinct().drop("main")
+    return by_token.select(*out).union(by_main).groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("star").alias("star"))
 
 
 def _with_crossing(pairs: DataFrame, crossing: DataFrame) -> DataFrame:
@@ -322,7 +361,12 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     links = written(_verified(tried, docs, n, percent), "links")
     labels = components(links)
     entries = found.where("size_a < 0").select(F.col("a").alias("token"), F.col("b").alias("id"), F.col("size_b").alias("size"), F.col("shared").alias("at"))
-    rest = _across(_possible(_with_crossing(pairs, _crossing(entries, labels, percent)), percent).select("a", "b"), labels).join(tried, ["a", "b"], "left_anti")
+    hubs = written(_to_hubs(entries, links, labels, percent).join(tried, ["a", "b"], "left_anti"), "tried")
+    near = written(_verified(hubs, docs, n, percent), "links")
+    if near.limit(1).count():
+        tried, links = tried.union(hubs), links.union(near)
+        labels = components(links)
+    rest = _across(_possible(_with_crossing(pairs, _crossing(entries, pairs, labels, percent)), percent).select("a", "b"), labels).join(tried, ["a", "b"], "left_anti")
     more = written(_verified(written(rest, "tried"), docs, n, percent), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
