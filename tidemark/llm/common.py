@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,8 +118,7 @@ def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iter
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(batch.column("text").cast(pa.large_binary()).to_numpy(zero_copy_only=False), dtype=object)
-        ends = np.cumsum(np.fromiter((len(x) for x in sizes), np.int64, len(sizes)))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0

@@ -178,7 +178,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     source = texts(docs).where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 16 << 20):
+        for batch in pieces(batches, 4 << 20):
             rows = []
             for doc, words in zip(batch.column("doc_id").to_pylist(), word_hashes(batch.column("text").to_pylist()), strict=True):
                 h, start, n = _runs(words, window, gram)
@@ -234,7 +234,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                         keep, drop = sorted([before[1:], (doc, start)])
                         first[part] = (before[0], *keep)
                         later.setdefault(drop[0], []).append((drop[1], n - 1 + window))
-            if held >= 24 << 20:
+            if held >= 8 << 20:
                 yield from flush()
                 held = 0
         yield from flush()
@@ -294,7 +294,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n, gone, sha = [], [], []
             for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
                 words, keep = _kept(text, removed)
@@ -313,7 +313,7 @@ def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     columns, i = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out, stays = [], []
             for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
                 if removed:
