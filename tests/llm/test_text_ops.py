@@ -132,6 +132,23 @@ def test_substring(docs, table):
     assert all(brute.words(left[d].text) == k if d in left else not k for d, k in want.items())
 
 
+@pytest.mark.parametrize("least", [4, 10**9])
+def test_substring_hot_passage_is_spread(spark, docs, table, least, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(substring.repeated_spans, "__defaults__", (substring.WINDOW, substring.GRAM, least))
+    got = by_id(substring.digests(docs))
+    for d, kept in brute.removed(table).items():
+        assert (got[d].n_removed, got[d].kept_sha256) == (len(brute.words(table[d])) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()), d
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(k, " ".join([f"a{k}.{i}" for i in range(30)] + passage + [f"b{k}.{i}" for i in range(30)])) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hot = substring.hot_representatives(df, substring.WINDOW, substring.GRAM, 100)
+    assert 1 <= len(hot) <= 20 and substring.hot_representatives(df.limit(0), substring.WINDOW, substring.GRAM).tolist() == []
+    h, n = substring._summed(np.array([7] * 50 + list(range(100, 160)), np.uint64), np.ones(110, np.int64), 10)
+    assert len(h) <= 10 and 50 - 11 <= n[h == 7][0] <= 50
+
+
 def test_fm_index_counts():
     rng = random.Random(2)
     parts = [[b"%d" % rng.randrange(3) for _ in range(rng.randint(4, 40))] for _ in range(60)]

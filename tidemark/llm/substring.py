@@ -5,6 +5,11 @@ equal ones, and neighbouring windows mostly share theirs: a run. Representatives
 runs whose representative is found once only cannot repeat and go no further. The others go, as words, to the shard of
 their representative; equal runs of one task are sent once, its later ones being repeats already.
 
+A representative that a batch holds twice is known to repeat: its runs go on at once and one row tells the others, so that
+no block holds more than one row of it for each batch. Runs of representatives with more than their share of all runs (a
+passage that many documents have, each with its own words around it) would meet in one shard. They are counted first, by
+summaries of fixed size, and go on window by window, each to the shard of its own words; equal windows are compared whole.
+
 A shard builds an FM-index over its distinct runs in order of their first place (suffixes sorted to the depth of a window,
 a wavelet matrix over the Burrows-Wheeler transform, bit vectors for the borders of intervals) and streams the runs through
 it by backward search. Matching statistics are capped at the window, so at every place the interval of the window that
@@ -21,13 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ngram_hashes, partitions, pieces, texts, word_hashes
+from .common import ngram_hashes, partitions, pieces, texts, word_hashes, written
 
 GRAM = 8
 WINDOW = 20
+#: Counters in a summary of representatives, and the least runs of a hot one.
+COUNTERS = 1 << 16
+HOT = 512
 
 
 class Bits:
@@ -147,9 +156,11 @@ SPAN = np.dtype([("start", "<i4"), ("n", "<i4")])
 
 
 def _by_block(rows: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(rows):
+        return
     order = np.argsort(block, kind="stable")
     rows, block = rows[order], block[order]
-    edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.empty(0, np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
     for a, b in zip(edge, np.append(edge[1:], len(block)), strict=True):
         yield int(block[a]), rows[a:b]
 
@@ -168,14 +179,46 @@ def _table(data: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
+def _summed(h: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the values in h, at most `most` of them (Misra and Gries): each too low by no more than the sum of all over `most`."""
+    value, at = np.unique(h, return_inverse=True)
+    count = np.bincount(at, weights=n, minlength=len(value)).astype(np.int64)
+    if len(value) > most:
+        count -= np.partition(count, len(count) - most - 1)[len(count) - most - 1]
+        value, count = value[count > 0], count[count > 0]
+    return value, count
+
+
+def hot_representatives(source: DataFrame, window: int, gram: int, least: int = HOT, counters: int = COUNTERS) -> np.ndarray:
+    """Sorted representatives with many runs: all with more than max(least, runs / counters) + runs / counters of them, and none
+    with fewer than max(least, runs / counters); so there are at most `counters`, whatever the input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n, total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        for batch in pieces(batches, 4 << 20):
+            own = np.concatenate([_runs(w, window, gram)[0] for w in word_hashes(batch.column("text").to_pylist())])
+            total += len(own)
+            h, n = _summed(np.concatenate([h, own]), np.concatenate([n, np.ones(len(own), np.int64)]), counters)
+        more = n > 1
+        yield _batch(("h", [None, *h[more].view(np.int64).tolist()], pa.int64()), ("n", [total, *n[more].tolist()], pa.int64()))
+
+    counted = source.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("h").isNull() | (F.col("n") >= least))
+    counted = written(counted, "substring-hot")
+    total = (counted.where("h is null").first() or {"n": 0})["n"]
+    found = counted.where(F.col("h").isNotNull() & (F.col("n") >= max(least, total // counters))).select("h").collect()
+    return np.sort(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
+
+
 def _batch(*columns: tuple[str, list, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for _, v, t in columns], [n for n, _, _ in columns])
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, least: int = HOT) -> DataFrame:
     """doc_id, removed (packed SPANs of words): rows for documents that have windows that also start earlier."""
-    blocks = partitions(docs.sparkSession)
     source = texts(docs).where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
+    blocks = max(partitions(docs.sparkSession), 2 * source.rdd.getNumPartitions())  # a block's size does not grow with the input
+    shards = 4 * blocks  # they hold words, not numbers
+    hot = set(hot_representatives(source, window, gram, least).tolist())
 
     def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4 << 20):
@@ -186,18 +229,32 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 own["h"], own["doc"], own["start"], own["n"] = h, doc, start, n
                 rows.append(own)
             rows = np.concatenate(rows)
-            found = list(_by_block(rows, (rows["h"] % np.uint64(blocks)).astype(np.int64)))
-            yield _batch(("block", [b for b, _ in found], pa.int32()), ("data", [_columns(r) for _, r in found], pa.binary()))
+            rows = rows[np.argsort(rows["h"], kind="stable")]
+            new = np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]])[: len(rows)]
+            alone = new & np.append(new[1:], True)[: len(rows)]
+            # of those that repeat here, one row without windows goes to the block
+            asked = np.concatenate([rows[alone], rows[new & ~alone]])
+            asked["n"][int(alone.sum()) :] = 0
+            found = list(_by_block(asked, (asked["h"] % np.uint64(blocks)).astype(np.int64)))
+            yield _batch(("block", [b for b, _ in found], pa.int32()), ("doc_id", [None] * len(found), pa.int64()), ("data", [_columns(r) for _, r in found], pa.binary()))
+            known = list(_by_block(rows[~alone], rows["doc"][~alone]))
+            yield _batch(("block", [d % blocks for d, _ in known], pa.int32()), ("doc_id", [d for d, _ in known], pa.int64()), ("data", [_columns(r) for _, r in known], pa.binary()))
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [_table(d, RUN) for batch in batches for d in batch.column("data").to_pylist()]
+        rows = []
+        for batch in batches:
+            own = list(zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True))
+            passed = [x for x in own if x[0] is not None]
+            if passed:
+                yield _batch(("doc_id", [d for d, _ in passed], pa.int64()), ("runs", [x for _, x in passed], pa.binary()))
+            rows += [_table(x, RUN) for d, x in own if d is None]
         if not rows:
             return
         rows = np.concatenate(rows)
         rows = rows[np.argsort(rows["h"], kind="stable")]
         new = np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]])
         more = ~(new & np.append(new[1:], True))
-        rows = rows[more]
+        rows = rows[more & (rows["n"] > 0)]
         found = list(_by_block(rows, rows["doc"]))
         for k in range(0, len(found), 5000):
             part = found[k : k + 5000]
@@ -210,13 +267,25 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
         def flush() -> Iterator[pa.RecordBatch]:
             by: dict[int, list] = {}
-            for part, (block, doc, start) in first.items():
-                by.setdefault(block, []).append((part, doc, start))
+            single: dict[bytes, tuple[int, int]] = {}
+            for part, (h, doc, start) in first.items():
+                if h not in hot:
+                    by.setdefault(h % shards, []).append((part, doc, start))
+                    continue
+                words = part.split(b" ")
+                for i in range(len(words) - window + 1):
+                    own, place = b" ".join(words[i : i + window]), (doc, start + i)
+                    before = single.setdefault(own, place)
+                    if before != place:
+                        single[own], drop = sorted([before, place])
+                        later.setdefault(drop[0], []).append((drop[1], window))
+            for own, place in single.items():  # blocks of whole windows have negative numbers until they are sent
+                by.setdefault(-1 - xxhash.xxh3_64_intdigest(own) % shards, []).append((own, *place))
             data = [b"\n".join([np.array([(d, s) for _, d, s in own], dtype="<i8").tobytes().hex().encode(), *(p for p, _, _ in own)]) for own in by.values()]
             if by:
-                yield _batch(("block", list(by), pa.int32()), ("doc_id", [None] * len(by), pa.int64()), ("data", data, pa.binary()))
+                yield _batch(("block", [b if b >= 0 else -1 - b for b in by], pa.int32()), ("doc_id", [None] * len(by), pa.int64()), ("single", [b < 0 for b in by], pa.bool_()), ("data", data, pa.binary()))
             if later:
-                yield _batch(("block", [d % blocks for d in later], pa.int32()), ("doc_id", list(later), pa.int64()), ("data", [_columns(np.array(x, dtype=SPAN)) for x in later.values()], pa.binary()))
+                yield _batch(("block", [d % shards for d in later], pa.int32()), ("doc_id", list(later), pa.int64()), ("single", [False] * len(later), pa.bool_()), ("data", [_columns(np.array(x, dtype=SPAN)) for x in later.values()], pa.binary()))
             first.clear()
             later.clear()
 
@@ -228,8 +297,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                     part = b" ".join(words[start : start + n - 1 + window])
                     before = first.get(part)
                     if before is None:
-                        first[part] = (h % blocks, doc, start)
-                        held += len(part)
+                        first[part] = (h, doc, start)
+                        held += len(part) * (n if h in hot else 1)
                     elif before[1:] != (doc, start):
                         keep, drop = sorted([before[1:], (doc, start)])
                         first[part] = (before[0], *keep)
@@ -241,15 +310,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: dict[bytes, list[tuple[int, int]]] = {}
+        whole: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
+            settled: dict[int, list[tuple[int, int]]] = {}
             passed = [(d, x) for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True) if d is not None]
             if passed:  # spans that are settled
                 yield _batch(("doc_id", [d for d, _ in passed], pa.int64()), ("removed", [x for _, x in passed], pa.binary()))
-            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            for doc, single, data in zip(batch.column("doc_id").to_pylist(), batch.column("single").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if doc is None:
                     at, *parts = data.split(b"\n")
-                    for part, place in zip(parts, np.frombuffer(bytes.fromhex(at.decode()), "<i8").reshape(-1, 2).tolist(), strict=True):
-                        places.setdefault(part, []).append(tuple(place))
+                    for part, place in zip(parts, map(tuple, np.frombuffer(bytes.fromhex(at.decode()), "<i8").reshape(-1, 2).tolist()), strict=True):
+                        if not single:
+                            places.setdefault(part, []).append(place)
+                        elif (before := whole.setdefault(part, place)) != place:
+                            whole[part], drop = sorted([before, place])
+                            settled.setdefault(drop[0], []).append((drop[1], window))
+            if settled:
+                yield _batch(("doc_id", list(settled), pa.int64()), ("removed", [_columns(np.array(x, dtype=SPAN)) for x in settled.values()], pa.binary()))
         if not places:
             return
         order = sorted((min(p), part) for part, p in places.items())
@@ -269,10 +346,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             part = docs_[k : k + 5000]
             yield _batch(("doc_id", part, pa.int64()), ("removed", [_columns(np.array(out[d], dtype=SPAN)) for d in part], pa.binary()))
 
-    runs = source.mapInArrow(represent, "block int, data binary").repartition(blocks, "block").mapInArrow(twice, "doc_id long, runs binary")
+    runs = source.mapInArrow(represent, "block int, doc_id long, data binary").repartition(blocks, "block").mapInArrow(twice, "doc_id long, runs binary")
     candidates = runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
-    shards = source.join(candidates, "doc_id").select("doc_id", "text", "runs").mapInArrow(cut, "block int, doc_id long, data binary")
-    return shards.repartition(blocks, "block").mapInArrow(search, "doc_id long, removed binary")
+    parts = source.join(candidates, "doc_id").select("doc_id", "text", "runs").mapInArrow(cut, "block int, doc_id long, single boolean, data binary")
+    return parts.repartition(shards, "block").mapInArrow(search, "doc_id long, removed binary")
 
 
 def _kept(text: str, removed: list[bytes] | None) -> tuple[list[bytes], np.ndarray]:
