@@ -216,6 +216,38 @@ def test_secrets_in_layers(wrap):
     assert any(k == "assign" and at - 1 <= a < b <= at + len(inner) for k, a, b in new or spans)
 
 
+def _b64(s):
+    return base64.b64encode(s if isinstance(s, bytes) else s.encode()).decode()
+
+
+def _often(data, times):
+    for _ in range(times):
+        data = gzip.compress(data)
+    return data
+
+
+def _lines(s, end="\n", width=76):
+    return end.join(s[i : i + width] for i in range(0, len(s), width))
+
+
+_SECRET = 'password = "hunter22hunter22!"'
+_NOISE = " ".join(hashlib.md5(b"%d" % i).hexdigest()[:9] for i in range(60))
+
+
+@pytest.mark.parametrize("inner", [
+    *[_b64(f"some words {c} and {_SECRET} and more") for c in "\u00a0\ufeff\u200d\f\0"], _b64("some words é ".encode("latin-1") + _SECRET.encode()),
+    *[prefix + _b64(_SECRET) for prefix in ("host/x/", "auth-", "a_", "abc/", "ab", "x")], *[prefix + _b64(gzip.compress(_SECRET.encode())) for prefix in ("host/x/", "auth-", "ab")], _b64(_SECRET + "12") + "/path/of",
+    *[_lines(_b64(gzip.compress((_NOISE + _SECRET + _NOISE).encode())), end) for end in ("\n", "\r\n", "\n    ", "\\n")], _lines(_b64("x" * 45 + _SECRET)), "auth-" + _lines(_b64("x" * 45 + _SECRET)),
+    _b64(_often(_SECRET.encode(), 12)), _b64(gzip.compress(_SECRET[:15].encode()) + gzip.compress(_SECRET[15:].encode())), "".join(f"%{b:02x}" for b in b"\xe9 " + _SECRET.encode()),
+])
+def test_secrets_behind_ordinary_obstacles(inner):
+    text = f"é before {inner} after"
+    base, spans = secret_scan.scan(text)
+    at = text.index(inner)
+    assert not any(k == "assign" for k, _, _ in base)
+    assert any(k == "assign" and at <= a < b <= at + len(inner) for k, a, b in spans)
+
+
 def test_secrets_ends_and_leaves_clean_text():
     text = "\\u005cu005cu0025 %2525252541 " + base64.b64encode(gzip.compress(b"a" * 10_000_000)).decode()[:200]
     secret_scan.scan(text)
