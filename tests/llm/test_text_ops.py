@@ -322,6 +322,21 @@ def test_warc_round_trip(spark, chunk):
     assert warc.records(*warc.archive(pages.limit(0))).count() == 0
 
 
+def test_warc_null_and_repeated_ids(spark):
+    a, b, c = "a" * 150, "b" * 150, "c" * 150
+    rows = [(None, a), (None, a), (None, b), (None, "s"), (None, None), (5, b), (5, b), (5, c), (7, c), (7, c), (7, "s"), (8, c)]
+    pages = spark.createDataFrame([(i, f"u{k}", h) for k, (i, h) in enumerate(rows)], "page_id long, url string, html string")
+    manifest, folder = warc.archive(pages, chunk=40)
+    got = sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.records(manifest, folder).collect()), key=str)
+    sha = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
+    refers = [None, None, 5, None, None, None, None, None, 5, 5, None, 5]
+    assert got == sorted(((i, sha(h), "response" if r is None else "revisit", r) for (i, h), r in zip(rows, refers, strict=True)), key=str)
+    heads = b"".join(gzip.decompress(open("/" + r.path.lstrip("/"), "rb").read()) for r in manifest.collect()).decode()
+    ids = [x.split(": ")[1] for x in heads.split("\r\n") if x.startswith("WARC-Record-ID")]
+    assert len(set(ids)) == len(rows)
+    assert {x.split(": ")[1] for x in heads.split("\r\n") if x.startswith("WARC-Refers-To")} <= set(ids)
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 1000, 1 << 16])
 def test_warc_members_at_any_block_size(chunk):
     import io

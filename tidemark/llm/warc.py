@@ -5,9 +5,10 @@ streams its chunks in order into one archive of gzip members, a member for each
 archive and gives chunk rows again, each with the SHA-256 of the payload so far, so that the last row of a record has
 the digest of all of it. No task holds a whole archive, and the Python side holds one chunk of a record at a time.
 
-Records with equal payloads of at least `least` bytes: that with the smallest id is a response, the others are revisits
-without a payload. Null payload: empty. Ids must be unique; of rows that repeat one id the chunks would mix, so they
-fail the job. Archives go to the folder that the cluster shares, under a name that each attempt makes anew; the
+Records with equal payloads of at least `least` bytes: those with the smallest id are responses, the others are revisits
+without a payload. Null payload: empty. Every row has its own record: <urn:page:ID:DIGEST>, with ":1", ":2" and so on for
+further rows of one id and payload; a null id is written "null". Rows with a null id are responses, unless a page with an
+id has their payload. Archives go to the folder that the cluster shares, under a name that each attempt makes anew; the
 manifest, a table written when all tasks are done, names those that count.
 """
 
@@ -31,23 +32,29 @@ END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def record_kinds(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, refers_to (null for a response)."""
+def _described(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, its size and digest, and key: what stands in a record's id."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    facts = pages.select("page_id", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
+    held = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
+    return held.withColumn("key", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "payload_digest"))
+
+
+def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
+    """key and refers_to, one row for each pair of an id and a payload that are a revisit."""
+    facts = _described(pages).where(F.col("payload_bytes") >= least).select("page_id", "payload_digest", "key")
     # counts and smallest ids are made before the shuffle, so a payload that a third of all pages share is no burden
-    first = facts.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    held = facts.join(first, (facts.payload_digest == first.digest) & (facts.payload_bytes >= least), "left")
-    return held.select("page_id", "payload_bytes", "payload_digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    first = facts.groupBy(F.col("payload_digest").alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    held = facts.join(first, facts.payload_digest == first.digest).where(F.col("page_id").isNull() | (F.col("first") < F.col("page_id")))
+    return held.groupBy("key").agg(F.min("first").alias("refers_to"))
 
 
-def chunk_rows(pages: DataFrame, kinds: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """record id (page_id), chunk_no, data and, with chunk 0, what the record's header needs."""
-    source = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
-    held = source.join(kinds, "page_id").withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
+def chunk_rows(pages: DataFrame, revisits: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """key, row (a number of the row), chunk_no, data and what the record's header needs."""
+    source = _described(pages).withColumn("row", F.monotonically_increasing_id())
+    held = source.join(revisits, "key", "left").withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk).cast("int"))
     cut = held.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n - 1)))
-    return cut.select("page_id", "chunk_no", "url", "payload_bytes", "payload_digest", "refers_to", F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
+    return cut.select("key", "row", "chunk_no", "url", "payload_bytes", "payload_digest", "refers_to", F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -57,12 +64,12 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def _header(row: dict) -> bytes:
+def _header(row: dict, repeat: int) -> bytes:
     kind = "response" if row["refers_to"] is None else "revisit"
     url = "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode()) for c in row["url"])
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{row['page_id']}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{row['payload_digest']}", f"WARC-Payload-Length: {row['payload_bytes']}", "Content-Type: text/html"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{row['key']}{f':{repeat}' if repeat else ''}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{row['payload_digest']}", f"WARC-Payload-Length: {row['payload_bytes']}", "Content-Type: text/html"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{row['refers_to']}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{row['refers_to']}:{row['payload_digest']}>"]
     return "\r\n".join([*lines, f"Content-Length: {row['payload_bytes'] if kind == 'response' else 0}", "", ""]).encode()
 
 
@@ -71,7 +78,7 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _store(folder)
-        path, out, records, member, last = f"{top}/{uuid.uuid4().hex}.warc.gz", None, 0, None, None
+        path, out, records, member, last, repeat = f"{top}/{uuid.uuid4().hex}.warc.gz", None, 0, None, None, 0
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
@@ -80,20 +87,19 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
                 if row["chunk_no"] == 0:
                     if member:
                         out.write(member.compress(END) + member.flush())
-                    if last is not None and last[0] == row["page_id"]:
-                        raise ValueError(f"record id {row['page_id']} is not unique")
+                    repeat = repeat + 1 if last is not None and last[0] == row["key"] else 0
                     member, records = zlib.compressobj(1, wbits=31), records + 1
-                    out.write(member.compress(_header(row)))
-                elif last != (row["page_id"], row["chunk_no"] - 1):
-                    raise ValueError(f"chunk {row['chunk_no']} of record {row['page_id']} follows {last}")
+                    out.write(member.compress(_header(row, repeat)))
+                elif last != (row["key"], row["row"], row["chunk_no"] - 1):
+                    raise ValueError(f"chunk {row['chunk_no']} of record {row['key']} follows {last}")
                 out.write(member.compress(row["data"]))
-                last = (row["page_id"], row["chunk_no"])
+                last = (row["key"], row["row"], row["chunk_no"])
         if out is not None:
             out.write(member.compress(END) + member.flush())
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64()), pa.array([store.get_file_info(path).size], pa.int64())], ["path", "records", "bytes"])
 
-    placed = chunks.repartition(partitions(chunks.sparkSession), "page_id").sortWithinPartitions("page_id", "chunk_no")
+    placed = chunks.repartition(partitions(chunks.sparkSession), "key").sortWithinPartitions("key", "row", "chunk_no")
     return placed.mapInArrow(run, "path string, records long, bytes long")
 
 
@@ -132,7 +138,7 @@ def read_chunks(manifest: DataFrame, folder: str, chunk: int = CHUNK) -> DataFra
                     if now:
                         yield (*now, True)
                     digest, refers = hashlib.sha256(), fields.get("WARC-Refers-To")
-                    number = lambda x: int(x.rsplit(":", 1)[1].rstrip(">"))
+                    number = lambda x: None if (own := x.split(":")[2]) == "null" else int(own)
                     now = [number(fields["WARC-Record-ID"]), 0, fields["WARC-Type"], number(refers) if refers else None, fields["WARC-Payload-Digest"].split(":")[1], int(fields["WARC-Payload-Length"]), b"", 0, digest.hexdigest()]
                 else:
                     digest.update(data)
@@ -164,7 +170,7 @@ def read_chunks(manifest: DataFrame, folder: str, chunk: int = CHUNK) -> DataFra
 def archive(pages: DataFrame, folder: str | None = None, least: int = 100, chunk: int = CHUNK) -> tuple[DataFrame, str]:
     """Writes archives of all pages; gives the manifest (a written table) and the folder."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return written(write_archives(chunk_rows(pages, record_kinds(pages, least), chunk), folder), "warc-manifest"), folder
+    return written(write_archives(chunk_rows(pages, revisits(pages, least), chunk), folder), "warc-manifest"), folder
 
 
 def records(manifest: DataFrame, folder: str) -> DataFrame:
