@@ -371,6 +371,19 @@ def test_spotsigs(docs, table):
     assert {(r.a, r.b) for r in pairs.collect()} == want
 
 
+def test_spotsigs_short_and_long_texts(spark):
+    long = " ".join(f"the w{i}" for i in range(400))
+    texts = ["apple", "pear", "the apple", "apple", "  ", "", long, long.replace("w200", "other")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(spotsigs.fingerprints(df))
+    assert len({got[i].fingerprint for i in (0, 1, 2, 4)}) == 4 and got[0].fingerprint == got[3].fingerprint and got[4].fingerprint == got[5].fingerprint
+    assert got[0].near_next == 0.0 and got[4].near_next == 1.0
+    a, b = (set(got[i].fingerprint.split(":")[1].split(".")) for i in (6, 7))
+    assert len(a) == 398 and got[6].near_next == len(a & b) / len(a | b) < 1
+    rep = {r.doc_id: r.rep for r in spotsigs.near_pairs(df)[0].collect()}
+    assert [rep[i] for i in range(6)] == [0, 1, 2, 0, 4, 4]
+
+
 def test_empty_table(spark, docs):
     none = docs.limit(0)
     for df in (bpe.digests(none, RANKS), packing.pack(none, RANKS), quality.score(none, None), substring.digests(none), substring.strip(none), ngramjoin.join(none), secret_scan.find(none), toxicity.score(none, None), spotsigs.fingerprints(none)):

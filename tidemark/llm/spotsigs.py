@@ -4,7 +4,8 @@ Anchors are words so common that every text has them; a signature is the chain o
 anchor. A text's fingerprint is the set of its signatures. Sets are compared by Jaccard similarity, pairs are looked for
 only between sets of like length.
 
-Null text: empty, without signatures; a text without anchors takes every chain of content words. Two sets without
+Null text: empty, without signatures; a text without anchors takes every chain of content words, one with too few content
+words for a chain has all of its words as one signature. A fingerprint is given whole. Two sets without
 signatures are alike (1) if both are empty. Rows with equal ids are ordered by their text.
 """
 
@@ -25,8 +26,6 @@ COMMON = {
     "es": "al como con de del el en es la las lo los no para por que se su un una y".split(),
 }
 CHAIN = 3
-#: How much of a fingerprint is shown: its size and its smallest signatures.
-SHOWN = 16
 _BREAKS = ".,;:!?|()\"'\n\r\t\f\v*#$%&<>=/"
 
 
@@ -41,7 +40,8 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
     df = df.withColumn(s, F.filter(chained, lambda p: p.isNotNull()))
     spots = F.filter(s, lambda p: p["anchored"])
     some = F.when(F.exists(s, lambda p: p["anchored"]), spots).otherwise(F.col(s))
-    return df.withColumn(out, F.array_sort(F.array_distinct(F.transform(some, lambda p: p["h"])))).drop(w, c, s)
+    short = (F.size(c) < chain) & (F.size(w) > 0)
+    return df.withColumn(out, F.when(short, F.array(F.xxhash64(F.lit("short"), F.col(w)))).otherwise(F.array_sort(F.array_distinct(F.transform(some, lambda p: p["h"]))))).drop(w, c, s)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -51,7 +51,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def shown(signatures: Column) -> Column:
-    return F.concat_ws(":", F.size(signatures).cast("string"), F.array_join(F.transform(F.slice(signatures, 1, SHOWN), lambda h: F.lower(F.hex(h))), "."))
+    return F.concat_ws(":", F.size(signatures).cast("string"), F.array_join(F.transform(signatures, lambda h: F.lower(F.hex(h))), "."))
 
 
 def _bucket(key: Column, bounds: list) -> Column:
