@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -22,6 +24,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, or one like it that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sha256(column: Column) -> Column:
     return F.sha2(F.encode(column, "UTF-8"), 256)
 
@@ -47,19 +57,31 @@ def partitions(spark: SparkSession) -> int:
 BYTES = np.array([xxhash.xxh3_64_intdigest(f"byte {i}") for i in range(256)], dtype=np.uint64)
 BASE = xxhash.xxh3_64_intdigest("base") | 5
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_powers: list[np.ndarray] = []
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+#: So many powers of BASE and of its inverse are kept; longer data are rare and have theirs made anew.
+POWERS = 1 << 21
+
+
+def _made(n: int) -> list[np.ndarray]:
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        own = np.full(n, base, dtype=np.uint64)
+        own[0] = 1
+        out.append(np.multiply.accumulate(own))
+    return out
+
+
+_kept = functools.cache(lambda: _made(POWERS))
 
 
-def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of BASE and of its inverse, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
-        _powers[:] = []
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
-            own = np.full(size, base, dtype=np.uint64)
-            own[0] = 1
-            _powers.append(np.multiply.accumulate(own))
-    return _powers
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes, none of them 0, of the spans [start, end) of values, wherever they stand: polynomials by prefix sums."""
+    power, inverse = _kept() if len(values) <= POWERS else _made(len(values))
+    upto = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum((values + values.dtype.type(1)) * power[: len(values)], out=upto[1:])
+    h = mixed((upto[end] - upto[start]) * inverse[start])
+    h[h == 0] = 1
+    return h
 
 
 def word_hashes(texts: list[str], lower: bool = False, most_bytes: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -68,22 +90,37 @@ def word_hashes(texts: list[str], lower: bool = False, most_bytes: int = 1 << 20
     size = 0
     for text in texts:
         data = text.encode("utf-8", "surrogatepass")
-        group.append(data.lower() if lower else data)  # of bytes: A-Z only
+        data = data.lower() if lower else data  # of bytes: A-Z only
+        if len(data) > 2 * most_bytes:
+            yield from _word_hashes(group)
+            group, size = [], 0
+            yield np.concatenate([next(_word_hashes([part])) for part in _cut_at_blanks(data, most_bytes)])
+            continue
+        group.append(data)
         size += len(data) + 1
         if size >= most_bytes:
             yield from _word_hashes(group)
             group, size = [], 0
-    if group:
-        yield from _word_hashes(group)
+    yield from _word_hashes(group)
+
+
+def _cut_at_blanks(data: bytes, step: int) -> Iterator[bytes]:
+    """Long data in parts of about a step; no word is cut."""
+    at = 0
+    while at < len(data):
+        found = _BLANK.search(data, at + step)
+        to = found.end() if found else len(data)
+        yield data[at:to]
+        at = to
 
 
 def _word_hashes(group: list[bytes]) -> Iterator[np.ndarray]:
+    if not group:
+        return
     data = np.frombuffer(b"\n".join([b"", *group, b""]), dtype=np.uint8)
-    power, inverse = _powers_to(len(data))
     edge = np.flatnonzero(np.diff(BLANK[data].view(np.int8))) + 1
     start, end = edge[::2], edge[1::2]
-    upto = np.cumsum(BYTES[data] * power[: len(data)])
-    words = mixed((upto[end - 1] - upto[start - 1]) * inverse[start])
+    words = span_hashes(BYTES[data], start, end)
     ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
     done = 0
     for k in np.searchsorted(start, ends).tolist():

@@ -15,8 +15,10 @@ a wavelet matrix over the Burrows-Wheeler transform, bit vectors for the borders
 it by backward search. Matching statistics are capped at the window, so at every place the interval of the window that
 begins there is known; the smallest place in it tells whether the window starts earlier. Nothing is judged by hash alone.
 
-Null text: no words. Texts shorter than a window stay as they are. Rows with equal ids count as one document, whose own
-rows don't remove each other. Texts are whole, and there is no cap on repeats.
+A row is known by its id and, where ids repeat, by its text: rows with one id and different texts are different documents, in
+order of a hash of their texts after those with smaller ids; rows that are equal in both count as one document, which
+doesn't remove itself. Rows with a null id have no place in the order: they stay as they are and remove nothing. Null text: no
+words. Texts shorter than a window stay as they are. Texts are whole, and there is no cap on repeats.
 """
 
 from __future__ import annotations
@@ -27,16 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ngram_hashes, partitions, pieces, texts, word_hashes, written
+from .common import ngram_hashes, partitions, pieces, texts, unused, word_hashes, written
 
 GRAM = 8
 WINDOW = 20
 #: Counters in a summary of representatives, and the least runs of a hot one.
 COUNTERS = 1 << 16
 HOT = 512
+#: The second part of the key of rows without an id; that of others is odd or 0.
+NOBODY = 2
 
 
 class Bits:
@@ -151,7 +155,8 @@ def _runs(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.nda
     return grams[at[start]], start, np.diff(np.append(start, len(at)))
 
 
-RUN = np.dtype([("h", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
+RUN = np.dtype([("h", "<u8"), ("doc", "<i8"), ("twin", "<i8"), ("start", "<i4"), ("n", "<i4")])
+PLACE = np.dtype([("doc", "<i8"), ("twin", "<i8"), ("start", "<i8")])
 SPAN = np.dtype([("start", "<i4"), ("n", "<i4")])
 
 
@@ -165,6 +170,15 @@ def _by_block(rows: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.nda
         yield int(block[a]), rows[a:b]
 
 
+def _by_doc(rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    if not len(rows):
+        return
+    rows = rows[np.lexsort((rows["twin"], rows["doc"]))]
+    edge = np.flatnonzero(np.concatenate([[True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["twin"][1:] != rows["twin"][:-1])]))
+    for a, b in zip(edge, np.append(edge[1:], len(rows)), strict=True):
+        yield int(rows["doc"][a]), int(rows["twin"][a]), rows[a:b]
+
+
 def _columns(rows: np.ndarray) -> bytes:
     """A table's columns one after another, which pack better than rows."""
     return b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names)
@@ -213,20 +227,30 @@ def _batch(*columns: tuple[str, list, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for _, v, t in columns], [n for n, _, _ in columns])
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, least: int = HOT) -> DataFrame:
-    """doc_id, removed (packed SPANs of words): rows for documents that have windows that also start earlier."""
-    source = texts(docs).where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    blocks = max(partitions(docs.sparkSession), 2 * source.rdd.getNumPartitions())  # a block's size does not grow with the input
+def keyed(docs: DataFrame, doc: str, twin: str) -> DataFrame:
+    """docs and, in two columns that are never null, what a row is known by: its id, and a hash of its text where ids repeat (0
+    where none does; NOBODY for rows without an id). Ids alone are counted for this, texts aren't moved."""
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own: Column = F.xxhash64(text).bitwiseOR(F.lit(1)) if again else F.lit(0).cast("long")
+    return docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), twin: F.when(F.col("doc_id").isNull(), F.lit(NOBODY).cast("long")).otherwise(own)})
+
+
+def repeated_spans(base: DataFrame, doc: str, twin: str, window: int = WINDOW, gram: int = GRAM, least: int = HOT) -> DataFrame:
+    """doc, twin, removed (packed SPANs of words): rows for the documents of a keyed table that have windows that also start earlier."""
+    columns = base.columns
+    source = base.where(F.col(twin) != NOBODY).select(F.col(doc).alias("doc"), F.col(twin).alias("twin"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    blocks = max(partitions(base.sparkSession), 2 * source.rdd.getNumPartitions())  # a block's size does not grow with the input
     shards = 4 * blocks  # they hold words, not numbers
     hot = set(hot_representatives(source, window, gram, least).tolist())
 
     def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4 << 20):
             rows = []
-            for doc, words in zip(batch.column("doc_id").to_pylist(), word_hashes(batch.column("text").to_pylist()), strict=True):
+            for d, t, words in zip(batch.column("doc").to_pylist(), batch.column("twin").to_pylist(), word_hashes(batch.column("text").to_pylist()), strict=True):
                 h, start, n = _runs(words, window, gram)
                 own = np.empty(len(h), RUN)
-                own["h"], own["doc"], own["start"], own["n"] = h, doc, start, n
+                own["h"], own["doc"], own["twin"], own["start"], own["n"] = h, d, t, start, n
                 rows.append(own)
             rows = np.concatenate(rows)
             rows = rows[np.argsort(rows["h"], kind="stable")]
@@ -236,120 +260,125 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, leas
             asked = np.concatenate([rows[alone], rows[new & ~alone]])
             asked["n"][int(alone.sum()) :] = 0
             found = list(_by_block(asked, (asked["h"] % np.uint64(blocks)).astype(np.int64)))
-            yield _batch(("block", [b for b, _ in found], pa.int32()), ("doc_id", [None] * len(found), pa.int64()), ("data", [_columns(r) for _, r in found], pa.binary()))
-            known = list(_by_block(rows[~alone], rows["doc"][~alone]))
-            yield _batch(("block", [d % blocks for d, _ in known], pa.int32()), ("doc_id", [d for d, _ in known], pa.int64()), ("data", [_columns(r) for _, r in known], pa.binary()))
+            yield _batch(("block", [b for b, _ in found], pa.int32()), ("doc", [None] * len(found), pa.int64()), ("twin", [None] * len(found), pa.int64()), ("data", [_columns(r) for _, r in found], pa.binary()))
+            known = list(_by_doc(rows[~alone]))
+            yield _batch(("block", [d % blocks for d, _, _ in known], pa.int32()), ("doc", [d for d, _, _ in known], pa.int64()), ("twin", [t for _, t, _ in known], pa.int64()), ("data", [_columns(r) for _, _, r in known], pa.binary()))
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
-            own = list(zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True))
+            own = list(zip(*(batch.column(c).to_pylist() for c in ("doc", "twin", "data")), strict=True))
             passed = [x for x in own if x[0] is not None]
             if passed:
-                yield _batch(("doc_id", [d for d, _ in passed], pa.int64()), ("runs", [x for _, x in passed], pa.binary()))
-            rows += [_table(x, RUN) for d, x in own if d is None]
+                yield _batch(("doc", [d for d, _, _ in passed], pa.int64()), ("twin", [t for _, t, _ in passed], pa.int64()), ("runs", [x for _, _, x in passed], pa.binary()))
+            rows += [_table(x, RUN) for d, _, x in own if d is None]
         if not rows:
             return
         rows = np.concatenate(rows)
         rows = rows[np.argsort(rows["h"], kind="stable")]
         new = np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]])
         more = ~(new & np.append(new[1:], True))
-        rows = rows[more & (rows["n"] > 0)]
-        found = list(_by_block(rows, rows["doc"]))
+        found = list(_by_doc(rows[more & (rows["n"] > 0)]))
         for k in range(0, len(found), 5000):
             part = found[k : k + 5000]
-            yield _batch(("doc_id", [d for d, _ in part], pa.int64()), ("runs", [_columns(r) for _, r in part], pa.binary()))
+            yield _batch(("doc", [d for d, _, _ in part], pa.int64()), ("twin", [t for _, t, _ in part], pa.int64()), ("runs", [_columns(r) for _, _, r in part], pa.binary()))
+
+    def settled(by: dict[tuple[int, int], list[tuple[int, int]]]) -> list[tuple[str, list, pa.DataType]]:
+        return [("doc", [d for d, _ in by], pa.int64()), ("twin", [t for _, t in by], pa.int64()), ("data", [_columns(np.array(x, dtype=SPAN)) for x in by.values()], pa.binary())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[bytes, tuple[int, int, int, int]] = {}
-        later: dict[int, list[tuple[int, int]]] = {}
+        later: dict[tuple[int, int], list[tuple[int, int]]] = {}
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             by: dict[int, list] = {}
-            single: dict[bytes, tuple[int, int]] = {}
-            for part, (h, doc, start) in first.items():
+            single: dict[bytes, tuple[int, int, int]] = {}
+            for part, (h, *place) in first.items():
                 if h not in hot:
-                    by.setdefault(h % shards, []).append((part, doc, start))
+                    by.setdefault(h % shards, []).append((part, tuple(place)))
                     continue
                 words = part.split(b" ")
                 for i in range(len(words) - window + 1):
-                    own, place = b" ".join(words[i : i + window]), (doc, start + i)
-                    before = single.setdefault(own, place)
-                    if before != place:
-                        single[own], drop = sorted([before, place])
-                        later.setdefault(drop[0], []).append((drop[1], window))
-            for own, place in single.items():  # blocks of whole windows have negative numbers until they are sent
-                by.setdefault(-1 - xxhash.xxh3_64_intdigest(own) % shards, []).append((own, *place))
-            data = [b"\n".join([np.array([(d, s) for _, d, s in own], dtype="<i8").tobytes().hex().encode(), *(p for p, _, _ in own)]) for own in by.values()]
+                    own, at = b" ".join(words[i : i + window]), (*place[:2], place[2] + i)
+                    before = single.setdefault(own, at)
+                    if before != at:
+                        single[own], drop = sorted([before, at])
+                        later.setdefault(drop[:2], []).append((drop[2], window))
+            for own, at in single.items():  # blocks of whole windows have negative numbers until they are sent
+                by.setdefault(-1 - xxhash.xxh3_64_intdigest(own) % shards, []).append((own, at))
             if by:
-                yield _batch(("block", [b if b >= 0 else -1 - b for b in by], pa.int32()), ("doc_id", [None] * len(by), pa.int64()), ("single", [b < 0 for b in by], pa.bool_()), ("data", data, pa.binary()))
+                places = [_columns(np.array([at for _, at in own], dtype=PLACE)) for own in by.values()]
+                yield _batch(("block", [b if b >= 0 else -1 - b for b in by], pa.int32()), ("doc", [None] * len(by), pa.int64()), ("twin", [None] * len(by), pa.int64()), ("single", [b < 0 for b in by], pa.bool_()), ("places", places, pa.binary()), ("data", [b"\n".join([x for x, _ in own]) for own in by.values()], pa.binary()))
             if later:
-                yield _batch(("block", [d % shards for d in later], pa.int32()), ("doc_id", list(later), pa.int64()), ("single", [False] * len(later), pa.bool_()), ("data", [_columns(np.array(x, dtype=SPAN)) for x in later.values()], pa.binary()))
+                n = len(later)
+                yield _batch(("block", [d % shards for d, _ in later], pa.int32()), *settled(later)[:2], ("single", [False] * n, pa.bool_()), ("places", [None] * n, pa.binary()), settled(later)[2])
             first.clear()
             later.clear()
 
         for batch in pieces(batches):
-            for doc, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                words = text.encode("utf-8", "surrogatepass").split()
-                for run in sorted(x for r in runs for x in _table(r, RUN).tolist()):
-                    h, _, start, n = run
-                    part = b" ".join(words[start : start + n - 1 + window])
+            for d, t, text, runs in zip(*(batch.column(c).to_pylist() for c in (doc, twin, "text", known)), strict=True):
+                words = (text or "").encode("utf-8", "surrogatepass").split()
+                for run in sorted(x for r in runs for x in _table(r, RUN)[["start", "n", "h"]].tolist()):
+                    start, n, h = run
+                    part, at = b" ".join(words[start : start + n - 1 + window]), (d, t, start)
                     before = first.get(part)
                     if before is None:
-                        first[part] = (h, doc, start)
+                        first[part] = (h, *at)
                         held += len(part) * (n if h in hot else 1)
-                    elif before[1:] != (doc, start):
-                        keep, drop = sorted([before[1:], (doc, start)])
+                    elif before[1:] != at:
+                        keep, drop = sorted([before[1:], at])
                         first[part] = (before[0], *keep)
-                        later.setdefault(drop[0], []).append((drop[1], n - 1 + window))
-            if held >= 8 << 20:
-                yield from flush()
-                held = 0
+                        later.setdefault(drop[:2], []).append((drop[2], n - 1 + window))
+                if held >= 8 << 20:
+                    yield from flush()
+                    held = 0
         yield from flush()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: dict[bytes, list[tuple[int, int]]] = {}
-        whole: dict[bytes, tuple[int, int]] = {}
+        places: dict[bytes, list[tuple[int, int, int]]] = {}
+        whole: dict[bytes, tuple[int, int, int]] = {}
         for batch in batches:
-            settled: dict[int, list[tuple[int, int]]] = {}
-            passed = [(d, x) for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True) if d is not None]
+            gone: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            own = list(zip(*(batch.column(c).to_pylist() for c in ("doc", "twin", "single", "places", "data")), strict=True))
+            passed = [x for x in own if x[0] is not None]
             if passed:  # spans that are settled
-                yield _batch(("doc_id", [d for d, _ in passed], pa.int64()), ("removed", [x for _, x in passed], pa.binary()))
-            for doc, single, data in zip(batch.column("doc_id").to_pylist(), batch.column("single").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                if doc is None:
-                    at, *parts = data.split(b"\n")
-                    for part, place in zip(parts, map(tuple, np.frombuffer(bytes.fromhex(at.decode()), "<i8").reshape(-1, 2).tolist()), strict=True):
-                        if not single:
-                            places.setdefault(part, []).append(place)
-                        elif (before := whole.setdefault(part, place)) != place:
-                            whole[part], drop = sorted([before, place])
-                            settled.setdefault(drop[0], []).append((drop[1], window))
-            if settled:
-                yield _batch(("doc_id", list(settled), pa.int64()), ("removed", [_columns(np.array(x, dtype=SPAN)) for x in settled.values()], pa.binary()))
+                yield _batch(("doc", [x[0] for x in passed], pa.int64()), ("twin", [x[1] for x in passed], pa.int64()), ("removed", [x[4] for x in passed], pa.binary()))
+            for d, _, single, where, data in own:
+                if d is not None:
+                    continue
+                for part, place in zip(data.split(b"\n"), _table(where, PLACE).tolist(), strict=True):
+                    if not single:
+                        places.setdefault(part, []).append(place)
+                    elif (before := whole.setdefault(part, place)) != place:
+                        whole[part], drop = sorted([before, place])
+                        gone.setdefault(drop[:2], []).append((drop[2], window))
+            if gone:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for _, v, t in settled(gone)], ["doc", "twin", "removed"])
         if not places:
             return
         order = sorted((min(p), part) for part, p in places.items())
         split = [part.split(b" ") for _, part in order]
         flags, offset = seen_before(split, window)
-        out: dict[int, list[tuple[int, int]]] = {}
+        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
         bound = np.append(offset, len(flags)).tolist()
         for (first, part), words, a, b in zip(order, split, bound, bound[1:], strict=False):
-            for doc, start in set(places[part]) - {first}:
-                out.setdefault(doc, []).append((start, len(words)))
+            for place in set(places[part]) - {first}:
+                out.setdefault(place[:2], []).append((place[2], len(words)))
             own = flags[a:b]
             if own.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-                out.setdefault(first[0], []).extend((first[1] + int(s), int(e - s) - 1 + window) for s, e in zip(edge[::2], edge[1::2], strict=True))
-        docs_ = list(out)
-        for k in range(0, len(docs_), 5000):
-            part = docs_[k : k + 5000]
-            yield _batch(("doc_id", part, pa.int64()), ("removed", [_columns(np.array(out[d], dtype=SPAN)) for d in part], pa.binary()))
+                out.setdefault(first[:2], []).extend((first[2] + int(s), int(e - s) - 1 + window) for s, e in zip(edge[::2], edge[1::2], strict=True))
+        keys = list(out)
+        for k in range(0, len(keys), 5000):
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for _, v, t in settled({x: out[x] for x in keys[k : k + 5000]})], ["doc", "twin", "removed"])
 
-    runs = source.mapInArrow(represent, "block int, doc_id long, data binary").repartition(blocks, "block").mapInArrow(twice, "doc_id long, runs binary")
-    candidates = runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
-    parts = source.join(candidates, "doc_id").select("doc_id", "text", "runs").mapInArrow(cut, "block int, doc_id long, single boolean, data binary")
-    return parts.repartition(shards, "block").mapInArrow(search, "doc_id long, removed binary")
+    known = unused(columns, "runs")
+    runs = source.mapInArrow(represent, "block int, doc long, twin long, data binary").repartition(blocks, "block").mapInArrow(twice, "doc long, twin long, runs binary")
+    candidates = runs.groupBy(F.col("doc").alias(doc), F.col("twin").alias(twin)).agg(F.collect_list("runs").alias(known))
+    # all columns go along, so that the exchange of this join is the one of the join with the spans that are found
+    parts = base.join(candidates, [doc, twin]).select(*columns, known).mapInArrow(cut, "block int, doc long, twin long, single boolean, places binary, data binary")
+    return parts.repartition(shards, "block").mapInArrow(search, "doc long, twin long, removed binary")
 
 
 def _kept(text: str, removed: list[bytes] | None) -> tuple[list[bytes], np.ndarray]:
@@ -362,9 +391,13 @@ def _kept(text: str, removed: list[bytes] | None) -> tuple[list[bytes], np.ndarr
     return words, np.cumsum(edge)[:-1] == 0
 
 
-def _with_removed(docs: DataFrame, window: int, *more: str) -> DataFrame:
-    spans = repeated_spans(docs, window).groupBy("doc_id").agg(F.collect_list("removed").alias("removed"))
-    return texts(docs, *more).join(spans, "doc_id", "left")
+def _with_removed(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
+    """docs with a column of packed spans, and that column's name."""
+    columns = docs.columns
+    doc, twin, removed = (unused(columns, c) for c in ("doc", "twin", "removed"))
+    base = keyed(docs, doc, twin)
+    spans = repeated_spans(base, doc, twin, window).groupBy(F.col("doc").alias(doc), F.col("twin").alias(twin)).agg(F.collect_list("removed").alias(removed))
+    return base.join(spans, [doc, twin], "left").select(*columns, removed), removed
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -380,19 +413,20 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k] if gone[-1] else words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = _with_removed(docs, window).select("doc_id", "text", "removed")
+    joined, _ = _with_removed(texts(docs), window)
     return joined.mapInArrow(run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """All columns of docs, with the repeated words taken out of text. Texts without any stay as they are, white space included;
     in the others kept words are joined by one space. A document of which nothing is left goes."""
-    columns, i = docs.columns, docs.columns.index("text")
+    columns = docs.columns
+    joined, spans = _with_removed(docs, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             out, stays = [], []
-            for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
+            for text, removed in zip(batch.column("text").to_pylist(), batch.column(spans).to_pylist(), strict=True):
                 if removed:
                     words, keep = _kept(text or "", removed)
                     left = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
@@ -404,7 +438,5 @@ def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kept = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
             yield kept.select(columns).filter(pa.array(stays, pa.bool_()))
 
-    spans = repeated_spans(docs, window).groupBy("doc_id").agg(F.collect_list("removed").alias("removed"))
-    joined = docs.join(spans, "doc_id", "left").select(*columns, "removed")
     kept = joined.mapInArrow(run, docs.schema)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else kept
