@@ -1,12 +1,15 @@
 """Quality rules and a classifier of hashed n-grams.
 
 Counts that rules use are exact, over whole texts. The classifier is a logistic regression on hashed word 1- and
-2-grams and hashed character 3-grams, trained on labelled rows, calibrated by Platt's method on rows it wasn't trained on,
-and used in Arrow batches with fixed thresholds.
-
-Training takes at most `bound` labelled rows (those with the smallest hash of their id, whatever the input's size), so what
-comes to the driver and goes to the tasks (weights of DIMS doubles) is bounded. Null text: empty; it has no words and fails
-the base rules. Without labelled rows of both classes every text that passes the base rules is kept.
+2-grams and hashed character 3-grams (of code points), fitted by Spark on labelled rows, calibrated by Platt's method on
+a quarter of them that the calibrated model wasn't fitted on, then fitted again on all, and used in Arrow batches with fixed
+thresholds.
+
+Training takes at most `bound` labelled documents (those with the smallest hash of their id, whatever the input's size). Their
+features stay in tasks, a written table; what comes to the driver is weights (DIMS doubles) and one margin for each document held
+out. Null text: empty; it has no words and fails the base rules. Repeated rows and null ids are judged each by itself; of
+labelled rows with equal ids the greatest label and the smallest text count. A probability equal to the threshold is kept. Without
+labelled rows of both classes every text that passes the base rules is kept.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, texts
+from .common import mixed, pieces, texts, written
 
 BITS = 15
 DIMS = 1 << BITS
@@ -67,14 +70,13 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed dimensions and values: square roots of the counts, of length one."""
-    data = text.encode("utf-8", "surrogatepass")
-    words = data.split()
+    words = text.encode("utf-8", "surrogatepass").split()
     w = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    b = np.frombuffer(b" " + data + b" ", dtype=np.uint8).astype(np.uint64)
-    chars = b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:]
+    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    chars = c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]
     pairs = w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:]
-    h = np.concatenate([mixed(w), mixed(pairs ^ np.uint64(1 << 40)), (chars * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)])
-    n = np.bincount((h & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS)
+    h = np.concatenate([mixed(w), mixed(pairs ^ np.uint64(1 << 40)), (chars * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)])
+    n = np.bincount((h & np.uint64(DIMS - 1)).view(np.int64), minlength=DIMS)
     at = np.flatnonzero(n)
     value = np.sqrt(n[at])
     return at, value / max(np.sqrt((value * value).sum()), 1e-9)
@@ -94,23 +96,6 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(*features(text)) + self.shift, -40, 40))))
 
 
-def _logistic(at: list[np.ndarray], value: list[np.ndarray], y: np.ndarray, l2: float = 1e-5, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by accelerated gradient steps; both classes have the same weight in all."""
-    column, x = np.concatenate(at), np.concatenate(value)
-    row = np.repeat(np.arange(len(y)), [len(a) for a in at])
-    share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    w, b = np.zeros(DIMS), 0.0
-    v, c = w.copy(), b
-    rate = 4.0
-    for k in range(steps):
-        z = np.bincount(row, x * v[column], len(y)) + c
-        g = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        w2, b2 = v - rate * (np.bincount(column, x * g[row], DIMS) + l2 * v), c - rate * g.sum()
-        v, c = w2 + k / (k + 3) * (w2 - w), b2 + k / (k + 3) * (b2 - b)
-        w, b = w2, b2
-    return w, b
-
-
 def _platt(margin: np.ndarray, y: np.ndarray, even: bool = False) -> tuple[float, float]:
     """Slope and shift of a logistic curve through margins of rows that weren't trained on; even: the rarer class weighs
     more, half way to the weight of the other."""
@@ -128,33 +113,53 @@ def _platt(margin: np.ndarray, y: np.ndarray, even: bool = False) -> tuple[float
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """text and label of at most bound rows: those with the smallest hash of doc_id."""
+    """doc_id, text and label of at most bound documents: those with the smallest hash of doc_id."""
     own = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return texts(docs).join(own, "doc_id")
+    return texts(docs).join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").cast("double").alias("label"))
+
+
+def _fitted(rows: DataFrame, l2: float = 1e-5, steps: int = 25):
+    """Logistic regression by gradients summed in tasks; both classes have the same weight in all. None without both classes."""
+    from pyspark.ml.classification import LogisticRegression  # the workers that score need not load it
 
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return None
+    weighted = rows.withColumn("weight", F.when(F.col("label") > 0, 0.5 / n[1.0]).otherwise(0.5 / n[0.0]))
+    return LogisticRegression(labelCol="label", weightCol="weight", regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=steps).fit(weighted)
+
+
+def train(docs: DataFrame, labels: DataFrame, bound: int = 4000, slices: int = 6) -> Model | None:
+    """A model from labelled rows; null if they don't have both classes. slices: tasks of a gradient (the table is bounded)."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 4000) -> Model | None:
-    """A model from labelled rows; null if they don't have both classes."""
+    vector = F.udf(lambda at, value: Vectors.sparse(DIMS, at, value), VectorUDT())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1 << 20):
             found = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
-
-    rows = labelled(docs, labels, "quality", bound).select("doc_id", "text", "label")
-    got = rows.mapInArrow(run, "doc_id long, label int, at array<int>, value array<float>").toArrow().sort_by("doc_id")
-    y = got["label"].to_numpy().astype(float)
-    if len(set(y)) < 2:
-        return None
-    at, value = [np.asarray(x) for x in got["at"].to_numpy()], [np.asarray(x, dtype=float) for x in got["value"].to_numpy()]
-    held = np.arange(len(y)) % 4 == 0
-    if len(set(y[held])) == 2 and len(set(y[~held])) == 2:
-        pick = lambda x, m: [x[i] for i in np.flatnonzero(m)]
-        first = Model(*_logistic(pick(at, ~held), pick(value, ~held), y[~held]))
-        slope, shift = _platt(np.array([first.margin(a, v) for a, v in zip(pick(at, held), pick(value, held), strict=True)]), y[held])
-        if slope > 0:
-            return Model(first.weights, first.bias, slope, shift)
-    return Model(*_logistic(at, value, y))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))], ["doc_id", "label", "at", "value"])
+
+    own = labelled(docs, labels, "quality", bound).select("doc_id", "text", F.when(F.col("label") > 0, 1.0).otherwise(0.0).alias("label"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    held = written(own.mapInArrow(run, f"doc_id {kind}, label double, at array<int>, value array<double>"), "quality-features")
+    rows = held.select("label", vector("at", "value").alias("features"), (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0).alias("held")).coalesce(slices).persist()
+    try:
+        whole, first = _fitted(rows), _fitted(rows.where("not held"))
+        if whole is None:
+            return None
+        model = Model(whole.coefficients.toArray(), float(whole.intercept))
+        if first is not None:
+            shown = first.transform(rows.where("held")).select("label", vector_to_array("rawPrediction")[1].alias("margin")).collect()
+            y, margin = (np.array([r[c] for r in shown], dtype=float) for c in ("label", "margin"))
+            if len(set(y)) == 2:
+                slope, shift = _platt(margin, y)
+                if slope > 0:
+                    model.slope, model.shift = slope, shift
+        return model
+    finally:
+        rows.unpersist()
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, *more: str) -> DataFrame:
@@ -183,7 +188,7 @@ def keep(docs: DataFrame, labels: DataFrame, bound: int = 4000, threshold: float
     model = train(docs, labels, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             good = []
             for text in batch.column("text").to_pylist():
                 found = counts(text or "")
