@@ -2,7 +2,10 @@ import base64
 import gzip
 import hashlib
 import random
+import time
+import tracemalloc
 import urllib.parse
+import zlib
 
 import public_tokenizers
 import pytest
@@ -87,7 +90,55 @@ def test_packing_covers_every_id_once(docs, table):
         own.sort(key=lambda r: r.offset)
         assert [r.offset for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]
         assert sum(r.length for r in own) <= 2048
-    assert len(by_seq) <= -(-sum(r.length for r in rows) // 2048) + 2 * docs.rdd.getNumPartitions()
+    assert len(by_seq) <= -(-sum(r.length for r in rows) // 2048) + 2
+
+
+def test_packing_fill_does_not_depend_on_tasks(spark):
+    """Within a hundredth of the best there can be, by the number of ids, at any number of tasks; nothing lost or met twice."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for parts in (1, 40):
+        rows = packing.pack(docs.repartition(parts, "doc_id"), RANKS).collect()
+        total, used = sum(r.length for r in rows), len({r.sequence_id for r in rows})
+        assert len({(r.doc_id, r.start) for r in rows}) == len(rows) and total == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+        assert total >= 0.99 * 2048 * used, (parts, total, used)
+
+
+def test_packing_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None), (2, "x " * 5000)], "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS length", "3 AS sequence_id")
+    rows = packing.pack(df, RANKS).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in rows if r.start == 0) == [(0, 1), (0, 2), (1, 3), (1, 3), (2, rows[-1].doc_tokens if rows[-1].doc_id == 2 else next(r.doc_tokens for r in rows if r.doc_id == 2))]
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ACGT", "中文字符"])
+def test_bpe_takes_linear_time(letters):
+    own, rng, took = bpe.encoder(RANKS), random.Random(1), []
+    for n in (10**4, 10**5, 10**6):
+        text = "".join(rng.choices(letters, k=n))
+        began = time.process_time()
+        ids = next(own.encode([text]))
+        took.append(time.process_time() - began)
+        assert b"".join(own.merges.bytes[i] for i in ids) == text.encode()
+    assert took[2] < 40 * took[1] + 1 and took[2] < 20
+
+
+def test_bpe_in_parts_and_one_by_one(monkeypatch):
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    rng = random.Random(8)
+    batch = ["".join(rng.choices("'strevmldx ab  \n\t\r ²½é中文🙂0١9$$%%'' STdon", k=rng.randint(0, 900))) for _ in range(300)]
+    want = [theirs.encode_ordinary(x) for x in batch]
+    for kind, name, value in ((bpe.Merges, "LONG", 3), (bpe.Encoder, "STEP", 50), (bpe.Encoder, "LIMIT", 10)):
+        monkeypatch.setattr(kind, name, value)
+        assert [x.tolist() for x in bpe.Encoder(RANKS).encode(batch)] == want
+
+
+def test_bpe_pieces_with_one_hash(monkeypatch):
+    import numpy as np
+
+    own = bpe.Encoder(RANKS)
+    want = [x.tolist() for x in own.encode(["one two one three", "two four"])]
+    monkeypatch.setattr(bpe, "span_hashes", lambda values, start, end: np.full(len(start), 7, np.uint64))
+    assert [x.tolist() for x in bpe.Encoder(RANKS).encode(["one two one three", "two four"])] == want
 
 
 def test_fill_finds_the_nearest_sum():
@@ -149,6 +200,16 @@ def test_substring_hot_passage_is_spread(spark, docs, table, least, monkeypatch)
     assert len(h) <= 10 and 50 - 11 <= n[h == 7][0] <= 50
 
 
+def test_substring_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, f"{c} {b}"), (9, c), (None, a), (None, c), (9, None), (2, "")]
+    df = spark.createDataFrame([(i, t, 3, "r", 1, 2) for i, t in rows], "doc_id long, text string, n_chars int, removed string, doc int, twin int").repartition(3)
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring.digests(df).collect())
+    assert got == sorted([("1", 40, 0), ("5", 40, 40), ("5", 40, 0), ("5", 40, 0), ("7", 80, 40), ("9", 40, 40), ("None", 40, 0), ("None", 40, 0), ("9", 0, 0), ("2", 0, 0)])
+    left = substring.strip(df)
+    assert left.columns == df.columns and sorted((str(r.doc_id), r.text, r.n_chars, r.removed) for r in left.collect()) == sorted([("1", a, len(a), "r"), ("5", b, len(b), "r"), ("5", b, len(b), "r"), ("7", c, len(c), "r"), ("None", a, len(a), "r"), ("None", c, len(c), "r"), ("9", None, None, "r"), ("2", "", 0, "r")], key=str)
+
+
 def test_fm_index_counts():
     rng = random.Random(2)
     parts = [[b"%d" % rng.randrange(3) for _ in range(rng.randint(4, 40))] for _ in range(60)]
@@ -249,12 +310,39 @@ def test_secrets_behind_ordinary_obstacles(inner):
 
 
 def test_secrets_ends_and_leaves_clean_text():
-    text = "\\u005cu005cu0025 %2525252541 " + base64.b64encode(gzip.compress(b"a" * 10_000_000)).decode()[:200]
-    secret_scan.scan(text)
+    secret_scan.scan("\\u005cu005cu0025 %2525252541 " + base64.b64encode(gzip.compress(b"a" * 10_000_000)).decode()[:200])
     clean = "The quick brown fox: a token of thanks, api docs, key = none. " * 50
     assert secret_scan.scan(clean) == ([], [])
 
 
+@pytest.mark.parametrize("times", [9, 40])
+def test_secrets_under_many_layers(times):
+    inner = _b64(_often(_SECRET.encode(), times))
+    assert secret_scan.scan(f"a {inner} b")[1] == [("assign", 2, 2 + len(inner))]
+    text = _SECRET
+    for _ in range(8):
+        text = _b64(zlib.compress(text.encode()))
+    assert secret_scan.scan(text)[1] == [("assign", 0, len(text))]
+
+
+@pytest.mark.parametrize("make", [gzip.compress, lambda x: gzip.compress(gzip.compress(x)), lambda x: gzip.compress(b"\0" * 3 + gzip.compress(x[: len(x) // 2]) + gzip.compress(x[len(x) // 2 :]))])
+def test_secrets_in_a_bomb_take_bounded_memory(make):
+    """64 MB of zeros, a secret, 64 MB of zeros, in some 100 KB or less."""
+    inner = _b64(make(bytes(64 << 20) + b" " + _SECRET.encode() + b" " + bytes(64 << 20)))
+    tracemalloc.start()
+    _, spans = secret_scan.scan(f"a {inner} b")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spans == [("assign", 2, 2 + len(inner))] and most < 64 << 20
+
+
+def test_secrets_same_text_at_other_places():
+    one = _b64(_SECRET)
+    text = f"{one} and {one}"
+    assert [(a, b) for k, a, b in secret_scan.scan(text)[1] if k == "assign"] == [(0, len(one)), (len(one) + 5, len(text))]
+    assert secret_scan.scan("%70assword=abcdefgh1 ")[1] == [("assign", 0, 20)]
+
+
 def test_redact(docs, table):
     left = by_id(secret_scan.redact(docs))
     assert all((left[d].text is None) == (t is None) for d, t in table.items())

@@ -3,9 +3,11 @@
 The bytes of a piece are mapped to Latin-1 characters, so that one Aho-Corasick automaton over the vocabulary finds
 every token in a text. A piece is then encoded from left to right: take the longest token, keep it if it can stand
 beside the token before (the pair, encoded alone, stays as it is), else try the next shorter one, else step back.
-Compatibility of neighbours is memoised. The result is what the merges give, in time linear in the text.
+Compatibility of neighbours is memoised. The result is what the merges give, in time linear in the text: the longest
+match at each place of a piece is found in one pass over it, and no place that led nowhere is tried again.
 
-Nulls count as empty text: no tokens. Repeated rows and ties have each their own result row. Texts are whole.
+Nulls count as empty text: no tokens. Repeated rows and ties have each their own result row. Texts are whole; a long one is
+worked on in parts that end where no piece does, a piece without white space in it always as one.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -21,11 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pieces, texts
+from .common import pieces, span_hashes, texts
 
 #: Stands between pieces in the searched string; no byte maps to it.
 GAP = "Ā"
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
+EDGE = regex.compile(r"\S(?=\s)")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,6 +40,8 @@ class Merges:
     """Encodes single pieces; ranks: token bytes to id, the id being the order of the merge."""
 
     MEMO = 1 << 20
+    #: Longer pieces are encoded one by one, the others side by side.
+    LONG = 256
 
     def __init__(self, ranks: dict[bytes, int]):
         size = max(ranks.values()) + 1
@@ -68,6 +73,8 @@ class Merges:
                     break
         self.memo_key = np.full(self.MEMO, -1, dtype=np.int64)
         self.memo_value = np.zeros(self.MEMO, dtype=bool)
+        self.pairs: dict[int, bool] = {}
+        self.lengths, self.shorters = self.length.tolist(), self.shorter.tolist()
 
     def _halves(self, token: bytes, below: int) -> list[int]:
         parts = [token[i : i + 1] for i in range(len(token))]
@@ -122,18 +129,62 @@ class Merges:
         found = np.fromiter(chain.from_iterable(self.automaton.iter_long(text)), np.int64).reshape(-1, 2)
         return found[:, 0] - self.length[found[:, 1]] + 1, found[:, 1]
 
+    def _longest(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and tokens of the longest match at every place: all matches in one pass, in order of their ends, the last one of a begin stays."""
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+        at = np.full(len(text), -1, dtype=np.int64)
+        at[found[:, 0] - self.length[found[:, 1]] + 1] = found[:, 1]
+        where = np.flatnonzero(at >= 0)
+        return where, at[where]
+
+    def _encode_long(self, part: bytes) -> list[int]:
+        """The ids of one long piece, token by token."""
+        text = part.decode("latin-1")
+        longest = np.zeros(len(text), dtype=np.int64)
+        at, t = self._longest(text)
+        longest[at] = t
+        longest, dead, taken, memo = longest.tolist(), bytearray(len(text) + 1), [], self.pairs
+        length, shorter, pos, n = self.lengths, self.shorters, 0, len(text)
+        token = longest[0]
+        while pos < n:
+            to, good = pos + length[token], True
+            if dead[to]:
+                good = False
+            elif taken:
+                pair = taken[-1] << 20 | token
+                good = memo.get(pair)
+                if good is None:
+                    if len(memo) > self.MEMO:
+                        memo.clear()
+                    good = memo[pair] = self.stays(taken[-1], token)
+            if good:
+                taken.append(token)
+                pos = to
+                if pos < n:
+                    token = longest[pos]
+            elif shorter[token] >= 0:
+                token = shorter[token]
+            else:
+                dead[pos] = 1
+                token = taken.pop()
+                pos -= length[token]
+        return taken
+
     def encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts, one after another, and how many each part has. Parts are not empty."""
         n = len(parts)
         counts = np.ones(n, dtype=np.int64)
         whole = np.fromiter((self.ranks.get(p, -1) for p in parts), np.int64, n)
+        long = {i: self._encode_long(parts[i]) for i in np.flatnonzero(whole < 0).tolist() if len(parts[i]) > self.LONG}
+        counts[list(long)] = list(map(len, long.values()))
+        whole[list(long)] = 0
         open_ = np.flatnonzero(whole < 0)
-        if not len(open_):
+        if not len(open_) and not long:
             return whole, counts
         size = np.fromiter((len(parts[i]) for i in open_), np.int64, len(open_))
-        begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+        begin = np.cumsum(size + 1) - size - 1
         text = GAP.join(parts[i].decode("latin-1") for i in open_)
-        at, t = self._greedy(text)
+        at, t = self._greedy(text) if text else (np.empty(0, np.int64),) * 2
         longest = np.full(len(text) + 1, -1, dtype=np.int64)  # what the greedy walk met; other places when they are needed
         longest[at] = t
         free = np.ones(len(text) + 2, dtype=bool)
@@ -157,7 +208,7 @@ class Merges:
             lacking = longest[new] < 0
             if lacking.any():
                 rest = [text[a:b] for a, b in zip(new[lacking].tolist(), end[on[lacking]].tolist(), strict=True)]
-                at, met = self._greedy(GAP.join(rest))
+                at, met = self._longest(GAP.join(rest))
                 sizes = np.fromiter(map(len, rest), np.int64, len(rest))
                 row = np.repeat(np.arange(len(rest)), sizes + 1)
                 longest[at + (new[lacking] - np.cumsum(sizes + 1) + sizes + 1)[row[at]]] = met
@@ -179,6 +230,8 @@ class Merges:
         ids[first[whole >= 0]] = whole[whole >= 0]
         step = np.arange(int(depth.sum())) - np.repeat(np.cumsum(depth) - depth, depth)
         ids[np.repeat(first[open_], depth) + step] = taken[np.repeat(begin, depth) + step]
+        for i, own in long.items():
+            ids[first[i] : first[i] + len(own)] = own
         return ids, counts
 
 
@@ -192,17 +245,82 @@ def _classes() -> np.ndarray:
     return out
 
 
+class Known:
+    """Pieces that were met, by a hash of their code points: an open table in arrays, asked for many pieces at once. A piece
+    found is compared with the one kept, code point by code point."""
+
+    SLOTS = 1 << 21
+
+    def __init__(self):
+        self.key, self.number = np.zeros(self.SLOTS, dtype=np.uint64), np.zeros(self.SLOTS, dtype=np.int32)
+        self.n, self.used = 0, 0
+        self.begin, self.size, self.points = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 18, dtype=np.uint32)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes; -1: not there."""
+        out, open_, slot = np.full(len(h), -1, dtype=np.int64), np.arange(len(h)), self._slots(h)
+        while len(open_):
+            there = self.key[slot]
+            same = there == h[open_]
+            out[open_[same]] = self.number[slot[same]]
+            on = ~same & (there != 0)
+            open_, slot = open_[on], (slot[on] + 1) & (self.SLOTS - 1)
+        return out
+
+    def equal(self, number: np.ndarray, points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the numbered pieces are those of the text's points that begin there."""
+        good = self.size[number] == size
+        n, ends = np.where(good, size, 0), np.cumsum(np.where(good, size, 0))
+        step = np.arange(int(ends[-1]) if len(ends) else 0)
+        off = np.repeat(begin - ends + n, n) + step
+        on = np.repeat(self.begin[number] - ends + n, n) + step
+        wrong = np.flatnonzero(points[off] != self.points[on])
+        good[np.searchsorted(ends, wrong, side="right")] = False
+        return good
+
+    def add(self, h: np.ndarray | None, parts: list[str]) -> np.ndarray:
+        """Keeps new pieces; gives their numbers. Without hashes they can't be found again."""
+        data = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        number = self.n + np.arange(len(parts))
+        self.begin, self.size = grown(self.begin, self.n + len(parts)), grown(self.size, self.n + len(parts))
+        self.points = grown(self.points, self.used + len(data))
+        self.begin[number], self.size[number] = self.used + np.cumsum(size) - size, size
+        self.points[self.used : self.used + len(data)] = data
+        self.n, self.used = self.n + len(parts), self.used + len(data)
+        if h is not None:
+            open_, slot = np.arange(len(h)), self._slots(h)
+            while len(open_):
+                free = self.key[slot] == 0
+                self.key[slot[free]] = h[open_[free]]
+                won = free & (self.key[slot] == h[open_])
+                self.number[slot[won]] = number[open_[won]]
+                open_, slot = open_[~won], (slot[~won] + 1) & (self.SLOTS - 1)
+        return number
+
+
+def grown(data: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n at least."""
+    return data if n <= len(data) else np.concatenate([data, np.zeros(max(n, 2 * len(data)) - len(data), dtype=data.dtype)])
+
+
 class Encoder:
     """Texts to ids: cuts texts by the pattern of the rank files and keeps the ids of pieces that it has met."""
 
-    LIMIT = 500_000
+    LIMIT = 700_000
+    #: Code points of text that are worked on at once, and of all pieces kept.
+    STEP = 1 << 20
+    KEPT = 1 << 24
 
     def __init__(self, path: str):
         self.merges, self.classes = Merges(read_ranks(path)), _classes()
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.known = Known()
         self.ids, self.first, self.count, self.used = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 0
 
     def cuts(self, points: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -232,56 +350,67 @@ class Encoder:
                 cut[q + k] = True
         return np.flatnonzero(cut)
 
-    def split(self, batch: list[str]) -> tuple[list[str], np.ndarray]:
-        """The pieces of all texts, and how many pieces there are up to the end of each."""
-        joined = "".join(batch)
-        size = np.fromiter(map(len, batch), np.int64, len(batch))
-        if not joined:
-            return [], size
-        ends = np.cumsum(size)
-        begins = (ends - size)[size > 0]
-        at = self.cuts(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), begins)
-        bound = np.append(at, len(joined)).tolist()
-        return list(map(joined.__getitem__, map(slice, bound, bound[1:]))), np.searchsorted(at, ends)
-
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, h: np.ndarray | None, new: list[str]) -> np.ndarray:
         ids, counts = self.merges.encode([p.encode("utf-8", "surrogatepass") for p in new])
-        n = len(self.index)
-        while n + len(new) > len(self.first):
-            self.first, self.count = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.count, np.zeros_like(self.count)])
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        number = self.known.add(h, new)
+        self.first, self.count, self.ids = grown(self.first, self.known.n), grown(self.count, self.known.n), grown(self.ids, self.used + len(ids))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.first[n : n + len(new)] = self.used + np.cumsum(counts) - counts
-        self.count[n : n + len(new)] = counts
+        self.first[number], self.count[number] = self.used + np.cumsum(counts) - counts, counts
         self.used += len(ids)
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
+        return number
 
     def encode(self, batch: list[str]) -> Iterator[np.ndarray]:
         """The ids (unsigned 32-bit) of each text."""
-        step, size, group = 1 << 20, 0, []
+        size, group = 0, []
         for text in batch:
+            if len(text) > 2 * self.STEP:
+                yield from self._encode(group)
+                size, group = 0, []
+                yield np.concatenate([next(self._encode([part])) for part in self._parts(text)])
+                continue
             group.append(text)
             size += len(text)
-            if size >= step:
+            if size >= self.STEP:
                 yield from self._encode(group)
                 size, group = 0, []
         yield from self._encode(group)
 
+    def _parts(self, text: str) -> Iterator[str]:
+        """A long text cut where white space follows something else: no piece of the pattern goes on there."""
+        at = 0
+        while at < len(text):
+            cut = EDGE.search(text, min(at + self.STEP, len(text)))
+            to = cut.end() if cut else len(text)
+            yield text[at:to]
+            at = to
+
     def _encode(self, batch: list[str]) -> Iterator[np.ndarray]:
-        if len(self.index) > self.LIMIT:
+        if self.known.n > self.LIMIT or self.known.used > self.KEPT:
             self._clear()
-        parts, upto = self.split(batch)
-        at = np.fromiter(map(self.index.get, parts, repeat(-1)), np.int64, len(parts))
-        lacking = np.flatnonzero(at < 0).tolist()
-        if lacking:
-            self._learn(list({parts[i]: None for i in lacking}))
-            at[lacking] = [self.index[parts[i]] for i in lacking]
+        joined = "".join(batch)
+        ends = np.cumsum(np.fromiter(map(len, batch), np.int64, len(batch)))
+        if not joined:
+            yield from (np.empty(0, dtype=np.uint32) for _ in batch)
+            return
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        begin = self.cuts(points, np.concatenate([[0], ends[:-1][ends[:-1] < len(joined)]]))
+        bound = np.append(begin, len(points))
+        size = np.diff(bound)
+        h = span_hashes(points, begin, bound[1:])
+        at = self.known.find(h)
+        if (at < 0).any():
+            lacking = np.flatnonzero(at < 0)
+            new, where = np.unique(h[lacking], return_index=True)
+            self._learn(new, [joined[bound[i] : bound[i + 1]] for i in lacking[where].tolist()])
+            at[lacking] = self.known.find(h[lacking])
+        other = np.flatnonzero(~self.known.equal(at, points, begin, size)).tolist()
+        if other:  # another piece has their hash
+            at[other] = self._learn(None, [joined[bound[i] : bound[i + 1]] for i in other])
         counts = self.count[at]
-        ends = np.cumsum(counts)
-        ids = self.ids[np.repeat(self.first[at] - ends + counts, counts) + np.arange(len(counts) and int(ends[-1]))]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.ids[np.repeat(self.first[at] - upto[:-1], counts) + np.arange(int(upto[-1]))]
         done = 0
-        for k in np.concatenate([[0], ends])[upto].tolist():
+        for k in upto[np.searchsorted(begin, ends)].tolist():
             yield ids[done:k]
             done = k
 

@@ -4,9 +4,15 @@ A document's ids (its text's, then the end id) are cut into full windows and a r
 documents form a multiset of lengths; each window takes the longest one left and then the multiset whose sum comes
 closest to the capacity, found by subset-sum over bitsets (bit s: sum s can be reached) and read back with counts.
 
-A group is what one task holds at a time (GROUP_TOKENS), so nothing is shuffled and memory doesn't grow with the
-input; what a group could not fill well is carried on to the next. Only the last windows of a task have padding.
-Null text: empty, its document is the end id alone. Repeated rows are packed each by itself.
+A group is what one task holds at a time (GROUP_TOKENS), so texts are not shuffled and memory doesn't grow with the
+input; what a group could not fill well is carried on to the next. What a task has left over at its end (less than KEPT
+windows) is not padded there: the pieces, without texts, are written out, and the left ones of all tasks are pooled in groups
+of POOL_TOKENS and packed by the same method. So padding doesn't depend on the number of tasks; only the last window of a
+pooled group has more than bin slack leaves.
+
+Null text: empty, its document is the end id alone. Repeated rows, repeated and null ids are packed each row by itself; rows that
+are equal have equal pieces in different places. Of multisets that come equally close the one with the longest pieces is taken.
+Control strings of the tokenizer inside a text are ordinary text there, as its file's description advises.
 """
 
 from __future__ import annotations
@@ -19,11 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import pieces, texts
+from .common import pieces, texts, written
 
 GROUP_TOKENS = 2_000_000
+POOL_TOKENS = 500_000
+#: Windows' worth of pieces that are kept back while more may come.
+KEPT = 32
 
 
 def fill(lengths: dict[int, int], capacity: int) -> dict[int, int]:
@@ -61,7 +71,7 @@ class Packer:
         self.left += length
 
     def windows(self, last: bool = False) -> Iterator[list[tuple[int, object]]]:
-        while self.left and (last or self.left >= 32 * self.window):
+        while self.left and (last or self.left >= KEPT * self.window):
             lengths = {n: len(x) for n, x in self.open.items()}
             first = max(lengths)
             lengths[first] -= 1
@@ -76,51 +86,80 @@ class Packer:
             yield out
 
 
+FIELDS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def _rows(sequences: Iterator[list[tuple[int, tuple]]], base: int) -> Iterator[list[tuple]]:
+    """Rows (the piece, sequence_id, offset) of numbered sequences, some thousands at once."""
+    rows: list[tuple] = []
+    for k, members in enumerate(sequences):
+        offset = 0
+        for length, piece in members:
+            rows.append((*piece, base + k, offset))
+            offset += length
+        if len(rows) >= 10_000:
+            yield rows
+            rows = []
+    yield rows
+
+
 def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, more: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and with more, ids).
 
-    sequence_id: the task's number in the upper bits, so it is the same when a lost task runs again on its split.
+    sequence_id: the task's number in the upper bits (above bit 62: of a pooled group), so it is the same when a lost task runs again.
     """
-    fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    source = texts(docs)
+    kind = source.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *FIELDS, *["ids"] * more]
+    schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in FIELDS) + ", ids array<long>" * more
+
+    def table(rows: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
+        """Of tuples doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset."""
+        doc, *numbers, ids, sequence, offset = zip(*rows, strict=True) if rows else [()] * 8
+        arrays = [pa.array(doc, doc_type), *(pa.array(c, pa.int64()) for c in (*numbers, sequence, offset))]
+        if more:
+            arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, base, done = Packer(window), TaskContext.get().partitionId() << 32, 0
-        own = encoder(path)
-
-        def emit(sequences: Iterator[list[tuple[int, tuple]]]) -> Iterator[pa.RecordBatch]:
-            nonlocal done
-            rows: list[tuple] = []
-            for members in sequences:
-                offset = 0
-                for length, (doc, start, total, crc, ids) in members:
-                    rows.append((doc, start, length, crc, total, base + done, offset, ids))
-                    offset += length
-                done += 1
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                arrays = [pa.array([x.as_py() for x in columns[0]], doc_type), *(pa.array(c, t) for c, (_, t) in zip(columns[1:7], fields, strict=True))]
-                if more:
-                    arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in columns[7]], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(n for n, _ in fields), *["ids"] * more])
-
-        doc_type, tokens, full = None, 0, []
+        own, tokens, full, doc_type = encoder(path), 0, [], None
         for batch in pieces(batches, 4 << 20):
             doc_type = batch.column("doc_id").type
-            for doc, ids in zip(batch.column("doc_id"), own.encode(batch.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist()), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 tokens += len(ids)
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window].tobytes()
-                    piece = (doc, start, len(ids), zlib.crc32(part), part if more else None)
-                    if len(part) == 4 * window:
-                        full.append([(window, piece)])
+                    n = len(part) // 4
+                    piece = (doc, start, n, zlib.crc32(part), len(ids), part if more else None)
+                    if n == window:
+                        full.append([(n, piece)])
                     else:
-                        packer.add(len(part) // 4, piece)
+                        packer.add(n, piece)
             if tokens >= GROUP_TOKENS:
-                yield from emit([*full, *packer.windows()])
-                tokens, full = 0, []
-        yield from emit([*full, *packer.windows(last=True)])
-
-    source = texts(docs)
-    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n, _ in fields) + ", ids array<long>" * more
-    return source.mapInArrow(run, schema)
+                filled = [*full, *packer.windows()]
+                for rows in _rows(iter(filled), base + done):
+                    yield table(rows, doc_type)
+                done, tokens, full = done + len(filled), 0, []
+        if doc_type is not None:
+            filled = [*full, *packer.windows()]
+            for rows in _rows(iter(filled), base + done):
+                yield table(rows, doc_type)
+            yield table([(*piece, None, None) for own in packer.open.values() for piece in own], doc_type)
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, base, doc_type = Packer(window), 1 << 62 | TaskContext.get().partitionId() << 32, None
+        for batch in batches:
+            doc_type = batch.column("doc_id").type
+            ids = [np.array(x, "<u4").tobytes() for x in batch.column("ids").to_pylist()] if more else [None] * batch.num_rows
+            for *piece, part in zip(*(batch.column(c).to_pylist() for c in ["doc_id", *FIELDS[:4]]), ids, strict=True):
+                packer.add(piece[2], (*piece, part))
+        if doc_type is not None:
+            for rows in _rows(packer.windows(last=True), base):
+                yield table(rows, doc_type)
+
+    found = written(source.mapInArrow(first, schema), "packed")
+    left = found.where("sequence_id is null")
+    groups = -(-(left.agg(F.sum("length")).first()[0] or 0) // POOL_TOKENS)
+    return found.where("sequence_id is not null").union(left.repartition(max(1, groups)).mapInArrow(pooled, schema))
