@@ -354,7 +354,23 @@ def test_toxicity_held_out(spark):
     index = toxicity.train(docs, labels.where(~toxicity.held_out()))
     rows = toxicity.score(docs, index).join(labels.where(toxicity.held_out()), "doc_id").collect()
     bad, good = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
-    assert sum(bad) >= 0.85 * len(bad) and sum(good) <= 0.02 * len(good)
+    assert sum(bad) >= 0.92 * len(bad) and sum(good) <= 0.005 * len(good)
+    # one telling word in a long clean text is outweighed
+    word = max((t for t in index.vocabulary if not t.startswith(b"^")), key=lambda t: index.idf[index.vocabulary[t]]).decode()
+    clean = " ".join(r.text for r in docs.join(labels.where("toxic = 0 and quality = 1"), "doc_id").where("lang = 'en'").orderBy("doc_id").limit(60).collect())
+    assert index.score(f"{clean} {word}")[0] < 0.5
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(i, f"fine words here {i % 7} and more", 0) for i in range(60)] + [(100 + i, f"vile nasty vile {i % 5} words", 1) for i in range(30)]
+    docs, labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, x) for i, _, x in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    index = toxicity.train(docs.union(docs), labels)
+    assert len(index.ids) == 90  # one of each id
+    odd = spark.createDataFrame([(None, "vile nasty"), (1, None), (1, ""), (1, "vile nasty vile"), (1, "vile nasty vile"), (2, "fine words here"), (3, "unseen")], "doc_id long, text string").selectExpr("*", "1 AS label", "2 AS score", "3 AS evidence")
+    got = [(r.doc_id, r.predicted, r.evidence) for r in toxicity.score(odd, index).collect()]
+    assert [p for _, p, _ in got] == [1, 0, 0, 1, 1, 0, 0] and got[3] == got[4]
+    assert got[3][2] == sorted(got[3][2]) and not got[1][2]  # equally near: by id
+    assert [r[0] for r in odd.select(toxicity.held_out()).collect()][0] is False
 
 
 def test_nearest_is_exact():
@@ -366,6 +382,7 @@ def test_nearest_is_exact():
         t = np.sort(rng.choice(40, rng.integers(0, 8), replace=False))
         w = rng.random(len(t)) + 0.1
         rows.append((t, w / np.sqrt(w @ w) if len(t) else w))
+    rows[200:240] = rows[:40]  # ties
     index = toxicity.Index({bytes([i]): i for i in range(40)}, np.ones(40), rows, rng.integers(0, 2, 500), np.arange(500))
     dense = np.zeros((500, 40))
     for i, (t, w) in enumerate(rows):
@@ -375,6 +392,8 @@ def test_nearest_is_exact():
         q = np.zeros(40)
         q[t] = w
         want = np.sort(dense @ q)[::-1][:15]
+        order = np.lexsort((np.arange(500), -np.round(dense @ q, 12)))[: len(near)]
+        assert sorted(near[np.round(cosine, 9) > np.round(cosine[-1:], 9)]) == sorted(order[np.round(cosine, 9) > np.round(cosine[-1:], 9)])
         assert np.allclose(cosine, want[want > 1e-12][: len(cosine)]) and len(cosine) == min(15, int((want > 1e-12).sum()))
 
 

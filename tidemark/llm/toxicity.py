@@ -1,12 +1,16 @@
 """Toxicity from the nearest labelled examples.
 
-A bounded sample of labelled rows (those with the smallest hash of their id) gives the terms (words, and word beginnings of
-four and five bytes, that go with the label: z score and share of toxic rows among theirs) and the examples: TF-IDF vectors over
-these terms. Examples are kept as an inverted index with, for each term and block of examples, the largest weight. A text's
-nearest examples by cosine are exact: blocks are taken by the bound that these weights give, until no other block can hold a
-nearer one. The vote is weighted by nearness; its calibration (Platt) is made with each example scored by the others.
-
-Null or empty text, and text with none of the terms, has no neighbours: its vote is 0. Only the text is used for a score.
+A bounded sample of labelled rows (those with the smallest hash of their id) gives the examples: TF-IDF vectors over all terms that
+they have (words, and word beginnings of four and five bytes). A term's IDF is raised by what the label says of it: a cautious
+logarithm of how much more often toxic examples have it than others (0 for most terms), so that a few telling words weigh as much
+as the subject of a text. Examples are kept as an inverted index with, for each term and block of examples, the largest weight. A
+text's nearest examples by cosine are exact: blocks are taken by the bound that these weights give, until no other block can hold
+a nearer one. The vote is weighted by nearness; its calibration (Platt) is made with each example scored by the others.
+
+Null or empty text, and text with none of the terms, has no neighbours: its vote is 0. Only the text is used for a score. Of equally
+near examples those with smaller ids count. Repeated rows, repeated and null ids are scored each row by itself; of labelled rows with
+equal ids the greatest label and the smallest text count. An id of null is not held out. The index goes to all tasks; its size is
+bounded by `bound` and the examples' distinct terms.
 """
 
 from __future__ import annotations
@@ -17,16 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, texts
-from .quality import _platt
+from .quality import _platt, labelled
 
 BLOCK = 64
 NEIGHBOURS = 15
 #: A weak pull of the vote towards 0, as of a neighbour with this nearness.
 CALM = 0.25
+#: What the IDF of a term counts that toxic examples have no more often than others.
+BASE = 0.5
 _CLEAN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -40,23 +46,32 @@ def terms(text: str) -> Counter:
     return out
 
 
+def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, one range after another, and for each which range it is of."""
+    n = end - begin
+    upto = np.cumsum(n)
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(int(upto[-1]) if len(n) else 0) + (begin - upto + n)[owner], owner
+
+
 class Index:
-    """Examples by term, with the largest weight in each block of examples."""
+    """Examples by term, with the largest weight in each block of examples that a term occurs in."""
 
     def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray):
         self.vocabulary, self.idf, self.labels, self.ids = vocabulary, idf, labels, ids
         self.blocks = max(1, -(-len(rows) // BLOCK))
-        term = np.concatenate([t for t, _ in rows]) if rows else np.empty(0, np.int64)
+        term = np.concatenate([t for t, _ in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
         weight = np.concatenate([w for _, w in rows]) if rows else np.empty(0)
         row = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
         order = np.lexsort((row, term))
-        self.row, self.weight = row[order], weight[order]
+        self.row, self.weight = row[order].astype(np.int32), weight[order].astype(np.float32)
         cell = term[order] * self.blocks + self.row // BLOCK
-        #: Postings of term t in block b: from bound[t * blocks + b] to the next.
-        self.bound = np.searchsorted(cell, np.arange(len(vocabulary) * self.blocks + 1))
-        self.most = np.zeros(len(vocabulary) * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(vocabulary), self.blocks)
+        begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
+        #: Cells are blocks that have a term, in order of terms: postings begin[c] to begin[c + 1], the largest weight, the block.
+        self.begin = np.append(begin, len(cell)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.empty(0)
+        self.block = (cell[begin] % self.blocks).astype(np.int32)
+        self.of_term = np.searchsorted(cell[begin] // self.blocks, np.arange(len(vocabulary) + 1))
         self.slope, self.shift = 1.0, 0.0
 
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -67,26 +82,25 @@ class Index:
         w = (1 + np.log([n for _, n in own])) * self.idf[t]
         return t, w / math.sqrt(w @ w)
 
-    def _scored(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray, score: np.ndarray) -> None:
-        for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-            a, b = self.bound[term * self.blocks + blocks], self.bound[term * self.blocks + blocks + 1]
-            n = b - a
-            at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            score[self.row[at]] += weight * self.weight[at]
-
     def nearest(self, t: np.ndarray, w: np.ndarray, without: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest (ties: the smaller place), fewer if fewer have a term in common."""
         if not len(t):
             return np.empty(0, np.int64), np.empty(0)
-        most = w @ self.most[t]
+        cells, owner = ranges(self.of_term[t], self.of_term[t + 1])
+        block, begin, weight = self.block[cells], self.begin[cells], w[owner]
+        end = self.begin[cells + 1]
+        most = np.bincount(block, weight * self.most[cells], self.blocks)
         order = np.argsort(-most, kind="stable")
         order = order[most[order] > 0]
-        score = np.zeros(self.blocks * BLOCK)
+        score, taken = np.zeros(self.blocks * BLOCK), np.zeros(self.blocks, dtype=bool)
         done, step, kth = 0, 8, 0.0
         while done < len(order) and most[order[done]] >= kth - 1e-12:
-            now = order[done : done + step]
-            self._scored(t, w, now, score)
-            done, step = done + len(now), step * 4
+            taken[:] = False
+            taken[order[done : done + step]] = True
+            now = np.flatnonzero(taken[block])
+            at, of = ranges(begin[now], end[now])
+            score += np.bincount(self.row[at], weight[now][of] * self.weight[at], len(score))
+            done, step = done + step, step * 4
             if without >= 0:
                 score[without] = 0
             kth = np.partition(score, -k)[-k] if len(score) >= k else 0.0
@@ -108,47 +122,34 @@ class Index:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * self.vote(near, cosine) + self.shift)))), near
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 6000, most_terms: int = 4096, least_rows: int = 5, least_z: float = 5.0, least_share: float = 0.5) -> Index | None:
-    """An index of at most bound examples and most_terms terms; labels: doc_id, toxic. Null without rows of both classes."""
-    own = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = texts(docs).join(own, "doc_id").select("doc_id", "label", "text").persist()
+def train(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> Index | None:
+    """An index of at most bound examples; labels: doc_id, toxic. Null without rows of both classes."""
+    rows = labelled(docs, labels, "toxic", bound).select(F.col("doc_id").cast("long"), "text", (F.col("label") > 0).cast("int").alias("label"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_, toxic = Counter(), Counter()
-        for batch in batches:
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = terms(text).keys()
-                all_.update(found)
-                if label:
-                    toxic.update(found)
-        if all_:
-            keys = list(all_)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([all_[k] for k in keys], pa.int64()), pa.array([toxic[k] for k in keys], pa.int64())], ["term", "n", "toxic"])
-
-    n, bad = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+        for batch in pieces(batches, 1 << 20):
+            found = [terms(text) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([list(f) for f in found], pa.list_(pa.binary())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["doc_id", "label", "term", "n"])
+
+    got = rows.mapInArrow(counted, "doc_id long, label int, term array<binary>, n array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    label = got["label"].to_numpy()
+    n, bad = len(label), int(label.sum())
     if not 0 < bad < n:
-        rows.unpersist()
         return None
-    p = bad / n
-    z = (F.col("toxic") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-    sums = rows.mapInArrow(counted, "term binary, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    chosen = sums.where((F.col("n") >= least_rows) & (z >= least_z) & (F.col("toxic") >= F.col("n") * least_share)).orderBy(z.desc(), "term").limit(most_terms).select("term", "n").collect()
-    vocabulary = {bytes(r["term"]): i for i, r in enumerate(chosen)}
-    idf = np.array([math.log((n + 1) / (r["n"] + 1)) + 1 for r in chosen])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [{vocabulary[t]: c for t, c in terms(text).items() if t in vocabulary} for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([list(f) for f in found], pa.list_(pa.int64())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["doc_id", "label", "t", "c"])
-
-    got = rows.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(vectors, "doc_id long, label int, t array<long>, c array<long>").toArrow().sort_by("doc_id").to_pylist()
-    rows.unpersist()
-    examples = []
-    for r in got:
-        t = np.array(r["t"], dtype=np.int64)
-        w = (1 + np.log(np.array(r["c"], dtype=float))) * idf[t] if len(t) else np.empty(0)
-        examples.append((t, w / math.sqrt(w @ w) if len(t) else w))
-    index = Index(vocabulary, idf, examples, np.array([r["label"] for r in got]), np.array([r["doc_id"] for r in got]))
+    column, counts = got["term"].combine_chunks(), got["n"].combine_chunks().flatten().to_numpy()
+    size = np.diff(column.offsets.to_numpy())
+    coded = column.flatten().dictionary_encode()
+    names, term = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(n), size)
+    df, toxic = np.bincount(term, minlength=len(names)), np.bincount(term, label[row], len(names))
+    # the least that toxic counts may stand for, against the others'
+    odds = np.log((np.maximum(toxic - 1.5 * np.sqrt(toxic), 0) + 0.1) / (df - toxic + 0.5) * ((n - bad) / bad))
+    idf = (np.log((n + 1) / (df + 1)) + 1) * (BASE + np.maximum(odds, 0))
+    weight = (1 + np.log(counts)) * idf[term]
+    weight = weight / np.sqrt(np.bincount(row, weight * weight, n))[row]
+    edge = np.concatenate([[0], np.cumsum(size)])
+    examples = [(term[a:b], weight[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
+    index = Index({t: i for i, t in enumerate(names)}, idf, examples, label, got["doc_id"].to_numpy())
     index.calibrate(examples)
     return index
 
@@ -167,5 +168,5 @@ def score(docs: DataFrame, index: Index | None, evidence: int = 3) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double, predicted int, evidence array<long>")
 
 
-def held_out(doc_id="doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
