@@ -49,12 +49,13 @@ def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def chunk_rows(pages: DataFrame, revisits: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """key, row (a number of the row), chunk_no, data and what the record's header needs."""
+    """key, row (a number of the row), chunk_no, data and what the record's header needs, dealt out by key. Payloads are cut before
+    they are moved, so that no exchange or join has a row larger than a chunk."""
     source = _described(pages).withColumn("row", F.monotonically_increasing_id())
-    held = source.join(revisits, "key", "left").withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk).cast("int"))
-    cut = held.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n - 1)))
-    return cut.select("key", "row", "chunk_no", "url", "payload_bytes", "payload_digest", "refers_to", F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
+    cut = source.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("data", F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk))).drop("payload")
+    held = cut.repartition(partitions(pages.sparkSession), "key").join(revisits, "key", "left").where(F.col("refers_to").isNull() | (F.col("chunk_no") == 0))
+    return held.select("key", "row", "chunk_no", "url", "payload_bytes", "payload_digest", "refers_to", F.when(F.col("refers_to").isNull(), F.col("data")).otherwise(F.lit(b"")).alias("data"))
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -74,13 +75,13 @@ def _header(row: dict, repeat: int) -> bytes:
 
 
 def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
-    """Writes one archive for each partition; gives the manifest: path, records, bytes."""
+    """Writes one archive for each partition of chunk rows that are dealt out by key; gives the manifest: path, records, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _store(folder)
         path, out, records, member, last, repeat = f"{top}/{uuid.uuid4().hex}.warc.gz", None, 0, None, None, 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for k in range(0, batch.num_rows, 32) for r in batch.slice(k, 32).to_pylist()):
                 if out is None:
                     store.create_dir(top, recursive=True)
                     out = store.open_output_stream(path, compression=None)
@@ -99,8 +100,7 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64()), pa.array([store.get_file_info(path).size], pa.int64())], ["path", "records", "bytes"])
 
-    placed = chunks.repartition(partitions(chunks.sparkSession), "key").sortWithinPartitions("key", "row", "chunk_no")
-    return placed.mapInArrow(run, "path string, records long, bytes long")
+    return chunks.sortWithinPartitions("key", "row", "chunk_no").mapInArrow(run, "path string, records long, bytes long")
 
 
 def _members(stream: pa.NativeFile, chunk: int) -> Iterator[tuple[dict | None, bytes]]:
