@@ -26,6 +26,8 @@ COMMON = {
     "es": "al como con de del el en es la las lo los no para por que se su un una y".split(),
 }
 CHAIN = 3
+#: Ranges of ids at most: their bounds stand in the plan.
+MOST_RANGES = 4000
 _BREAKS = ".,;:!?|()\"'\n\r\t\f\v*#$%&<>=/"
 
 
@@ -69,8 +71,9 @@ def _bucket(key: Column, bounds: list) -> Column:
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, text and bucket, own, so that within a bucket, ordered by ("wraps", "doc_id", "text"), each own row is followed
     by its next document. Ids are cut into ranges; each range also holds the first row of the next (of the first, at the end)."""
-    parts = parts or partitions(docs.sparkSession)
     source = texts(docs)
+    # more ranges than tasks: adaptive execution joins small ones by their bytes, so that long texts side by side stay apart
+    parts = parts or min(MOST_RANGES, 4 * max(partitions(docs.sparkSession), source.rdd.getNumPartitions()))
     asked = [i / parts for i in range(1, parts)]
     bounds = source.agg(F.percentile_approx("doc_id", asked, 10_000).alias("b")).first()["b"] if asked else []
     placed = source.withColumn("bucket", F.coalesce(_bucket(F.col("doc_id"), sorted(set(bounds or []))), F.lit(0)))
