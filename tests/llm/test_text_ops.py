@@ -229,6 +229,17 @@ def test_ngram_join(docs, table):
     assert {r.doc_id for r in ngramjoin.keep_first(docs).collect()} == first
 
 
+def test_ngram_join_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b), (9, f"{b} more"), (None, a), (None, c), (2, None), (2, "")]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node int, first int").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngramjoin.join(df).collect())
+    assert got == sorted([("1", 36, 1), ("5", 36, 1), ("5", 36, 5), ("5", 36, 5), ("9", 37, 5), ("None", 36, None), ("None", 36, None), ("2", 0, 2), ("2", 0, 2)], key=lambda r: (r[0], r[1], r[2] or 0))
+    left = ngramjoin.keep_first(df)
+    assert left.columns == df.columns
+    assert sorted(((str(r.doc_id), r.text) for r in left.collect()), key=str) == sorted([("1", a), ("5", b), ("None", a), ("None", c), ("2", None), ("2", "")], key=str)
+
+
 def test_ngram_join_random(spark):
     rng = random.Random(11)
     rows = []
@@ -478,6 +489,27 @@ def test_spotsigs(docs, table):
     assert {(r.a, r.b) for r in pairs.collect()} == want
 
 
+def _signatures(text):
+    """A plain version: the chains themselves in place of their hashes."""
+    common = {w for words in spotsigs.COMMON.values() for w in words}
+    words = [w for w in text.lower().translate({ord(c): " " for c in spotsigs._BREAKS}).split(" ") if w]
+    content = [(w, i > 0 and words[i - 1] in common) for i, w in enumerate(words) if w not in common]
+    if len(content) < spotsigs.CHAIN:
+        return {("short", *words)} if words else set()
+    chains = [(tuple(w for w, _ in content[i : i + spotsigs.CHAIN]), content[i][1]) for i in range(len(content) - spotsigs.CHAIN + 1)]
+    return {c for c, anchored in chains if anchored} or {c for c, _ in chains}
+
+
+def test_spotsigs_against_plain_sets(docs, table):
+    got, order = by_id(spotsigs.fingerprints(docs)), sorted(table)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, d in enumerate(order):
+        text, after = table[d] or "", table[order[(i + 1) % len(order)]] or ""
+        own, edited = _signatures(text), _signatures(text[: len(text) - len(text) // 4] + after[: len(text) // 4])
+        assert (int(got[d].fingerprint.split(":")[0]), int(got[d].edited_fingerprint.split(":")[0])) == (len(own), len(edited))
+        assert got[d].near_edited == pytest.approx(like(own, edited)) and got[d].near_next == pytest.approx(like(own, _signatures(after)))
+
+
 def test_spotsigs_short_and_long_texts(spark):
     long = " ".join(f"the w{i}" for i in range(400))
     texts = ["apple", "pear", "the apple", "apple", "  ", "", long, long.replace("w200", "other")]

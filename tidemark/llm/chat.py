@@ -6,7 +6,8 @@ look-ahead. Rendered turns are parsed again and compared with their source; one
 that holds a control string, is escaped: first where a control string or backslash stands, then, should that not do, at
 every character that any control string has. All of it is JVM expressions.
 
-Null text, role: empty. Null conversation ids form one conversation. Turns with equal numbers are ordered by role and text,
+Null text, role: empty. Null conversation ids form one conversation. A conversation, that one too, is one row of the result, so its
+turns meet in one task. Turns with equal numbers are ordered by role and text,
 null numbers come first. An empty table gives an empty table.
 """
 

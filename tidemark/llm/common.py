@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -32,23 +33,42 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether two rows have one id. Ids alone are counted; texts aren't read."""
+    return docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+
+
 def sha256(column: Column) -> Column:
     return F.sha2(F.encode(column, "UTF-8"), 256)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster share; only where none is set (tests) a local one is chosen."""
+    """The folder that all machines of the cluster share. One machine that has none set, as in tests, takes a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or "/tmp/checkpoints").rstrip("/")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    return (found or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
+
+
+_written: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: cuts lineage and survives lost executors."""
+    """df as a table written to the shared folder: cuts lineage and survives lost executors. It stays until clear()."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, keep: list[str]) -> None:
+    """Deletes the tables that written() has made in this process, but those whose files are in keep (DataFrame.inputFiles)."""
+    for path in [p for p in _written if not any(p.rsplit("/", 1)[1] in k for k in keep)]:
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+        _written.remove(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -12,8 +12,9 @@ are compared that the bounds don't rule out. So no link between different compon
 lost, and a group of like documents doesn't give all its pairs. Components come from alternating stars
 on tables written to the shared folder.
 
-Null or empty texts have no n-grams and are linked with nothing. Texts with fewer words than n have one n-gram, the whole.
-Rows with equal ids are one document that has all their links; null ids are linked with nothing.
+Null or empty texts have no n-grams and are linked with nothing. Texts with fewer words than n have one n-gram, the whole. Rows are
+known by their ids; where ids repeat, each row is a document of its own with a number of its own, and a group's component_id is
+the smallest id of its rows. Null ids are linked with nothing.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PLACES, mixed, ngram_hashes, partitions, pieces, texts, word_hashes, written
+from .common import PLACES, ids_repeat, mixed, ngram_hashes, partitions, pieces, texts, unused, word_hashes, written
 
 #: Similarity in hundredths.
 PERCENT = 75
@@ -253,15 +254,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (the smallest node reached) of all nodes that have links (a, b)."""
+def components(links: DataFrame) -> DataFrame:
+    """node, component (the smallest node reached) of all nodes that have links (a, b): rounds until nothing changes, which alternating
+    stars take about as many of as the logarithm of the largest component's size."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
     before = state(edges)
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -274,7 +276,6 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = after
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _to_hubs(entries: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -346,12 +347,35 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that is reached by links, the document's own included."""
+    if not ids_repeat(docs):
+        return _joined(docs, n, percent)
+    return _by_number(_numbered(docs.select("doc_id", "text"), "node"), "node", n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _numbered(docs: DataFrame, node: str) -> DataFrame:
+    """docs with a number for each row, as a written table, so that the numbers stay."""
+    return written(docs.withColumn(node, F.monotonically_increasing_id()), "numbered")
+
+
+def _by_number(numbered: DataFrame, node: str, n: int, percent: int) -> DataFrame:
+    """node, doc_id, n_shingles, component_id, first (the number of a group's row that has its smallest id)."""
+    own = numbered.select(F.col(node).alias("node"), F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNotNull(), F.col(node)).alias("doc_id"), "text")
+    found = _joined(own, n, percent).where("doc_id is not null").select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("part"))
+    ids = own.select("node", "id").join(found, "node").select("node", "id", "n_shingles", "part")
+    least = ids.groupBy("part").agg(F.min(F.struct("id", "node")).alias("least"))
+    done = ids.join(least, "part").select("node", F.col("id").alias("doc_id"), "n_shingles", F.col("least.id").alias("component_id"), F.col("least.node").alias("first"))
+    rest = own.where("id is null").select("node", "id", "text")
+    null = _profile(rest.select(F.col("node").alias("doc_id"), "text"), n).where("digest is not null").select(F.col("doc_id").alias("node"), F.lit(None).cast(own.schema["id"].dataType).alias("doc_id"), "n_shingles", F.lit(None).cast(own.schema["id"].dataType).alias("component_id"), F.col("doc_id").alias("first"))
+    return done.unionByName(null)
+
+
+def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     profile = written(_profile(docs, n), "profile")
     sums = profile.where("token is not null").groupBy("token").agg(F.sum("found").alias("found")).where("found >= 64")
     rows = sums.orderBy(F.desc("found"), "token").limit(FREQUENT).select("token").toArrow()  # bounded by FREQUENT
     frequent = np.sort(rows["token"].to_numpy().astype(np.int64).view(np.uint64))
-    blocks = partitions(spark)
+    blocks = max(partitions(spark), 2 * docs.rdd.getNumPartitions())  # a block's size does not grow with the input
     found = written(_product(_incidence(docs, frequent, n, percent, blocks).repartition(blocks, "block"), percent), "pairs")
     sums = found.where("size_a >= 0").groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("shared").alias("shared"), F.sum("star").alias("star"))
     pairs = written(sums, "pairs")
@@ -378,6 +402,11 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """All columns of docs; of each group of linked documents that with the smallest id stays. Null ids stay."""
-    gone = join(docs, n, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """All columns of docs; of each group of linked documents that with the smallest id stays, one row of it. Null ids stay."""
+    if not ids_repeat(docs):
+        gone = join(docs, n, percent).where("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    node = unused(docs.columns, "node")
+    own = _numbered(docs, node)
+    stays = _by_number(own, node, n, percent).where("first = node").select(F.col("node").alias(node))
+    return own.join(stays, node, "left_semi").select(*docs.columns)

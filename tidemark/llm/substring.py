@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ngram_hashes, partitions, pieces, texts, unused, word_hashes, written
+from .common import ids_repeat, ngram_hashes, partitions, pieces, texts, unused, word_hashes, written
 
 GRAM = 8
 WINDOW = 20
@@ -230,9 +230,8 @@ def _batch(*columns: tuple[str, list, pa.DataType]) -> pa.RecordBatch:
 def keyed(docs: DataFrame, doc: str, twin: str) -> DataFrame:
     """docs and, in two columns that are never null, what a row is known by: its id, and a hash of its text where ids repeat (0
     where none does; NOBODY for rows without an id). Ids alone are counted for this, texts aren't moved."""
-    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own: Column = F.xxhash64(text).bitwiseOR(F.lit(1)) if again else F.lit(0).cast("long")
+    own: Column = F.xxhash64(text).bitwiseOR(F.lit(1)) if ids_repeat(docs) else F.lit(0).cast("long")
     return docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), twin: F.when(F.col("doc_id").isNull(), F.lit(NOBODY).cast("long")).otherwise(own)})
 
 
