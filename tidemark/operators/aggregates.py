@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prefix
+from .relational import small
+
 #: The field sets of offers that statistics are made for. Fixed values.
 FIELD_SETS = [("category",), ("company",), ("brand",), ("company", "brand"), ("company", "category"), ("brand", "category"), ("category", "company", "brand")]
 SPANS = [7, 30, 60, 180]
@@ -180,9 +183,10 @@ def missing_totals(df: DataFrame) -> DataFrame:
 
 def impute_constants(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column_name, mean, median (exact), mode (smallest of the most frequent)."""
-    one = df.agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}__mean"), F.median(c).alias(f"{c}__median"), F.mode(F.col(c), True).cast("double").alias(f"{c}__mode"))])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}__{k}").alias(k) for k in ("mean", "median", "mode")]) for c in columns])
-    return one.select(F.inline(rows))
+    held = prefix.long_form(df, columns)
+    means = held.groupBy("name").agg(F.avg("value").alias("mean"))
+    medians = prefix.percentiles(held, "value", [0.5], ["name"]).select("name", F.col("p")[0].alias("median"))
+    return means.join(medians, "name").join(prefix.most_frequent(held, "value", ["name"]), "name").withColumnRenamed("name", "column_name")
 
 
 def rate_table(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
@@ -192,8 +196,8 @@ def rate_table(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
 
 def group_median_fill(df: DataFrame, column: str, group: str) -> DataFrame:
     """Missing values become the median of their group."""
-    medians = df.groupBy(group).agg(F.median(column).alias("__m"))
-    return df.join(medians, group, "left").withColumn(column, F.coalesce(column, "__m")).drop("__m")
+    medians = prefix.percentiles(df, column, [0.5], [group]).select(group, F.col("p")[0].alias("__m"))
+    return df.join(small(medians), group, "left").withColumn(column, F.coalesce(column, "__m")).drop("__m")
 
 
 def range_compare(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -217,7 +221,7 @@ def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int, by: S
 
 def percentiles(df: DataFrame, column: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact percentiles by linear interpolation, one column for each (p0_1 for 0.1)."""
-    p = df.groupBy(*by).agg(F.percentile(column, [x / 100 for x in at]).alias("p"))
+    p = prefix.percentiles(df, column, [x / 100 for x in at], by)
     return p.select(*by, *[F.col("p")[i].alias(f"p{str(x).replace('.', '_')}") for i, x in enumerate(at)])
 
 

@@ -1,24 +1,30 @@
 """Running sums over a whole table without a window in one task, and what is made of them.
 
 The table is cut into key ranges; sums by range are few rows, whose running total is joined back, and a window within
-each range does the rest. So ranks, distribution functions, Lorenz curves, ROC curves and AUC hold at any size.
+each range does the rest. A value so frequent that it is a cut itself has a range of its own, which is cut again by the first
+tie column. So ranks, distribution functions, order statistics, Lorenz curves, ROC curves and AUC hold at any size and skew.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from .relational import small
 
-def ranges(df: DataFrame, order: str, parts: int | None = None) -> list:
-    """At most parts - 1 cut points of a numeric column: as many as there are partitions, whatever the input's size."""
+
+def ranges(df: DataFrame, order: str, parts: int | None = None) -> tuple[list, list]:
+    """At most parts - 1 cut points of a numeric column, as many as there are partitions, whatever the input's size; and those of
+    them that are values with more rows than a range should have."""
     parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if parts < 2:
-        return []
-    found = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"]
-    return sorted(set(found or []))
+        return [], []
+    found = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"] or []
+    return sorted(set(found)), sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
 
 
 def _range_of(key: Column, cuts: list, lo: int = 0, hi: int | None = None) -> Column:
@@ -30,20 +36,61 @@ def _range_of(key: Column, cuts: list, lo: int = 0, hi: int | None = None) -> Co
     return F.when(key >= F.lit(cuts[mid]), _range_of(key, cuts, mid + 1, hi)).otherwise(_range_of(key, cuts, lo, mid))
 
 
-def global_prefix_sum(df: DataFrame, order: str, columns: Sequence[str], descending: bool = False, tie: Sequence[str] = (), cuts: list | None = None) -> DataFrame:
-    """df with before_<c> for each column: the sum of c over all rows that come before by (order, tie)."""
-    cuts = ranges(df, order) if cuts is None else cuts
+def global_prefix_sum(df: DataFrame, order: str, columns: Sequence[str], descending: bool = False, tie: Sequence[str] = (), cuts: list | None = None, by: Sequence[str] = (), totals: bool = False) -> DataFrame:
+    """df with before_<c> for each column: the sum of c over all rows (of the same group, with by) that come before by (order, tie);
+    with totals also total_<c>, the sum over all of them. Groups may be few and large: they are cut into the same ranges."""
+    cuts, heavy = ranges(df, order) if cuts is None else (cuts, [])
     part = _range_of(F.col(order), cuts)
-    held = df.withColumn("__part", -part if descending else part)
-    sums = held.groupBy("__part").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"__s_{c}") for c in columns])
-    # one row for each range, so this window is over a bounded table
-    upto = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__part", *[F.coalesce(F.sum(f"__s_{c}").over(upto), F.lit(0)).alias(f"__s_{c}") for c in columns])
+    if heavy:
+        single = F.coalesce(F.col(order).isin(heavy), F.lit(False))  # all rows of the range have one value
+        part = 2 * part - single.cast("int")
+    if descending:
+        part = -part
+    if heavy and tie and isinstance(df.schema[tie[0]].dataType, NumericType):
+        within, _ = ranges(df.where(single), tie[0])
+        part = part * (len(within) + 1) + F.when(single, _range_of(F.col(tie[0]), within)).otherwise(0)
+    held = df
+    held = held.withColumn("__part", part.cast("long"))
+    sums = held.groupBy(*by, "__part").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"__s_{c}") for c in columns])
+    # a group has a row for each range, so these windows are over few rows
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    upto = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "__part", *[F.coalesce(F.sum(f"__s_{c}").over(upto), F.lit(0)).alias(f"__b_{c}") for c in columns], *([F.sum(f"__s_{c}").over(group).alias(f"total_{c}") for c in columns] if totals else []))
     key = F.col(order).desc() if descending else F.col(order).asc()
-    own = Window.partitionBy("__part").orderBy(key, *tie).rowsBetween(Window.unboundedPreceding, -1)
-    out = held.join(F.broadcast(sums), "__part")
-    out = out.withColumns({f"before_{c}": F.col(f"__s_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0)) for c in columns})
-    return out.drop("__part", *[f"__s_{c}" for c in columns])
+    own = Window.partitionBy(*by, "__part").orderBy(key, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    out = held.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(own), F.lit(0)) for c in columns})
+    same = reduce(lambda a, b: a & b, [F.col(f"h.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*by, "__part"]])
+    out = out.alias("h").join((small(sums) if by else F.broadcast(sums)).alias("s"), same)
+    kept = [f"h.`{c}`" for c in df.columns]
+    return out.select(*kept, *[(F.col(f"h.before_{c}") + F.col(f"s.__b_{c}")).alias(f"before_{c}") for c in columns], *([f"s.total_{c}" for c in columns] if totals else []))
+
+
+def percentiles(df: DataFrame, column: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """by, and p: array of exact percentiles (at: 0 to 1) by linear interpolation, null without values. Values are counted, and
+    the counts' running sums tell which value stands at a place; no task holds all values of a group."""
+    counts = df.select(*by, F.col(column).cast("double").alias("__v")).groupBy(*by, "__v").agg(F.count("__v").alias("n"))
+    run = global_prefix_sum(counts.where(F.col("__v").isNotNull()), "__v", ["n"], by=by, totals=True)
+    place = [F.lit(float(x)) * (F.col("total_n") - 1) for x in at]
+    value = lambda i: F.max(F.when((F.col("before_n") <= i) & (i < F.col("before_n") + F.col("n")), F.col("__v")))
+    one = run.groupBy(*by).agg(*[x for k, q in enumerate(place) for x in (value(F.floor(q)).alias(f"__l{k}"), value(F.ceil(q)).alias(f"__h{k}"))], F.max("total_n").alias("total_n"))
+    share = [q - F.floor(q) for q in place]
+    found = one.select(*by, F.array(*[F.col(f"__l{k}") + (F.col(f"__h{k}") - F.col(f"__l{k}")) * s for k, s in enumerate(share)]).alias("p"))
+    if not by:
+        return found
+    groups = counts.select(*[F.col(c).alias(f"__{c}") for c in by]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in by])
+    return groups.join(found, same, "left").select(*[F.col(f"__{c}").alias(c) for c in by], "p")
+
+
+def most_frequent(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, and mode: the smallest of the most frequent values; null without values."""
+    counts = df.groupBy(*by, column).agg(F.count(column).alias("__n"))
+    return counts.groupBy(*by).agg(F.min(F.when(F.col(column).isNotNull(), F.struct((-F.col("__n")).alias("n"), F.col(column).alias("v"))))["v"].alias("mode"))
+
+
+def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """name, value (double): a row for each of the columns of each row."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])))
 
 
 def value_ranks(df: DataFrame, column: str) -> DataFrame:
@@ -64,20 +111,23 @@ def empirical_cdf(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(ranks.select(column, ((F.col("below") + F.col("n")) / F.col("__total")).alias(out)), column, "left")
 
 
+def text_ranges(values: DataFrame, column: str, sample: int = 10_000) -> list[str]:
+    """Cut points of distinct strings, from the `sample` of them with the smallest hashes: as many as there are partitions."""
+    parts = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = sorted(r[0].encode() for r in values.orderBy(F.xxhash64(column)).limit(sample).select(column).collect())
+    return [x.decode() for x in dict.fromkeys(rows[len(rows) * i // parts] for i in range(1, parts))] if rows else []
+
+
 def integerize(frames: Sequence[DataFrame], column: str) -> DataFrame:
-    """column, code: place of each value among the sorted distinct values of all frames. Values of any type; a dictionary, so
-    its rows are ranked by a window over ranges of the values' first character."""
+    """column, code: place of each value among the sorted distinct values of all frames. Values of any type."""
     values = frames[0].select(column)
     for f in frames[1:]:
         values = values.union(f.select(column))
     values = values.where(F.col(column).isNotNull()).distinct()
     if dict(values.dtypes)[column] != "string":
         return value_ranks(values, column).select(column, F.col("place").alias("code"))
-    head = values.withColumn("__head", F.coalesce(F.ascii(column), F.lit(0)))
-    sizes = head.groupBy("__head").agg(F.count("*").alias("k"))
-    before = sizes.select("__head", F.coalesce(F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("k"))
-    own = Window.partitionBy("__head").orderBy(column)
-    return head.join(F.broadcast(before), "__head").select(column, (F.col("k") + F.row_number().over(own) - 1).alias("code"))
+    ranked = global_prefix_sum(values.withColumn("__one", F.lit(1).cast("long")), column, ["__one"], cuts=text_ranges(values, column))
+    return ranked.select(column, F.col("before___one").alias("code"))
 
 
 def lorenz_gini(df: DataFrame, actual: str, predicted: str, weight: str | None = None, tie: Sequence[str] = ()) -> DataFrame:

@@ -5,14 +5,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import prefix
+
 
 def fit_fill(df: DataFrame, columns: Sequence[str], method: str = "mean") -> DataFrame:
     """One row of constants: the columns' mean, exact median or (smallest) most frequent value."""
-    how = {"mean": F.avg, "median": F.median, "most_frequent": lambda c: F.mode(F.col(c), True)}[method]
-    return df.agg(*[how(c).cast("double").alias(c) for c in columns])
+    if method == "mean":
+        return df.agg(*[F.avg(c).cast("double").alias(c) for c in columns])
+    held = prefix.long_form(df, columns)
+    found = prefix.percentiles(held, "value", [0.5], ["name"]).select("name", F.col("p")[0].alias("v")) if method == "median" else prefix.most_frequent(held, "value", ["name"]).select("name", F.col("mode").alias("v"))
+    return found.agg(*[F.max(F.when(F.col("name") == c, F.col("v"))).alias(c) for c in columns])
 
 
 def fill_from(df: DataFrame, constants: DataFrame) -> DataFrame:
@@ -81,11 +86,18 @@ def shuffled(key: str, seed: int = 0) -> Column:
     return F.pmod(F.col(key).cast("long") * F.lit(KNUTH) + F.lit(seed), F.lit(4294967296))
 
 
+def _placed(df: DataFrame, key: str, by: Sequence[str], order: Column, totals: bool = False) -> DataFrame:
+    """df with before___one: the row's place (0 for the first) in its group by a pseudo-random order, and total___one."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = df.withColumn("__order", order).withColumn("__one", F.lit(1).cast("long"))
+    cuts = [4294967296 * i // parts for i in range(1, parts)]  # the order's numbers are even
+    return prefix.global_prefix_sum(held, "__order", ["__one"], tie=[key], cuts=cuts, by=by, totals=totals)
+
+
 def split_stratified(df: DataFrame, label: str, key: str, share: float, seed: int = 0) -> DataFrame:
     """df with is_train: of each class exactly round(n * share) rows, in pseudo-random order."""
-    n = df.groupBy(label).agg(F.count("*").alias("__n"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(shuffled(key, seed), key))
-    return df.withColumn("__k", place).join(F.broadcast(n), label).withColumn("is_train", F.col("__k") <= F.round(F.col("__n") * share)).drop("__k", "__n")
+    held = _placed(df, key, [label], shuffled(key, seed), totals=True)
+    return held.withColumn("is_train", F.col("before___one") < F.round(F.col("total___one") * share)).select(*df.columns, "is_train")
 
 
 def cv_kfold(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
@@ -94,17 +106,16 @@ def cv_kfold(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
 
 def cv_stratified_kfold(df: DataFrame, label: str, key: str, k: int, seed: int = 0) -> DataFrame:
     """Folds with the classes' shares, by place within the class."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(shuffled(key, seed), key))
-    return df.withColumn("fold", F.pmod(place - 1, F.lit(k)).cast("int"))
+    held = _placed(df, key, [label], shuffled(key, seed))
+    return held.withColumn("fold", F.pmod("before___one", F.lit(k)).cast("int")).select(*df.columns, "fold")
 
 
 def cv_stratified_shuffle(df: DataFrame, label: str, key: str, share: float, seeds: Sequence[int]) -> DataFrame:
     """split, is_train for each seed: repeated stratified splits of the same rows, one frame."""
     each = df.withColumn("split", F.explode(F.array(*map(F.lit, seeds))))
     h = F.pmod(F.col(key).cast("long") * F.lit(KNUTH) + F.col("split"), F.lit(4294967296))
-    n = df.groupBy(label).agg(F.count("*").alias("__n"))
-    place = F.row_number().over(Window.partitionBy("split", label).orderBy(h, key))
-    return each.withColumn("__k", place).join(F.broadcast(n), label).withColumn("is_train", F.col("__k") <= F.round(F.col("__n") * share)).drop("__k", "__n")
+    held = _placed(each, key, ["split", label], h, totals=True)
+    return held.withColumn("is_train", F.col("before___one") < F.round(F.col("total___one") * share)).select(*each.columns, "is_train")
 
 
 def cv_by_group(df: DataFrame, column: str, groups: Sequence[Sequence]) -> DataFrame:

@@ -8,24 +8,22 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as agg
 from ..sources import io
 from ..streaming import streams
-from .recast import as_sql, view
+from .recast import as_sql, rounded, rounded_sql, view
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None, rounded: str = ""):
-    columns = rounded.split()
+def register(name: str, sql: str | None, columns: str = "", places: int = 9):
+    names = columns.split()
 
     def add(make):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = make(spark, sf_dir)
-            return df.withColumns({c: F.round(F.col(c).cast("double"), 4) + F.lit(0.0) for c in columns}) if columns else df
+            return rounded(make(spark, sf_dir), names, places)
 
         QUERIES[name] = run
         if sql is not None:
-            body = as_sql(sql)
-            ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), 4) + 0.0 AS {c}' for c in columns)}) FROM ({body}) q" if columns else body
+            ORACLES[name] = rounded_sql(as_sql(sql), names, places)
         return make
 
     return add
@@ -88,7 +86,7 @@ def src_predictions_text(spark, sf_dir):
 @register("src_log_metrics", "SELECT shopping_pt AS epoch, avg(round(cost, 2)) AS err FROM {quotes} GROUP BY shopping_pt", "err")
 def src_log_metrics(spark, sf_dir):
     path = io.fresh(spark, "log")
-    line = F.when(F.col("shopping_pt") % 2 >= 0, F.format_string("epoch %d, validation error %.2f", "shopping_pt", F.round("cost", 2)))
+    line = F.format_string("epoch %d, validation error %.2f", "shopping_pt", F.round("cost", 2))
     rows = view(spark, sf_dir, "quotes")
     rows.select(line.alias("value")).union(rows.select(F.lit("other line 7"))).write.text(path)
     return io.read_log_metrics(spark, path)

@@ -7,25 +7,23 @@ from pyspark.sql import functions as F
 
 from ..operators import images, metrics, models, prefix, prep, search
 from ..sources import io
-from .recast import as_sql, view
+from .recast import as_sql, rounded, rounded_sql, view
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 _X = ["var8", "var10", "var13", "var15"]
 
 
-def register(name: str, sql: str | None = None, rounded: str = "", places: int = 4):
-    columns = rounded.split()
+def register(name: str, sql: str | None = None, columns: str = "", places: int = 9):
+    names = columns.split()
 
     def add(make):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = make(lambda n: view(spark, sf_dir, n))
-            return df.withColumns({c: F.round(F.col(c).cast("double"), places) + F.lit(0.0) for c in columns}) if columns else df
+            return rounded(make(lambda n: view(spark, sf_dir, n)), names, places)
 
         QUERIES[name] = run
         if sql is not None:
-            body = as_sql(sql)
-            ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), {places}) + 0.0 AS {c}' for c in columns)}) FROM ({body}) q" if columns else body
+            ORACLES[name] = rounded_sql(as_sql(sql), names, places)
         return make
 
     return add
@@ -99,7 +97,7 @@ def model_knn(v):
 
 @register("model_majority", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (SELECT var4 FROM {loss} GROUP BY var4 ORDER BY count(*) DESC, var4 LIMIT 1) AS predicted FROM {loss}")
 def model_majority(v):
-    return v("loss").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").crossJoin(F.broadcast(v("loss").agg(F.mode(F.col("var4"), True).alias("predicted"))))
+    return v("loss").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").crossJoin(F.broadcast(prefix.most_frequent(v("loss"), "var4").select(F.col("mode").alias("predicted"))))
 
 
 @register("model_group_then_regress", "WITH g AS (SELECT var4, regr_slope(target, var11) AS s, regr_intercept(target, var11) AS i FROM {loss} GROUP BY var4) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, g.i + g.s * var11 AS prediction FROM {loss} l JOIN g ON l.var4 = g.var4", "prediction", 2)

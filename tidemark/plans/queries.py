@@ -1,6 +1,6 @@
 """Registered queries: each operator on the recast tables, with its SQL twin.
 
-Both sides are rounded to four places by the same list of columns, as the order of a sum differs between engines.
+Both sides are rounded by the same list of columns, as the order of a sum differs between engines.
 """
 
 from __future__ import annotations
@@ -13,27 +13,23 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import aggregates as agg
 from ..operators import metrics, prefix, prep, relational, spatial
-from .recast import as_sql, view
+from .recast import as_sql, rounded, rounded_sql, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None, rounded: str = "", places: int = 4):
-    """Adds a query: a function of a view reader; rounded: the columns to round, separated by blanks."""
-    columns = rounded.split()
+def register(name: str, sql: str | None, columns: str = "", places: int = 9):
+    """Adds a query: a function of a view reader; columns: those to round, separated by blanks."""
+    names = columns.split()
 
     def add(make: Callable[[Callable[[str], DataFrame]], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = make(lambda n: view(spark, sf_dir, n))
-            return df.withColumns({c: F.round(F.col(c).cast("double"), places) + F.lit(0.0) for c in columns}) if columns else df
+            return rounded(make(lambda n: view(spark, sf_dir, n)), names, places)
 
         QUERIES[name] = run
         if sql is not None:
-            body = as_sql(sql)
-            if columns:
-                body = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), {places}) + 0.0 AS {c}' for c in columns)}) FROM ({body}) q"
-            ORACLES[name] = body
+            ORACLES[name] = rounded_sql(as_sql(sql), names, places)
         return make
 
     return add
@@ -187,7 +183,7 @@ _AT = (0.1, 1, 5, 10, 20, 30, 50, 75)
 register("percentiles", "SELECT pclass" + "".join(f", quantile_cont(fare, {x / 100}) AS p{str(x).replace('.', '_')}" for x in _AT) + " FROM {passengers} GROUP BY pclass", " ".join(f"p{str(x).replace('.', '_')}" for x in _AT))(lambda v: agg.percentiles(v("passengers"), "fare", _AT, ["pclass"]))
 register("weighted_center", "SELECT sky_id, sum(x * (1 + abs(e1))) / sum(1 + abs(e1)) AS x_center, sum(y * (1 + abs(e1))) / sum(1 + abs(e1)) AS y_center FROM {skies} GROUP BY sky_id", "x_center y_center")(lambda v: agg.weighted_center(v("skies"), "sky_id", "x", "y", 1 + F.abs("e1")))
 register("crosstab", "SELECT embarked, count(*) FILTER (pclass = 1) AS c1, count(*) FILTER (pclass = 2) AS c2, count(*) FILTER (pclass = 3) AS c3 FROM {passengers} GROUP BY embarked")(lambda v: v("passengers").groupBy("embarked").pivot("pclass", [1, 2, 3]).count().select("embarked", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"c{i}") for i in (1, 2, 3)]))
-register("majority_value", "SELECT id, (SELECT embarked FROM {passengers} GROUP BY embarked ORDER BY count(*) DESC, embarked LIMIT 1) AS predicted FROM {passengers}")(lambda v: v("passengers").select("id").crossJoin(F.broadcast(v("passengers").agg(F.mode(F.col("embarked"), True).alias("predicted")))))
+register("majority_value", "SELECT id, (SELECT embarked FROM {passengers} GROUP BY embarked ORDER BY count(*) DESC, embarked LIMIT 1) AS predicted FROM {passengers}")(lambda v: v("passengers").select("id").crossJoin(F.broadcast(prefix.most_frequent(v("passengers"), "embarked").select(F.col("mode").alias("predicted")))))
 
 # Prefix sums
 
@@ -325,7 +321,7 @@ register("argmax_argmin_maps", f"WITH r AS ({_ROUNDED}) SELECT m.sky_id" + "".jo
     lambda v: spatial.argmax_argmin(spatial.grid_kernel_maps(v("skies")).withColumns({c: F.round(c, 9) for c in ("e1_mean", "e_cov")}), "sky_id", ["e1_mean", "e_cov"])
 )
 register("join_grid_cross", "SELECT sky_id, i, j, count(*) AS n, sum(sqrt(pow(x - gx, 2) + pow(y - gy, 2))) AS far FROM " + _POINTS.format(w=840, n=5) + " GROUP BY sky_id, i, j", "far", 2)(lambda v: spatial._with_points(v("skies"), 5).groupBy("sky_id", "i", "j").agg(F.count("*").alias("n"), F.sum(F.sqrt(F.pow(F.col("x") - F.col("gx"), 2) + F.pow(F.col("y") - F.col("gy"), 2))).alias("far")))
-register("pad_center_flatten", "WITH c AS (SELECT sky_id, galaxy, x - avg(x) OVER (PARTITION BY sky_id) AS x, e1 - avg(e1) OVER (PARTITION BY sky_id) AS e1 FROM {skies}) SELECT sky_id, count(*) AS n, array_to_string([round(z, 3) + 0.0 FOR z IN list(x ORDER BY galaxy)], ',') AS xs, round(list_sum(list(e1 ORDER BY galaxy)[1:5]), 4) + 0.0 AS head FROM c GROUP BY sky_id", "head")(
+register("pad_center_flatten", "WITH c AS (SELECT sky_id, galaxy, x - avg(x) OVER (PARTITION BY sky_id) AS x, e1 - avg(e1) OVER (PARTITION BY sky_id) AS e1 FROM {skies}) SELECT sky_id, count(*) AS n, array_to_string([round(z, 3) + 0.0 FOR z IN list(x ORDER BY galaxy)], ',') AS xs, list_sum(list(e1 ORDER BY galaxy)[1:5]) AS head FROM c GROUP BY sky_id", "head")(
     lambda v: spatial.pad_flatten(v("skies"), "sky_id", "galaxy", ["x", "e1"], 740).select("sky_id", "n", F.array_join(F.transform(F.slice("flat", F.lit(1), F.col("n").cast("int")), lambda z: (F.round(z, 3) + 0.0).cast("string")), ",").alias("xs"), F.aggregate(F.slice("flat", 741, 5), F.lit(0.0), lambda a, x: a + x).alias("head"))
 )
 register("append_features", "SELECT vec_id, 66 AS width, sum(e) + min(e) + max(e) AS total FROM {cells} GROUP BY vec_id", "total")(

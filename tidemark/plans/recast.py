@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels"]
 
@@ -96,3 +97,31 @@ def as_sql(query: str) -> str:
     if parts and own.startswith("WITH "):
         return f"WITH {parts},\n{own.removeprefix('WITH ')}"
     return (f"WITH {parts}\n" if parts else "") + own
+
+
+#: Both engines' results are compared at so many significant digits, or decimal places if those are fewer: fine enough to tell values
+#: apart, coarse enough for sums in another order.
+DIGITS = 12
+
+
+def rounded(df: DataFrame, columns: list[str], places: int) -> DataFrame:
+    """df with columns as doubles of DIGITS significant digits, at most `places` of them decimal."""
+
+    def one(c: str) -> Column:
+        x = F.col(c).cast("double")
+        scale = F.pow(F.lit(10.0), F.greatest(F.lit(0.0), F.least(F.lit(float(places)), DIGITS - 1 - F.floor(F.log10(F.abs(x))).cast("double"))))
+        finite = (x != 0) & ~F.isnan(x) & (F.abs(x) != float("inf"))
+        return F.when(finite, F.round(x * scale) / scale + F.lit(0.0)).otherwise(x + F.lit(0.0))
+
+    return df.withColumns({c: one(c) for c in columns}) if columns else df
+
+
+def rounded_sql(query: str, columns: list[str], places: int) -> str:
+    """The same for a query."""
+
+    def one(c: str) -> str:
+        x = f"CAST({c} AS DOUBLE)"
+        scale = f"pow(10.0::DOUBLE, greatest(0.0::DOUBLE, least({float(places)}::DOUBLE, {DIGITS - 1} - floor(log10(abs({x}))))))"
+        return f"CASE WHEN {x} <> 0 AND isfinite({x}) THEN round({x} * {scale}) / {scale} + 0.0::DOUBLE ELSE {x} + 0.0::DOUBLE END AS {c}"
+
+    return f"SELECT * REPLACE ({', '.join(map(one, columns))}) FROM ({query}) q" if columns else query
