@@ -365,7 +365,7 @@ def test_toxicity_held_out(spark):
     index = toxicity.train(docs, labels.where(~toxicity.held_out()))
     rows = toxicity.score(docs, index).join(labels.where(toxicity.held_out()), "doc_id").collect()
     bad, good = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
-    assert sum(bad) >= 0.92 * len(bad) and sum(good) <= 0.005 * len(good)
+    assert sum(bad) >= 0.92 * len(bad) and sum(good) <= 0.01 * len(good)
     # one telling word in a long clean text is outweighed
     word = max((t for t in index.vocabulary if not t.startswith(b"^")), key=lambda t: index.idf[index.vocabulary[t]]).decode()
     clean = " ".join(r.text for r in docs.join(labels.where("toxic = 0 and quality = 1"), "doc_id").where("lang = 'en'").orderBy("doc_id").limit(60).collect())

@@ -112,9 +112,12 @@ def _platt(margin: np.ndarray, y: np.ndarray, even: bool = False) -> tuple[float
     return float(a), float(b)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """doc_id, text and label of at most bound documents: those with the smallest hash of doc_id."""
-    own = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, positive: int | None = None) -> DataFrame:
+    """doc_id, text and label of at most bound documents, those with the smallest hash of doc_id; with positive: at most so many
+    with a label above 0, and the rest of bound of the others."""
+    own = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    first = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    own = first(own, bound) if positive is None else first(own.where("label > 0"), positive).union(first(own.where("label <= 0"), bound - positive))
     return texts(docs).join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").cast("double").alias("label"))
 
 

@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples.
 
-A bounded sample of labelled rows (those with the smallest hash of their id) gives the examples: TF-IDF vectors over all terms that
+A bounded sample of labelled rows (of each class those with the smallest hash of their id) gives the examples: TF-IDF vectors over all terms that
 they have (words, and word beginnings of four and five bytes). A term's IDF is raised by what the label says of it: a cautious
 logarithm of how much more often toxic examples have it than others (0 for most terms), so that a few telling words weigh as much
 as the subject of a text. Examples are kept as an inverted index with, for each term and block of examples, the largest weight. A
@@ -47,11 +47,10 @@ def terms(text: str) -> Counter:
 
 
 def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places of the ranges, one range after another, and for each which range it is of."""
+    """All places of the ranges, one range after another, and how many each has."""
     n = end - begin
     upto = np.cumsum(n)
-    owner = np.repeat(np.arange(len(n)), n)
-    return np.arange(int(upto[-1]) if len(n) else 0) + (begin - upto + n)[owner], owner
+    return np.repeat(begin - upto + n, n) + np.arange(int(upto[-1]) if len(n) else 0, dtype=begin.dtype), n
 
 
 class Index:
@@ -71,7 +70,7 @@ class Index:
         self.begin = np.append(begin, len(cell)).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.empty(0)
         self.block = (cell[begin] % self.blocks).astype(np.int32)
-        self.of_term = np.searchsorted(cell[begin] // self.blocks, np.arange(len(vocabulary) + 1))
+        self.of_term = np.searchsorted(cell[begin] // self.blocks, np.arange(len(vocabulary) + 1)).astype(np.int32)
         self.slope, self.shift = 1.0, 0.0
 
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +85,8 @@ class Index:
         """Examples and cosines of the k nearest (ties: the smaller place), fewer if fewer have a term in common."""
         if not len(t):
             return np.empty(0, np.int64), np.empty(0)
-        cells, owner = ranges(self.of_term[t], self.of_term[t + 1])
-        block, begin, weight = self.block[cells], self.begin[cells], w[owner]
-        end = self.begin[cells + 1]
+        cells, n = ranges(self.of_term[t], self.of_term[t + 1])
+        block, weight = self.block[cells], np.repeat(w, n)
         most = np.bincount(block, weight * self.most[cells], self.blocks)
         order = np.argsort(-most, kind="stable")
         order = order[most[order] > 0]
@@ -98,8 +96,8 @@ class Index:
             taken[:] = False
             taken[order[done : done + step]] = True
             now = np.flatnonzero(taken[block])
-            at, of = ranges(begin[now], end[now])
-            score += np.bincount(self.row[at], weight[now][of] * self.weight[at], len(score))
+            at, n = ranges(self.begin[cells[now]], self.begin[cells[now] + 1])
+            score += np.bincount(self.row[at], np.repeat(weight[now], n) * self.weight[at], len(score))
             done, step = done + step, step * 4
             if without >= 0:
                 score[without] = 0
@@ -122,9 +120,9 @@ class Index:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * self.vote(near, cosine) + self.shift)))), near
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> Index | None:
-    """An index of at most bound examples; labels: doc_id, toxic. Null without rows of both classes."""
-    rows = labelled(docs, labels, "toxic", bound).select(F.col("doc_id").cast("long"), "text", (F.col("label") > 0).cast("int").alias("label"))
+def train(docs: DataFrame, labels: DataFrame, bound: int = 1500, toxic: int = 300) -> Index | None:
+    """An index of at most bound examples, at most `toxic` of them toxic; labels: doc_id, toxic. Null without rows of both classes."""
+    rows = labelled(docs, labels, "toxic", bound, toxic).select(F.col("doc_id").cast("long"), "text", (F.col("label") > 0).cast("int").alias("label"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1 << 20):
@@ -141,9 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> Index | None
     coded = column.flatten().dictionary_encode()
     names, term = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
     row = np.repeat(np.arange(n), size)
-    df, toxic = np.bincount(term, minlength=len(names)), np.bincount(term, label[row], len(names))
+    df, bad_df = np.bincount(term, minlength=len(names)), np.bincount(term, label[row], len(names))
     # the least that toxic counts may stand for, against the others'
-    odds = np.log((np.maximum(toxic - 1.5 * np.sqrt(toxic), 0) + 0.1) / (df - toxic + 0.5) * ((n - bad) / bad))
+    odds = np.log((np.maximum(bad_df - 1.5 * np.sqrt(bad_df), 0) + 0.1) / (df - bad_df + 0.5) * ((n - bad) / bad))
     idf = (np.log((n + 1) / (df + 1)) + 1) * (BASE + np.maximum(odds, 0))
     weight = (1 + np.log(counts)) * idf[term]
     weight = weight / np.sqrt(np.bincount(row, weight * weight, n))[row]
