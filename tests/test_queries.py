@@ -25,7 +25,7 @@ def plain(value):
     if value is None or value != value:
         return "~"
     if isinstance(value, (int, float)) or hasattr(value, "as_tuple"):
-        return f"{float(value) + 0.0:.4f}"
+        return f"{float(value) + 0.0:.11g}"
     return str(value)
 
 
@@ -41,8 +41,3 @@ def test_same_rows(spark, duck, name):
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert rows_of(got.columns, got.collect()) == rows_of(columns, want.fetchall())
-
-
-@pytest.mark.parametrize("name", ["model_classify_then_regress", "model_by_segment", "image_region_stats", "image_resize_rotate"])
-def test_other_queries_run(spark, name):
-    assert ALL[name](spark, SF).count() > 0

@@ -15,9 +15,10 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, Lin
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import integerize
 from .relational import small
 
 
@@ -29,10 +30,38 @@ def pipeline(features: Sequence[str], learner) -> Pipeline:
     return Pipeline(stages=[assembled(features), learner])
 
 
-def ridge(label: str, alpha: float, total_weight: float, weight: str | None = None) -> LinearRegression:
-    """Ridge with the penalty alpha on the sum of squares, as a penalty on the mean."""
-    own = LinearRegression(featuresCol="__features", labelCol=label, elasticNetParam=0.0, regParam=alpha / total_weight, standardization=False, solver="normal")
-    return own.setWeightCol(weight) if weight else own
+def make_pipeline(steps: Mapping[str, object], parameters: Mapping[str, Sequence] | None = None) -> tuple[Pipeline, list[dict]]:
+    """A pipeline of named steps, and every combination of a grid whose keys are `step__parameter`, as maps for configured()."""
+    names = list(steps)
+    found: list[dict] = [{}]
+    for key, values in (parameters or {}).items():
+        step, parameter = key.split("__", 1)
+        if step not in steps or not steps[step].hasParam(parameter):
+            raise ValueError(f"no parameter {key}")
+        found = [{**f, (names.index(step), parameter): v} for f in found for v in values]
+    return Pipeline(stages=list(steps.values())), found
+
+
+def configured(made: Pipeline, parameters: Mapping[tuple[int, str], object]) -> Pipeline:
+    """A copy of the pipeline with these parameters of its steps."""
+    stages = [s.copy() for s in made.getStages()]
+    for (i, name), value in parameters.items():
+        stages[i].set(stages[i].getParam(name), value)
+    return Pipeline(stages=stages)
+
+
+def ridge_weights(df: DataFrame, features: Sequence[str], label: str, alpha: float, weight: str | None = None) -> dict[str, float]:
+    """Weights by name ("one": the constant, not penalised) of a weighted ridge with penalty alpha on the sum of squares, from one
+    aggregate of products, taken about the means so that large offsets cost no digits."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    held = [*features, label]
+    means = df.agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in held]).first()
+    x = [F.col(c) - F.lit(float(means[c])) for c in held]
+    sums = df.agg(*[F.sum(w * x[i] * x[j]).alias(f"{i}_{j}") for i in range(len(held)) for j in range(i + 1)]).first()
+    m = np.array([[sums[f"{max(i, j)}_{min(i, j)}"] for j in range(len(held))] for i in range(len(held))], dtype=float)
+    k = len(features)
+    found = np.linalg.solve(m[:k, :k] + alpha * np.eye(k), m[:k, k])
+    return {"one": float(means[label] - sum(v * means[c] for v, c in zip(found, features, strict=True))), **{c: float(v) for c, v in zip(features, found, strict=True)}}
 
 
 def linear(label: str, kind: str, alpha: float) -> LinearRegression:
@@ -128,7 +157,7 @@ def group_then_regress(train: DataFrame, test: DataFrame, group: str, features:
 def by_segment(train: DataFrame, test: DataFrame, segments: Sequence[str], label: str, features: Sequence[str], key: str, most_segments: int = 64, least: int = 6) -> DataFrame:
     """key, prediction. A segment that train lacks gets the most frequent label of all, one with a single class or fewer than
     `least` rows its own most frequent label; the others a tree of their own. The number of segments is checked first."""
-    table = train.groupBy(*segments).agg(F.count("*").alias("n"), F.count_distinct(label).alias("classes"), F.mode(F.col(label), True).alias("common"))
+    table = train.groupBy(*segments).agg(F.count("*").alias("n"), F.count_distinct(label).alias("classes"), F.mode(F.col(label), True).alias("common"))  # of a few classes
     rows = table.limit(most_segments + 1).collect()
     if len(rows) > most_segments:
         raise ValueError(f"more than {most_segments} segments")
@@ -154,42 +183,58 @@ def multi_output(train: DataFrame, test: DataFrame, labels: Sequence[str], featu
     return held.select(key, F.concat_ws("", *[F.col(f"__{c}").cast("int").cast("string") for c in labels]).alias("label"))
 
 
-@dataclass
+@dataclass(frozen=True)
 class Loss:
-    """The squared loss of boosting: first constant, negative gradient, and best step, all by aggregates."""
+    """What boosting needs of a loss: its value and negative gradient as expressions of label and prediction, the constant to start from
+    as an aggregate, and the best weight of a step, given the sums that `step` asks for."""
+
+    value: Callable[[Column, Column], Column]
+    gradient: Callable[[Column, Column], Column]
+    start: Callable[[Column], Column]
 
-    name: str = "squared"
 
-    def start(self, df: DataFrame, label: str) -> float:
-        return float(df.agg(F.avg(label)).first()[0])
+SQUARED = Loss(lambda y, p: (y - p) ** 2, lambda y, p: y - p, F.avg)
+ABSOLUTE = Loss(lambda y, p: F.abs(y - p), lambda y, p: F.signum(y - p), F.median)
+#: Weights of a step that are tried for a loss without a closed form, all in one aggregate, each a share of the least squares step.
+TRIED = [0.0, 0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0]
 
 
-def boost_mixed(train: DataFrame, label: str, features: Sequence[str], learners: Mapping[str, Callable[[str], object]], key: str, rounds: int = 5, shrinkage: float = 0.5, enough: float = 1e-6, patience: int = 2, folds: int = 2) -> tuple[float, list]:
-    """(constant, [(weight, fitted pipeline)]): stages each fit the residual with the learner that does best over folds; the weight is
-    the closed-form step for squared loss times the shrinkage. Residuals are written out by stage (checkpoint), so lineage stays short."""
-    spark = train.sparkSession
+def boost_mixed(train: DataFrame, label: str, features: Sequence[str], learners: Mapping[str, Callable[[str], object]], key: str, rounds: int = 5, shrinkage: float = 0.5, enough: float = 1e-6, patience: int = 2, folds: int = 2, loss: Loss = SQUARED, share: float = 1.0, seed: int = 7) -> tuple[float, list]:
+    """(constant, [(weight, fitted pipeline)]): stages each fit the loss's negative gradient with the learner that does best over folds,
+    on a share of the rows drawn anew for each stage; the weight is the step that lowers the loss most, times the shrinkage. It ends at
+    an error of `enough`, or after `patience` stages without a better one. Predictions are written out by stage, so lineage stays short."""
     from ..sources.io import shared_dir
 
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    constant = Loss().start(train, label)
-    held = train.select(key, *features, (F.col(label) - constant).alias("__residual"), F.pmod(F.xxhash64(key), F.lit(folds)).alias("__fold"))
+    train.sparkSession.sparkContext.setCheckpointDir(shared_dir(train.sparkSession))
+    y, p = F.col("__y"), F.col("__p")
+    constant = float(train.agg(loss.start(F.col(label).cast("double"))).first()[0])
+    held = train.select(key, *features, F.col(label).cast("double").alias("__y"), F.lit(constant).alias("__p"), F.pmod(F.xxhash64(key), F.lit(folds)).alias("__fold"))
     stages, best, stuck = [], float("inf"), 0
-    for _ in range(rounds):
+    for k in range(rounds):
+        drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), key), F.lit(1_000_000)) < share * 1_000_000
+        held = held.withColumn("__g", loss.gradient(y, p)).checkpoint()
+        rows = held.where(drawn) if share < 1 else held
         losses = {}
         for name, make in learners.items():
             error = 0.0
-            for k in range(folds):
-                model = pipeline(features, make("__residual").setPredictionCol("__h")).fit(held.where(F.col("__fold") != k))
-                error += model.transform(held.where(F.col("__fold") == k)).agg(F.sum((F.col("__residual") - F.col("__h")) ** 2)).first()[0] or 0.0
+            for f in range(folds):
+                model = pipeline(features, make("__g").setPredictionCol("__h")).fit(rows.where(F.col("__fold") != f))
+                error += model.transform(rows.where(F.col("__fold") == f)).agg(F.sum((F.col("__g") - F.col("__h")) ** 2)).first()[0] or 0.0
             losses[name] = error
         chosen = min(losses, key=lambda n: (losses[n], n))
-        model = pipeline(features, learners[chosen]("__residual").setPredictionCol("__h")).fit(held)
-        shown = model.transform(held)
-        top, bottom = shown.agg(F.sum(F.col("__residual") * F.col("__h")), F.sum(F.col("__h") * F.col("__h"))).first()
-        step = shrinkage * (top / bottom if bottom else 0.0)
-        held = shown.select(key, *features, (F.col("__residual") - step * F.col("__h")).alias("__residual"), "__fold").checkpoint()
-        error = held.agg(F.avg(F.col("__residual") ** 2)).first()[0]
+        model = pipeline(features, learners[chosen]("__g").setPredictionCol("__h")).fit(rows)
+        shown = model.transform(held).select(*held.columns, "__h").persist()
+        top, bottom = shown.agg(F.sum((y - p) * F.col("__h")), F.sum(F.col("__h") * F.col("__h"))).first()
+        step = top / bottom if bottom else 0.0
+        if loss is not SQUARED:
+            tried = shown.agg(*[F.avg(loss.value(y, p + t * step * F.col("__h"))) for t in TRIED]).first()
+            step *= TRIED[min(range(len(TRIED)), key=lambda i: tried[i])]
+        step *= shrinkage
+        held = shown.select(key, *features, "__y", (p + step * F.col("__h")).alias("__p"), "__fold")
+        error = held.agg(F.avg(loss.value(y, p))).first()[0]
         stages.append((step, model))
+        held = held.checkpoint()
+        shown.unpersist()
         stuck = stuck + 1 if error >= best * (1 - 1e-9) else 0
         best = min(best, error)
         if error <= enough or stuck >= patience:
@@ -263,9 +308,12 @@ def pca_reduce(df: DataFrame, key: str, features: Sequence[str], count: int | No
 
 
 def impute_by_model(df: DataFrame, column: str, features: Sequence[str], learner, key: str) -> DataFrame:
-    """Missing values of a whole-number column are predicted by a classifier fitted on the rows that have it."""
-    model = pipeline(features, learner.setLabelCol("__y").setPredictionCol("__p")).fit(df.where(F.col(column).isNotNull()).withColumn("__y", F.round(column).cast("double")))
-    filled = model.transform(df.where(F.col(column).isNull()).select(key, *features)).select(key, F.col("__p").alias("__fill"))
+    """Missing values of a whole-number column are predicted by a classifier fitted on the rows that have it. Its classes are the places
+    of the values among those that occur."""
+    present = df.where(F.col(column).isNotNull()).withColumn("__v", F.round(column).cast("double"))
+    codes = small(integerize([present], "__v").select("__v", F.col("code").cast("double").alias("__y")))
+    model = pipeline(features, learner.setLabelCol("__y").setPredictionCol("__p")).fit(present.join(codes, "__v"))
+    filled = model.transform(df.where(F.col(column).isNull()).select(key, *features)).select(key, F.col("__p").alias("__y")).join(codes, "__y").select(key, F.col("__v").alias("__fill"))
     return df.join(filled, key, "left").withColumn(column, F.coalesce(F.col(column).cast("double"), "__fill")).drop("__fill")
 
 

@@ -6,6 +6,7 @@ import itertools
 import random
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from .models import pipeline
 
 def out_of_fold(df: DataFrame, fold: str, folds: int, features: Sequence[str], label: str, make: Callable[[], object], key: str, classes: int | None = None) -> DataFrame:
     """key, fold, label, prediction (and probabilities over all classes, 0 for those a fold's training rows lack). A fold whose training
-    rows have one class gets that class."""
+    rows have one class gets that class. make gives a learner, or a whole pipeline."""
     out = None
     for k in range(folds):
         train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
@@ -23,7 +24,9 @@ def out_of_fold(df: DataFrame, fold: str, folds: int, features: Sequence[str], l
         if len(seen) < 2:
             got = test.select(key, fold, label, F.lit(float(seen[0])).alias("prediction"), *([F.array(*[F.lit(float(c == seen[0])) for c in range(classes)]).alias("p")] if classes else []))
         else:
-            got = pipeline(features, make().setLabelCol(label)).fit(train).transform(test)
+            learner = make()
+            whole = learner if isinstance(learner, Pipeline) else pipeline(features, learner.setLabelCol(label))
+            got = whole.fit(train).transform(test)
             p = vector_to_array("probability") if classes else None
             got = got.select(key, fold, label, "prediction", *([F.slice(F.concat(p, F.array_repeat(F.lit(0.0), classes)), 1, classes).alias("p")] if classes else []))
         out = got if out is None else out.unionByName(got)

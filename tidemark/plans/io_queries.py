@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,28 @@ def src_pickled_split(spark, sf_dir):
     return both.select("vec_id", "label", F.size("embedding").cast("long").alias("width"), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"))
 
 
+#: A bitmap's header for 8 by 8 pixels of 24 bits, rows from the bottom. Fixed values of the format.
+_BMP = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + 192, 0, 0, 54, 40, 8, 8, 1, 24, 0, 192, 0, 0, 0, 0)
+
+
+@register("src_images_labelled", "SELECT image_id, CAST(label AS VARCHAR) AS class, 8 AS height, 8 AS width, CAST(sum(v) AS BIGINT) AS total, CAST(max(v) FILTER (r = 0 AND c = 0) AS BIGINT) AS first, CAST(max(v) FILTER (r = 7 AND c = 6) AS BIGINT) AS late, CAST((SELECT count(*) FROM {embeddings} WHERE vec_id % 50 = 0) AS BIGINT) AS skipped FROM {pixels} JOIN {embeddings} ON image_id = vec_id WHERE image_id % 50 <> 0 GROUP BY image_id, label")
+def src_images_labelled(spark, sf_dir):
+    """Pixels go out as bitmaps, a folder for each class, some of them broken, and are read back."""
+    byte = lambda q: F.unhex(F.lpad(F.hex(q["v"].cast("int")), 2, "0"))
+    one = view(spark, sf_dir, "pixels").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((7 - F.col("r")).alias("up"), "c", "v"))).alias("p"))
+    body = F.aggregate("p", F.lit(b""), lambda a, q: F.concat(a, byte(q), byte(q), byte(q)))
+    labels = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
+    content = F.when(F.col("image_id") % 50 == 0, F.encode(F.lit("no image"), "UTF-8")).otherwise(F.concat(F.lit(_BMP), body))
+    files = one.join(labels, "image_id").select(F.concat_ws("/", F.col("label").cast("string"), F.concat("image_id", F.lit(".bmp"))).alias("path"), content.alias("content"))
+    folder = io.fresh(spark, "images")
+    io.write_files(files, folder)
+    good, bad = io.read_images_labelled(spark, folder, files)
+    at = lambda i: F.conv(F.hex(F.substring("data", 3 * i + 1, 1)), 16, 10).cast("long")
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, i: a + F.conv(F.hex(F.substr("data", 3 * i + 1, F.lit(1))), 16, 10).cast("long"))
+    shown = good.select(F.regexp_extract("path", r"([0-9]+)\.bmp$", 1).cast("long").alias("image_id"), "class", "height", "width", total.alias("total"), at(0).alias("first"), at(62).alias("late"))
+    return shown.crossJoin(F.broadcast(bad.agg(F.count("*").alias("skipped"))))
+
+
 @register("src_predictions_text", "SELECT id, score / 1000 AS score FROM {scores}", "score")
 def src_predictions_text(spark, sf_dir):
     path = io.fresh(spark, "scores")

@@ -1,4 +1,8 @@
-"""Registered queries of models, validation and image jobs."""
+"""Registered queries of models, validation and image jobs.
+
+Learners whose fit is a handful of sums (naive Bayes, ridge, a tree with a leaf for each cell) have a SQL twin to the last digit; the
+others are tested against NumPy or on held-out rows.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..operators import images, metrics, models, prefix, prep, search
 from ..sources import io
+from .learners_sql import bayes, cells
 from .recast import as_sql, rounded, rounded_sql, view
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 _X = ["var8", "var10", "var13", "var15"]
+_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def register(name: str, sql: str | None = None, columns: str = "", places: int = 9):
@@ -31,7 +37,7 @@ def register(name: str, sql: str | None = None, columns: str = "", places: int =
 
 def _loss(v) -> DataFrame:
     rows = v("loss")
-    return prep.fill_from(rows, prep.fit_fill(rows, ["var15"])).withColumn("id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).withColumn("y", (F.col("target") > 0).cast("double"))
+    return prep.fill_from(rows, prep.fit_fill(rows, ["var15"])).withColumn("id", F.xxhash64(*_KEYS)).withColumn("y", (F.col("target") > 0).cast("double"))
 
 
 def _passengers(v) -> DataFrame:
@@ -41,13 +47,38 @@ def _passengers(v) -> DataFrame:
 
 
 _PX = ["pclass", "fare", "age", "sex_male"]
+_P = "(SELECT id, survived, CAST(pclass AS DOUBLE) AS pclass, sex, embarked, coalesce(fare, (SELECT median(fare) FROM {passengers})) AS fare, CAST(coalesce(age, (SELECT median(age) FROM {passengers})) AS DOUBLE) AS age, CASE WHEN sex = 'male' THEN 1.0 ELSE 0.0 END AS sex_male FROM {passengers}) p"
+_LOSS = "(SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, target, CAST(var8 AS DOUBLE) AS var8, var10, var11, var13, coalesce(var15, (SELECT avg(var15) FROM {loss})) AS var15 FROM {loss}) x) l"
+_Q = "(SELECT customer_id, shopping_pt, customer_id * 1000000 + shopping_pt AS key, a, b, cost, CAST(k AS DOUBLE) AS kk, risk_factor FROM {quotes}) q"
+
+
+def _folds(n: int, features: list[str] = _PX) -> tuple[str, str]:
+    """Training and test rows of each fold."""
+    own, fold = ", ".join(features), f"(id * 2654435761) % 4294967296 % {n}"
+    return f"SELECT f.k, survived AS y, {own} FROM {_P} CROSS JOIN (SELECT unnest(range({n})) AS k) f WHERE {fold} <> f.k", f"SELECT {fold} AS k, id AS key, {own} FROM {_P}"
+
+
+def _whole(features: list[str] = _PX, train: str = "true", test: str = "true") -> tuple[str, str]:
+    own = ", ".join(features)
+    return f"SELECT 0 AS k, survived AS y, {own} FROM {_P} WHERE {train}", f"SELECT 0 AS k, id AS key, {own} FROM {_P} WHERE {test}"
+
 
+def _answers(label: str, train: str = "true", test: str = "true") -> str:
+    return bayes(f"SELECT 0 AS k, {label} AS y, cost, kk FROM {_Q} WHERE {train}", f"SELECT 0 AS k, key, cost, kk FROM {_Q} WHERE {test}", ["cost", "kk"])
 
-@register("model_ridge_weighted", "SELECT 'var11' AS name, regr_slope(y, x) AS weight FROM (SELECT target AS y, var11 AS x FROM {loss}) t", "weight", 2)
+
+# Linear models
+
+
+@register(
+    "model_ridge_weighted",
+    "WITH m AS (SELECT sum(var11 * var10) / sum(var11) AS a, sum(var11 * var13) / sum(var11) AS b, sum(var11 * target) / sum(var11) AS t FROM {loss}), s AS (SELECT sum(var11 * (var10 - a) * (var10 - a)) + 20 AS aa, sum(var11 * (var10 - a) * (var13 - b)) AS ab, sum(var11 * (var13 - b) * (var13 - b)) + 20 AS bb, sum(var11 * (var10 - a) * (target - t)) AS ta, sum(var11 * (var13 - b) * (target - t)) AS tb FROM {loss}, m), c AS (SELECT (ta * bb - tb * ab) / (aa * bb - ab * ab) AS x, (tb * aa - ta * ab) / (aa * bb - ab * ab) AS y FROM s) SELECT 'var10' AS name, x AS weight FROM c UNION ALL SELECT 'var13', y FROM c UNION ALL SELECT 'one', t - a * x - b * y FROM c, m",
+    "weight",
+    4,
+)
 def model_ridge_weighted(v):
     rows = v("loss")
-    model = models.pipeline(["var11"], models.ridge("target", 0.0, 1.0)).fit(rows)
-    return rows.sparkSession.createDataFrame([("var11", float(model.stages[-1].coefficients[0]))], "name string, weight double")
+    return rows.sparkSession.createDataFrame(list(models.ridge_weights(rows, ["var10", "var13"], "target", 20.0, "var11").items()), "name string, weight double")
 
 
 @register("model_linear_family")
@@ -60,14 +91,49 @@ def model_linear_family(v):
     return rows.sparkSession.createDataFrame(out, "kind string, mae double")
 
 
+@register("model_quantile_linear")
+def model_quantile_linear(v):
+    rows = prep.scale_standard(_loss(v), _X).persist()
+    w = models.quantile_linear(rows, "target", _X, 0.6)
+    rows.unpersist()
+    return rows.sparkSession.createDataFrame(list(zip(["one", *_X], w, strict=True)), "name string, weight double")
+
+
+register("model_group_then_regress", "WITH g AS (SELECT var4, regr_slope(target, var11) AS s, regr_intercept(target, var11) AS i FROM {loss} GROUP BY var4) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, g.i + g.s * var11 AS prediction FROM {loss} l JOIN g ON l.var4 = g.var4", "prediction", 4)(
+    lambda v: models.group_then_regress(v("loss"), v("loss"), "var4", ["var11"], "target").select(*_KEYS, "prediction")
+)
+
+# Classifiers
+
+
 def _classified(v, kind: str, **options) -> DataFrame:
     rows = _passengers(v)
     return models.pipeline(_PX, models.classifier(kind, "survived", **options)).fit(rows).transform(rows).select("id", "survived", "prediction")
 
 
-for _kind, _options in (("logistic", {"maxIter": 20}), ("forest", {"numTrees": 10}), ("tree", {"maxDepth": 4}), ("gbt", {"maxIter": 5}), ("svm", {"maxIter": 10}), ("bayes", {}), ("mlp", {"layers": [4, 5, 2], "maxIter": 30})):
-    _name = {"forest": "random_forest", "tree": "decision_tree", "gbt": "gbt_classifier", "bayes": "naive_bayes"}.get(_kind, _kind)
+for _kind, _options in (("logistic", {"maxIter": 20}), ("forest", {"numTrees": 10}), ("gbt", {"maxIter": 5}), ("mlp", {"layers": [4, 5, 2], "maxIter": 30})):
+    _name = {"forest": "random_forest", "gbt": "gbt_classifier"}.get(_kind, _kind)
     register(f"model_{_name}")(lambda v, k=_kind, o=_options: _classified(v, k, **o))
+register("baseline_first_forest")(lambda v: _classified(v, "forest", numTrees=20, maxDepth=6))
+_WITH_LABEL = f"SELECT p.id, CAST(p.survived AS DOUBLE) AS survived, prediction FROM best JOIN {_P} ON best.key = p.id"
+register("model_naive_bayes", bayes(*_whole(), _PX) + _WITH_LABEL)(lambda v: _classified(v, "bayes"))
+_CELL = ["pclass", "sex_male"]
+
+
+@register("model_decision_tree", cells(*_whole(_CELL), _CELL) + _WITH_LABEL)
+def model_decision_tree(v):
+    """Six cells of two columns: a tree this deep has a leaf for each."""
+    rows = _passengers(v)
+    return models.pipeline(_CELL, models.classifier("tree", "survived", maxDepth=5)).fit(rows).transform(rows).select("id", "survived", "prediction")
+
+
+@register("model_svm")
+def model_svm(v):
+    """A linear machine on random Fourier columns of scaled fields, for an rbf kernel."""
+    rows, names = models.fourier(prep.scale_standard(_passengers(v), _PX), _PX, 0.5, 40)
+    return models.pipeline(names, models.classifier("svm", "survived", maxIter=20)).fit(rows).transform(rows).select("id", "survived", "prediction")
+
+
 register("model_gbt_regressor")(lambda v: models.pipeline(_X, models.regressor("gbt", "target", maxIter=5, lossType="absolute")).fit(_loss(v)).transform(_loss(v)).select("id", "target", "prediction"))
 
 
@@ -77,13 +143,6 @@ def model_importance(v):
     return models.importances(models.pipeline(_X, models.regressor("forest", "target", numTrees=10)).fit(rows).stages[-1], _X, rows.sparkSession)
 
 
-@register("model_quantile_linear")
-def model_quantile_linear(v):
-    rows = prep.scale_standard(_loss(v), _X)
-    w = models.quantile_linear(rows, "target", _X, 0.6, steps=20)
-    return rows.sparkSession.createDataFrame(list(zip(["one", *_X], w, strict=True)), "name string, weight double")
-
-
 _SAMPLE = "(SELECT vec_id FROM {embeddings} ORDER BY (vec_id * 2654435761) % 4294967296, vec_id LIMIT 200)"
 
 
@@ -97,84 +156,98 @@ def model_knn(v):
 
 @register("model_majority", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (SELECT var4 FROM {loss} GROUP BY var4 ORDER BY count(*) DESC, var4 LIMIT 1) AS predicted FROM {loss}")
 def model_majority(v):
-    return v("loss").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").crossJoin(F.broadcast(prefix.most_frequent(v("loss"), "var4").select(F.col("mode").alias("predicted"))))
+    return v("loss").select(*_KEYS).crossJoin(F.broadcast(prefix.most_frequent(v("loss"), "var4").select(F.col("mode").alias("predicted"))))
 
 
-@register("model_group_then_regress", "WITH g AS (SELECT var4, regr_slope(target, var11) AS s, regr_intercept(target, var11) AS i FROM {loss} GROUP BY var4) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, g.i + g.s * var11 AS prediction FROM {loss} l JOIN g ON l.var4 = g.var4", "prediction", 2)
-def model_group_then_regress(v):
-    return models.group_then_regress(v("loss"), v("loss"), "var4", ["var11"], "target").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "prediction")
+# Composite models
 
+_ON_LOSS = f"SELECT 0 AS k, CAST(target > 0 AS INT) AS y, {', '.join(_X)} FROM {_LOSS}", f"SELECT 0 AS k, key, {', '.join(_X)} FROM {_LOSS}"
+_LINE = "(SELECT regr_slope(target, var11) AS s, regr_intercept(target, var11) AS i FROM {loss} WHERE target > 0) r"
 
-register("model_classify_then_regress")(lambda v: models.TwoStage("target", _X, _X, models.classifier("logistic", "y", maxIter=10), models.linear("target", "ordinary", 0)).fit(_loss(v)).transform(_loss(v)).select("id", "target", "prediction"))
-register("model_bin_then_reg")(lambda v: models.TwoStage("target", _X, _X, models.classifier("tree", "y", maxDepth=4), models.regressor("forest", "target", numTrees=5), whole=True).fit(_loss(v)).transform(_loss(v)).select("id", "target", "prediction"))
-register("model_multi_output")(lambda v: models.multi_output(v("quotes").withColumns({c: F.col(c).cast("double") for c in "ab"}), v("quotes").withColumn("key", F.xxhash64("customer_id", "shopping_pt")), ["a", "b"], ["cost", "k"], lambda c: models.classifier("tree", c, maxDepth=3), "key"))
-register("model_by_segment")(lambda v: models.by_segment(_passengers(v).where("id % 4 <> 0"), _passengers(v).where("id % 4 = 0"), ["sex", "pclass"], "survived", ["fare", "age"], "id"))
 
+@register("model_classify_then_regress", bayes(*_ON_LOSS, _X) + f"SELECT {', '.join(_KEYS)}, CASE WHEN prediction > 0 THEN i + s * var11 ELSE 0 END AS prediction FROM best JOIN {_LOSS} ON best.key = l.key CROSS JOIN {_LINE}", "prediction", 4)
+def model_classify_then_regress(v):
+    rows = _loss(v)
+    model = models.TwoStage("target", _X, ["var11"], models.classifier("bayes", "y"), models.linear("target", "ordinary", 0).setSolver("normal"))
+    return model.fit(rows).transform(rows).select(*_KEYS, "prediction")
 
-@register("model_boost_mixed")
-def model_boost_mixed(v):
-    rows = _loss(v).select("id", "target", *_X)
-    learners = {"linear": lambda c: models.linear(c, "ordinary", 0), "tree": lambda c: models.regressor("forest", c, numTrees=3, maxDepth=3)}
-    return models.boost_predict(rows, models.boost_mixed(rows, "target", _X, learners, "id", rounds=2), "id").select("id", "target", "prediction")
 
+_FAR = "(SELECT regr_slope(target - 9000, var11) AS s, regr_intercept(target - 9000, var11) AS i FROM {loss} WHERE target > 9000) r"
 
-register("impute_model_based")(lambda v: models.impute_by_model(v("quotes").withColumn("key", F.xxhash64("customer_id", "shopping_pt")), "risk_factor", ["cost", "k"], models.classifier("tree", "y", maxDepth=4), "key").select("customer_id", "shopping_pt", "risk_factor"))
 
+@register("model_bin_then_reg", cells(f"SELECT 0 AS k, CAST(target > 9000 AS INT) AS y, var8 FROM {_LOSS}", f"SELECT 0 AS k, key, var8 FROM {_LOSS}", ["var8"]) + f"SELECT {', '.join(_KEYS)}, CAST(CASE WHEN prediction > 0 THEN round(i + s * var11) ELSE 0 END AS DOUBLE) AS prediction FROM best JOIN {_LOSS} ON best.key = l.key CROSS JOIN {_FAR}", "prediction", 4)
+def model_bin_then_reg(v):
+    """Whether a loss is beyond 9000, by the cell of a field, then how far, in whole numbers."""
+    rows = _loss(v).withColumn("target", F.col("target") - 9000)
+    model = models.TwoStage("target", ["var8"], ["var11"], models.classifier("tree", "y", maxDepth=8), models.linear("target", "ordinary", 0).setSolver("normal"), whole=True)
+    return model.fit(rows).transform(rows).select(*_KEYS, "prediction")
 
-@register("pca_reduce", "SELECT vec_id, count(*) AS n FROM {cells} GROUP BY vec_id")
-def pca_reduce(v):
-    rows = v("embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
-    out, _ = models.pca_reduce(rows, "vec_id", [f"f{i}" for i in range(64)], count=20)
-    return out.select("vec_id", (F.size("components") + 44).cast("long").alias("n"))
 
+def _quotes(v) -> DataFrame:
+    return v("quotes").withColumn("key", F.col("customer_id") * 1000000 + F.col("shopping_pt"))
 
-def _scored(v) -> DataFrame:
-    return search.out_of_fold(prep.cv_kfold(_passengers(v), "id", 3), "fold", 3, _PX, "survived", lambda: models.classifier("logistic", "survived", maxIter=10), "id", classes=2)
 
+@register("model_multi_output", f"SELECT x.key, concat(x.v, y.v) AS label FROM ({_answers('a')} SELECT key, CAST(prediction AS INT) AS v FROM best) x JOIN ({_answers('b')} SELECT key, CAST(prediction AS INT) AS v FROM best) y ON x.key = y.key")
+def model_multi_output(v):
+    rows = _quotes(v).withColumns({c: F.col(c).cast("double") for c in "ab"})
+    return models.multi_output(rows, rows, ["a", "b"], ["cost", "k"], lambda c: models.classifier("bayes", c), "key")
 
-register("cross_val_score")(lambda v: search.cross_val_score(_scored(v), "fold", metrics.accuracy("survived", "prediction")))
-register("out_of_fold_predict", "SELECT id, CAST(survived AS DOUBLE) AS survived FROM {passengers}")(lambda v: _scored(v).select("id", "survived"))
 
+_SEG = f"(SELECT id, survived, sex, pclass, floor(age / 20) AS band FROM {_P}) g"
+_COMMON = "CASE WHEN 2 * sum(survived) > count(*) THEN 1.0 ELSE 0.0 END"
 
-def _table(v, found) -> DataFrame:
-    return v("passengers").sparkSession.createDataFrame([(str(p), float(s)) for p, s in found], "parameters string, score double")
 
+@register(
+    "model_by_segment",
+    f"WITH tr AS (SELECT * FROM {_SEG} WHERE id % 4 <> 0), te AS (SELECT * FROM {_SEG} WHERE id % 4 = 0), sg AS (SELECT sex, pclass, count(*) AS n, count(DISTINCT survived) AS classes, {_COMMON} AS common FROM tr GROUP BY sex, pclass), ce AS (SELECT sex, pclass, band, {_COMMON} AS v FROM tr GROUP BY ALL), al AS (SELECT {_COMMON} AS v FROM tr) SELECT te.id, CAST(CASE WHEN sg.n IS NULL THEN al.v WHEN classes > 1 AND sg.n >= 6 THEN coalesce(ce.v, sg.common) ELSE sg.common END AS DOUBLE) AS prediction FROM te CROSS JOIN al LEFT JOIN sg ON te.sex = sg.sex AND te.pclass = sg.pclass LEFT JOIN ce ON te.sex = ce.sex AND te.pclass = ce.pclass AND te.band = ce.band",
+)
+def model_by_segment(v):
+    rows = _passengers(v).withColumn("band", F.floor(F.col("age") / 20).cast("double"))
+    return models.by_segment(rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"), ["sex", "pclass"], "survived", ["band"], "id")
 
-register("grid_search")(lambda v: _table(v, search.grid_search(prep.cv_kfold(_passengers(v), "id", 2).cache(), "fold", 2, _PX, "survived", lambda p: models.classifier("tree", "survived", **p), {"maxDepth": [2, 4]}, metrics.accuracy("survived", "prediction"), "id")))
-register("fit_all_classifiers")(lambda v: _table(v, search.best_of(prep.cv_kfold(_passengers(v), "id", 2).cache(), "fold", 2, _PX, "survived", {"tree": lambda: models.classifier("tree", "survived"), "bayes": lambda: models.classifier("bayes", "survived")}, metrics.accuracy("survived", "prediction"), "id")))
 
+@register("model_boost_mixed")
+def model_boost_mixed(v):
+    rows = _loss(v).select("id", "target", *_X)
+    learners = {"linear": lambda c: models.linear(c, "ordinary", 0), "tree": lambda c: models.regressor("forest", c, numTrees=3, maxDepth=3)}
+    return models.boost_predict(rows, models.boost_mixed(rows, "target", _X, learners, "id", rounds=3, share=0.8), "id").select("id", "target", "prediction")
 
-@register("search_genetic")
-def search_genetic(v):
-    rows = prep.cv_kfold(_passengers(v), "id", 2).cache()
-    score = lambda p: search._mean(rows, "fold", 2, _PX, "survived", lambda q: models.classifier("tree", "survived", **q), p, metrics.accuracy("survived", "prediction"), "id")
-    best, value, _ = search.search_genetic(score, {"maxDepth": [1, 2, 3], "minInstancesPerNode": [1, 5]}, population=3, steps=1)
-    return _table(v, [(best, value)])
+
+@register("impute_model_based", f"{_answers('risk_factor', 'risk_factor IS NOT NULL', 'risk_factor IS NULL')} SELECT customer_id, shopping_pt, coalesce(CAST(risk_factor AS DOUBLE), prediction) AS risk_factor FROM {_Q} LEFT JOIN best ON q.key = best.key")
+def impute_model_based(v):
+    return models.impute_by_model(_quotes(v), "risk_factor", ["cost", "k"], models.classifier("bayes", "y"), "key").select("customer_id", "shopping_pt", "risk_factor")
 
 
-register("train_and_report")(lambda v: metrics.classification_report(_classified(v, "tree", maxDepth=4), "survived", "prediction"))
-register("image_region_stats")(lambda v: images.region_stats(images.as_arrays(v("pixels"))))
-register("image_resize_rotate")(lambda v: images.augment(images.as_arrays(v("pixels")), 6, 6))
+# Components and selection
+
+
+def _reduced(v, **how):
+    rows = v("embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
+    return models.pca_reduce(rows, "vec_id", [f"f{i}" for i in range(64)], **how)
+
+
+@register("pca_reduce")
+def pca_reduce(v):
+    """As many components as explain 85 % of the variance, each with a deviation of 1."""
+    return _reduced(v, share=0.85, whiten=True)[0].select("vec_id", F.posexplode("components").alias("component", "value"))
 
 
 @register("variance_cutoff")
 def variance_cutoff(v):
     """The fewest components that explain more than half of the variance."""
-    rows = v("embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
-    _, explained = models.pca_reduce(rows, "vec_id", [f"f{i}" for i in range(64)], share=0.5)
-    return rows.sparkSession.createDataFrame([(len(explained), float(sum(explained)))], "k long, explained double")
+    _, explained = _reduced(v, share=0.5)
+    return v("embeddings").sparkSession.createDataFrame([(len(explained), float(sum(explained)))], "k long, explained double")
 
 
 @register("svd_components")
 def svd_components(v):
     """The first 20 right vectors of the centred matrix, as projections of every row."""
-    rows = v("embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
-    return models.pca_reduce(rows, "vec_id", [f"f{i}" for i in range(64)], count=20)[0].select("vec_id", F.posexplode("components").alias("component", "value"))
+    return _reduced(v, count=20)[0].select("vec_id", F.posexplode("components").alias("component", "value"))
 
 
 @register("select_rfe")
 def select_rfe(v):
-    rows = prep.scale_standard(_loss(v), _X).cache()
+    rows = prep.scale_standard(_loss(v), _X).persist()
 
     def fit(own):
         return dict(zip(own, map(abs, models.pipeline(own, models.linear("target", "ordinary", 0)).fit(rows).stages[-1].coefficients), strict=True))
@@ -182,7 +255,9 @@ def select_rfe(v):
     def score(own):
         return -float(models.pipeline(own, models.linear("target", "ordinary", 0)).fit(rows).transform(rows).agg(metrics.mae(F.col("target"), F.col("prediction"))).first()[0])
 
-    return rows.sparkSession.createDataFrame([(",".join(f), s) for f, s in search.select_rfe(rows, _X, fit, score)], "features string, score double")
+    found = search.select_rfe(rows, _X, fit, score)
+    rows.unpersist()
+    return rows.sparkSession.createDataFrame([(",".join(f), s) for f, s in found], "features string, score double")
 
 
 @register("select_top25_by_forest")
@@ -194,34 +269,140 @@ def select_top25_by_forest(v):
     return models.importances(model.stages[-1], names, rows.sparkSession).orderBy(F.desc("mean"), "name").limit(25)
 
 
-register("baseline_first_forest")(lambda v: _classified(v, "forest", numTrees=20, maxDepth=6))
-register("split_shuffle")(lambda v: v("passengers").select("id", (prep.shuffled("id", 11) < 0.3 * 4294967296).alias("is_test")))
-register("load_titanic_table")(lambda v: _passengers(v).join(prefix.integerize([v("passengers")], "embarked").withColumnRenamed("code", "embarked_code"), "embarked", "left").select("id", "survived", *_PX, "embarked_code", F.lit(1.0).alias("weight")))
+# Validation and search
 
 
-@register("predict_and_submit")
-def predict_and_submit(v):
-    """Fitted on the labelled rows, predicted for the others, every id with a whole prediction."""
-    rows = _passengers(v)
-    got = models.pipeline(_PX, models.classifier("tree", "survived", maxDepth=4)).fit(rows.where("id % 4 <> 0")).transform(rows.where("id % 4 = 0"))
-    return io.submission(rows.where("id % 4 = 0"), got.select("id", "prediction"), "id", "prediction", whole=True)
+def _scored(v, n: int = 3) -> DataFrame:
+    return search.out_of_fold(prep.cv_kfold(_passengers(v), "id", n), "fold", n, _PX, "survived", lambda: models.classifier("bayes", "survived"), "id", classes=2)
+
+
+_ACC = f"SELECT best.k AS fold, avg(CAST(prediction = p.survived AS DOUBLE)) AS score FROM best JOIN {_P} ON best.key = p.id GROUP BY best.k"
+register("cross_val_score", bayes(*_folds(3), _PX) + _ACC, "score")(lambda v: search.cross_val_score(_scored(v), "fold", metrics.accuracy("survived", "prediction")).select(F.col("fold").cast("long"), "score"))
+register("out_of_fold_predict", bayes(*_folds(3), _PX) + f"SELECT p.id, best.k AS fold, CAST(p.survived AS DOUBLE) AS survived, prediction, p0.p AS p0, p1.p AS p1 FROM {_P} JOIN best ON best.key = p.id JOIN pr p0 ON p0.key = p.id AND p0.c = 0 JOIN pr p1 ON p1.key = p.id AND p1.c = 1", "p0 p1", 7)(
+    lambda v: _scored(v).select("id", F.col("fold").cast("long"), "survived", "prediction", F.col("p")[0].alias("p0"), F.col("p")[1].alias("p1"))
+)
+#: How far a class must be ahead: the candidates of the searches.
+_AHEAD = [(0.5, 0.5), (0.6, 0.4), (0.4, 0.6), (0.8, 0.2)]
+#: parameters, score (mean over two folds) of every candidate.
+_TRIED = " UNION ALL ".join(f"SELECT '{{''thresholds'': {t}}}' AS parameters, avg(score) AS score FROM ({bayes(*_folds(2), _PX, t)}{_ACC}) s{i}" for i, t in enumerate(_AHEAD))
+
+
+def _table(v, found) -> DataFrame:
+    return v("passengers").sparkSession.createDataFrame([(str(p), float(s)) for p, s in found], "parameters string, score double")
+
+
+def _best(v, score: float) -> DataFrame:
+    return v("passengers").sparkSession.createDataFrame([(float(score),)], "score double")
+
+
+def _searched(v, folds: int = 2):
+    rows = prep.cv_kfold(_passengers(v), "id", folds).persist()
+    return rows, lambda p: models.classifier("bayes", "survived", **p), metrics.accuracy("survived", "prediction")
+
 
+@register("grid_search", _TRIED, "score")
+def grid_search(v):
+    rows, make, score = _searched(v)
+    found = _table(v, search.grid_search(rows, "fold", 2, _PX, "survived", make, {"thresholds": _AHEAD}, score, "id"))
+    rows.unpersist()
+    return found
 
-@register("fit_with_search")
+
+@register("search_genetic", f"SELECT max(score) AS score FROM ({_TRIED}) t", "score")
+def search_genetic(v):
+    """Best score of a search whose population can hold every candidate."""
+    rows, make, score = _searched(v)
+    evaluate = lambda p: search._mean(rows, "fold", 2, _PX, "survived", make, p, score, "id")
+    _, value, _ = search.search_genetic(evaluate, {"thresholds": _AHEAD}, population=8, steps=6)
+    rows.unpersist()
+    return _best(v, value)
+
+
+@register("fit_all_classifiers", f"SELECT 'bayes' AS parameters, avg(score) AS score FROM ({bayes(*_folds(3, _CELL), _CELL)}{_ACC}) a UNION ALL SELECT 'tree', avg(score) FROM ({cells(*_folds(3, _CELL), _CELL)}{_ACC}) b", "score")
+def fit_all_classifiers(v):
+    rows, _, score = _searched(v, 3)
+    found = _table(v, search.best_of(rows, "fold", 3, _CELL, "survived", {"tree": lambda: models.classifier("tree", "survived", maxDepth=5), "bayes": lambda: models.classifier("bayes", "survived")}, score, "id"))
+    rows.unpersist()
+    return found
+
+
+@register("fit_with_search", f"SELECT max(score) AS score FROM ({_TRIED}) t", "score")
 def fit_with_search(v):
     """Grid search, then the best is fitted on all rows and stored with its score if that beats the stored one."""
-    rows = prep.cv_kfold(_passengers(v), "id", 2).cache()
-    found = search.grid_search(rows, "fold", 2, _PX, "survived", lambda p: models.classifier("tree", "survived", **p), {"maxDepth": [2, 3]}, metrics.accuracy("survived", "prediction"), "id")
+    rows, make, score = _searched(v)
+    found = search.grid_search(rows, "fold", 2, _PX, "survived", make, {"thresholds": _AHEAD}, score, "id")
     path = io.fresh(rows.sparkSession, "model")
-    stored = io.save_if_better(models.pipeline(_PX, models.classifier("tree", "survived", **found[0][0])).fit(rows), found[0][1], path, rows.sparkSession)
-    return rows.sparkSession.createDataFrame([(str(found[0][0]), float(stored))], "parameters string, score double")
+    stored = io.save_if_better(models.pipeline(_PX, make(found[0][0])).fit(rows), found[0][1], path, rows.sparkSession)
+    rows.unpersist()
+    return _best(v, stored)
+
+
+@register("make_pipeline", f"SELECT avg(score) AS score, CAST(2 AS BIGINT) AS candidates FROM ({bayes(*_folds(2), _PX, [0.6, 0.4])}{_ACC}) s", "score")
+def make_pipeline(v):
+    """Named steps with a grid of parameters by step: assembled fields, then a classifier; the second candidate's score."""
+    rows, _, score = _searched(v)
+    made, candidates = models.make_pipeline({"fields": models.assembled(_PX), "model": models.classifier("bayes", "survived")}, {"model__thresholds": _AHEAD[:2]})
+    scored = search.out_of_fold(rows, "fold", 2, _PX, "survived", lambda: models.configured(made, candidates[1]), "id")
+    value = search.cross_val_score(scored, "fold", score).agg(F.avg("score")).first()[0]
+    rows.unpersist()
+    return _best(v, value).withColumn("candidates", F.lit(len(candidates)).cast("long"))
+
+
+def _report(c: int) -> str:
+    hit = f"count(*) FILTER (y = {c} AND q = {c})"
+    return f"SELECT {c} AS class, {hit} / nullif(CAST(count(*) FILTER (q = {c}) AS DOUBLE), 0) AS precision, {hit} / CAST(count(*) FILTER (y = {c}) AS DOUBLE) AS recall, 2 * {hit} / CAST(count(*) FILTER (y = {c}) + count(*) FILTER (q = {c}) AS DOUBLE) AS f1, count(*) FILTER (y = {c}) AS support FROM z"
+
+
+def _tested(v) -> DataFrame:
+    rows = _passengers(v)
+    return models.pipeline(_PX, models.classifier("bayes", "survived")).fit(rows.where("id % 4 <> 0")).transform(rows.where("id % 4 = 0"))
+
+
+_TESTED = bayes(*_whole(train="id % 4 <> 0", test="id % 4 = 0"), _PX)
+register("train_and_report", _TESTED + f", z AS (SELECT p.survived AS y, prediction AS q FROM best JOIN {_P} ON best.key = p.id) {_report(0)} UNION ALL {_report(1)}", "precision recall f1")(lambda v: metrics.classification_report(_tested(v), "survived", "prediction"))
+
+
+@register("predict_and_submit", _TESTED + "SELECT key AS id, CAST(prediction AS BIGINT) AS prediction FROM best")
+def predict_and_submit(v):
+    """Fitted on the labelled rows, predicted for the others, every id with a whole prediction."""
+    return io.submission(_passengers(v).where("id % 4 = 0"), _tested(v).select("id", "prediction"), "id", "prediction", whole=True)
+
+
+# Tables and sinks
+
+register("split_shuffle", "SELECT id, (id * 2654435761 + 11) % 4294967296 < 0.3 * 4294967296 AS is_test FROM {passengers}")(lambda v: v("passengers").select("id", (prep.shuffled("id", 11) < 0.3 * 4294967296).alias("is_test")))
+register("load_titanic_table", f"SELECT id, CAST(survived AS DOUBLE) AS survived, CAST(pclass AS INT) AS pclass, fare, age, CAST(sex_male AS INT) AS sex_male, dense_rank() OVER (ORDER BY embarked) - 1 AS embarked_code, 1.0::DOUBLE AS weight FROM {_P}", "fare age")(
+    lambda v: _passengers(v).join(prefix.integerize([v("passengers")], "embarked").withColumnRenamed("code", "embarked_code"), "embarked", "left").select("id", "survived", *_PX, "embarked_code", F.lit(1.0).alias("weight"))
+)
 
 
-@register("sink_model_best")
+@register("sink_model_best", "SELECT pclass, max(score) OVER (ORDER BY pclass) AS stored FROM (SELECT pclass, avg(survived) AS score FROM {passengers} GROUP BY pclass) t", "stored")
 def sink_model_best(v):
-    """A stored model is replaced only by a better one."""
+    """Models with a score for each class of passengers, in turn: a stored one is replaced only by a better one."""
     rows = _passengers(v)
     model = models.pipeline(_PX, models.classifier("tree", "survived", maxDepth=2)).fit(rows)
     path = io.fresh(rows.sparkSession, "model")
-    kept = [io.save_if_better(model, s, path, rows.sparkSession) for s in (0.5, 0.4, 0.9)]
-    return rows.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(kept)], "step long, stored double")
+    scores = rows.groupBy("pclass").agg(F.avg("survived").alias("score")).orderBy("pclass").collect()  # a row for each class
+    kept = [(r["pclass"], io.save_if_better(model, r["score"], path, rows.sparkSession)) for r in scores]
+    return rows.sparkSession.createDataFrame(kept, "pclass long, stored double")
+
+
+# Images
+
+_DARK = """WITH RECURSIVE px AS (SELECT image_id, r, c, r * 8 + c AS i, v < avg(v) OVER (PARTITION BY image_id) AS dark FROM {pixels}),
+d AS (SELECT DISTINCT a.image_id, a.r, a.c, a.i, a.dark FROM px a JOIN px b ON a.image_id = b.image_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND b.dark),
+g(image_id, i, o) AS (SELECT image_id, i, i FROM d UNION SELECT g.image_id, g.i, y.i FROM g JOIN d x ON g.image_id = x.image_id AND g.o = x.i JOIN d y ON y.image_id = x.image_id AND abs(x.r - y.r) <= 1 AND abs(x.c - y.c) <= 1),
+m AS (SELECT image_id, i, max(o) AS region FROM g GROUP BY image_id, i),
+s AS (SELECT d.image_id, region, count(*) AS size, covar_samp(d.c, d.r) AS xy, var_samp(d.c) AS xx, var_samp(d.r) AS yy FROM d JOIN m ON d.image_id = m.image_id AND d.i = m.i GROUP BY d.image_id, region HAVING 2 * count(*) FILTER (dark) >= count(*)),
+e AS (SELECT *, (xx + yy) / 2 + sqrt(pow((xx - yy) / 2, 2) + xy * xy) AS big, (xx + yy) / 2 - sqrt(pow((xx - yy) / 2, 2) + xy * xy) AS low, row_number() OVER (PARTITION BY image_id ORDER BY size DESC, region) AS k FROM s),
+a AS (SELECT image_id, count(*) AS n_regions, max(size) AS largest, avg(size) AS mean_size, max(size) / 64.0 AS largest_share FROM e GROUP BY image_id)
+SELECT i.image_id, coalesce(n_regions, 0) AS n_regions, coalesce(largest, 0) AS largest, coalesce(mean_size, 0) AS mean_size, coalesce(largest_share, 0) AS largest_share,
+  CASE WHEN n_regions IS NULL THEN 0 WHEN big > 0 THEN sqrt(greatest(low, 0) / big) ELSE 1 END AS axis_ratio
+FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN a ON i.image_id = a.image_id LEFT JOIN e ON e.image_id = i.image_id AND e.k = 1"""
+_TURN = """WITH o AS (SELECT image_id, angle, y * 6 + x AS p, (y + 0.5) * 8 / 6 - 0.5 - 3.5 AS dy, (x + 0.5) * 8 / 6 - 0.5 - 3.5 AS dx, radians(angle) AS a FROM (SELECT DISTINCT image_id FROM {pixels}) i CROSS JOIN (SELECT unnest([0, 90, 180, 270]) AS angle) g CROSS JOIN (SELECT unnest(range(6)) AS y) yy CROSS JOIN (SELECT unnest(range(6)) AS x) xx),
+s AS (SELECT image_id, angle, p, least(greatest(3.5 + dy * cos(a) - dx * sin(a), -2), 8.999) AS sy, least(greatest(3.5 + dy * sin(a) + dx * cos(a), -2), 8.999) AS sx FROM o),
+f AS (SELECT *, CAST(floor(sy) AS INT) AS i, CAST(floor(sx) AS INT) AS j, sy - floor(sy) AS fy, sx - floor(sx) AS fx FROM s),
+q AS (SELECT image_id, angle, p, i + di AS r, j + dj AS c, CASE di WHEN 0 THEN 1 - fy ELSE fy END * CASE dj WHEN 0 THEN 1 - fx ELSE fx END AS w FROM f CROSS JOIN (SELECT unnest([0, 0, 1, 1]) AS di, unnest([0, 1, 0, 1]) AS dj) n)
+SELECT q.image_id, CAST(angle AS DOUBLE) AS angle, CAST(p AS INT) AS p, 255 - sum(w * coalesce(v, 255)) AS v FROM q LEFT JOIN {pixels} x ON q.image_id = x.image_id AND q.r = x.r AND q.c = x.c GROUP BY q.image_id, angle, p"""
+register("image_region_stats", _DARK, "mean_size largest_share axis_ratio", 6)(lambda v: images.region_stats(images.as_arrays(v("pixels"))))
+register("image_resize_rotate", _TURN, "v", 6)(lambda v: images.augment(images.as_arrays(v("pixels")), 6, 6).select("image_id", "angle", F.posexplode("flat").alias("p", "v")))

@@ -94,8 +94,9 @@ def as_sql(query: str) -> str:
     plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text)
     parts = ",\n".join(f"{n} AS ({plain(CELLS['sql'] if n == 'cells' else VIEWS[n])})" for n in order)
     own = plain(query)
-    if parts and own.startswith("WITH "):
-        return f"WITH {parts},\n{own.removeprefix('WITH ')}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if parts and own.startswith(head):
+            return f"{head}{parts},\n{own.removeprefix(head)}"
     return (f"WITH {parts}\n" if parts else "") + own
 
 

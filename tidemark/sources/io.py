@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where none is set, as in tests."""
+    """The folder that the cluster shares. One machine that has none set, as in tests, takes a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or "/tmp/checkpoints").rstrip("/")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    return (found or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
 def fresh(spark: SparkSession, name: str) -> str:
@@ -57,11 +63,32 @@ def read_split(features: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return features.join(labels, key)
 
 
-def read_images_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """path, class (the parent folder), height, width, pixels (grey, row by row); files that aren't images are left out."""
-    raw = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
-    name = F.element_at(F.split("image.origin", "/"), -2)
-    return raw.select(F.col("image.origin").alias("path"), name.alias("class"), "image.height", "image.width", "image.nChannels", "image.data")
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes a file for each row of path (below the folder) and content; every task writes its own. Gives their number."""
+
+    def run(batches):
+        local = "://" not in folder or folder.startswith("file:")
+        store, top = (pafs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if local else pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                store.create_dir(f"{top}/{path}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{top}/{path}", compression=None) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def read_images_labelled(spark: SparkSession, path: str, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(images: path, class (the parent folder), height, width, nChannels, data; skipped: path, message) of a folder's image files; with
+    listed (a column path of file names as they end), of those only. Files that aren't images are skipped with a message."""
+    raw = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path).select("image.*")
+    raw = raw.withColumn("path", F.col("origin"))
+    if listed is not None:
+        name = lambda c, n: F.array_join(F.slice(F.split(c, "/"), -n, n), "/")
+        raw = raw.withColumn("__name", name("path", 2)).join(listed.select(name("path", 2).alias("__name")).distinct(), "__name", "left_semi").drop("__name")
+    good = raw.where("height >= 0").select("path", F.element_at(F.split("path", "/"), -2).alias("class"), "height", "width", "nChannels", "data")
+    return good, raw.where("height < 0").select("path", F.concat(F.lit("not an image: "), F.element_at(F.split("path", "/"), -1)).alias("message"))
 
 
 def read_scores_text(spark: SparkSession, path: str) -> DataFrame:
