@@ -121,7 +121,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, positiv
     return texts(docs).join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").cast("double").alias("label"))
 
 
-def _fitted(rows: DataFrame, l2: float = 1e-5, steps: int = 25):
+def _fitted(rows: DataFrame, l2: float = 1e-5, steps: int = 15):
     """Logistic regression by gradients summed in tasks; both classes have the same weight in all. None without both classes."""
     from pyspark.ml.classification import LogisticRegression  # the workers that score need not load it
 
