@@ -120,7 +120,7 @@ class Index:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * self.vote(near, cosine) + self.shift)))), near
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 1500, toxic: int = 300) -> Index | None:
+def train(docs: DataFrame, labels: DataFrame, bound: int = 1200, toxic: int = 240) -> Index | None:
     """An index of at most bound examples, at most `toxic` of them toxic; labels: doc_id, toxic. Null without rows of both classes."""
     rows = labelled(docs, labels, "toxic", bound, toxic).select(F.col("doc_id").cast("long"), "text", (F.col("label") > 0).cast("int").alias("label"))
 
