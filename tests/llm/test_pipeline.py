@@ -75,3 +75,28 @@ def test_run_gives_the_last_stage(spark, stages):
     order = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     key = lambda df: sorted(tuple(r[c] for c in order if c in ("doc_id", "doc_tokens")) for r in df.select("doc_id", "doc_tokens").distinct().collect())
     assert key(pipe.run(spark, SF)) == key(stages[-1][2])
+
+
+def test_stages_with_nulls_empty_tables_and_clashing_names(spark):
+    """Null ids and texts, repeated rows, other columns with names that operators use; then no rows at all."""
+    pipe = importlib.import_module("corpus_pipeline")
+    good = "This is a plain and useful text about {0} gardens and the many ways in which people of all ages have cared for them over the years, written for readers who like {0} stories."
+    rows = [(1, good.format("rose")), (1, good.format("rose")), (2, None), (3, ""), (None, good.format("water")), (4, good.format("rock") + " password = hunter22hunter22 " + " ".join(f"u{i}" for i in range(30)))]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or ""), 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, block int, removed int, node int, label int")
+    for own in (docs, docs.limit(0)):
+        for name, stage in pipe.STAGES:
+            out = stage(spark, own, SF)
+            assert name == "packing" or out.columns == docs.columns
+            own = spark.createDataFrame(out.collect(), out.schema)
+        assert own.where("length < 1").count() == 0
+
+
+def test_tables_between_stages_are_deleted(spark):
+    from tidemark.llm import common
+
+    mark = common.marked()
+    a, b = (common.written(spark.range(3), "some") for _ in range(2))
+    common.clear(spark, mark)
+    assert common.marked() == mark + 1 and b.count() == 3
+    with pytest.raises(Exception):
+        a.count()

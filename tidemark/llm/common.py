@@ -61,12 +61,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession, keep: list[str]) -> None:
-    """Deletes the tables that written() has made in this process, but those whose files are in keep (DataFrame.inputFiles)."""
-    for path in [p for p in _written if not any(p.rsplit("/", 1)[1] in k for k in keep)]:
+def clear(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that written() has made in this process since there were so many of them (marked()), but the last one."""
+    for path in _written[since:-1]:
         own = spark._jvm.org.apache.hadoop.fs.Path(path)
         own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
-        _written.remove(path)
+    _written[since:] = _written[since:][-1:]
+
+
+def marked() -> int:
+    return len(_written)
 
 
 def partitions(spark: SparkSession) -> int:
