@@ -76,24 +76,13 @@ def shopper_offer_features(transactions: DataFrame, history: DataFrame, offers:
     of all its rows, whether, for how much and how many. One shuffle: transactions meet the shopper's offer, then one aggregate."""
     asked = history.select("id", F.col("chain").alias("o_chain"), "offer", "offerdate").join(offers.select("offer", *[F.col(c).alias(f"o_{c}") for c in ("category", "company", "brand")]), "offer", "left")
     held = transactions.select("id", "chain", "category", "company", "brand", "date", "amount", "quantity").join(asked, "id").withColumn("ago", F.datediff("offerdate", "date"))
-    aggs = [F.count("*").alias("all_rows")]
-    for fields in sets:
-        name = "_".join(fields)
-        same = F.lit(True)
-        for c in fields:
-            same = same & (F.col(c) == F.col(f"o_{c}"))
-        for span in (None, *spans):
-            hit = same if span is None else same & F.col("ago").between(0, span)
-            tag = name if span is None else f"{name}_{span}"
-            aggs += [F.count(F.when(hit, 1)).alias(f"{tag}_num"), F.coalesce(F.sum(F.when(hit, F.col("amount"))), F.lit(0.0)).alias(f"{tag}_amt"), F.coalesce(F.sum(F.when(hit, F.col("quantity"))), F.lit(0.0)).alias(f"{tag}_quant")]
-    sums = held.groupBy("id").agg(*aggs)
-    out = ["id"]
-    for fields in sets:
-        for span in (None, *spans):
-            tag = "_".join(fields) if span is None else f"{'_'.join(fields)}_{span}"
-            n = F.col(f"{tag}_num")
-            out += [n, (n / F.col("all_rows")).alias(f"{tag}_freq"), (n > 0).cast("int").alias(f"{tag}_has"), (n == 0).cast("int").alias(f"{tag}_never"), F.col(f"{tag}_amt"), F.col(f"{tag}_quant")]
-    return sums.select(*out)
+    names = {("_".join(f) + (f"_{s}" if s else "")): " AND ".join([*(f"{c} = o_{c}" for c in f), *([f"ago BETWEEN 0 AND {s}"] if s else [])]) for f in sets for s in (None, *spans)}
+    sums = {"all_rows": "count(*)"}
+    for tag, hit in names.items():
+        sums |= {f"{tag}_num": f"count_if({hit})", **{f"{tag}_{short}": f"coalesce(sum(CASE WHEN {hit} THEN {c} END), 0D)" for short, c in (("amt", "amount"), ("quant", "quantity"))}}
+    made = held.groupBy("id").agg(*[F.expr(f"{e} AS {c}") for c, e in sums.items()])
+    shown = [x for t in names for x in (f"{t}_num", f"{t}_num / all_rows AS {t}_freq", f"CAST({t}_num > 0 AS INT) AS {t}_has", f"CAST({t}_num = 0 AS INT) AS {t}_never", f"{t}_amt", f"{t}_quant")]
+    return made.selectExpr("id", *shown)
 
 
 def shopper_recency_spend(transactions: DataFrame, history: DataFrame) -> DataFrame:

@@ -108,11 +108,10 @@ DIGITS = 12
 def rounded(df: DataFrame, columns: list[str], places: int) -> DataFrame:
     """df with columns as doubles of DIGITS significant digits, at most `places` of them decimal."""
 
-    def one(c: str) -> Column:
-        x = F.col(c).cast("double")
-        scale = F.pow(F.lit(10.0), F.greatest(F.lit(0.0), F.least(F.lit(float(places)), DIGITS - 1 - F.floor(F.log10(F.abs(x))).cast("double"))))
-        finite = (x != 0) & ~F.isnan(x) & (F.abs(x) != float("inf"))
-        return F.when(finite, F.round(x * scale) / scale + F.lit(0.0)).otherwise(x + F.lit(0.0))
+    def one(c: str) -> Column:  # as text: a call for each column, not for each function
+        x = f"CAST(`{c}` AS DOUBLE)"
+        scale = f"pow(10D, greatest(0D, least({float(places)}D, {DIGITS - 1} - CAST(floor(log10(abs({x}))) AS DOUBLE))))"
+        return F.expr(f"CASE WHEN {x} <> 0 AND NOT isnan({x}) AND abs({x}) <> double('infinity') THEN round({x} * {scale}) / {scale} + 0D ELSE {x} + 0D END")
 
     return df.withColumns({c: one(c) for c in columns}) if columns else df
 
