@@ -78,6 +78,27 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+_COMMON = "[" + ", ".join(f"'{w}'" for w in sorted({w for words in spotsigs.COMMON.values() for w in words})) + "]"
+_BREAKS = " || ".join(f"chr({ord(c)})" for c in spotsigs._BREAKS)
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS after FROM d),
+e AS (SELECT doc_id, text, substr(text, 1, length(text) - length(text) // 4) || substr(after, 1, length(text) // 4) AS edited FROM n),
+w AS (SELECT doc_id, kind, list_filter(string_split(translate(lower(t), {_BREAKS}, repeat(' ', {len(spotsigs._BREAKS)})), ' '), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, 0 AS kind, text AS t FROM e UNION ALL SELECT doc_id, 1, edited FROM e) b),
+c AS (SELECT *, [{{'x': w[i], 'anchored': i > 1 AND list_contains({_COMMON}, w[greatest(i - 1, 1)])}} FOR i IN range(1, len(w) + 1) IF NOT list_contains({_COMMON}, w[i])] AS c FROM w),
+h AS (SELECT *, [{{'anchored': c[i].anchored, 'h': md5(c[i].x || ' ' || c[i + 1].x || ' ' || c[i + 2].x)[1:16]}} FOR i IN range(1, greatest(len(c) - 1, 1))] AS h FROM c),
+s AS (SELECT doc_id, kind, CASE WHEN len(c) < 3 AND len(w) > 0 THEN [md5('short ' || array_to_string(w, ' '))[1:16]]
+  WHEN len(list_filter(h, lambda x: x.anchored)) > 0 THEN list_sort(list_distinct([x.h FOR x IN h IF x.anchored])) ELSE list_sort(list_distinct([x.h FOR x IN h])) END AS s FROM h),
+o AS (SELECT a.doc_id, a.s AS own, b.s AS edited, coalesce(lead(a.s) OVER (ORDER BY a.doc_id), first_value(a.s) OVER (ORDER BY a.doc_id)) AS after FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.kind = 0 AND b.kind = 1),
+k AS (SELECT *, len(list_intersect(own, edited)) AS k1, len(list_intersect(own, after)) AS k2 FROM o)
+SELECT k.doc_id, CAST(length(e.text) AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, len(own) || ':' || array_to_string(own, '.') AS fingerprint, len(k.edited) || ':' || array_to_string(k.edited, '.') AS edited_fingerprint,
+  CASE WHEN len(own) + len(k.edited) = 0 THEN 1.0::DOUBLE ELSE CAST(k1 AS DOUBLE) / (len(own) + len(k.edited) - k1) END AS near_edited,
+  CASE WHEN len(own) + len(after) = 0 THEN 1.0::DOUBLE ELSE CAST(k2 AS DOUBLE) / (len(own) + len(after) - k2) END AS near_next
+FROM k JOIN e ON k.doc_id = e.doc_id
+"""
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(table(spark, sf_dir, "documents"))
 
@@ -133,4 +154,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": OP2_SQL, "op3_chat": OP3_SQL, "op5_warc": OP5_SQL, "op7_ngram_join": OP7_SQL}
+    return {"op2_substring": OP2_SQL, "op3_chat": OP3_SQL, "op5_warc": OP5_SQL, "op6_spotsigs": OP6_SQL, "op7_ngram_join": OP7_SQL}

@@ -31,19 +31,24 @@ MOST_RANGES = 4000
 _BREAKS = ".,;:!?|()\"'\n\r\t\f\v*#$%&<>=/"
 
 
+def _hash(text: Column) -> Column:
+    """64 bits of a hash that other engines have too."""
+    return F.substring(F.md5(F.encode(text, "UTF-8")), 1, 16)
+
+
 def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
-    """df and the column out: sorted distinct signatures (64-bit hashes of chains) of the column text."""
+    """df and the column out: sorted distinct signatures (hashes of chains, 16 hexadecimal digits) of the column text."""
     common = sorted({w for words in COMMON.values() for w in words})
     w, c, s = f"__{out}_words", f"__{out}_content", f"__{out}_chains"
     df = df.withColumn(w, F.filter(F.split(F.translate(F.lower(text), _BREAKS, " " * len(_BREAKS)), " "), lambda x: x != ""))
     tagged = F.transform(w, lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get(F.col(w), i - 1).isin(common), F.lit(False)).alias("anchored")))
     df = df.withColumn(c, F.filter(tagged, lambda p: ~p["x"].isin(common)))
-    chained = F.transform(c, lambda p, i: F.when(i + (chain - 1) < F.size(c), F.struct(p["anchored"].alias("anchored"), F.xxhash64(p["x"], *(F.get(F.col(c), i + k)["x"] for k in range(1, chain))).alias("h"))))
+    chained = F.transform(c, lambda p, i: F.when(i + (chain - 1) < F.size(c), F.struct(p["anchored"].alias("anchored"), _hash(F.concat_ws(" ", p["x"], *(F.get(F.col(c), i + k)["x"] for k in range(1, chain)))).alias("h"))))
     df = df.withColumn(s, F.filter(chained, lambda p: p.isNotNull()))
     spots = F.filter(s, lambda p: p["anchored"])
     some = F.when(F.exists(s, lambda p: p["anchored"]), spots).otherwise(F.col(s))
     short = (F.size(c) < chain) & (F.size(w) > 0)
-    return df.withColumn(out, F.when(short, F.array(F.xxhash64(F.lit("short"), F.col(w)))).otherwise(F.array_sort(F.array_distinct(F.transform(some, lambda p: p["h"]))))).drop(w, c, s)
+    return df.withColumn(out, F.when(short, F.array(_hash(F.concat_ws(" ", F.lit("short"), F.col(w))))).otherwise(F.array_sort(F.array_distinct(F.transform(some, lambda p: p["h"]))))).drop(w, c, s)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -53,7 +58,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def shown(signatures: Column) -> Column:
-    return F.concat_ws(":", F.size(signatures).cast("string"), F.array_join(F.transform(signatures, lambda h: F.lower(F.hex(h))), "."))
+    return F.concat_ws(":", F.size(signatures).cast("string"), F.array_join(signatures, "."))
 
 
 def _bucket(key: Column, bounds: list) -> Column:
@@ -115,7 +120,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, Dat
     hold like sets; of each set only the signatures are looked up that a like one must share (a prefix in hash order), and
     pairs whose lengths rule the similarity out are dropped before sets are compared.
     """
-    sets = with_signatures(texts(docs), "text", "signatures").select("doc_id", "signatures", F.sha2(F.array_join(F.transform("signatures", lambda h: h.cast("string")), ","), 256).alias("digest"))
+    sets = with_signatures(texts(docs), "text", "signatures").select("doc_id", "signatures", F.sha2(F.array_join("signatures", ","), 256).alias("digest"))
     sets = written(sets, "spotsigs")
     members = sets.join(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").select("doc_id", "rep")
     own = sets.join(members.where("doc_id = rep"), "doc_id", "left_semi").where(F.size("signatures") > 0).select("doc_id", "signatures", F.size("signatures").alias("n"))
