@@ -312,7 +312,7 @@ class Encoder:
 
     LIMIT = 700_000
     #: Code points of text that are worked on at once, and of all pieces kept.
-    STEP = 1 << 20
+    STEP = 1 << 18
     KEPT = 1 << 24
 
     def __init__(self, path: str):

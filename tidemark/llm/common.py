@@ -20,9 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch at most: with texts of some KB a batch has some MB, in the JVM and in Python.
+BATCH_ROWS = 1000
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, with the session's Arrow batches held at BATCH_ROWS rows."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns; whatever else the table carries is left out."""
-    return docs.select("doc_id", *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return bounded(docs).select("doc_id", *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def unused(columns: list[str], name: str) -> str:
@@ -83,7 +95,7 @@ BASE = xxhash.xxh3_64_intdigest("base") | 5
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 #: So many powers of BASE and of its inverse are kept; longer data are rare and have theirs made anew.
-POWERS = 1 << 21
+POWERS = 1 << 20
 
 
 def _made(n: int) -> list[np.ndarray]:
@@ -108,7 +120,7 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return h
 
 
-def word_hashes(texts: list[str], lower: bool = False, most_bytes: int = 1 << 20) -> Iterator[np.ndarray]:
+def word_hashes(texts: list[str], lower: bool = False, most_bytes: int = 1 << 18) -> Iterator[np.ndarray]:
     """64-bit hashes of the words (runs without blanks and \\t\\n\\v\\f\\r) of each text; lower: A-Z count as a-z."""
     group: list[bytes] = []
     size = 0

@@ -66,8 +66,8 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 
         def frequent() -> Iterator[pa.RecordBatch]:
             all_ = np.concatenate(held)
-            cell = (all_ >> np.uint64(42)).astype(np.int32)  # only tokens of cells that are met often can be frequent
-            all_ = all_[np.bincount(cell, minlength=1 << 22)[cell] >= 8]
+            cell = (all_ >> np.uint64(44)).astype(np.int32)  # only tokens of cells that are met often can be frequent
+            all_ = all_[np.bincount(cell, minlength=1 << 20)[cell] >= 8]
             token, count = np.unique(all_, return_counts=True)
             keep = np.flatnonzero(count >= 8)
             keep = keep[np.argsort(-count[keep], kind="stable")[:4096]]
@@ -96,7 +96,7 @@ def _incidence(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, bloc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in pieces(batches, 16 << 20):
+        for batch in pieces(batches, 8 << 20):
             rows, entries = [], []
             for doc, tokens in zip(batch.column("doc_id").to_pylist(), shingles(batch.column("text").to_pylist(), n), strict=True):
                 size = len(tokens)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, texts, written
+from .common import bounded, mixed, pieces, texts, written
 
 BITS = 15
 DIMS = 1 << BITS
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, *m
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in more), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
     names = ["doc_id", *more, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
-    source = docs.select("doc_id", *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    source = bounded(docs).select("doc_id", *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in ["doc_id", *more])
     return source.mapInArrow(run, schema + ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
 
@@ -199,4 +199,4 @@ def keep(docs: DataFrame, labels: DataFrame, bound: int = 4000, threshold: float
                 good.append(not failed and (model is None or model.probability(text or "") >= threshold))
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_repeat, ngram_hashes, partitions, pieces, texts, unused, word_hashes, written
+from .common import bounded, ids_repeat, ngram_hashes, partitions, pieces, texts, unused, word_hashes, written
 
 GRAM = 8
 WINDOW = 20
@@ -394,7 +394,7 @@ def _with_removed(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
     """docs with a column of packed spans, and that column's name."""
     columns = docs.columns
     doc, twin, removed = (unused(columns, c) for c in ("doc", "twin", "removed"))
-    base = keyed(docs, doc, twin)
+    base = keyed(bounded(docs), doc, twin)
     spans = repeated_spans(base, doc, twin, window).groupBy(F.col("doc").alias(doc), F.col("twin").alias(twin)).agg(F.collect_list("removed").alias(removed))
     return base.join(spans, [doc, twin], "left").select(*columns, removed), removed
 
