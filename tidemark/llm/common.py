@@ -198,3 +198,15 @@ def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iter
             to = max(at + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+def with_totals(rows: DataFrame, by: list[str], spread: Column, **totals: tuple[str, Column]) -> DataFrame:
+    """The rows (with by, which is never null) and their group's totals: name = ("sum" or "min", what).
+
+    A group may hold any share of the rows: it is cut by the column spread, each cut is summed before the exchange, and the totals go back
+    to the cuts and from these to the rows, so that no task gets a whole group. rows are read twice; give a table."""
+    cut, merge = unused(rows.columns, "cut"), {"sum": F.sum, "min": F.min}
+    rows = rows.withColumn(cut, F.pmod(F.xxhash64(spread), F.lit(partitions(rows.sparkSession))))
+    parts = rows.groupBy(*by, cut).agg(*[merge[how](what).alias(name) for name, (how, what) in totals.items()])
+    whole = parts.groupBy(*by).agg(*[merge[how](name).alias(name) for name, (how, _) in totals.items()])
+    return rows.join(parts.select(*by, cut).join(whole, by), [*by, cut]).drop(cut)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ngramjoin, packing, quality, secret_scan, spotsigs, substring, toxicity, warc
+from . import bpe, chat, chunks, fim, ngramjoin, packing, quality, secret_scan, spelling, spotsigs, substring, toxicity, warc
 from .common import table
 
 
@@ -131,6 +131,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, index).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "evidence")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS w FROM d),
+c AS (SELECT *, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(w) + 1) AS h1, CAST('0x' || h[9:16] AS BIGINT) % (len(w) + 1) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+p AS (SELECT doc_id, text, n, array_to_string(w[1:least(h1, h2)], '') AS prefix, array_to_string(w[least(h1, h2) + 1:greatest(h1, h2)], '') AS middle, array_to_string(w[greatest(h1, h2) + 1:n], '') AS suffix,
+  CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(prefix || middle || suffix) AS restored_sha256
+FROM p
+"""
+
+
+def op13_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.groups(table(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+k AS (SELECT doc_id, text_sha256, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -149,9 +180,12 @@ def queries() -> dict:
         "op8_bpe": op8_bpe,
         "op9_secrets": op9_secrets,
         "op10_toxicity": op10_toxicity,
+        "op11_spelling": op11_spelling,
+        "op12_fim": op12_fim,
+        "op13_chunks": op13_chunks,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": OP2_SQL, "op3_chat": OP3_SQL, "op5_warc": OP5_SQL, "op6_spotsigs": OP6_SQL, "op7_ngram_join": OP7_SQL}
+    return {"op2_substring": OP2_SQL, "op3_chat": OP3_SQL, "op5_warc": OP5_SQL, "op6_spotsigs": OP6_SQL, "op7_ngram_join": OP7_SQL, "op12_fim": OP12_SQL, "op13_chunks": OP13_SQL}
