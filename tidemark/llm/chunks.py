@@ -23,15 +23,16 @@ from .common import sha256, texts, unused, with_totals, written
 LEAST, MOST = 256, 4096
 
 
-def _class(step: int, first: int) -> str:
-    """A class of every step-th code point below U+0180, and of as large a share of the others in runs of 64."""
-    near = [chr(c) for c in range(0x21 + first, 0x180, step) if chr(c).isalnum()]
-    far = [f"\\x{{{c:X}}}-\\x{{{c + 63:X}}}" for c in range(0x180 + 64 * first, 0xD800, 64 * step)]
-    return "[" + "".join(near + far) + "]"
+def _class(first: int) -> str:
+    """A class of every eighth code point of Latin-1 that is a letter or digit, and of every eighth run of 64 beyond, which is
+    looked at for characters beyond only."""
+    near = "".join(chr(c) for c in range(0x21 + first, 0x100, 8) if chr(c).isalnum())
+    far = "".join(f"\\x{{{c:X}}}-\\x{{{c + 63:X}}}" for c in range(0x100 + 64 * first, 0xD800, 512))
+    return f"[{near}[\\x{{100}}-\\x{{D7FF}}&&[{far}]]]"
 
 
-EDGE = _class(8, 0) + _class(8, 3) + _class(8, 5)
-CHUNK = f"(?s).{{{LEAST},{MOST}}}?(?<={EDGE})|.{{1,{MOST}}}"
+EDGE = _class(0) + _class(3) + _class(5)
+CHUNK = f"(?s).{{{LEAST - 3},{MOST - 3}}}?{EDGE}|.{{1,{MOST}}}"
 
 
 def normalised(text: Column) -> Column:
