@@ -264,31 +264,6 @@ def quantile_linear(df: DataFrame, label: str, features: Sequence[str], tau: flo
     return w
 
 
-def knn(train: DataFrame, test: DataFrame, key: str, features: Sequence[str], label: str, k: int, by_distance: bool = False, most_rows: int = 20_000) -> DataFrame:
-    """key, prediction: vote of the k nearest rows of train. Train is the model and goes to all tasks, so its rows are checked
-    against most_rows first; test may be of any size and isn't shuffled."""
-    rows = train.select(*features, label).limit(most_rows + 1).toPandas()
-    if len(rows) > most_rows:
-        raise ValueError(f"train has more than {most_rows} rows; take a sample of it")
-    points, labels = rows[list(features)].to_numpy(float), rows[label].to_numpy(np.int64)
-
-    def vote(batches):
-        for pdf in batches:
-            q = pdf[list(features)].to_numpy(float)
-            out = np.empty(len(q), dtype=np.int64)
-            for at in range(0, len(q), 256):
-                part = q[at : at + 256]
-                d = np.maximum((part * part).sum(1)[:, None] + (points * points).sum(1)[None] - 2 * part @ points.T, 0)
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                for i, n in enumerate(near):
-                    w = 1 / (np.sqrt(d[i, n]) + 1e-12) if by_distance else np.ones(len(n))
-                    out[at + i] = np.bincount(labels[n], w).argmax()
-            yield pd.DataFrame({key: pdf[key], "prediction": out})
-
-    kind = test.schema[key].dataType.simpleString()
-    return test.select(key, *features).mapInPandas(vote, f"{key} {kind}, prediction long")
-
-
 def pca_reduce(df: DataFrame, key: str, features: Sequence[str], count: int | None = None, share: float | None = None, whiten: bool = False) -> tuple[DataFrame, list[float]]:
     """(key, components as an array; explained shares): by number, or the fewest that explain the share. Columns are centred first,
     each component's largest loading is positive, whitening divides by the component's deviation."""

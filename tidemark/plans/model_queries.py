@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import images, metrics, models, prefix, prep, search
+from ..operators import images, metrics, models, neighbours, prefix, prep, search
 from ..sources import io
 from .learners_sql import bayes, cells
 from .recast import as_sql, rounded, rounded_sql, view
@@ -143,15 +143,11 @@ def model_importance(v):
     return models.importances(models.pipeline(_X, models.regressor("forest", "target", numTrees=10)).fit(rows).stages[-1], _X, rows.sparkSession)
 
 
-_SAMPLE = "(SELECT vec_id FROM {embeddings} ORDER BY (vec_id * 2654435761) % 4294967296, vec_id LIMIT 200)"
-
-
-@register("model_knn", f"WITH tr AS (SELECT * FROM {{embeddings}} WHERE vec_id IN {_SAMPLE}), d AS (SELECT q.vec_id, t.vec_id AS o, t.label, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) AS far FROM {{embeddings}} q, tr t WHERE q.vec_id NOT IN {_SAMPLE}), n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY far, o) AS k FROM d) SELECT vec_id, CAST(label AS BIGINT) AS prediction FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, label) AS r FROM n WHERE k <= 5 GROUP BY vec_id, label) z WHERE r = 1")
+@register("model_knn", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM {embeddings}), d AS (SELECT q.vec_id, t.vec_id AS o, t.label, list_distance(q.v, t.v) AS far FROM e q JOIN e t ON q.vec_id <> t.vec_id), n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY far, o) AS k FROM d) SELECT vec_id, CAST(label AS BIGINT) AS prediction FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, label) AS r FROM n WHERE k <= 5 GROUP BY vec_id, label) z WHERE r = 1")
 def model_knn(v):
-    """The model is a bounded sample of 200 rows; all others are asked for."""
-    rows = v("embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
-    train = rows.orderBy(prep.shuffled("vec_id"), "vec_id").limit(200)
-    return models.knn(train.orderBy("vec_id"), rows.join(train.select("vec_id"), "vec_id", "left_anti"), "vec_id", [f"f{i}" for i in range(64)], "label", 5)
+    """Every row by the five rows nearest to it among all others."""
+    rows = v("embeddings").select("vec_id", F.col("label").cast("long").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
+    return neighbours.knn(rows, rows, "vec_id", [f"f{i}" for i in range(64)], "label", 5, skip_own=True)
 
 
 @register("model_majority", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (SELECT var4 FROM {loss} GROUP BY var4 ORDER BY count(*) DESC, var4 LIMIT 1) AS predicted FROM {loss}")

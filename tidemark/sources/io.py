@@ -25,6 +25,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: cuts lineage, and lost executors cost no more than their tasks."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, sep: str = ",") -> DataFrame:
     """A CSV table with an explicit schema; without a header the schema names the columns."""
     return spark.read.schema(schema).csv(path, header=header, sep=sep)
