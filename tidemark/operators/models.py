@@ -154,26 +154,6 @@ def group_then_regress(train: DataFrame, test: DataFrame, group: str, features:
     return own.withColumn(out, sum((c[i + 1] * F.col(f) for i, f in enumerate(features)), c[0])).drop("__g", "__a")
 
 
-def by_segment(train: DataFrame, test: DataFrame, segments: Sequence[str], label: str, features: Sequence[str], key: str, most_segments: int = 64, least: int = 6) -> DataFrame:
-    """key, prediction. A segment that train lacks gets the most frequent label of all, one with a single class or fewer than
-    `least` rows its own most frequent label; the others a tree of their own. The number of segments is checked first."""
-    table = train.groupBy(*segments).agg(F.count("*").alias("n"), F.count_distinct(label).alias("classes"), F.mode(F.col(label), True).alias("common"))  # of a few classes
-    rows = table.limit(most_segments + 1).collect()
-    if len(rows) > most_segments:
-        raise ValueError(f"more than {most_segments} segments")
-    overall = train.agg(F.mode(F.col(label), True).alias("m")).first()["m"]
-    fallback = test.join(small(table), list(segments), "left").withColumn("__own", (F.col("classes") > 1) & (F.col("n") >= least))
-    out = fallback.where(~F.coalesce("__own", F.lit(False))).select(key, F.coalesce("common", F.lit(overall)).cast("double").alias("prediction"))
-    for r in rows:
-        if r["classes"] > 1 and r["n"] >= least:
-            same = None
-            for c in segments:
-                same = (F.col(c) == r[c]) if same is None else same & (F.col(c) == r[c])
-            model = pipeline(features, DecisionTreeClassifier(featuresCol="__features", labelCol=label, maxDepth=4, seed=7)).fit(train.where(same))
-            out = out.unionByName(model.transform(test.where(same)).select(key, "prediction"))
-    return out
-
-
 def multi_output(train: DataFrame, test: DataFrame, labels: Sequence[str], features: Sequence[str], learner: Callable[[str], object], key: str) -> DataFrame:
     """key, and the answers of one classifier for each label joined to one string."""
     held = test.select(key, *features)

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
+import threading
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
+from pyspark import InheritableThread
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .models import pipeline
 
 
-def out_of_fold(df: DataFrame, fold: str, folds: int, features: Sequence[str], label: str, make: Callable[[], object], key: str, classes: int | None = None) -> DataFrame:
-    """key, fold, label, prediction (and probabilities over all classes, 0 for those a fold's training rows lack). A fold whose training
+def out_of_fold(df: DataFrame, fold: str, folds: int, features: Sequence[str], label: str, make: Callable[[], object], key: str, classes: int | None = None, first: int = 0) -> DataFrame:
+    """Of `folds` folds from `first` on: key, fold, label, prediction (and probabilities over all classes, 0 for those a fold's training rows lack). A fold whose training
     rows have one class gets that class. make gives a learner, or a whole pipeline."""
     out = None
-    for k in range(folds):
+    for k in range(first, first + folds):
         train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
         seen = [r[0] for r in train.select(label).distinct().limit(2).collect()]
         if len(seen) < 2:
@@ -53,45 +57,164 @@ def _mean(df, fold, folds, features, label, make, p, score, key) -> float:
     return float(cross_val_score(scored, fold, score).agg(F.avg("score")).first()[0])
 
 
-def search_genetic(evaluate: Callable[[dict], float | None], parameters: Mapping[str, Sequence], population: int = 8, elite: int = 2, steps: int = 6, mutation: float = 0.2, seed: int = 7) -> tuple[dict, float, dict]:
-    """Best parameters, their score, and all scores met. Individuals are index vectors; elites stay, the others come from one-point
-    crossover and mutation (more of it while nothing gets better); duplicates are drawn anew up to five times; a score is computed once.
-    An evaluation that gives nothing counts as the worst."""
+def fold_score(df: DataFrame, fold: str, k: int, features: Sequence[str], label: str, make: Callable[[], object], score: Column, key: str) -> float:
+    """Score of one fold: fitted on the others."""
+    held = out_of_fold(df, fold, 1, features, label, make, key, first=k)
+    return float(held.agg(score.alias("score")).first()["score"])
+
+
+@dataclass(frozen=True)
+class Span:
+    """A range of numbers; whole: of whole ones; sd: by how much of itself a number is changed at a time (x times 1 + normal * sd)."""
+
+    low: float
+    high: float
+    whole: bool = False
+    sd: float = 0.2
+
+    def held(self, x: float) -> float:
+        x = min(max(x, self.low), self.high)
+        return round(x) if self.whole else float(f"{x:.6g}")
+
+
+def _drawn(rng: random.Random, space: Sequence | Span) -> object:
+    return space.held(rng.uniform(space.low, space.high)) if isinstance(space, Span) else rng.choice(list(space))
+
+
+def _changed(rng: random.Random, space: Sequence | Span, x: object) -> object:
+    """A number times 1 + normal * sd (0 takes a step of the span), another one of a list."""
+    if isinstance(space, Span):
+        new = space.held(x * (1 + rng.gauss(0, space.sd)) if x else rng.gauss(0, space.sd) * (space.high - space.low))
+        return space.held(new + rng.choice((-1, 1))) if space.whole and new == x else new
+    others = [o for o in space if o != x]
+    return rng.choice(others) if others else x
+
+
+class Trials:
+    """Scores of candidates by fold, each fold a Spark job of its own, at most at_once of them at a time, in fair pools where the session
+    schedules fairly. A candidate whose folds so far rule out the score asked for, given the most that a fold can score, is
+    hopeless, and its jobs are cancelled; one that falls short of it with all its folds counts as hopeless, too, so results don't depend
+    on what was cancelled. A score is the mean over folds; one without a value (an evaluation that fails to give one) is the worst."""
+
+    def __init__(self, evaluate: Callable[[dict, int], float | None], folds: int, spark: SparkSession | None = None, at_once: int = 4, most: float | None = None) -> None:
+        self.evaluate, self.folds, self.spark, self.at_once, self.most = evaluate, folds, spark, max(1, at_once), most
+        self.scores: dict[tuple, float] = {}
+        self.hopeless: dict[tuple, float] = {}
+        self.jobs = 0
+
+    def run(self, candidates: Sequence[dict], least: float = -math.inf) -> list[float]:
+        """Scores in the candidates' order, -inf for hopeless ones. What was scored before isn't run again."""
+        keys = [tuple(c.values()) for c in candidates]
+        new = {k: c for k, c in zip(keys, candidates, strict=True) if k not in self.scores and self.hopeless.get(k, math.inf) > least}
+        lock, parts, stopped = threading.Lock(), {k: {} for k in new}, set()
+
+        def one(key: tuple, fold: int) -> None:
+            with lock:
+                if key in stopped:
+                    return
+                self.jobs += 1
+            tag = f"trial-{id(self)}-{abs(hash(key))}"
+            if self.spark is not None:
+                self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", tag)
+                self.spark.addTag(tag)
+            try:
+                got = self.evaluate(new[key], fold)
+            except Exception:
+                with lock:
+                    if key in stopped:  # cancelled
+                        return
+                raise
+            finally:
+                if self.spark is not None:
+                    self.spark.removeTag(tag)
+                    self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+            with lock:
+                parts[key][fold] = -math.inf if got is None else got
+                found = parts[key]
+                done = sum(found[f] for f in sorted(found))
+                bound = math.inf if self.most is None and len(found) < self.folds else (done + (self.folds - len(found)) * (self.most or 0)) / self.folds
+                if bound < least and key not in stopped:
+                    stopped.add(key)
+                    if self.spark is not None and len(found) < self.folds:
+                        self.spark.interruptTag(tag)
+
+        thread = InheritableThread if self.spark is not None else threading.Thread
+        work = [(k, f) for f in range(self.folds) for k in new]
+        turn, failed = iter(work), []
+
+        def worker() -> None:
+            while not failed:
+                with lock:
+                    job = next(turn, None)
+                if job is None:
+                    return
+                try:
+                    one(*job)
+                except Exception as e:  # given on below
+                    failed.append(e)
+
+        workers = [thread(target=worker) for _ in range(min(self.at_once, len(work)))]
+        for w in workers:
+            w.start()
+        for w in workers:
+            w.join()
+        if failed:
+            raise failed[0]
+        for k, found in parts.items():
+            if k in stopped:
+                self.hopeless[k] = least
+            else:
+                self.scores[k] = sum(found[f] for f in range(self.folds)) / self.folds
+        return [self.scores.get(k, -math.inf) for k in keys]
+
+
+def search_genetic(evaluate: Callable[..., float | None] | Trials, parameters: Mapping[str, Sequence | Span], population: int = 8, elite: int = 2, parents: float = 0.5, steps: int = 6, mutation: float = 0.2, seed: int = 7, first: Sequence[dict] = ()) -> tuple[dict, float, dict]:
+    """Best parameters, their score, and all scores met. parameters: lists of values, or spans of numbers; evaluate: a function of a candidate,
+    or Trials. The first population is `first`, then random. The `elite` best stay; the others are children of two of the best share
+    `parents`, each parameter from either, changed with probability `mutation` (more while nothing gets better). Children met before are drawn anew, up to
+    twenty times. A child that can't reach the worst parent's score is hopeless, for Trials to cut short. All draws are made before a
+    generation is scored, so the result doesn't depend on how many run at once."""
+    trials = evaluate if isinstance(evaluate, Trials) else Trials(lambda p, _: evaluate(p), 1, at_once=1)
     rng, names = random.Random(seed), list(parameters)
-    sizes = [len(parameters[n]) for n in names]
-    cache: dict[tuple, float] = {}
+    as_dict = lambda v: dict(zip(names, v, strict=True))
+    met: dict[tuple, float] = {}
 
-    def score(v: tuple) -> float:
-        if v not in cache:
-            got = evaluate({n: parameters[n][i] for n, i in zip(names, v, strict=True)})
-            cache[v] = float("-inf") if got is None else got
-        return cache[v]
+    def score(new: Sequence[tuple], least: float) -> None:
+        met.update(zip(new, trials.run([as_dict(v) for v in new], least), strict=True))
 
-    def mutate(v: tuple, rate: float) -> tuple:
-        return tuple(rng.choice([j for j in range(s) if j != i]) if s > 1 and rng.random() < rate else i for i, s in zip(v, sizes, strict=True))
-
-    now = list({tuple(rng.randrange(s) for s in sizes) for _ in range(population * 3)})[:population]
-    best, rate, stuck = max(map(score, now)), mutation, 0
+    now = list(dict.fromkeys(tuple(p[n] for n in names) for p in first))[:population]
+    for _ in range(population * 20):
+        if len(now) == population:
+            break
+        v = tuple(_drawn(rng, parameters[n]) for n in names)
+        now += [v] if v not in now else []
+    score(now, -math.inf)
+    best, rate, stuck = max(met.values()), mutation, 0
     for _ in range(steps):
-        now.sort(key=lambda v: (-score(v), v))
-        new = now[:elite]
-        while len(new) < population:
-            child = now[0]
-            for _ in range(5):
-                a, b = rng.choice(now[: max(2, population // 2)]), rng.choice(now)
-                cut = rng.randrange(len(sizes) + 1)
-                child = mutate(a[:cut] + b[cut:], rate)
-                if child not in new:
+        now.sort(key=lambda v: (-met[v], str(v)))
+        pool = now[: max(2, round(parents * population))]
+        new: list[tuple] = []
+        while len(new) < population - elite:
+            for _ in range(20):
+                a, b = rng.choice(pool), rng.choice(pool)
+                child = tuple(rng.choice(pair) for pair in zip(a, b, strict=True))
+                child = tuple(_changed(rng, parameters[n], x) if rng.random() < rate else x for n, x in zip(names, child, strict=True))
+                if child not in met and child not in new:
                     break
+            else:
+                break
             new.append(child)
-        now = new
-        top = max(map(score, now))
-        stuck, rate = (0, mutation) if top > best else (stuck + 1, rate * 1.2)
+        if not new:
+            break
+        score(new, met[pool[-1]])
+        now = now[:elite] + new
+        top = max(met.values())
+        stuck, rate = (0, mutation) if top > best else (stuck + 1, min(1.0, rate * 1.3))
         best = max(best, top)
-        if stuck >= 4 or len(set(now)) == 1:
+        if stuck >= 4:
             break
-    winner = max(cache, key=lambda v: (cache[v], v))
-    return {n: parameters[n][i] for n, i in zip(names, winner, strict=True)}, cache[winner], {tuple(parameters[n][i] for n, i in zip(names, v, strict=True)): s for v, s in cache.items()}
+    winner = max(met, key=lambda v: (met[v], str(v)))
+    return as_dict(winner), met[winner], met
 
 
 def best_of(df: DataFrame, fold: str, folds: int, features: Sequence[str], label: str, learners: Mapping[str, Callable[[], object]], score: Column, key: str) -> list[tuple[str, float]]:

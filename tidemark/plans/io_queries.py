@@ -156,18 +156,21 @@ def materialize_condensed(spark, sf_dir):
 
 @register("stream_offer_stats", "SELECT category, company, brand, count(*) AS n, sum(CASE WHEN quantity > 0 THEN amount / quantity ELSE 0 END) AS price, sum(quantity) AS quantity, count(*) FILTER (quantity <= 0) AS returns FROM {transactions} GROUP BY ALL", "price quantity")
 def stream_offer_stats(spark, sf_dir):
-    return streams.to_table(streams.offer_stats(streams.view_of_stream(spark, sf_dir, "transactions", "lineitem")), "complete", "offer-stats")
+    return streams.offer_stats(streams.view_of_stream(spark, sf_dir, "transactions", "lineitem"))
 
 
 @register("stream_shopper_state", "SELECT id, count(*) AS n, sum(amount) AS total, CAST(max(date) AS VARCHAR) AS last FROM {transactions} GROUP BY id", "total")
 def stream_shopper_state(spark, sf_dir):
-    return streams.to_table(streams.shopper_state(streams.view_of_stream(spark, sf_dir, "transactions", "lineitem")), "complete", "shopper-state").withColumn("last", F.col("last").cast("string"))
+    """Transactions come in six chunks, sorted by shopper; a shopper's row is written once, when theirs have ended."""
+    rows = view(spark, sf_dir, "transactions").select("id", "amount", "date")
+    found, _ = streams.shopper_state(spark, streams.in_chunks(rows, "id", 6, "transactions"), rows.schema, delay=0)
+    return found.withColumn("last", F.col("last").cast("string"))
 
 
 @register("stream_block_features", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, target, CAST(target > 0 AS INT) AS y FROM {loss}", "target")
 def stream_block_features(spark, sf_dir):
     rows = streams.view_of_stream(spark, sf_dir, "loss", "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "target", (F.col("target") > 0).cast("int").alias("y"))
-    return streams.to_table(rows, "append", "blocks").select(*rows.columns)
+    return streams.to_table(rows, "blocks").select(*rows.columns)
 
 
 @register("stream_score", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 100 * var13 + 2 * var10 - 1 AS score FROM {loss}", "score")
@@ -175,4 +178,4 @@ def stream_score(spark, sf_dir):
     """Chunks scored by fixed linear weights and appended."""
     score = 100 * F.col("var13") + 2 * F.col("var10") - 1
     rows = streams.view_of_stream(spark, sf_dir, "loss", "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", score.alias("score"))
-    return streams.to_table(rows, "append", "scored").select(*rows.columns)
+    return streams.to_table(rows, "scored").select(*rows.columns)

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import images, metrics, models, neighbours, prefix, prep, search
+from ..operators import images, metrics, models, neighbours, prefix, prep, search, segments
 from ..sources import io
-from .learners_sql import bayes, cells
+from .learners_sql import bayes, cells, segment_trees
 from .recast import as_sql, rounded, rounded_sql, view
 
 QUERIES: dict = {}
@@ -189,17 +189,16 @@ def model_multi_output(v):
     return models.multi_output(rows, rows, ["a", "b"], ["cost", "k"], lambda c: models.classifier("bayes", c), "key")
 
 
-_SEG = f"(SELECT id, survived, sex, pclass, floor(age / 20) AS band FROM {_P}) g"
-_COMMON = "CASE WHEN 2 * sum(survived) > count(*) THEN 1.0 ELSE 0.0 END"
+_BINS = {"age": [20.0, 35.0, 50.0, 65.0], "fare": [15.0, 40.0, 60.0, 80.0]}
+_BINNED = ", ".join(f"{' + '.join(f'CASE WHEN {f} >= {c} THEN 1 ELSE 0 END' for c in cuts)} AS {f}_bin" for f, cuts in _BINS.items())
+_SEGMENTS = ["sex", "pclass", "embarked"]
 
 
-@register(
-    "model_by_segment",
-    f"WITH tr AS (SELECT * FROM {_SEG} WHERE id % 4 <> 0), te AS (SELECT * FROM {_SEG} WHERE id % 4 = 0), sg AS (SELECT sex, pclass, count(*) AS n, count(DISTINCT survived) AS classes, {_COMMON} AS common FROM tr GROUP BY sex, pclass), ce AS (SELECT sex, pclass, band, {_COMMON} AS v FROM tr GROUP BY ALL), al AS (SELECT {_COMMON} AS v FROM tr) SELECT te.id, CAST(CASE WHEN sg.n IS NULL THEN al.v WHEN classes > 1 AND sg.n >= 6 THEN coalesce(ce.v, sg.common) ELSE sg.common END AS DOUBLE) AS prediction FROM te CROSS JOIN al LEFT JOIN sg ON te.sex = sg.sex AND te.pclass = sg.pclass LEFT JOIN ce ON te.sex = ce.sex AND te.pclass = ce.pclass AND te.band = ce.band",
-)
+@register("model_by_segment", segment_trees(f"SELECT id AS key, id % 2 AS fold, id % 4 <> 0 AS is_train, survived AS y, {', '.join(_SEGMENTS)}, {_BINNED} FROM {_P}", _SEGMENTS, ["age_bin", "fare_bin"], 2, 3, 2) + "SELECT key AS id, learner, prediction FROM best")
 def model_by_segment(v):
-    rows = _passengers(v).withColumn("band", F.floor(F.col("age") / 20).cast("double"))
-    return models.by_segment(rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"), ["sex", "pclass"], "survived", ["band"], "id")
+    """By segment the more accurate of the most frequent class and a tree of two binned columns."""
+    rows = _passengers(v)
+    return segments.by_segment(rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"), _SEGMENTS, "survived", ["age", "fare"], "id", ("common", "tree"), depth=2, folds=2, cuts=_BINS)
 
 
 @register("model_boost_mixed")
@@ -304,12 +303,18 @@ def grid_search(v):
     return found
 
 
-@register("search_genetic", f"SELECT max(score) AS score FROM ({_TRIED}) t", "score")
+#: Thresholds of the two classes: a grid of seven times seven.
+_STEPS = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+_GRID = f"(SELECT unnest({_STEPS}) AS t0) g0 CROSS JOIN (SELECT unnest({_STEPS}) AS t1) g1"
+
+
+@register("search_genetic", bayes(*_folds(2), _PX) + f"SELECT max(score) AS score FROM (SELECT t0, t1, avg(score) AS score FROM (SELECT w.k, t0, t1, avg(CAST(prediction = p.survived AS DOUBLE)) AS score FROM (SELECT k, key, t0, t1, arg_max(c, p / CASE c WHEN 0 THEN t0 ELSE t1 END) AS prediction FROM pr CROSS JOIN {_GRID} GROUP BY k, key, t0, t1) w JOIN {_P} ON w.key = p.id GROUP BY w.k, t0, t1) f GROUP BY t0, t1) t", "score")
 def search_genetic(v):
-    """Best score of a search whose population can hold every candidate."""
+    """The best of a grid of two parameters, found by scoring fewer than half of it, four folds at a time."""
     rows, make, score = _searched(v)
-    evaluate = lambda p: search._mean(rows, "fold", 2, _PX, "survived", make, p, score, "id")
-    _, value, _ = search.search_genetic(evaluate, {"thresholds": _AHEAD}, population=8, steps=6)
+    evaluate = lambda p, k: search.fold_score(rows, "fold", k, _PX, "survived", lambda: make({"thresholds": [p["first"], p["second"]]}), score, "id")
+    trials = search.Trials(evaluate, 2, rows.sparkSession, at_once=4, most=1.0)
+    _, value, _ = search.search_genetic(trials, {"first": _STEPS, "second": _STEPS}, population=8, steps=3, first=[{"first": 0.5, "second": 0.5}])
     rows.unpersist()
     return _best(v, value)
 
