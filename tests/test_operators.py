@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates, images, metrics, models, prefix, prep, relational, search
+from tidemark.operators import aggregates, images, metrics, models, online, prefix, prep, relational, search
 from tidemark.sources import io
 
 
@@ -91,7 +91,7 @@ def test_quantile_share_below(spark):
     rng = np.random.default_rng(0)
     x = rng.random(800)
     df = spark.createDataFrame([(float(a), float(3 * a + e)) for a, e in zip(x, rng.random(800), strict=True)], "x double, y double")
-    w = models.quantile_linear(df, "y", ["x"], 0.8, steps=80)
+    w = models.quantile_linear(df, "y", ["x"], 0.8)
     assert abs(df.where(F.col("y") <= w[0] + w[1] * F.col("x")).count() / 800 - 0.8) < 0.06
 
 
@@ -135,3 +135,103 @@ def test_best_model_is_kept(spark, tmp_path):
     assert io.save_if_better(model, 0.5, path, spark) == 0.5
     assert io.save_if_better(model, 0.4, path, spark) == 0.5
     assert io.save_if_better(model, 0.9, path, spark) == 0.9
+
+
+def flood(mask):
+    """Labels by flood filling from each pixel, ordered by last pixel."""
+    left, groups = {tuple(p) for p in np.argwhere(mask)}, []
+    while left:
+        group, todo = set(), [left.pop()]
+        while todo:
+            y, x = todo.pop()
+            group.add((y, x))
+            near = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        groups.append(group)
+    label = np.zeros(mask.shape, int)
+    for n, group in enumerate(sorted(groups, key=max), 1):
+        for p in group:
+            label[p] = n
+    return label
+
+
+def test_regions_equal_flood_filling():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        mask = rng.random(rng.integers(1, 25, 2)) < rng.choice([0.2, 0.4, 0.6, 0.9])
+        assert (images.labelled_regions(mask) == flood(mask)).all()
+        outside = flood(~np.pad(mask, 1))
+        assert images.filled_area(mask) == (outside != outside[0, 0])[1:-1, 1:-1].sum()
+
+
+def test_spiral_and_holes():
+    n = 201
+    mask = np.zeros((n, n), bool)
+    y, x, dy, dx, length = n // 2, n // 2, 0, 1, 2
+    mask[y, x] = True
+    while length < n - 4:
+        for _ in range(2):
+            for _ in range(length):
+                y, x = y + dy, x + dx
+                mask[y, x] = True
+            dy, dx = dx, -dy
+        length += 2
+    label = images.labelled_regions(mask)
+    assert label.max() == 1 and (label > 0).sum() == mask.sum() and images.filled_area(mask) == mask.sum()
+    ring = np.zeros((9, 9), bool)
+    ring[1:8, 1:8] = True
+    ring[2:7, 2:7] = False
+    ring[4, 4] = True
+    assert images.filled_area(ring) == 49 and images.labelled_regions(ring).max() == 2
+    assert images.labelled_regions(np.zeros((3, 0), bool)).shape == (3, 0)
+
+
+def test_weighted_folds_equal_plain_fits(spark):
+    """Naive Bayes of each fold from one pass of sums; weights, a class that a fold's training lacks, other columns kept."""
+    rng = np.random.default_rng(9)
+    n = 240
+    y = rng.integers(0, 2, n)
+    x, w, fold = rng.normal(size=(n, 2)) + 1.5 * y[:, None], rng.integers(1, 4, n), np.arange(n) % 4
+    y[(fold == 2) & (rng.random(n) < 0.05)] = 2
+    y[fold != 2] = np.minimum(y[fold != 2], 1)
+    y[2] = 2
+    df = spark.createDataFrame([(i, int(fold[i]), int(y[i]), float(w[i]), *map(float, x[i])) for i in range(n)], "id long, fold int, y int, w double, a double, b double")
+    got = {r.id: r for r in search.bayes_out_of_fold(df, "fold", 4, ["a", "b"], "y", ["id"], "w").collect()}
+    for k in range(4):
+        train = fold != k
+        mean, extra = np.average(x[train], axis=0, weights=w[train]), None
+        extra = 1e-9 * np.average((x[train] - mean) ** 2, axis=0, weights=w[train]).max()
+        for i in np.flatnonzero(fold == k).tolist():
+            lp = np.full(3, -np.inf)
+            for c in range(3):
+                own = train & (y == c)
+                if own.any():
+                    m = np.average(x[own], axis=0, weights=w[own])
+                    v = np.average((x[own] - m) ** 2, axis=0, weights=w[own]) + extra
+                    lp[c] = np.log(w[own].sum() / w[train].sum()) - 0.5 * (((x[i] - m) ** 2) / v + np.log(v)).sum()
+            p = np.exp(lp - lp.max()) / np.exp(lp - lp.max()).sum()
+            assert np.allclose(got[i].p, p, atol=1e-9) and got[i].prediction == int(p.argmax())
+
+
+def test_quantile_near_the_optimum_with_texts(spark):
+    """Within a hundredth of the optimum of the linear program, found here by reweighted least squares; words of a text count."""
+    rng = np.random.default_rng(5)
+    for n, d, tau in ((400, 3, 0.7), (1500, 5, 0.9)):
+        x = rng.normal(size=(n, d))
+        word = rng.integers(0, 3, n)
+        y = 3 + x @ rng.normal(size=d) * 2 + 4 * (word == 1) + rng.normal(size=n) * np.exp(x[:, 0] * 0.5)
+        names = [f"f{i}" for i in range(d)]
+        df = spark.createDataFrame([(*map(float, r), ["red", "Green", None][t], float(v)) for r, t, v in zip(x, word, y, strict=True)], [*names, "text", "y"]).repartition(4)
+        full = np.c_[np.ones(n), x, word == 0, word == 1]
+        w, soft = np.linalg.lstsq(full, y, rcond=None)[0], 1.0
+        for _ in range(1200):
+            e = y - full @ w
+            a = np.where(e > 0, tau, 1 - tau) / np.maximum(np.abs(e), soft)
+            w, soft = np.linalg.solve((full * a[:, None]).T @ full, (full * a[:, None]).T @ y), max(soft * 0.98, 1e-7)
+        e = y - full @ w
+        found = online.fit_quantile(df, "y", names, tau, words=["text"], bits=14)
+        assert found.loss <= 1.01 * np.maximum(tau * e, (tau - 1) * e).mean()
+        held = found.predict(df).select("y", "prediction").toPandas()
+        e = (held.y - held.prediction).to_numpy()
+        assert np.maximum(tau * e, (tau - 1) * e).mean() == pytest.approx(found.loss)

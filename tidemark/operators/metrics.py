@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
@@ -77,11 +79,60 @@ def classification_report(df: DataFrame, y: str, p: str) -> DataFrame:
     return out.select("class", F.try_divide("hit", "said").alias("precision"), F.try_divide("hit", "support").alias("recall"), F.try_divide(2 * F.col("hit"), F.col("said") + F.col("support")).alias("f1"), "support")
 
 
+#: Terms of the continued fraction: with 100, p is within 1e-11 of its limit from 3 to a million rows.
+TERMS = 100
+
+
+def _gamma_ratio(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a): twenty steps up, then the asymptotic series."""
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(19)), F.lit(1.0), lambda s, i: s * (a + i) / (a + i + 0.5))
+    z = a + 20
+    return steps * F.exp(0.5 * F.log(z) - 1 / (8 * z) + 1 / (192 * F.pow(z, 3)) - 1 / (640 * F.pow(z, 5)) + 17 / (14336 * F.pow(z, 7)) - 31 / (18432 * F.pow(z, 9)))
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, by Lentz's method."""
+    tiny = F.lit(1e-300)
+    away = lambda v: F.when(F.abs(v) > tiny, v).otherwise(tiny)
+    d0 = 1 / away(1 - (a + b) * x / (a + 1))
+
+    def half(s: Column, k: Column) -> Column:
+        d, c = 1 / away(1 + k * s["d"]), away(1 + k / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    def term(s: Column, i: Column) -> Column:
+        """i: 2 and 3 are the two halves of the first term."""
+        m = F.floor(i / 2)
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return half(s, F.when(i % 2 == 0, even).otherwise(odd))
+
+    return F.aggregate(F.sequence(F.lit(2), F.lit(2 * TERMS + 1)), F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h")), term, lambda s: s["h"])
+
+
+def p_value(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation r of n rows: the regularised incomplete beta function I(1 - r^2; (n - 2) / 2, 1 / 2). Null with fewer
+    than three rows or without r; 0 where r is 1 or -1."""
+    held = F.struct((r * r).cast("double").alias("y"), ((n - 2) / 2.0).alias("a"))
+
+    def of(s: Column) -> Column:
+        y, a, half = s["y"], s["a"], F.lit(0.5)
+        front = F.exp(a * F.log1p(-y) + 0.5 * F.log(y)) * _gamma_ratio(a) / np.sqrt(np.pi)
+        low = 1 - y < (a + 1) / (a + 2.5)
+        left = F.when(low, a).otherwise(half)  # one fraction, of the side on which it converges
+        part = front * _beta_fraction(left, F.when(low, half).otherwise(a), F.when(low, 1 - y).otherwise(y)) / left
+        p = F.least(F.greatest(F.when(low, part).otherwise(1 - part), F.lit(0.0)), F.lit(1.0))
+        return F.when(y.isNull() | a.isNull(), None).when((a > 0) & (y >= 1), 0.0).when((a > 0) & (y == 0), 1.0).when(a > 0, p)
+
+    return F.transform(F.array(held), of)[0]  # r and n are worked out once
+
+
 def corr_with_target(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """column_name, abs_r, n, t (of the t statistic) for each column, in one pass."""
-    one = df.agg(F.count(target).alias("n"), *[F.corr(c, target).alias(c) for c in columns])
-    rows = one.select("n", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("r")) for c in columns])))
-    return rows.select("column_name", F.abs("r").alias("abs_r"), "n", (F.abs("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))).alias("t"))
+    """column_name, abs_r, n, t (of the t statistic), p for each column, in one pass; rows with both values count."""
+    both = lambda c: F.count(F.when(F.col(c).isNotNull() & F.col(target).isNotNull(), 1))
+    one = df.agg(*[x for i, c in enumerate(columns) for x in (F.corr(c, target).alias(f"r{i}"), both(c).alias(f"n{i}"))])
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n")) for i, c in enumerate(columns)])))
+    return rows.withColumn("p", p_value(F.col("r"), F.col("n"))).select("column_name", F.abs("r").alias("abs_r"), "n", (F.abs("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))).alias("t"), "p")
 
 
 def top_corr(df: DataFrame, columns: Sequence[str], target: str, k: int) -> DataFrame:
@@ -89,11 +140,13 @@ def top_corr(df: DataFrame, columns: Sequence[str], target: str, k: int) -> Data
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """a, b, r for all pairs of columns, from one pass over the rows; the matrix is as large as the columns squared."""
+    """a, b, r, n, p for all pairs of columns, from one pass over the rows with all of them; the matrix is as large as the columns squared."""
     spark = df.sparkSession
     rows = VectorAssembler(inputCols=list(columns), outputCol="__v", handleInvalid="skip").transform(df)
     m = Correlation.corr(rows, "__v").first()[0].toArray()
-    return spark.createDataFrame([(a, b, float(m[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j], "a string, b string, r double")
+    n = df.agg(F.count_if(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns])).alias("n")).first()["n"]
+    found = spark.createDataFrame([(a, b, float(m[i, j]), n) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j], "a string, b string, r double, n long")
+    return found.withColumn("p", p_value(F.col("r"), F.col("n")))
 
 
 def attribute_distance(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import online
 from .prefix import integerize
 from .relational import small
 
@@ -230,18 +231,12 @@ def boost_predict(df: DataFrame, boosted: tuple[float, list], key: str, out: str
     return held
 
 
-def quantile_linear(df: DataFrame, label: str, features: Sequence[str], tau: float, steps: int = 60, rate: float = 0.5) -> list[float]:
-    """Weights (constant first) of a linear model with pinball loss; each gradient step is one aggregate over all rows. Features
-    should be scaled."""
-    x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
-    w = [float(df.agg(F.percentile_approx(F.col(label).cast("double"), tau)).first()[0]), *[0.0] * len(features)]
-    spread = float(df.agg(F.stddev_pop(label)).first()[0] or 1.0)
-    for k in range(steps):
-        error = F.col(label) - sum((c * v for c, v in zip(x, w, strict=True)), F.lit(0.0))
-        slope = F.when(error > 0, F.lit(-tau)).otherwise(F.lit(1 - tau))
-        g = df.agg(*[F.avg(slope * c) for c in x]).first()
-        w = [v - rate * spread / (1 + k / 10) * d for v, d in zip(w, g, strict=True)]
-    return w
+def quantile_linear(df: DataFrame, label: str, features: Sequence[str], tau: float, **how) -> list[float]:
+    """Weights (constant first) of a linear model with pinball loss of named columns, which should be scaled; for texts and other options
+    see online.fit_quantile()."""
+    bits = next(b for b in range(8, 60) if len({online.place(f, b) for f in ("", *features)}) == len(features) + 1)  # each has a place of its own
+    found = online.fit_quantile(df, label, features, tau, bits=bits, **how)
+    return [found.weight(), *[found.weight(f) for f in features]]
 
 
 def pca_reduce(df: DataFrame, key: str, features: Sequence[str], count: int | None = None, share: float | None = None, whiten: bool = False) -> tuple[DataFrame, list[float]]:

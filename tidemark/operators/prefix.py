@@ -130,21 +130,22 @@ def integerize(frames: Sequence[DataFrame], column: str) -> DataFrame:
     return ranked.select(column, F.col("before___one").alias("code"))
 
 
-def lorenz_gini(df: DataFrame, actual: str, predicted: str, weight: str | None = None, tie: Sequence[str] = ()) -> DataFrame:
-    """gini: by descending prediction, sum of L(i+1)R(i) - L(i)R(i+1) over the curves of weight share R and loss share L."""
-    own = df.select(F.col(actual).cast("double").alias("a"), F.col(predicted).cast("double").alias("p"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)])
+def lorenz_gini(df: DataFrame, actual: str, predicted: str, weight: str | None = None, tie: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """by, gini: by descending prediction, sum of L(i+1)R(i) - L(i)R(i+1) over the curves of weight share R and loss share L."""
+    own = df.select(*by, F.col(actual).cast("double").alias("a"), F.col(predicted).cast("double").alias("p"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)])
     own = own.withColumn("l", F.col("a") * F.col("w"))
-    totals = own.agg(F.sum("w").alias("tw"), F.sum("l").alias("tl"))
-    run = global_prefix_sum(own, "p", ["w", "l"], descending=True, tie=[f"t{i}" for i in range(len(tie))])
+    totals = own.groupBy(*by).agg(F.sum("w").alias("tw"), F.sum("l").alias("tl"))
+    run = global_prefix_sum(own, "p", ["w", "l"], descending=True, tie=[f"t{i}" for i in range(len(tie))], by=by)
     # before_ is the curve at i, before_ plus own at i + 1; the first term, from the origin, is 0
     term = (F.col("before_l") + F.col("l")) * F.col("before_w") - F.col("before_l") * (F.col("before_w") + F.col("w"))
-    return run.agg(F.sum(term).alias("s")).crossJoin(totals).select(F.try_divide("s", F.col("tw") * F.col("tl")).alias("gini"))
+    sums = run.groupBy(*by).agg(F.sum(term).alias("s"))
+    return (sums.join(totals, list(by)) if by else sums.crossJoin(totals)).select(*by, F.try_divide("s", F.col("tw") * F.col("tl")).alias("gini"))
 
 
-def gini_normalized(df: DataFrame, actual: str, predicted: str, weight: str | None = None, tie: Sequence[str] = ()) -> DataFrame:
-    a = lorenz_gini(df, actual, predicted, weight, tie).withColumnRenamed("gini", "a")
-    b = lorenz_gini(df, actual, actual, weight, tie).withColumnRenamed("gini", "b")
-    return a.crossJoin(b).select(F.try_divide("a", "b").alias("gini"))
+def gini_normalized(df: DataFrame, actual: str, predicted: str, weight: str | None = None, tie: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    a = lorenz_gini(df, actual, predicted, weight, tie, by).withColumnRenamed("gini", "a")
+    b = lorenz_gini(df, actual, actual, weight, tie, by).withColumnRenamed("gini", "b")
+    return (a.join(b, list(by)) if by else a.crossJoin(b)).select(*by, F.try_divide("a", "b").alias("gini"))
 
 
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:

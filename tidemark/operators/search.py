@@ -9,6 +9,7 @@ import threading
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import InheritableThread
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
@@ -37,6 +38,49 @@ def out_of_fold(df: DataFrame, fold: str, folds: int, features: Sequence[str], l
     return out
 
 
+def fold_sums(df: DataFrame, fold: str, label: str, columns: Mapping[str, Column]) -> DataFrame:
+    """Sums of the columns by fold and label, in one pass: as many rows as folds times classes."""
+    return df.groupBy(fold, label).agg(*[F.sum(c).alias(n) for n, c in columns.items()])
+
+
+def bayes_out_of_fold(df: DataFrame, fold: str, folds: int, features: Sequence[str], label: str, keep: Sequence[str], weight: str | None = None) -> DataFrame:
+    """keep, fold, prediction (a class), p (probabilities by ascending class) of every row by Gaussian naive Bayes of the other folds'
+    weighted rows. One pass gives the sums of all folds; a fold's model is all sums less its own, so more folds cost no more passes. A
+    billionth of the largest variance is added to variances. A class that a fold's training rows lack has probability 0."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    x = {f: F.col(f).cast("double") for f in features}
+    wanted = {"n": w, **{f"s_{f}": w * c for f, c in x.items()}, **{f"q_{f}": w * c * c for f, c in x.items()}}
+    held = df.where(F.col(label).isNotNull())
+    rows = fold_sums(held, fold, label, wanted).collect()  # folds times classes
+    classes = sorted({r[label] for r in rows})
+    names = ["n", *[f"s_{f}" for f in features], *[f"q_{f}" for f in features]]
+    sums = np.zeros((folds, len(classes), len(names)))
+    for r in rows:
+        sums[r[fold], classes.index(r[label])] = [r[n] for n in names]
+    d, models = len(features), []
+    for k in range(folds):
+        own = sums.sum(axis=0) - sums[k]
+        n, total = own[:, 0], own.sum(axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = own[:, 1 : d + 1] / n[:, None]
+            extra = 1e-9 * (total[d + 1 :] / total[0] - (total[1 : d + 1] / total[0]) ** 2).max()
+            models.append([(float(np.log(n[c] / total[0])) if n[c] > 0 else None, mean[c].tolist(), (own[c, d + 1 :] / n[c] - mean[c] ** 2 + extra).tolist()) for c in range(len(classes))])
+
+    def score(c: int) -> Column:
+        """Of class c by the model of the row's fold; models are a few numbers for each fold."""
+        def pick(value) -> Column:
+            return F.element_at(F.array(*[F.lit(value(m[c])) for m in models]).cast("array<double>"), F.col(fold).cast("int") + 1)
+
+        terms = [F.pow(x[f] - pick(lambda m, i=i: m[1][i]), 2) / pick(lambda m, i=i: m[2][i]) + F.log(pick(lambda m, i=i: m[2][i])) for i, f in enumerate(features)]
+        return F.coalesce(pick(lambda m: m[0]) - 0.5 * sum(terms[1:], terms[0]), F.lit(float("-inf")))
+
+    scored = df.withColumn("__lp", F.array(*[score(c) for c in range(len(classes))])).withColumn("__top", F.array_max("__lp"))
+    e = scored.withColumn("__e", F.transform("__lp", lambda v: F.exp(v - F.col("__top"))))
+    p = F.transform("__e", lambda v: v / F.aggregate("__e", F.lit(0.0), lambda a, b: a + b))
+    values = F.array(*[F.lit(c) for c in classes])
+    return e.select(*keep, fold, F.element_at(values, F.array_position("__e", F.array_max("__e")).cast("int")).alias("prediction"), p.alias("p"))
+
+
 def cross_val_score(scored: DataFrame, fold: str, score: Column) -> DataFrame:
     """fold, score of an out-of-fold table, any aggregate as the score."""
     return scored.groupBy(fold).agg(score.alias("score"))
@@ -221,15 +265,3 @@ def best_of(df: DataFrame, fold: str, folds: int, features: Sequence[str], label
     """Several learners by their mean fold score, best first."""
     found = [(name, _mean(df, fold, folds, features, label, lambda p, m=make: m(), {}, score, key)) for name, make in learners.items()]
     return sorted(found, key=lambda x: (-x[1], x[0]))
-
-
-def select_rfe(df: DataFrame, features: Sequence[str], fit: Callable[[Sequence[str]], Mapping[str, float]], score: Callable[[Sequence[str]], float], least: int = 1) -> list[tuple[tuple[str, ...], float]]:
-    """Drops the weakest feature step by step; (features, score) of each step."""
-    own, out = list(features), []
-    while len(own) >= least:
-        out.append((tuple(own), score(own)))
-        weights = fit(own)
-        own.remove(min(own, key=lambda f: (weights[f], f)))
-        if not own:
-            break
-    return out

@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 
-def bayes(train: str, test: str, features: Sequence[str], thresholds: Sequence[float] = ()) -> str:
+def bayes(train: str, test: str, features: Sequence[str], thresholds: Sequence[float] = (), weight: str = "") -> str:
     """Common table expressions up to `pr`: k, key, c (class), p (probability), and `best`: k, key, prediction.
 
-    train: a query of k (split), y and the features; test: of k, key and the features. Classes weigh by their
+    train: a query of k (split), y, the features and the weight, if there is one; test: of k, key and the features. Classes weigh by their
     rows; a billionth of the largest variance of all rows is added to variances."""
-    own = ", ".join(f"avg({f}) AS m_{f}, avg({f} * {f}) - avg({f}) * avg({f}) AS v_{f}" for f in features)
+    avg = lambda x: f"(sum({weight} * {x}) / sum({weight}))" if weight else f"avg({x})"
+    var = lambda f: f"{avg(f'{f} * {f}')} - {avg(f)} * {avg(f)}"
+    n = f"sum({weight})" if weight else "count(*)"
+    own = ", ".join(f"{avg(f)} AS m_{f}, {var(f)} AS v_{f}" for f in features)
     far = " + ".join(f"pow(te.{f} - m_{f}, 2) / (v_{f} + e) + ln(v_{f} + e)" for f in features)
     share = "p" if not thresholds else "p / CASE c " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(thresholds)) + " END"
     return f"""WITH tr AS ({train}), te AS ({test}),
-st AS (SELECT k, y AS c, count(*) AS n, {own} FROM tr GROUP BY k, y),
-al AS (SELECT k, count(*) AS total, 1e-9 * greatest({', '.join(f'avg({f} * {f}) - avg({f}) * avg({f})' for f in features)}) AS e FROM tr GROUP BY k),
+st AS (SELECT k, y AS c, {n} AS n, {own} FROM tr GROUP BY k, y),
+al AS (SELECT k, {n} AS total, 1e-9 * greatest({', '.join(map(var, features))}) AS e FROM tr GROUP BY k),
 sc AS (SELECT te.k, te.key, st.c, ln(st.n) - ln(total) - 0.5 * ({far}) AS lp FROM te JOIN st ON te.k = st.k JOIN al ON te.k = al.k),
 ex AS (SELECT k, key, c, exp(lp - max(lp) OVER (PARTITION BY k, key)) AS x FROM sc),
 pr AS (SELECT k, key, c, x / sum(x) OVER (PARTITION BY k, key) AS p FROM ex),

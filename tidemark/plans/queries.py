@@ -291,10 +291,23 @@ register("argmax_class", f"SELECT vec_id, CAST(arg_max(p, (q, -p)) AS INT) AS pr
 register("mean_over_variants", f"SELECT vec_id // 5 AS item, p, avg(q) AS q FROM ({_PROBS}) t GROUP BY ALL", "q")(lambda v: _probs(v).select(F.floor(F.col("vec_id") / 5).alias("item"), F.posexplode("q").alias("p", "q")).groupBy("item", "p").agg(F.avg("q").alias("q")))
 register("confusion_matrix", f"SELECT y AS actual, p AS predicted, count(*) AS n FROM {_SCORED} GROUP BY ALL")(lambda v: metrics.confusion_matrix(_scored(v), "y", "p"))
 register("classification_report", " UNION ALL ".join(f"SELECT {k} AS class, count(*) FILTER (y = {k} AND p = {k}) / nullif(CAST(count(*) FILTER (p = {k}) AS DOUBLE), 0) AS precision, count(*) FILTER (y = {k} AND p = {k}) / CAST(count(*) FILTER (y = {k}) AS DOUBLE) AS recall, 2 * count(*) FILTER (y = {k} AND p = {k}) / CAST(count(*) FILTER (y = {k}) + count(*) FILTER (p = {k}) AS DOUBLE) AS f1, count(*) FILTER (y = {k}) AS support FROM {_SCORED}" for k in (0, 1)), "precision recall f1")(lambda v: metrics.classification_report(_scored(v), "y", "p"))
-register("corr_with_target", " UNION ALL ".join(f"SELECT '{c}' AS column_name, abs(corr({c}, target)) AS abs_r, count(target) AS n, abs(corr({c}, target)) * sqrt((count(target) - 2) / (1 - pow(corr({c}, target), 2))) AS t FROM {{loss}}" for c in ("var8", "var10", "var11", "var13", "var15")), "abs_r t")(lambda v: metrics.corr_with_target(v("loss"), ["var8", "var10", "var11", "var13", "var15"], "target"))
+_CT = ("var8", "var10", "var11", "var13", "var15")
+
+
+_CORRELATED = " UNION ALL ".join(f"SELECT '{c}' AS column_name, corr({c}, target) AS r, count(*) FILTER ({c} IS NOT NULL AND target IS NOT NULL) AS n FROM {{loss}}" for c in _CT)
+
+
+def _p(by: str) -> str:
+    """Expressions p: by, p, of a table c with r and n: under no correlation asin(r) has a density in proportion to cos(angle) to the power
+    n - 3, and p is its share beyond |asin(r)|, by Simpson's rule."""
+    part = lambda low: f"sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp((n - 3) * ln(cos({low} + (top - {low}) * i / 2000)))) * (max(top) - max({low}))"
+    return f"q AS (SELECT *, 0.0 AS zero, asin(abs(r)) AS low, greatest(asin(abs(r)), least(pi() / 2, 14 / sqrt(n - 2.0))) AS top FROM c), p AS (SELECT {by}, {part('low')} / ({part('zero')}) AS p FROM q CROSS JOIN (SELECT unnest(range(2001)) AS i) g GROUP BY {by})"
+
+
+register("corr_with_target", f"WITH c AS ({_CORRELATED}), {_p('column_name')} SELECT c.column_name, abs(r) AS abs_r, n, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t, p FROM c JOIN p ON c.column_name = p.column_name", "abs_r t p")(lambda v: metrics.corr_with_target(v("loss"), _CT, "target"))
 _CC = ["var8", "var10", "var11", "var13"]
 _PAIRS = [(a, b) for i, a in enumerate(_CC) for b in _CC[i + 1 :]]
-register("corr_matrix", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {{loss}}" for a, b in _PAIRS), "r")(lambda v: metrics.corr_matrix(v("loss"), _CC))
+register("corr_matrix", f"WITH c AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, count(*) AS n FROM {{loss}}" for a, b in _PAIRS)}), {_p('a, b')} SELECT c.*, p FROM c JOIN p ON c.a = p.a AND c.b = p.b", "r p")(lambda v: metrics.corr_matrix(v("loss"), _CC))
 register("attribute_distance", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, 1 - abs(corr({a}, {b})) AS distance FROM {{loss}}" for a, b in _PAIRS), "distance")(lambda v: metrics.attribute_distance(v("loss"), _CC))
 register("attribute_statistics", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS sd, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM {{loss}}" for c in _NUM), "mean sd min max")(lambda v: metrics.attribute_statistics(v("loss"), _NUM))
 register("cv_summary", f"SELECT avg(m) AS mean, stddev_pop(m) AS sd, stddev_pop(m) / avg(m) AS ratio FROM (SELECT split, avg(abs(y - s)) AS m FROM {_SCORED} GROUP BY split) u", "mean sd ratio", 6)(lambda v: metrics.cv_summary(_scored(v), "split", "y", "s"))
