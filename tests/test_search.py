@@ -57,13 +57,13 @@ def test_hopeless_jobs_are_cancelled(spark):
     def evaluate(p, fold):
         if fold == 0:
             return float(p["good"])
-        slow = F.udf(lambda i: time.sleep(0.25) or i, "long")
+        slow = F.udf(lambda i: time.sleep(1) or i, "long")
         return float(spark.range(0, 40, 1, 2).select(slow("id").alias("i")).agg(F.count("i") * 0 + 1.0).first()[0]) if not p["good"] else 1.0
 
     trials = search.Trials(evaluate, 2, spark, at_once=4, most=1.0)
     began = time.time()
     assert trials.run([{"good": 1}, {"good": 0}], least=0.9) == [1.0, float("-inf")]
-    assert time.time() - began < 4.5
+    assert time.time() - began < 15  # 20 seconds if it ran to its end
     assert trials.run([{"good": 1}], least=0.9) == [1.0] and trials.jobs <= 4
     with pytest.raises(ZeroDivisionError):
         search.Trials(lambda p, f: 1 / 0, 2, spark).run([{"a": 1}])

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import threading
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -126,11 +127,14 @@ def _drawn(rng: random.Random, space: Sequence | Span) -> object:
 
 
 def _changed(rng: random.Random, space: Sequence | Span, x: object) -> object:
-    """A number times 1 + normal * sd (0 takes a step of the span), another one of a list."""
+    """A number of a span times 1 + normal * sd (0 takes a step of the span); another one of a list, nearer ones likelier where it has numbers."""
     if isinstance(space, Span):
         new = space.held(x * (1 + rng.gauss(0, space.sd)) if x else rng.gauss(0, space.sd) * (space.high - space.low))
         return space.held(new + rng.choice((-1, 1))) if space.whole and new == x else new
     others = [o for o in space if o != x]
+    if others and all(isinstance(o, (int, float)) for o in space):
+        at = {o: i for i, o in enumerate(sorted(space))}
+        return rng.choices(others, [1 / abs(at[o] - at[x]) ** 2 for o in others])[0]
     return rng.choice(others) if others else x
 
 
@@ -150,13 +154,14 @@ class Trials:
         """Scores in the candidates' order, -inf for hopeless ones. What was scored before isn't run again."""
         keys = [tuple(c.values()) for c in candidates]
         new = {k: c for k, c in zip(keys, candidates, strict=True) if k not in self.scores and self.hopeless.get(k, math.inf) > least}
-        lock, parts, stopped = threading.Lock(), {k: {} for k in new}, set()
+        lock, parts, stopped, running = threading.Lock(), {k: {} for k in new}, set(), Counter()
 
         def one(key: tuple, fold: int) -> None:
             with lock:
                 if key in stopped:
                     return
                 self.jobs += 1
+                running[key] += 1
             tag = f"trial-{id(self)}-{abs(hash(key))}"
             if self.spark is not None:
                 self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", tag)
@@ -169,6 +174,8 @@ class Trials:
                         return
                 raise
             finally:
+                with lock:
+                    running[key] -= 1
                 if self.spark is not None:
                     self.spark.removeTag(tag)
                     self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
@@ -177,10 +184,8 @@ class Trials:
                 found = parts[key]
                 done = sum(found[f] for f in sorted(found))
                 bound = math.inf if self.most is None and len(found) < self.folds else (done + (self.folds - len(found)) * (self.most or 0)) / self.folds
-                if bound < least and key not in stopped:
+                if bound < least:
                     stopped.add(key)
-                    if self.spark is not None and len(found) < self.folds:
-                        self.spark.interruptTag(tag)
 
         thread = InheritableThread if self.spark is not None else threading.Thread
         work = [(k, f) for f in range(self.folds) for k in new]
@@ -200,8 +205,13 @@ class Trials:
         workers = [thread(target=worker) for _ in range(min(self.at_once, len(work)))]
         for w in workers:
             w.start()
-        for w in workers:
-            w.join()
+        while any(w.is_alive() for w in workers):
+            for w in workers:
+                w.join(0.1)
+            with lock:
+                late = [k for k in stopped if running[k]]
+            for k in late if self.spark is not None else []:  # again and again: its next job may not have begun yet
+                self.spark.interruptTag(f"trial-{id(self)}-{abs(hash(k))}")
         if failed:
             raise failed[0]
         for k, found in parts.items():
