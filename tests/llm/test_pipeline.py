@@ -100,3 +100,23 @@ def test_tables_between_stages_are_deleted(spark):
     assert common.marked() == mark + 1 and b.count() == 3
     with pytest.raises(Exception):
         a.count()
+
+
+def test_runs_side_by_side_keep_their_tables(spark):
+    """A run clears its own tables only; tables outside of runs stay."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidemark.llm.common import Tables, written
+
+    outside = written(spark.range(3), "outside")
+
+    def run(n):
+        with Tables() as tables:
+            for k in range(4):
+                last = written(spark.range(n + k), "inside")
+                tables.clear_but_last(spark)
+            return len(tables), last.count()
+
+    with ThreadPoolExecutor(3) as pool:
+        assert list(pool.map(run, [10, 20, 30])) == [(1, 13), (1, 23), (1, 33)]
+    assert outside.count() == 3

@@ -527,3 +527,23 @@ def test_empty_table(spark, docs):
     none = docs.limit(0)
     for df in (bpe.digests(none, RANKS), packing.pack(none, RANKS), quality.score(none, None), substring.digests(none), substring.strip(none), ngramjoin.join(none), secret_scan.find(none), toxicity.score(none, None), spotsigs.fingerprints(none)):
         assert df.count() == 0
+
+
+def test_warc_payload_of_a_third_of_all_pages(spark):
+    """No task of the join has the payload's pages together, with ids or without."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(12_000).selectExpr("if(id % 9 = 0, null, id) AS page_id", "'u' AS url", "if(id % 3 = 0, repeat('same ', 40), concat('own ', id, repeat(' x', 60))) AS html").repartition(6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found = warc.revisits(rows)
+        assert found.agg(F.count("*"), F.max("refers_to")).first() == (2666, 3)  # one of them for all rows without an id
+        joined = found.sparkSession.read.parquet(found.inputFiles()[0].rsplit("/", 1)[0])
+        held = warc.with_totals(joined, ["payload_digest"], F.col("row"), n=("sum", F.lit(1)))
+        assert held.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -62,27 +63,34 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
-_written: list[str] = []
+class Tables(list):
+    """Paths of the tables that written() makes while this is open, in this thread. Runs side by side have lists of their own."""
 
+    def __enter__(self) -> Tables:
+        self.token = _tables.set(self)
+        return self
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: cuts lineage and survives lost executors. It stays until clear()."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def __exit__(self, *_: object) -> None:
+        _tables.reset(self.token)
+
+    def clear_but_last(self, spark: SparkSession) -> None:
+        """Deletes all of them but the last one."""
+        for path in self[:-1]:
+            own = spark._jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+        del self[:-1]
 
 
-def clear(spark: SparkSession, since: int) -> None:
-    """Deletes the tables that written() has made in this process since there were so many of them (marked()), but the last one."""
-    for path in _written[since:-1]:
-        own = spark._jvm.org.apache.hadoop.fs.Path(path)
-        own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
-    _written[since:] = _written[since:][-1:]
+_tables: ContextVar[Tables | None] = ContextVar("tables", default=None)
 
 
-def marked() -> int:
-    return len(_written)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written to the shared folder: cuts lineage and survives lost executors. It stays, but within Tables."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if (tables := _tables.get()) is not None:
+        tables.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, partitions, shared_dir, written
+from .common import bounded, partitions, shared_dir, with_totals, written
 
 CHUNK = 1 << 16
 END = b"\r\n\r\n"
@@ -41,11 +41,11 @@ def _described(pages: DataFrame) -> DataFrame:
 
 def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """key and refers_to, one row for each pair of an id and a payload that are a revisit."""
-    facts = _described(bounded(pages)).where(F.col("payload_bytes") >= least).select("page_id", "payload_digest", "key")
-    # counts and smallest ids are made before the shuffle, so a payload that a third of all pages share is no burden
-    first = facts.groupBy(F.col("payload_digest").alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    held = facts.join(first, facts.payload_digest == first.digest).where(F.col("page_id").isNull() | (F.col("first") < F.col("page_id")))
-    return held.groupBy("key").agg(F.min("first").alias("refers_to"))
+    facts = _described(bounded(pages)).where(F.col("payload_bytes") >= least).select("page_id", "payload_digest", "key", F.monotonically_increasing_id().alias("row"))
+    # a payload that a third of all pages share is spread over tasks by its rows, in sums and join alike
+    held = with_totals(written(facts, "facts"), ["payload_digest"], F.col("row"), first=("min", F.col("page_id")), n=("sum", F.lit(1)))
+    later = held.where((F.col("n") > 1) & F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("first") < F.col("page_id"))))
+    return later.groupBy("key").agg(F.min("first").alias("refers_to"))
 
 
 def chunk_rows(pages: DataFrame, revisits: DataFrame, chunk: int = CHUNK) -> DataFrame:
