@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import ngramjoin, packing, quality, secret_scan, substring
-from tidemark.llm.common import clear, marked, table, written
+from tidemark.llm.common import Tables, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order; of the tables in between only the last is kept, as long as the next stage needs it."""
-    docs, mark = table(spark, sf_dir, "documents"), marked()
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-        clear(spark, mark)
+    docs = table(spark, sf_dir, "documents")
+    with Tables() as tables:
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            tables.clear_but_last(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
