@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import kept
 from . import prefix
 from .relational import small
 
@@ -174,11 +175,16 @@ def missing_totals(df: DataFrame) -> DataFrame:
 
 
 def impute_constants(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column_name, mean, median (exact), mode (smallest of the most frequent)."""
-    held = prefix.long_form(df, columns)
-    means = held.groupBy("name").agg(F.avg("value").alias("mean"))
-    medians = prefix.percentiles(held, "value", [0.5], ["name"]).select("name", F.col("p")[0].alias("median"))
-    return means.join(medians, "name").join(prefix.most_frequent(held, "value", ["name"]), "name").withColumnRenamed("name", "column_name")
+    """column_name, mean, median (exact), mode (smallest of the most frequent): all from one count by column and value."""
+    held = prefix.long_form(df, columns).where(F.col("value").isNotNull())
+    counts = kept(held.groupBy("name", "value").agg(F.count("*").alias("n")), "counts")
+    run = prefix.global_prefix_sum(counts, "value", ["n"], by=["name"], totals=True)
+    place = (F.col("total_n") - 1) / 2
+    at = lambda i: F.max(F.when((F.col("before_n") <= i) & (i < F.col("before_n") + F.col("n")), F.col("value")))
+    mode = F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"]
+    found = run.groupBy("name").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), ((at(F.floor(place)) + at(F.ceil(place))) / 2).alias("median"), mode.alias("mode"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    return names.join(found, F.col("column_name") == F.col("name"), "left").drop("name")
 
 
 def rate_table(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:

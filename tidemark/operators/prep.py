@@ -100,6 +100,12 @@ def split_stratified(df: DataFrame, label: str, key: str, share: float, seed: in
     return held.withColumn("is_train", F.col("before___one") < F.round(F.col("total___one") * share)).select(*df.columns, "is_train")
 
 
+def split_copies(copies: DataFrame, item: str, label: str, share: float) -> DataFrame:
+    """copies with is_train: split by item and stratified by the items' labels, so that all (augmented) copies of an item are on one side."""
+    items = copies.groupBy(item).agg(F.min(label).alias(label))
+    return copies.join(split_stratified(items, label, item, share).select(item, "is_train"), item)
+
+
 def cv_kfold(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     return df.withColumn("fold", F.pmod(shuffled(key, seed), F.lit(k)).cast("int"))
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import struct
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
+from ..operators import models
 from ..sources import io
 from ..streaming import streams
 from .recast import as_sql, rounded, rounded_sql, view
@@ -173,9 +175,16 @@ def stream_block_features(spark, sf_dir):
     return streams.to_table(rows, "blocks").select(*rows.columns)
 
 
-@register("stream_score", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 100 * var13 + 2 * var10 - 1 AS score FROM {loss}", "score")
+@register(
+    "stream_score",
+    "WITH m AS (SELECT avg(var10) AS a, avg(var13) AS b, avg(target) AS t FROM {loss}), s AS (SELECT sum((var10 - a) * (var10 - a)) AS aa, sum((var10 - a) * (var13 - b)) AS ab, sum((var13 - b) * (var13 - b)) AS bb, sum((var10 - a) * (target - t)) AS ta, sum((var13 - b) * (target - t)) AS tb FROM {loss}, m), c AS (SELECT (ta * bb - tb * ab) / (aa * bb - ab * ab) AS x, (tb * aa - ta * ab) / (aa * bb - ab * ab) AS y FROM s) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, t + x * (var10 - a) + y * (var13 - b) AS score FROM {loss}, m, c",
+    "score",
+    4,
+)
 def stream_score(spark, sf_dir):
-    """Chunks scored by fixed linear weights and appended."""
-    score = 100 * F.col("var13") + 2 * F.col("var10") - 1
-    rows = streams.view_of_stream(spark, sf_dir, "loss", "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", score.alias("score"))
+    """A pipeline is fitted and stored; a stream is scored chunk by chunk with what is read back."""
+    path = io.fresh(spark, "stored-model")
+    models.pipeline(["var10", "var13"], models.linear("target", "ordinary", 0).setSolver("normal")).fit(view(spark, sf_dir, "loss")).save(path)
+    scored = PipelineModel.load(path).transform(streams.view_of_stream(spark, sf_dir, "loss", "lineitem"))
+    rows = scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("prediction").alias("score"))
     return streams.to_table(rows, "scored").select(*rows.columns)

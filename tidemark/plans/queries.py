@@ -143,7 +143,7 @@ register("shopper_recency_spend", "SELECT t.id, min(abs(t.date - h.offerdate)) A
 )
 
 
-def _mlwave_sql() -> tuple[str, str]:
+def _windows_sql() -> tuple[str, str]:
     sums, rounded = ["t.id", "min(o.offervalue) AS offer_value", "min(o.quantity) AS offer_quantity", "sum(amount) AS total_spend", "min(repeater) AS repeater"], ["offer_value", "total_spend"]
     for c in ("company", "category", "brand"):
         for s in (None, 30, 60, 90, 180):
@@ -156,7 +156,7 @@ def _mlwave_sql() -> tuple[str, str]:
     return f"SELECT * EXCLUDE (repeater){never}{combos}, CASE repeater WHEN 't' THEN 1.0 WHEN 'f' THEN 0.0 ELSE 0.5 END AS label FROM (SELECT {', '.join(sums)} FROM {{transactions}} t JOIN {{history}} h ON t.id = h.id JOIN {{offers}} o ON h.offer = o.offer GROUP BY t.id) s", " ".join([*rounded, "label"])
 
 
-register("shopper_offer_features_mlwave", *_mlwave_sql())(lambda v: agg.shopper_features_long(v("transactions"), v("history"), v("offers")))
+register("shopper_offer_features_windows", *_windows_sql())(lambda v: agg.shopper_features_long(v("transactions"), v("history"), v("offers")))
 register("condense_count_distinct", "SELECT customer_id" + "".join(f", count(DISTINCT {c}) + max(CAST({c} IS NULL AS INT)) AS {c}_count" for c in ("a", "k", "risk_factor", "car_value")) + " FROM {quotes} GROUP BY customer_id")(lambda v: agg.condense_count_distinct(v("quotes"), "customer_id", ["a", "k", "risk_factor", "car_value"]))
 register("condense_cond_mean", "SELECT customer_id, avg(cost) FILTER (cost > -1) AS cost_avg, avg(b) FILTER (b > 0) AS b_avg FROM {quotes} GROUP BY customer_id", "cost_avg b_avg")(lambda v: agg.condense_mean(v("quotes"), "customer_id", ["cost"]).join(agg.condense_mean(v("quotes"), "customer_id", ["b"], 0), "customer_id"))
 register("condense_last", "SELECT customer_id, arg_max(a, shopping_pt) AS a_last, arg_max(cost, shopping_pt) AS cost_last FROM {quotes} GROUP BY customer_id", "cost_last")(lambda v: agg.condense_last(v("quotes"), "customer_id", ["a", "cost"], "shopping_pt"))
@@ -254,8 +254,8 @@ register("cv_kfold", f"SELECT id, CAST({_H.format(s=3)} % 5 AS INT) AS fold FROM
 register("cv_stratified_kfold", f"SELECT id, CAST((row_number() OVER (PARTITION BY survived ORDER BY {_H.format(s=0)}, id) - 1) % 4 AS INT) AS fold FROM {{passengers}}")(lambda v: prep.cv_stratified_kfold(v("passengers"), "survived", "id", 4).select("id", "fold"))
 register("cv_by_group", "SELECT id, fold, CASE fold WHEN 0 THEN embarked IN ('A', 'B') ELSE embarked IN ('F') END AS is_train FROM {passengers} CROSS JOIN (SELECT unnest([0, 1]) AS fold) f")(lambda v: prep.cv_by_group(v("passengers"), "embarked", [["A", "B"], ["F"]]).select("id", "fold", "is_train"))
 register("sample_fraction", f"SELECT id, market FROM {{history}} WHERE {_H.format(s=0)} < 0.2 * 4294967296")(lambda v: prep.sample_fraction(v("history"), "id", 0.2).select("id", "market"))
-register("split_train_val_sample", f"SELECT id, CASE WHEN row_number() OVER (PARTITION BY survived ORDER BY {_H.format(s=0)}, id) <= round(count(*) OVER (PARTITION BY survived) * 0.8) THEN 'train' ELSE 'val' END AS part, id % 10 = 0 AS is_sample FROM {{passengers}}")(
-    lambda v: prep.split_stratified(v("passengers"), "survived", "id", 0.8).select("id", F.when(F.col("is_train"), "train").otherwise("val").alias("part"), (F.pmod("id", F.lit(10)) == 0).alias("is_sample"))
+register("split_train_val_sample", f"SELECT id, angle, CASE WHEN row_number() OVER (PARTITION BY survived, angle ORDER BY {_H.format(s=0)}, id) <= round(count(*) OVER (PARTITION BY survived, angle) * 0.8) THEN 'train' ELSE 'val' END AS part, id % 10 = 0 AS is_sample FROM {{passengers}} CROSS JOIN (SELECT unnest([0, 90, 180, 270]) AS angle) a")(
+    lambda v: prep.split_copies(v("passengers").withColumn("angle", F.explode(F.array(*map(F.lit, (0, 90, 180, 270))))), "id", "survived", 0.8).select("id", "angle", F.when(F.col("is_train"), "train").otherwise("val").alias("part"), (F.pmod("id", F.lit(10)) == 0).alias("is_sample"))
 )
 
 # Metrics
