@@ -65,6 +65,19 @@ def test_boosting_with_losses_and_shares(table, loss):
     assert np.abs(got.y - got.prediction).mean() < 0.5 * np.abs(y - np.median(y)).mean()
 
 
+def test_steps_of_boosting_are_minima(spark):
+    """Of a convex loss along a line, against a fine grid; squares in closed form."""
+    rng = np.random.default_rng(8)
+    y, p, h = rng.normal(size=500) * 3, rng.normal(size=500), rng.normal(size=500)
+    h += (y - p) * 0.3
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(y, p, h, strict=True)], "__y double, __p double, __h double")
+    grid = np.linspace(-1, 10, 20001)
+    for loss, mean in ((models.SQUARED, lambda e: (e * e).mean()), (models.ABSOLUTE, lambda e: np.abs(e).mean())):
+        values = [mean(y - p - t * h) for t in grid]
+        step, value = models.best_step(df, loss)
+        assert value == pytest.approx(mean(y - p - step * h)) and value <= min(values) * (1 + 2e-4)
+
+
 @pytest.mark.parametrize("whiten", [False, True])
 def test_components(spark, whiten):
     rows = view(spark, SF, "embeddings")

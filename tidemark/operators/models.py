@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import kept
 from . import online
-from .prefix import integerize
+from .prefix import integerize, percentiles
 from .relational import small
 
 
@@ -166,56 +168,67 @@ def multi_output(train: DataFrame, test: DataFrame, labels: Sequence[str], featu
 
 @dataclass(frozen=True)
 class Loss:
-    """What boosting needs of a loss: its value and negative gradient as expressions of label and prediction, the constant to start from
-    as an aggregate, and the best weight of a step, given the sums that `step` asks for."""
+    """What boosting needs of a loss: its value (convex in the prediction) and negative gradient as expressions of label and prediction, and
+    the best constant of a table's label."""
 
     value: Callable[[Column, Column], Column]
     gradient: Callable[[Column, Column], Column]
-    start: Callable[[Column], Column]
-
-
-SQUARED = Loss(lambda y, p: (y - p) ** 2, lambda y, p: y - p, F.avg)
-ABSOLUTE = Loss(lambda y, p: F.abs(y - p), lambda y, p: F.signum(y - p), F.median)
-#: Weights of a step that are tried for a loss without a closed form, all in one aggregate, each a share of the least squares step.
-TRIED = [0.0, 0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0]
+    start: Callable[[DataFrame, str], float]
+
+
+SQUARED = Loss(lambda y, p: (y - p) ** 2, lambda y, p: y - p, lambda df, y: float(df.agg(F.avg(y)).first()[0]))
+ABSOLUTE = Loss(lambda y, p: F.abs(y - p), lambda y, p: F.signum(y - p), lambda df, y: float(percentiles(df, y, [0.5]).first()["p"][0]))
+#: Steps of a line that are tried at first, each a share of the least squares step; then as many between the neighbours of the best, so many times.
+TRIED, FINER = [0.0, 0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0], 3
+
+
+def best_step(shown: DataFrame, loss: Loss) -> tuple[float, float]:
+    """(step, mean loss) with the step along __h that lowers the loss of __y against __p most: closed form for squares, else a line search
+    whose steps are tried nine at a time in one aggregate."""
+    y, p, h = F.col("__y"), F.col("__p"), F.col("__h")
+    sums = shown.agg(F.sum((y - p) * h).alias("top"), F.sum(h * h).alias("bottom"), F.avg((y - p) ** 2).alias("error"), F.count("*").alias("n")).first()
+    step = sums["top"] / sums["bottom"] if sums["bottom"] else 0.0
+    if loss is SQUARED:
+        return step, (sums["error"] or 0.0) - step * (sums["top"] or 0.0) / max(sums["n"], 1)
+    at = [t * step for t in TRIED]
+    for k in range(1 + FINER):
+        got = [x if x is not None else 0.0 for x in shown.agg(*[F.avg(loss.value(y, p + t * h)) for t in at]).first()]
+        i = min(range(len(at)), key=lambda j: got[j])
+        if k == FINER or not step:
+            return at[i], got[i]
+        low, high = at[max(i - 1, 0)], at[min(i + 1, len(at) - 1)]
+        at = [low + (high - low) * j / (len(TRIED) - 1) for j in range(len(TRIED))]
+    raise AssertionError
 
 
 def boost_mixed(train: DataFrame, label: str, features: Sequence[str], learners: Mapping[str, Callable[[str], object]], key: str, rounds: int = 5, shrinkage: float = 0.5, enough: float = 1e-6, patience: int = 2, folds: int = 2, loss: Loss = SQUARED, share: float = 1.0, seed: int = 7) -> tuple[float, list]:
-    """(constant, [(weight, fitted pipeline)]): stages each fit the loss's negative gradient with the learner that does best over folds,
-    on a share of the rows drawn anew for each stage; the weight is the step that lowers the loss most, times the shrinkage. It ends at
-    an error of `enough`, or after `patience` stages without a better one. Predictions are written out by stage, so lineage stays short."""
-    from ..sources.io import shared_dir
-
-    train.sparkSession.sparkContext.setCheckpointDir(shared_dir(train.sparkSession))
+    """(constant, [(weight, fitted pipeline)]): stages each fit the loss's negative gradient with the learner whose out-of-fold predictions
+    lower the loss most, with their best step, on a share of the rows drawn anew for each stage; the weight is the best step times the
+    shrinkage. It ends at an error of `enough`, or after `patience` stages without a better one. Predictions are written out by stage, so
+    lineage stays short."""
     y, p = F.col("__y"), F.col("__p")
-    constant = float(train.agg(loss.start(F.col(label).cast("double"))).first()[0])
-    held = train.select(key, *features, F.col(label).cast("double").alias("__y"), F.lit(constant).alias("__p"), F.pmod(F.xxhash64(key), F.lit(folds)).alias("__fold"))
+    own = train.select(key, *features, F.col(label).cast("double").alias("__y"))
+    constant = loss.start(own, "__y")
+    held = own.select("*", F.lit(constant).alias("__p"), F.pmod(F.xxhash64(key), F.lit(folds)).alias("__fold"))
     stages, best, stuck = [], float("inf"), 0
     for k in range(rounds):
         drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), key), F.lit(1_000_000)) < share * 1_000_000
-        held = held.withColumn("__g", loss.gradient(y, p)).checkpoint()
+        held = kept(held.withColumn("__g", loss.gradient(y, p)), "boosting")
         rows = held.where(drawn) if share < 1 else held
         losses = {}
         for name, make in learners.items():
-            error = 0.0
-            for f in range(folds):
-                model = pipeline(features, make("__g").setPredictionCol("__h")).fit(rows.where(F.col("__fold") != f))
-                error += model.transform(rows.where(F.col("__fold") == f)).agg(F.sum((F.col("__g") - F.col("__h")) ** 2)).first()[0] or 0.0
-            losses[name] = error
+            parts = [pipeline(features, make("__g").setPredictionCol("__h")).fit(rows.where(F.col("__fold") != f)).transform(rows.where(F.col("__fold") == f)).select("__y", "__p", "__h") for f in range(folds)]
+            out = reduce(DataFrame.unionByName, parts).persist()
+            losses[name] = best_step(out, loss)[1]
+            out.unpersist()
         chosen = min(losses, key=lambda n: (losses[n], n))
         model = pipeline(features, learners[chosen]("__g").setPredictionCol("__h")).fit(rows)
         shown = model.transform(held).select(*held.columns, "__h").persist()
-        top, bottom = shown.agg(F.sum((y - p) * F.col("__h")), F.sum(F.col("__h") * F.col("__h"))).first()
-        step = top / bottom if bottom else 0.0
-        if loss is not SQUARED:
-            tried = shown.agg(*[F.avg(loss.value(y, p + t * step * F.col("__h"))) for t in TRIED]).first()
-            step *= TRIED[min(range(len(TRIED)), key=lambda i: tried[i])]
-        step *= shrinkage
-        held = shown.select(key, *features, "__y", (p + step * F.col("__h")).alias("__p"), "__fold")
+        step = best_step(shown, loss)[0] * shrinkage
+        held = kept(shown.select(key, *features, "__y", (p + step * F.col("__h")).alias("__p"), "__fold"), "boosting")
+        shown.unpersist()
         error = held.agg(F.avg(loss.value(y, p))).first()[0]
         stages.append((step, model))
-        held = held.checkpoint()
-        shown.unpersist()
         stuck = stuck + 1 if error >= best * (1 - 1e-9) else 0
         best = min(best, error)
         if error <= enough or stuck >= patience:
