@@ -178,6 +178,13 @@ def test_heavy_values_are_cut_by_their_ties(spark):
     assert sorted(r.before_n for r in prefix.global_prefix_sum(big, "v", ["n"], tie=["id"]).select("before_n").collect()) == list(range(20000))
 
 
+def test_heavy_values_are_cut_by_text_ties(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 50 > 0, F.format_string("k%05d", "id")).alias("k"), F.when(F.col("id") % 33 == 0, F.col("id") % 7 + 1.0).otherwise(0.0).alias("v"), F.lit(1).cast("long").alias("n"))
+    rows = prefix.global_prefix_sum(df.where("k IS NOT NULL"), "v", ["n"], tie=["k"]).collect()
+    assert [r.before_n for r in sorted(rows, key=lambda r: (r.v, r.k))] == list(range(len(rows)))
+    assert sorted(r.before_n for r in prefix.global_prefix_sum(df, "v", ["n"], tie=["k"]).select("before_n").collect()) == list(range(6000))
+
+
 def test_stratified_splits_with_one_large_class(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 100 == 0, "rare").otherwise(F.when(F.col("id") % 101 != 0, F.lit("most"))).alias("y"))
     n = {r.y: (r.n, r.t) for r in prep.split_stratified(df, "y", "id", 0.3).groupBy("y").agg(F.count("*").alias("n"), F.sum(F.col("is_train").cast("int")).alias("t")).collect()}

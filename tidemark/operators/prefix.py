@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 from .relational import small
 
@@ -46,8 +46,9 @@ def global_prefix_sum(df: DataFrame, order: str, columns: Sequence[str], descend
         part = 2 * part - single.cast("int")
     if descending:
         part = -part
-    if heavy and tie and isinstance(df.schema[tie[0]].dataType, NumericType):
-        within, _ = ranges(df.where(single), tie[0])
+    if heavy and tie and isinstance(df.schema[tie[0]].dataType, (NumericType, StringType)):
+        tied = df.where(single & F.col(tie[0]).isNotNull())
+        within = ranges(tied, tie[0])[0] if isinstance(df.schema[tie[0]].dataType, NumericType) else text_ranges(tied.select(tie[0]).distinct(), tie[0])
         part = part * (len(within) + 1) + F.when(single, _range_of(F.col(tie[0]), within)).otherwise(0)
     held = df
     held = held.withColumn("__part", part.cast("long"))
@@ -182,9 +183,9 @@ def calibration_table(df: DataFrame, label: str, score: str, lo: float, hi: floa
 
 
 def cumulative(df: DataFrame, name: str, value: str) -> DataFrame:
-    """Rows by descending value with the running sum; for tables of features, whose number is that of columns."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col(value).desc(), name).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(name, value, F.sum(value).over(w).alias("cumulative"))
+    """Rows by descending value with the running sum, equal values by name."""
+    run = global_prefix_sum(df.select(name, value), value, [value], descending=True, tie=[name])
+    return run.select(name, value, (F.col(f"before_{value}") + F.col(value)).alias("cumulative"))
 
 
 def top_features(df: DataFrame, name: str, value: str, share: float) -> DataFrame:
