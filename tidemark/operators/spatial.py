@@ -1,12 +1,12 @@
 """Grids over skies, and moments, boxes and statistics of images kept as pixel rows.
 
-A grid has a fixed number of points, given by parameters; each galaxy meets the points of its sky through an explode, and sums
-go back by (sky, point), so no sky is gathered in one task.
+A grid has a fixed number of points, given by parameters; galaxies meet the points of their sky within a batch, and partial sums go on
+by (sky, point), so no sky is gathered in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +33,54 @@ def grid_signal(skies: DataFrame, cells: int = 15) -> DataFrame:
     return grid.join(signal, ["sky_id", "i", "j"], "left").withColumn("signal", F.coalesce("signal", F.lit(0.0)))
 
 
-def _with_points(skies: DataFrame, n: int) -> DataFrame:
-    steps = F.sequence(F.lit(0), F.lit(n - 1))
-    w = SIDE / n
-    return skies.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).withColumns({"gx": (F.col("i") + 0.5) * w, "gy": (F.col("j") + 0.5) * w})
+#: Galaxies that meet the grid at once in a task.
+SLICE = 2048
+
+
+def grid_sums(skies: DataFrame, n: int, columns: Sequence[str], names: Sequence[str], of: Callable[..., Sequence[np.ndarray]]) -> DataFrame:
+    """sky_id, i, j and sums over a sky's galaxies at each of n x n points. of: from distances in x and y (galaxies by points of the grid) and the
+    columns (galaxies by 1 by 1) the summands by name. Batches are summed where they are, so what is exchanged is a row for each batch, sky
+    and point, not one for each galaxy and point. A galaxy without a sky, place or value doesn't count."""
+    at = (np.arange(n) + 0.5) * SIDE / n
+    kind = skies.schema["sky_id"].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, *values = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", *columns))
+            sky, owner = np.unique(batch.column("sky_id").to_numpy(zero_copy_only=False), return_inverse=True)
+            order = np.argsort(owner, kind="stable")
+            total = np.zeros((len(names), len(sky), n, n))
+            for k in range(0, len(order), SLICE):
+                rows = order[k : k + SLICE]
+                own = owner[rows]
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                made = of(x[rows, None, None] - at[:, None], y[rows, None, None] - at[None, :], *(v[rows, None, None] for v in values))
+                for t, part in zip(total, made, strict=True):
+                    t[own[first]] += np.add.reduceat(np.broadcast_to(part, (len(rows), n, n)), first, axis=0)
+            i, j = np.divmod(np.tile(np.arange(n * n), len(sky)), n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sky, n * n)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(t.ravel()) for t in total)], ["sky_id", "i", "j", *names])
+
+    held = skies.where("sky_id is not null").select("sky_id", *(F.col(c).cast("double") for c in ("x", "y", *columns))).na.drop()
+    return held.mapInArrow(sums, f"sky_id {kind}, i int, j int, " + ", ".join(f"{c} double" for c in names)).groupBy("sky_id", "i", "j").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def grid_likelihood(skies: DataFrame, n: int = 10) -> DataFrame:
     """sky_id, i, j, likelihood: exp(-1/2 sum of squared differences from a model whose distortion falls as 1/r about the point)."""
-    held = _with_points(skies, n)
-    dx, dy = F.col("x") - F.col("gx"), F.col("y") - F.col("gy")
-    r = F.sqrt(dx * dx + dy * dy)
-    r = F.when(r < 1, 1.0).otherwise(r)
-    angle = F.atan2(dy, dx)
-    d1, d2 = F.col("e1") + F.cos(2 * angle) / r, F.col("e2") + F.sin(2 * angle) / r
-    return held.groupBy("sky_id", "i", "j").agg(F.exp(-0.5 * F.sum(d1 * d1 + d2 * d2)).alias("likelihood"))
+
+    def off(dx, dy, e1, e2):
+        r = np.hypot(dx, dy)
+        angle, r = 2 * np.arctan2(dy, dx), np.maximum(r, 1.0)
+        return [(e1 + np.cos(angle) / r) ** 2 + (e2 + np.sin(angle) / r) ** 2]
+
+    return grid_sums(skies, n, ["e1", "e2"], ["off"], off).select("sky_id", "i", "j", F.exp(-0.5 * F.col("off")).alias("likelihood"))
+
+
+def grid_distances(skies: DataFrame, n: int = 5) -> DataFrame:
+    """sky_id, i, j, n and far: number of a sky's galaxies and the sum of their distances to each point."""
+    made = grid_sums(skies, n, [], ["n", "far"], lambda dx, dy: [np.ones(1), np.hypot(dx, dy)])
+    return made.withColumn("n", F.col("n").cast("long"))
 
 
 def grid_kernel_maps(skies: DataFrame, n: int = 14, sd: float = 1000.0) -> DataFrame:

@@ -333,7 +333,7 @@ _ROUNDED = f"SELECT sky_id, i, j, round(e1_mean, 9) AS e1_mean, round(e_cov, 9)
 register("argmax_argmin_maps", f"WITH r AS ({_ROUNDED}) SELECT m.sky_id" + "".join(f", m.{c}_{t}, (SELECT min(i * 100 + j) FROM r WHERE r.sky_id = m.sky_id AND r.{c} = m.{c}_{t}) // 100 AS {c}_{t}_i, (SELECT min(i * 100 + j) FROM r WHERE r.sky_id = m.sky_id AND r.{c} = m.{c}_{t}) % 100 AS {c}_{t}_j" for c in ("e1_mean", "e_cov") for t in ("max", "min")) + f" FROM (SELECT sky_id, max(e1_mean) AS e1_mean_max, min(e1_mean) AS e1_mean_min, max(e_cov) AS e_cov_max, min(e_cov) AS e_cov_min FROM r GROUP BY sky_id) m", "e1_mean_max e1_mean_min e_cov_max e_cov_min")(
     lambda v: spatial.argmax_argmin(spatial.grid_kernel_maps(v("skies")).withColumns({c: F.round(c, 9) for c in ("e1_mean", "e_cov")}), "sky_id", ["e1_mean", "e_cov"])
 )
-register("join_grid_cross", "SELECT sky_id, i, j, count(*) AS n, sum(sqrt(pow(x - gx, 2) + pow(y - gy, 2))) AS far FROM " + _POINTS.format(w=840, n=5) + " GROUP BY sky_id, i, j", "far", 2)(lambda v: spatial._with_points(v("skies"), 5).groupBy("sky_id", "i", "j").agg(F.count("*").alias("n"), F.sum(F.sqrt(F.pow(F.col("x") - F.col("gx"), 2) + F.pow(F.col("y") - F.col("gy"), 2))).alias("far")))
+register("join_grid_cross", "SELECT sky_id, i, j, count(*) AS n, sum(sqrt(pow(x - gx, 2) + pow(y - gy, 2))) AS far FROM " + _POINTS.format(w=840, n=5) + " GROUP BY sky_id, i, j", "far", 2)(lambda v: spatial.grid_distances(v("skies"), 5))
 register("pad_center_flatten", "WITH c AS (SELECT sky_id, galaxy, x - avg(x) OVER (PARTITION BY sky_id) AS x, e1 - avg(e1) OVER (PARTITION BY sky_id) AS e1 FROM {skies}) SELECT sky_id, count(*) AS n, array_to_string([round(z, 3) + 0.0 FOR z IN list(x ORDER BY galaxy)], ',') AS xs, list_sum(list(e1 ORDER BY galaxy)[1:5]) AS head FROM c GROUP BY sky_id", "head")(
     lambda v: spatial.pad_flatten(v("skies"), "sky_id", "galaxy", ["x", "e1"], 740).select("sky_id", "n", F.array_join(F.transform(F.slice("flat", F.lit(1), F.col("n").cast("int")), lambda z: (F.round(z, 3) + 0.0).cast("string")), ",").alias("xs"), F.aggregate(F.slice("flat", 741, 5), F.lit(0.0), lambda a, x: a + x).alias("head"))
 )
