@@ -254,6 +254,35 @@ def test_ngram_join_random(spark):
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute.groups(dict(rows))
 
 
+@pytest.mark.parametrize("split", [8192, 40])
+def test_ngram_join_of_a_template(spark, monkeypatch, split):
+    """Documents with most words in common: some can't be linked, some are, and their common n-grams are cut into parts."""
+    monkeypatch.setattr(ngramjoin, "SPLIT", split)
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(160)]
+    own = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [template + own(40) for _ in range(300)] + [own(rng.randint(0, 50)) + template[: rng.randint(100, 160)] + own(rng.randint(0, 30)) for _ in range(150)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = by_id(ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute.groups(dict(rows))
+
+
+def test_ngram_join_compares_few_of_a_template(spark, monkeypatch):
+    """No two of these can be linked, and the sizes say so before pairs are made."""
+    compared, crossing, verified = [], ngramjoin._crossing, ngramjoin._verified
+
+    def counted(*args):
+        compared.append(crossing(*args).count())
+        return crossing(*args)
+
+    monkeypatch.setattr(ngramjoin, "_crossing", counted)
+    monkeypatch.setattr(ngramjoin, "_verified", lambda pairs, *args: compared.append(pairs.count()) or verified(pairs, *args))
+    rows = [(d, " ".join([f"t{i}" for i in range(160)] + [f"u{d}.{i}" for i in range(40)])) for d in range(1500)]
+    got = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).where("component_id <> doc_id").count()
+    assert got == 0 and sum(compared) < 1500
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]

@@ -12,6 +12,13 @@ are compared that the bounds don't rule out. So no link between different compon
 lost, and a group of like documents doesn't give all its pairs. Components come from alternating stars
 on tables written to the shared folder.
 
+A pair that shares no n-gram found in few sets shares nothing that either set has before its first n-gram found in many, so each
+set tells beforehand which sizes a partner can have, and sets meet by classes of sizes. Documents that have a template in common,
+and each so much of its own that they can't be linked, thus make no pairs. The n-grams of the frequency list that very many sets
+have are cut by the sets' digests, so no task takes all sets of one n-gram; they always count as found in many.
+
+Sets are equal where their sizes and 128-bit digests are; n-grams are known by 64-bit hashes.
+
 Null or empty texts have no n-grams and are linked with nothing. Texts with fewer words than n have one n-gram, the whole. Rows are
 known by their ids; where ids repeat, each row is a document of its own with a number of its own, and a group's component_id is
 the smallest id of its rows. Null ids are linked with nothing.
@@ -24,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PLACES, ids_repeat, mixed, ngram_hashes, partitions, pieces, texts, unused, word_hashes, written
@@ -39,6 +46,10 @@ ANCHORS = 8
 FIRST = 8
 #: At most so many of the most frequent n-grams are put last; which ones only changes the work, never the result.
 FREQUENT = 1 << 16
+#: An n-gram found more often than this is cut into parts, each with about so many of its sets.
+SPLIT = 8192
+#: Classes of sizes for each doubling.
+CLASSES = 32
 
 ENTRY = np.dtype([("token", "<u8"), ("doc", "<u4"), ("at", "<u4")])
 ROW = np.dtype([("id", "<i8"), ("size", "<i4"), ("digest", "<u8")])
@@ -91,8 +102,9 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, token long, found long")
 
 
-def _incidence(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, blocks: int) -> DataFrame:
-    """block, data: packed prefix entries and the rows (documents) that they belong to."""
+def _incidence(docs: DataFrame, frequent: np.ndarray, parts: np.ndarray, n: int, percent: int, blocks: int) -> DataFrame:
+    """block, data: packed prefix entries and the rows (documents) that they belong to. parts: of each frequent n-gram."""
+    hot, hot_parts = frequent[parts > 1], parts[parts > 1].astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -120,7 +132,12 @@ def _incidence(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, bloc
                 continue
             rows, entries = np.array(rows, dtype=ROW), np.concatenate(entries)
             rows, entries = _smallest(rows, entries)
-            block = ((entries["token"] >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
+            place = entries["token"] >> np.uint64(20)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, entries["token"]), len(hot) - 1)
+                cut = np.flatnonzero(hot[at] == entries["token"])
+                place[cut] += rows["digest"][entries["doc"][cut]] % hot_parts[at[cut]]
+            block = (place % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             edge = np.searchsorted(block[order], np.arange(blocks + 1))
             out, number = [], []
@@ -168,9 +185,9 @@ def _fits(size_a, at_a, size_b, at_b, percent: int) -> np.ndarray:
     return sizes & ((100 + percent) * most >= percent * (size_a + size_b))
 
 
-def _product(incidence: DataFrame, percent: int) -> DataFrame:
+def _product(incidence: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
     """Pairs: a, b, size_a, size_b, shared (n-grams found in few sets), star (in many, as far as anchors met them). Entries of n-grams in many sets: a (the n-gram), b (id), size_b, shared (place)
-    with size_a -1."""
+    with size_a -1. hot: n-grams that are cut, so that a block has only a part of their sets."""
     names = ["a", "b", "size_a", "size_b", "shared", "star"]
 
     def batch(a, b, sa, sb, shared, star) -> Iterator[pa.RecordBatch]:
@@ -201,13 +218,14 @@ def _product(incidence: DataFrame, percent: int) -> DataFrame:
             found.append(np.minimum(i, j) * len(docs) + np.maximum(i, j))
             partial.append(np.full(len(i), part))
 
+        whole = ~np.isin(token[edge[:-1]], hot)
         for k in range(2, FEW + 1):
-            starts = edge[:-1][count == k]
+            starts = edge[:-1][(count == k) & whole]
             left, right = np.triu_indices(k, 1)
             for part in range(0, len(starts), max(1, 2_000_000 // len(left))):
                 s = starts[part : part + max(1, 2_000_000 // len(left)), None]
                 pair((s + left).ravel(), (s + right).ravel(), False)
-        many = np.flatnonzero(count > FEW)
+        many = np.flatnonzero((count > FEW) | ~whole)
         for g in many:
             own = np.arange(edge[g], edge[g + 1])
             own = own[np.argsort(id_[own], kind="stable")]
@@ -289,47 +307,59 @@ def _to_hubs(entries: DataFrame, links: DataFrame, labels: DataFrame, percent: i
     return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
+def _class(size: Column) -> Column:
+    return F.floor(F.log2(size) * CLASSES).cast("int")
+
+
 def _crossing(entries: DataFrame, pairs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs across components among the sets that share a frequent n-gram, with how many of these they share (star): each member
     outside the n-gram's main component with all others.
 
-    Where the main component is large, its members share many n-grams, so each set meets the others once, by component, with all of
-    them; the bound on what the pair can share is part of the join. Pairs that also share n-grams found in few sets are known, and
-    looked up. Elsewhere sets meet by n-gram."""
-    own = entries.join(labels, entries.id == labels.node, "left").select("token", "id", "size", "at", F.coalesce("component", "id").alias("component"))
+    Pairs that also share n-grams found in few sets are known, and looked up. For all others, the first n-gram that a similar pair
+    has in common is in both prefixes and found in many sets; so the pair has in common no more than what either set has from its
+    first such n-gram on, which leaves it partners up to a size (upto), and sets meet by classes of sizes. Where an n-gram's main
+    component is large, its members share many n-grams, so each set meets the others once, by component, with all of them; the
+    bound on what the pair can share is part of the join. Elsewhere sets meet by n-gram."""
+    least = F.ceil(F.col("size") * percent / 100)
+    upto = F.least(F.floor(F.col("size") * 100 / percent), F.floor((F.col("size") - F.col("first")) * (100 + percent) / percent) - F.col("size"))
+    held = entries.groupBy("id").agg(F.min("at").alias("first"), F.count("*").alias("total"), F.first("size").alias("size"))
+    held = held.join(labels, held.id == labels.node, "left").select("id", "total", F.coalesce("component", "id").alias("component"), least.alias("least"), upto.alias("upto"))
+    own = entries.join(held.where("upto >= least"), "id")
     main = own.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("m"))
     own = own.join(main.select("token", F.col("m.component").alias("main"), (F.col("m.k") > FEW).alias("large")), "token")
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))) & (100 * small >= percent * large)
+    apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("id_a") < F.col("id_b")))
+    apart &= (100 * small >= percent * large) & (F.col("size_b") <= F.col("upto_a")) & (F.col("size_a") <= F.col("upto_b"))
     need = percent * (F.col("size_a") + F.col("size_b"))
 
-    def sides(df: DataFrame, on: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
-        shared = [c for c in ("token", "main") if c in df.columns]
-        side = lambda t: df.select(*[c for c in shared if t == "b" or c in on], *(F.col(c).alias(f"{c}_{t}") for c in columns))
-        return side("a"), side("b")
+    def met_by(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+        """Each row outside its main component (_a) with the rows (_b) of the same key whose sizes it may have as partners."""
+        left = df.where("component <> main").withColumn("class", F.explode(F.sequence(_class(F.col("least")), _class(F.col("upto")))))
+        left = left.select(key, "class", *(F.col(c).alias(f"{c}_a") for c in columns))
+        right = df.select(*dict.fromkeys([key, "main"]), _class(F.col("size")).alias("class"), *(F.col(c).alias(f"{c}_b") for c in columns))
+        return left.join(right, [key, "class"]).where(apart)
 
-    few = own.where(~F.col("large"))
-    left, right = sides(few.where("component <> main"), ["token"], ["id", "size", "at", "component"])[0], sides(few, ["token"], ["id", "size", "at", "component"])[1]
     most = 1 + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1) + F.least("at_a", "at_b")
-    by_token = left.join(right, "token").where(apart & ((100 + percent) * most >= need)).withColumn("star", F.lit(1).cast("long"))
+    by_token = met_by(own.where(~F.col("large")), "token", ["id", "size", "at", "component", "upto"]).where((100 + percent) * most >= need).withColumn("star", F.lit(1).cast("long"))
 
     # a set's n-grams of one main component (no more than its prefix has), and how many it has in other large groups
-    total = entries.groupBy("id").agg(F.count("*").alias("total"))
-    sets = own.where("large").groupBy("id", "main").agg(F.first("size").alias("size"), F.first("component").alias("component"), F.collect_list("token").alias("tokens"))
-    sets = sets.join(total, "id").withColumn("other", F.col("total") - F.size("tokens")).drop("total")
-    names = ["id", "size", "component", "tokens", "other"]
-    left, right = sides(sets.where("component <> main"), ["main"], names)[0], sides(sets, ["main"], names)[1]
+    sets = own.where("large").groupBy("id", "main").agg(*(F.first(c).alias(c) for c in ("size", "component", "least", "upto", "total")), F.collect_list("token").alias("tokens"))
+    sets = sets.withColumn("other", F.col("total") - F.size("tokens"))
     met = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
     rest = F.ceil(large * percent / 100) - 1
-    by_main = left.join(right, "main").where(apart & (met > 0) & ((100 + percent) * (met + F.least("other_a", "other_b") + rest) >= need)).withColumn("star", met)
-    known = pairs.where("shared > 0").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
-    both = known.join(sides(sets, ["main"], names)[0], "id_a").join(sides(sets, ["main"], names)[1], ["id_b", "main"])
-    known = both.where((F.col("component_a") != F.col("component_b")) & (met > 0)).withColumn("star", met)
+    by_main = met_by(sets, "main", ["id", "size", "component", "upto", "tokens", "other"])
+    by_main = by_main.where((met > 0) & ((100 + percent) * (met + F.least("other_a", "other_b") + rest) >= need)).withColumn("star", met)
 
     ordered = F.col("id_a") < F.col("id_b")
     out = [F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.when(ordered, F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"), F.when(ordered, F.col("size_b")).otherwise(F.col("size_a")).alias("size_b"), "star"]
-    by_main = by_main.select("main", *out).union(known.select("main", *out)).distinct().drop("main")
-    return by_token.select(*out).union(by_main).groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("star").alias("star"))
+    found = by_token.select(*out).union(by_main.select("main", *out).distinct().drop("main"))
+
+    tokens = entries.groupBy("id").agg(F.collect_list("token").alias("tokens"))
+    side = lambda c: tokens.join(held, "id").select(F.col("id").alias(c), F.col("tokens").alias(f"tokens_{c}"), F.col("component").alias(f"component_{c}"))
+    known = pairs.where("shared > 0").join(side("a"), "a").join(side("b"), "b").where((F.col("component_a") != F.col("component_b")) & (met > 0))
+    both = found.withColumn("known", F.lit(None).cast("long")).union(known.select("a", "b", "size_a", "size_b", F.lit(0).cast("long"), met))
+    star = F.coalesce(F.max("known"), F.sum("star"))
+    return both.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), star.alias("star"))
 
 
 def _with_crossing(pairs: DataFrame, crossing: DataFrame) -> DataFrame:
@@ -373,10 +403,13 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     profile = written(_profile(docs, n), "profile")
     sums = profile.where("token is not null").groupBy("token").agg(F.sum("found").alias("found")).where("found >= 64")
-    rows = sums.orderBy(F.desc("found"), "token").limit(FREQUENT).select("token").toArrow()  # bounded by FREQUENT
-    frequent = np.sort(rows["token"].to_numpy().astype(np.int64).view(np.uint64))
+    rows = sums.orderBy(F.desc("found"), "token").limit(FREQUENT).toArrow()  # bounded by FREQUENT
+    frequent, times = rows["token"].to_numpy().astype(np.int64).view(np.uint64), rows["found"].to_numpy()
+    order = np.argsort(frequent)
+    frequent, parts = frequent[order], 1 + times[order] // SPLIT
     blocks = max(partitions(spark), 2 * docs.rdd.getNumPartitions())  # a block's size does not grow with the input
-    found = written(_product(_incidence(docs, frequent, n, percent, blocks).repartition(blocks, "block"), percent), "pairs")
+    incidence = _incidence(docs, frequent, parts, n, percent, blocks)
+    found = written(_product(incidence.repartition(blocks, "block"), percent, frequent[parts > 1]), "pairs")
     sums = found.where("size_a >= 0").groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("shared").alias("shared"), F.sum("star").alias("star"))
     pairs = written(sums, "pairs")
     # first a few partners of each document; then what is left between the components that these links make
