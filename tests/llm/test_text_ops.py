@@ -10,6 +10,7 @@ import zlib
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, chat, ngramjoin, packing, quality, secret_scan, spotsigs, substring, toxicity, warc
@@ -210,6 +211,19 @@ def test_substring_repeated_and_null_ids(spark):
     assert left.columns == df.columns and sorted((str(r.doc_id), r.text, r.n_chars, r.removed) for r in left.collect()) == sorted([("1", a, len(a), "r"), ("5", b, len(b), "r"), ("5", b, len(b), "r"), ("7", c, len(c), "r"), ("None", a, len(a), "r"), ("None", c, len(c), "r"), ("9", None, None, "r"), ("2", "", 0, "r")], key=str)
 
 
+def test_substring_third_of_all_rows_without_id(spark):
+    """They meet under no key: no task has many of them."""
+    rows = [(None if i % 3 == 0 else i, " ".join(f"w{i}.{k}" for k in range(25))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined, _ = substring._with_removed(df, 20)
+        found = joined.where("doc_id is null").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["count"] for r in found) == 500 and max(r["count"] for r in found) < 100
+
+
 def test_fm_index_counts():
     rng = random.Random(2)
     parts = [[b"%d" % rng.randrange(3) for _ in range(rng.randint(4, 40))] for _ in range(60)]

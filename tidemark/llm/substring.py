@@ -391,12 +391,14 @@ def _kept(text: str, removed: list[bytes] | None) -> tuple[list[bytes], np.ndarr
 
 
 def _with_removed(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
-    """docs with a column of packed spans, and that column's name."""
+    """docs with a column of packed spans, and that column's name. Rows without an id have no spans and stay out of the joins."""
     columns = docs.columns
     doc, twin, removed = (unused(columns, c) for c in ("doc", "twin", "removed"))
     base = keyed(bounded(docs), doc, twin)
-    spans = repeated_spans(base, doc, twin, window).groupBy(F.col("doc").alias(doc), F.col("twin").alias(twin)).agg(F.collect_list("removed").alias(removed))
-    return base.join(spans, [doc, twin], "left").select(*columns, removed), removed
+    named = base.where(F.col("doc_id").isNotNull())
+    spans = repeated_spans(named, doc, twin, window).groupBy(F.col("doc").alias(doc), F.col("twin").alias(twin)).agg(F.collect_list("removed").alias(removed))
+    nobody = base.where(F.col("doc_id").isNull()).select(*columns, F.lit(None).cast("array<binary>").alias(removed))
+    return named.join(spans, [doc, twin], "left").select(*columns, removed).union(nobody), removed
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
