@@ -88,6 +88,7 @@ class Model:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    iterations: int = 0
 
     def margin(self, at: np.ndarray, value: np.ndarray) -> float:
         return float(self.weights[at] @ value) + self.bias
@@ -121,15 +122,19 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, positiv
     return texts(docs).join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").cast("double").alias("label"))
 
 
-def _fitted(rows: DataFrame, l2: float = 1e-5, steps: int = 15):
-    """Logistic regression by gradients summed in tasks; both classes have the same weight in all. None without both classes."""
+def _fitted(rows: DataFrame, l2: float = 1e-5, tolerance: float = 1e-4, steps: int = 1000):
+    """Logistic regression by gradients summed in tasks, until an iteration lowers the loss by less than its part `tolerance`; a fit
+    that takes more than `steps` is an error. Both classes have the same weight in all. None without both classes."""
     from pyspark.ml.classification import LogisticRegression  # the workers that score need not load it
 
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
     weighted = rows.withColumn("weight", F.when(F.col("label") > 0, 0.5 / n[1.0]).otherwise(0.5 / n[0.0]))
-    return LogisticRegression(labelCol="label", weightCol="weight", regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=steps).fit(weighted)
+    model = LogisticRegression(labelCol="label", weightCol="weight", regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=steps, tol=tolerance).fit(weighted)
+    if model.summary.totalIterations >= steps:
+        raise ValueError(f"the fit has not come to its tolerance in {steps} iterations")
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = 4000, slices: int = 6) -> Model | None:
@@ -152,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 4000, slices: int = 6
         whole, first = _fitted(rows), _fitted(rows.where("not held"))
         if whole is None:
             return None
-        model = Model(whole.coefficients.toArray(), float(whole.intercept))
+        model = Model(whole.coefficients.toArray(), float(whole.intercept), iterations=whole.summary.totalIterations)
         if first is not None:
             shown = first.transform(rows.where("held")).select("label", vector_to_array("rawPrediction")[1].alias("margin")).collect()
             y, margin = (np.array([r[c] for r in shown], dtype=float) for c in ("label", "margin"))
