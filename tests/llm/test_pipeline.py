@@ -94,10 +94,10 @@ def test_stages_with_nulls_empty_tables_and_clashing_names(spark):
 def test_tables_between_stages_are_deleted(spark):
     from tidemark.llm import common
 
-    mark = common.marked()
-    a, b = (common.written(spark.range(3), "some") for _ in range(2))
-    common.clear(spark, mark)
-    assert common.marked() == mark + 1 and b.count() == 3
+    with common.Tables() as tables:
+        a, b = (common.written(spark.range(3), "some") for _ in range(2))
+        tables.clear_but_last(spark)
+        assert len(tables) == 1 and b.count() == 3
     with pytest.raises(Exception):
         a.count()
 
