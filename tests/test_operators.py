@@ -235,3 +235,15 @@ def test_quantile_near_the_optimum_with_texts(spark):
         held = found.predict(df).select("y", "prediction").toPandas()
         e = (held.y - held.prediction).to_numpy()
         assert np.maximum(tau * e, (tau - 1) * e).mean() == pytest.approx(found.loss)
+
+
+def test_round_binary_is_duckdb_round(spark):
+    import duckdb
+
+    from tidemark.functions import scalars
+
+    rng = random.Random(4)
+    values = [-1024.1625, -2077.1375, 0.0005, -0.0005, 12.0] + [rng.randrange(-4200, 4200) + rng.randrange(400) / 80 for _ in range(3000)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(scalars.round_binary(F.col("v"), 3)).collect()]
+    want = [r[0] for r in duckdb.connect().execute("SELECT round(v, 3) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()]
+    assert got == want and got[0] == -1024.162
