@@ -247,3 +247,21 @@ def test_round_binary_is_duckdb_round(spark):
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(scalars.round_binary(F.col("v"), 3)).collect()]
     want = [r[0] for r in duckdb.connect().execute("SELECT round(v, 3) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()]
     assert got == want and got[0] == -1024.162
+
+
+def test_a_sky_is_one_row_of_sums_and_a_crowded_one_is_dealt(spark):
+    from tidemark.operators import spatial
+
+    rng = random.Random(5)
+    rows = [(s, rng.uniform(0, 4200), rng.uniform(0, 4200), rng.uniform(-1, 1), rng.uniform(-1, 1)) for _ in range(60) for s in (7, 8, 9)] + [(9, 1.0, 2.0, 0.5, 0.25)] * 200 + [(7, None, 1.0, 0.0, 0.0), (None, 1.0, 1.0, 0.0, 0.0), (10, 1.0, None, 0.0, 0.0)]
+    skies = spark.createDataFrame(rows, "sky_id long, x double, y double, e1 double, e2 double").repartition(7)
+    assert sorted(r.sky_id for r in spatial._kernel_maps(skies, 14, 1000.0).collect()) == [7, 8, 9]
+    plain = {(r.sky_id, r.i, r.j): r for r in spatial.grid_kernel_maps(skies).collect()}
+    dealt = {(r.sky_id, r.i, r.j): r for r in spatial.grid_kernel_maps(skies, crowded=100).collect()}
+    assert len(plain) == 3 * 196 and plain.keys() == dealt.keys()
+    for key, r in plain.items():
+        assert list(r)[3:] == pytest.approx(list(dealt[key])[3:], abs=1e-12)
+    own = [r for r in rows if r[0] == 9]
+    w = [math.exp(-((x - 150) ** 2 + (y - 450) ** 2) / 2e6) for _, x, y, _, _ in own]
+    assert plain[9, 0, 1].e1_mean == pytest.approx(sum(a * r[3] for a, r in zip(w, own, strict=True)) / sum(w), abs=1e-12)
+    assert spatial.grid_kernel_maps(skies.where("sky_id = 10")).count() == 0
