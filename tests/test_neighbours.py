@@ -52,3 +52,14 @@ def test_empty_and_null(spark):
     assert neighbours.knn(rows, rows.limit(0), "id", ["a"], "label", 3).count() == 0
     with pytest.raises(Exception, match="null"):
         neighbours.knn(rows, rows.withColumn("a", F.lit(None).cast("double")), "id", ["a"], "label", 3).collect()
+
+
+def test_visits_come_in_bounded_batches():
+    """Queries that can have neighbours in all of many cells: a batch of them gives no more visits at once than the bound."""
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    cells = neighbours.Cells(rng.normal(size=(200, 16)), np.full(200, 50), np.full(200, 1.0), np.full(200, 9.0))
+    asked = pd.DataFrame({"id": np.arange(1000), "v": list(rng.normal(size=(1000, 16))), "reach": 100.0})
+    sizes = [len(pdf) for pdf in neighbours._visits(iter([asked]), cells, "id", 5, False)]
+    assert 0 < max(sizes) <= 2 * neighbours.VISITS and sum(sizes) >= 1000 * 199

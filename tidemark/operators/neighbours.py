@@ -24,6 +24,8 @@ from .relational import small
 
 #: Rows of a slice, about; and reference points.
 SLICE, REFERENCES = 1024, 8
+#: Pairs of a query and a cell that a task has at once.
+VISITS = 1 << 14
 #: Bounds are widened by this share, so that rounding loses no neighbour.
 SLACK = 1e-9
 
@@ -158,6 +160,32 @@ def _answers(block: tuple, asks: pd.DataFrame, k: int, skip_own: bool) -> list[t
     return out
 
 
+def _visits(batches: Iterator[pd.DataFrame], cells: Cells, key: str, k: int, own: bool) -> Iterator[pd.DataFrame]:
+    """Which rings the queries ask. own: those around the query's place; else the others within reach. A query can ask rings of all cells, and each
+    row has its point, so only a few queries are taken at once."""
+    step = max(1, VISITS // max(1, len(cells.pivots)))
+    for pdf in (whole.iloc[at : at + step] for whole in batches for at in range(0, len(whole), step)):
+        far = _far(_points(pdf["v"]).reshape(-1, cells.pivots.shape[1]), cells.pivots)
+        home = far.argmin(axis=1)
+        place = cells.ring(home, far[np.arange(len(far)), home])
+        reach = cells.reach(far, k)
+        if not own:
+            reach = np.minimum(reach, pdf["reach"].fillna(np.inf).to_numpy())
+        reach = reach * (1 + SLACK) + SLACK
+        if own:
+            rows = [(q, c, max(0, p - 1), p + 1) for q, (c, p) in enumerate(zip(home.tolist(), place.tolist(), strict=True))]
+        else:
+            rows = []
+            for q, c, a, b in cells.visits(far, reach):
+                if c != home[q]:
+                    rows.append((q, c, a, b))
+                else:  # without the rings around its place
+                    rows += [(q, c, x, y) for x, y in ((a, min(b, place[q] - 2)), (max(a, place[q] + 2), b)) if x <= y]
+        if rows:
+            q, c, a, b = (np.array(x) for x in zip(*rows, strict=True))
+            yield pd.DataFrame({key: pdf[key].to_numpy()[q], "v": pdf["v"].to_numpy()[q], "refs": list(far[q][:, :REFERENCES]), "cell": c, "at": far[q, c], "reach": reach[q], "first": a, "last": b})
+
+
 def candidates(train: DataFrame, test: DataFrame, key: str, features: Sequence[str], k: int, keep: Sequence[str] = (), skip_own: bool = False, most_pivots: int = 512) -> DataFrame:
     """key, other, keep, far, computed: rows of train among which are each query's k nearest. skip_own: a row isn't its own neighbour."""
     made, rings, cells = index(train, key, features, keep, most_pivots)
@@ -166,38 +194,15 @@ def candidates(train: DataFrame, test: DataFrame, key: str, features: Sequence[s
     wide = k + 1 if skip_own else k
     schema = f"`{key}` {kind}, v array<double>, refs array<double>, cell long, at double, reach double, first long, last long"
 
-    def visited(batches, own: bool):
-        """own: the rings around the query's place; else the others within reach."""
-        for pdf in batches:
-            far = _far(_points(pdf["v"]).reshape(-1, cells.pivots.shape[1]), cells.pivots)
-            home = far.argmin(axis=1)
-            place = cells.ring(home, far[np.arange(len(far)), home])
-            reach = cells.reach(far, wide)
-            if not own:
-                reach = np.minimum(reach, pdf["reach"].fillna(np.inf).to_numpy())
-            reach = reach * (1 + SLACK) + SLACK
-            if own:
-                rows = [(q, c, max(0, p - 1), p + 1) for q, (c, p) in enumerate(zip(home.tolist(), place.tolist(), strict=True))]
-            else:
-                rows = []
-                for q, c, a, b in cells.visits(far, reach):
-                    if c != home[q]:
-                        rows.append((q, c, a, b))
-                    else:  # without the rings around its place
-                        rows += [(q, c, x, y) for x, y in ((a, min(b, place[q] - 2)), (max(a, place[q] + 2), b)) if x <= y]
-            if rows:
-                q, c, a, b = (np.array(x) for x in zip(*rows, strict=True))
-                yield pd.DataFrame({key: pdf[key].to_numpy()[q], "v": pdf["v"].to_numpy()[q], "refs": list(far[q][:, :REFERENCES]), "cell": c, "at": far[q, c], "reach": reach[q], "first": a, "last": b})
-
     def to_slices(visits: DataFrame) -> DataFrame:
         each = visits.withColumn("ring", F.explode(F.sequence("first", "last"))).drop("first", "last").join(small(rings), ["cell", "ring"])
         return each.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
 
-    first = kept(_ask(made, to_slices(asked.mapInPandas(lambda b: visited(b, True), schema)), key, k, keep, skip_own), "near")
+    first = kept(_ask(made, to_slices(asked.mapInPandas(lambda b: _visits(b, cells, key, wide, True), schema)), key, k, keep, skip_own), "near")
     nth = F.row_number().over(Window.partitionBy(key).orderBy("far", "other"))
     bound = first.select(key, "far", nth.alias("nth")).where(F.col("nth") == k).select(F.col(key).alias("__key"), F.col("far").alias("reach"))
     again = asked.join(bound, F.col(key) == F.col("__key"), "left").select(key, "v", "reach")
-    return first.unionByName(_ask(made, to_slices(again.mapInPandas(lambda b: visited(b, False), schema)), key, k, keep, skip_own))
+    return first.unionByName(_ask(made, to_slices(again.mapInPandas(lambda b: _visits(b, cells, key, wide, False), schema)), key, k, keep, skip_own))
 
 
 def nearest(train: DataFrame, test: DataFrame, key: str, features: Sequence[str], k: int, keep: Sequence[str] = (), skip_own: bool = False, most_pivots: int = 512) -> DataFrame:
