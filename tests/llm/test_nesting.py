@@ -90,3 +90,13 @@ def test_cut_and_damaged_data():
             secret_scan.scan(WRITERS["base64"](part))
         if not packer.startswith(("bz2", "xz")):
             assert found(WRITERS["base64"](data[: len(data) * 3 // 4])), packer
+
+
+@pytest.mark.parametrize("window", [secret_scan.WINDOW, 1 << 17])
+def test_a_bzip2_block_gives_nothing_before_its_end(monkeypatch, window):
+    """Its compressed bytes are more than a step, and more than a window."""
+    monkeypatch.setattr(secret_scan, "WINDOW", window)
+    letters = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz ", k=200_000)).encode()
+    data = b"noise" * 9000 + bz2.compress(letters + b" password = hunter2hunter2 " + letters)
+    assert len(data) > 2 * secret_scan.STEP
+    assert any(b" password = hunter2hunter2 " in x for x in secret_scan._inflations(data))
