@@ -81,3 +81,16 @@ def test_totals_write_what_changed_and_take_replays(spark):
     assert rows_of(kept.read(whole)) == rows_of(whole.groupBy("k").agg(F.count("*"), F.sum("v")))
     again = streams.Totals(spark, path, ["k"], kept.totals, every=3)  # another driver
     assert rows_of(again.read(whole)) == rows_of(kept.read(whole))
+
+
+def test_rows_of_chunks_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(600).repartition(3).mapInPandas(count, "id long")
+    path = streams.in_chunks(rows, "id", 6, "once")
+    assert spark.read.parquet(path).count() == 600 and made.value == 600

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.recast import VIEWS, _needs, view
-from ..sources.io import fresh
+from ..sources.io import fresh, kept
 
 
 def stream(spark: SparkSession, sf_dir: str, table: str, files_at_once: int = 1) -> DataFrame:
@@ -113,6 +113,7 @@ def in_chunks(rows: DataFrame, order: str, chunks: int, name: str) -> str:
     """A folder to which the rows are written in so many chunks by ascending order, one after another, as a stream would bring them."""
     spark = rows.sparkSession
     path = fresh(spark, name)
+    rows = kept(rows, name)  # what makes the rows, joins perhaps, runs once and not for each chunk
     cuts = rows.agg(F.percentile_approx(order, [i / chunks for i in range(1, chunks)], 1000).alias("c")).first()["c"] if chunks > 1 else []
     cuts = sorted(set(cuts or []))
     for k in range(len(cuts) + 1):
