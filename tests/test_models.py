@@ -211,3 +211,14 @@ def test_image_files(spark, tmp_path):
     assert [r.message for r in bad.collect()] == ["not an image: 2.bmp"]
     assert io.read_images_labelled(spark, str(tmp_path), files.where("path like 'a/%'"))[0].count() == 1
     assert metrics.accuracy("a", "b") is not None
+
+
+def test_fits_read_one_table_and_not_the_join(spark):
+    from tidemark.plans import model_queries
+    from tidemark.plans.recast import view
+
+    read = lambda n: view(spark, "/root/testdata/sf0.001", n)
+    assert not [f for f in model_queries._loss(read).inputFiles() if "lineitem.parquet" in f or "part.parquet" in f]
+    rows = model_queries._passengers(read)
+    files = [f for f in rows.inputFiles() if "customer.parquet" not in f]
+    assert len(files) >= spark.sparkContext.defaultParallelism and rows.count() == read("passengers").count()

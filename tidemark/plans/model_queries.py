@@ -36,12 +36,12 @@ def register(name: str, sql: str | None = None, columns: str = "", places: int =
 
 
 def _loss(v) -> DataFrame:
-    rows = v("loss")
+    rows = io.kept(v("loss"), "loss")  # the join runs once, not for each pass of a fit
     return prep.fill_from(rows, prep.fit_fill(rows, ["var15"])).withColumn("id", F.xxhash64(*_KEYS)).withColumn("y", (F.col("target") > 0).cast("double"))
 
 
 def _passengers(v) -> DataFrame:
-    rows = v("passengers")
+    rows = io.spread(v("passengers"), "passengers")
     rows = prep.fill_from(rows, prep.fit_fill(rows, ["fare", "age"], "median"))
     return prep.one_hot(rows, "sex", ["male"]).withColumn("survived", F.col("survived").cast("double"))
 
@@ -133,7 +133,12 @@ def model_svm(v):
     return models.pipeline(names, models.classifier("svm", "survived", maxIter=20)).fit(rows).transform(rows).select("id", "survived", "prediction")
 
 
-register("model_gbt_regressor")(lambda v: models.pipeline(_X, models.regressor("gbt", "target", maxIter=5, lossType="absolute")).fit(_loss(v)).transform(_loss(v)).select("id", "target", "prediction"))
+
+@register("model_gbt_regressor")
+def model_gbt_regressor(v):
+    rows = _loss(v)
+    return models.pipeline(_X, models.regressor("gbt", "target", maxIter=5, lossType="absolute")).fit(rows).transform(rows).select("id", "target", "prediction")
+
 
 
 @register("model_importance")
