@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates, images, metrics, models, online, prefix, prep, relational, search
+from tidemark.plans import queries, recast
 from tidemark.sources import io
 
 
@@ -265,3 +267,83 @@ def test_a_sky_is_one_row_of_sums_and_a_crowded_one_is_dealt(spark):
     w = [math.exp(-((x - 150) ** 2 + (y - 450) ** 2) / 2e6) for _, x, y, _, _ in own]
     assert plain[9, 0, 1].e1_mean == pytest.approx(sum(a * r[3] for a, r in zip(w, own, strict=True)) / sum(w), abs=1e-12)
     assert spatial.grid_kernel_maps(skies.where("sky_id = 10")).count() == 0
+
+
+def exchanged(df):
+    """Bytes that the exchanges of df take, before compression."""
+
+    def of(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            return of(plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan())
+        own = plan.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(of(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    df.collect()
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_shopper_offer_features_exchange_few_bytes(spark):
+    """Without broadcasts by size, as on large tables, a line's row costs 99 bytes of exchanges (387 when texts were exchanged)."""
+    sf = "/root/testdata/sf0.001"
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        taken = exchanged(queries.QUERIES["shopper_offer_features"](spark, sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert 0 < taken < 150 * spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_lines_and_their_tables_are_the_transactions(spark):
+    sf = "/root/testdata/sf0.001"
+    v = lambda n: recast.view(spark, sf, n)
+    made = v("lines").join(v("baskets"), "basket").join(v("products"), "product").join(v("sellers"), "seller")
+    columns = ["id", "chain", "category", "company", "brand", "date", "quantity", "amount"]
+    a, b = made.select(columns), v("transactions").select(columns)
+    assert a.count() and a.exceptAll(b).count() == 0 == b.exceptAll(a).count()
+
+
+def plain_features(rows, history, offers, sets, spans):
+    """num, amt and quant of each set and span, and the number of all rows, row by row."""
+    out = {}
+    for i, chain, *values, date, amount, quantity in rows:
+        for h in (h for h in history if h[0] == i):
+            kept = out.setdefault(i, {"all": 0} | {(f, s): [0, 0.0, 0.0] for f in sets for s in (None, *spans)})
+            kept["all"] += 1
+            asked = dict(zip(("chain", "category", "company", "brand"), (h[1], *next((o[1:] for o in offers if o[0] == h[2]), (None,) * 3))))
+            own, ago = dict(zip(asked, (chain, *values))), (h[3] - date).days if date else None
+            for f, s in ((f, s) for f in sets for s in (None, *spans)):
+                if all(own[c] is not None and own[c] == asked[c] for c in f) and (s is None or ago is not None and 0 <= ago <= s):
+                    for place, x in enumerate((1, amount or 0, quantity or 0)):
+                        kept[f, s][place] += x
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 62, 1])
+def test_shopper_offer_features_in_all_forms(spark, most, monkeypatch):
+    """Missing values, offers and dates, an id twice in history, spans out of order: rows, and rows by basket and product, with one code and three."""
+    monkeypatch.setattr(aggregates, "WORD", most)
+    rng, day = random.Random(5), datetime.date(2020, 1, 1)
+    pick = lambda *xs: rng.choice(xs)
+    baskets = [(b, rng.randrange(6), day + datetime.timedelta(rng.randrange(-50, 10)) if b % 9 else None) for b in range(60)]
+    products = [(p, pick("a", "b", None, "z"), pick("a", "c", None), pick("x", "y", "")) for p in range(25)]
+    lines = [(rng.randrange(62), rng.randrange(25), pick(1, 2, None), pick(1.5, -2.0, None), pick(1.0, 3.0, None)) for _ in range(400)]
+    offers = [(o, pick("a", "b", None), pick("a", "c", "d"), pick("x", "", None)) for o in range(4)]
+    history = [(i, pick(1, 2), pick(0, 1, 2, 3, 7), day) for i in (0, 1, 2, 3, 3, 4)]
+    rows = [(baskets[b][1], c, *products[p][1:], baskets[b][2], a, q) for b, p, c, a, q in lines if b < 60]
+    kinds = "category string, company string, brand string"
+    rest = [spark.createDataFrame(history, "id long, chain int, offer long, offerdate date"), spark.createDataFrame(offers, f"offer long, {kinds}")]
+    sets, spans = (("chain",), ("brand",), ("brand", "category"), ("category", "company", "brand")), (30, 7)
+    keyed = spark.createDataFrame(lines, "basket long, product long, chain int, amount double, quantity double")
+    by_basket, by_product = spark.createDataFrame(baskets, "basket long, id long, date date"), spark.createDataFrame(products, f"product long, {kinds}")
+    whole = spark.createDataFrame(rows, f"id long, chain int, {kinds}, date date, amount double, quantity double")
+    want = plain_features(rows, history, offers, sets, spans)
+    forms = [(keyed, {"baskets": by_basket, "products": by_product}), (whole, {}), (keyed.join(by_basket, "basket"), {"products": by_product})]
+    for transactions, tables in forms if most > 1 else forms[:1]:
+        got = {r.id: r for r in aggregates.shopper_offer_features(transactions, *rest, sets, spans, **tables).collect()}
+        assert got.keys() == want.keys()
+        for i, kept in want.items():
+            for f, s in ((f, s) for f in sets for s in (None, *spans)):
+                tag, (num, amt, quant) = "_".join(f) + (f"_{s}" if s else ""), kept[f, s]
+                assert [got[i][f"{tag}_{x}"] for x in ("num", "freq", "has", "never", "amt", "quant")] == [num, num / kept["all"], num > 0, num == 0, amt, quant]
