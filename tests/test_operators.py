@@ -1,6 +1,8 @@
 import datetime
 import math
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -347,3 +349,20 @@ def test_shopper_offer_features_in_all_forms(spark, most, monkeypatch):
             for f, s in ((f, s) for f in sets for s in (None, *spans)):
                 tag, (num, amt, quant) = "_".join(f) + (f"_{s}" if s else ""), kept[f, s]
                 assert [got[i][f"{tag}_{x}"] for x in ("num", "freq", "has", "never", "amt", "quant")] == [num, num / kept["all"], num > 0, num == 0, amt, quant]
+
+
+def test_sampled_types_come_from_the_head_of_a_file(tmp_path):
+    """On executors of their own, a file of many splits: rows of another split may arrive before the header."""
+    (tmp_path / "t.csv").write_text("id,name\n" + "".join(f"{i},n{i}\n" for i in range(20_000)))
+    text = f"""
+from pyspark.sql import SparkSession
+from tidemark.sources import io
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "1024m").config("spark.ui.enabled", "false").config("spark.sql.files.maxPartitionBytes", "4k").config("spark.sql.files.openCostInBytes", "0").getOrCreate()
+for _ in range(4):
+    rows = io.read_csv_sampled(spark, "{tmp_path}/t.csv")
+    assert rows.dtypes == [("id", "int"), ("name", "string")], rows.dtypes
+assert rows.count() == 20_000
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", text], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
