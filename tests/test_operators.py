@@ -366,3 +366,36 @@ spark.stop()
 """
     done = subprocess.run([sys.executable, "-c", text], capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_quantile_rows_are_packed_once_and_learners_take_their_steps_in_turn(spark):
+    """A task's rows are a few chunks, not a list for each row; a learner's weights are those of its own batches, one after another."""
+    rng = np.random.default_rng(3)
+    rows = [(float(rng.normal()), None if i % 7 == 0 else float(rng.normal()), " ".join(rng.choice(["red", "Green", "blue"], rng.integers(0, 4)))) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "y double, a double, text string").repartition(2)
+    held = df.select("y", *[c.alias(f"c{i}") for i, c in enumerate(online._columns(["a"], ["text"], 9))])
+    chunks = [online.Chunk.unpacked(r) for r in online._chunks(held, ["a"], ["text"], 9).collect()]
+    assert len(chunks) == 2 and sum(len(c.y) for c in chunks) == 20_000
+    value = lambda r: [(online.place("", 9), 1.0)] + ([(online.place("a", 9), r.c0)] if r.c0 is not None else []) + [(w, len(r.c1) ** -0.5) for w in r.c1]
+    want = sorted((r.y, tuple((i, round(x, 12)) for i, x in value(r))) for r in held.collect())
+    assert want == sorted((y, tuple((int(c.at[k]), round(x, 12)) for k, x in zip(c.key[a:b], c.x[a:b].tolist(), strict=True))) for c in chunks for y, a, b in zip(c.y.tolist(), c.edge[:-1], c.edge[1:], strict=True))
+    c, size, tau, batch = chunks[0], 1 << 9, 0.7, 16
+    w = rng.normal(size=size)
+    for n, usual in ((1, None), (3, None), (3, rng.uniform(0.1, 1, size))):
+        made = online.Learners(n, w, tau, 0.2, usual, batch)
+        made.learn(c)
+        own, moved, sums, t, seen = np.tile(w, (n, 1)), np.zeros((n, size)), np.zeros((n, size)), np.zeros(n), np.zeros(n)
+        for k in range(0, len(c.y), batch):
+            who, end, g = k // batch % n, min(k + batch, len(c.y)), np.zeros(size)
+            for r in range(k, end):
+                at, x = c.at[c.key[c.edge[r] : c.edge[r + 1]]], c.x[c.edge[r] : c.edge[r + 1]]
+                e = c.y[r] - own[who][at] @ x
+                np.add.at(g, at, (-tau if e > 0 else 1 - tau) * x / (end - k))
+            sums[who] += g * g
+            change = -0.2 * g / np.maximum(np.sqrt(sums[who]) if usual is None else usual * np.sqrt(1 + t[who]), 1e-12)
+            own[who] += change
+            moved[who] += t[who] * change
+            t[who] += 1
+            seen[who] += end - k
+        mean = own - moved / t[:, None]
+        assert np.allclose(made.result()[1:], np.concatenate([[len(c.y), t.sum()], seen @ mean, sums.sum(axis=0)]))
