@@ -399,3 +399,30 @@ def test_quantile_rows_are_packed_once_and_learners_take_their_steps_in_turn(spa
             seen[who] += end - k
         mean = own - moved / t[:, None]
         assert np.allclose(made.result()[1:], np.concatenate([[len(c.y), t.sum()], seen @ mean, sums.sum(axis=0)]))
+
+
+def test_maps_have_the_whole_grid_and_ends_of_all_six(spark):
+    """140 x 140 points, and place and value of the largest and smallest of six maps (and the covariance); a crowded sky gives the same."""
+    from tidemark.operators import spatial
+
+    rng = random.Random(6)
+    rows = [(s, rng.uniform(0, 4200), rng.uniform(0, 4200), rng.uniform(-1, 1), rng.uniform(-1, 1)) for _ in range(80) for s in (1, 2)]
+    skies = spark.createDataFrame(rows, "sky_id long, x double, y double, e1 double, e2 double").repartition(3)
+    at = (np.arange(140) + 0.5) * 30
+    six = ["e1_mean", "e2_mean", "e1_var", "e2_var", "var_sum", "var_gap"]
+    got = {r.sky_id: r for r in spatial.argmax_argmin(skies, six, 140).collect()}
+    dealt = {r.sky_id: r for r in spatial.argmax_argmin(skies, six, 140, crowded=30).collect()}
+    for sky in (1, 2):
+        x, y, a, b = np.array([r[1:] for r in rows if r[0] == sky]).T
+        w = np.exp(-((x[:, None, None] - at[:, None]) ** 2 + (y[:, None, None] - at) ** 2) / 2e6)
+        mean = lambda v: (w * v[:, None, None]).sum(0) / w.sum(0)
+        p, q = mean(a * a) - mean(a) ** 2, mean(b * b) - mean(b) ** 2
+        for name, m in zip(six, (mean(a), mean(b), p, q, p + q, abs(p - q)), strict=True):
+            for tag, k in (("max", m.argmax()), ("min", m.argmin())):
+                for r in (got[sky], dealt[sky]):
+                    assert r[f"{name}_{tag}"] == pytest.approx(m.flat[k], abs=2e-9) and (r[f"{name}_{tag}_i"], r[f"{name}_{tag}_j"]) == divmod(int(k), 140)
+    sf = "/root/testdata/sf0.001"
+    n = recast.view(spark, sf, "skies").select("sky_id").distinct().count()
+    assert queries.QUERIES["grid_kernel_maps"](spark, sf).count() == n * 140 * 140
+    ends = queries.QUERIES["argmax_argmin_maps"](spark, sf)
+    assert ends.count() == n and all(f"{c}_{t}{p}" in ends.columns for c in six for t in ("max", "min") for p in ("", "_i", "_j"))
