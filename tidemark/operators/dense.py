@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import kept
 from . import prefix
 
 
@@ -116,14 +117,15 @@ def svd(df: DataFrame, key: str, values: Column, k: int, centred: bool = True, t
 
 def grams(df: DataFrame, features: Sequence[str], label: str, fold: str, folds: int) -> tuple[np.ndarray, np.ndarray]:
     """(sums of products of (1, features, label) for each fold, about the means of all rows; those means), in two passes."""
-    held = df.select(F.col(fold).cast("int").alias("fold"), F.array(*[F.col(c).cast("double") for c in (*features, label)]).alias("v"))
     d = len(features) + 1
+    names = [f"v{i}" for i in range(d)]
+    held = df.select(F.col(fold).cast("int").alias("fold"), *[F.col(c).cast("double").alias(v) for c, v in zip((*features, label), names, strict=True)])
     means = np.array([*df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate((*features, label))]).first()], dtype=float)
 
     def make(batches):
         total = np.zeros((folds, d + 1, d + 1))
         for pdf in batches:
-            x = np.c_[np.ones(len(pdf)), _rows(pdf, "v", d) - means]
+            x = np.c_[np.ones(len(pdf)), pdf[names].to_numpy(float) - means]
             own = pdf["fold"].to_numpy()
             for k in np.unique(own):
                 part = x[own == k]
@@ -159,24 +161,70 @@ def eliminated(gram: np.ndarray, means: np.ndarray) -> list[tuple[list[int], np.
     return out
 
 
+def fold_answer(fold: str, features: Sequence[str], weights: np.ndarray) -> Column:
+    """The answer of a row's fold's linear model; weights: fold by weight, the constant first."""
+    of_fold = lambda w: F.element_at(F.array(*[F.lit(float(x)) for x in w]), F.col(fold).cast("int") + 1)
+    return sum((of_fold(weights[:, 1 + i]) * F.col(c).cast("double") for i, c in enumerate(features)), of_fold(weights[:, 0]))
+
+
 def select_rfe(df: DataFrame, features: Sequence[str], label: str, fold: str, folds: int, tie: str) -> DataFrame:
     """n_features, features (those that are left when all rows are used, in the given order), gini: for each number of features the
-    normalised Gini of out-of-fold predictions, each fold's elimination made without the fold. Two passes give the sums of products, one
-    more all predictions, whatever the number of features; the best number is that of the largest gini, ties: the fewest."""
+    normalised Gini of out-of-fold predictions, each fold's elimination made without the fold. Two passes give the sums of products, whatever the
+    number of features; predictions are expressions, and the Gini of the labels themselves, the same for all steps, is made once. The best number is
+    that of the largest gini, ties: the fewest."""
+    df = kept(df.select(tie, label, fold, *features), "elimination")  # what makes the rows runs once, not for each pass
     own, means = grams(df, features, label, fold, folds)
     whole = own.sum(axis=0)
     final = eliminated(whole, means)
     models = np.stack([[w for _, w in eliminated(whole - own[k], means)] for k in range(folds)])  # fold, step, weights
-
-    def score(batches):
-        for pdf in batches:
-            x = np.c_[np.ones(len(pdf)), _rows(pdf, "v", len(features))]
-            p = np.einsum("ij,isj->is", x, models[pdf["fold"].to_numpy()])
-            yield pd.DataFrame({"tie": pdf["tie"], "y": pdf["y"], "p": list(p)})
-
-    kind = df.schema[tie].dataType.simpleString()
-    rows = df.select(F.col(tie).alias("tie"), F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"), vector(features).alias("v"))
-    long = rows.mapInPandas(score, f"tie {kind}, y double, p array<double>").select("tie", "y", F.posexplode("p").alias("step", "p"))
-    scores = prefix.gini_normalized(long, "y", "p", tie=["tie"], by=["step"])
-    names = df.sparkSession.createDataFrame([(i, len(kept), ",".join(features[j] for j in kept)) for i, (kept, _) in enumerate(final)], "step int, n_features long, features string")
-    return names.join(scores, "step").select("n_features", "features", "gini")
+    answers = F.array(*[fold_answer(fold, features, models[:, k]) for k in range(len(features))])
+    long = df.select(F.col(tie).alias("tie"), F.col(label).cast("double").alias("y"), F.posexplode(answers).alias("step", "p"))
+    scores = prefix.lorenz_gini(long, "y", "p", tie=["tie"], by=["step"])
+    best = prefix.gini_at_best(df, label).select(F.col("gini").alias("best"))
+    names = df.sparkSession.createDataFrame([(i, len(left), ",".join(features[j] for j in left)) for i, (left, _) in enumerate(final)], "step int, n_features long, features string")
+    return names.join(scores, "step").crossJoin(F.broadcast(best)).select("n_features", "features", F.try_divide("gini", "best").alias("gini"))
+
+
+def penalised(gram: np.ndarray, means: np.ndarray, alpha: float, share: float, tolerance: float = 1e-12, most: int = 100_000) -> np.ndarray:
+    """Weights (the constant first) of least squares with a penalty of alpha on standardised weights, a share of it on their absolute values and the
+    rest on half their squares (in terms of the standardised label, as Spark ML's LinearRegression has it): coordinate descent on the sums of
+    products."""
+    n, d = gram[0, 0], len(gram) - 2
+    centre = gram[0, 1:] / n
+    s = gram[1:, 1:] / n - np.outer(centre, centre)
+    scale = np.sqrt(np.maximum(np.diag(s), 0))
+    scale[scale == 0] = np.inf  # a constant column has no weight
+    s = s / np.outer(scale, scale)
+    first, second = alpha * share / scale[d], alpha * (1 - share) / scale[d]
+    if not first:
+        b = np.linalg.pinv(s[:d, :d] + second * np.eye(d), hermitian=True) @ s[:d, d]
+    else:
+        b = np.zeros(d)
+        for _ in range(most):
+            old = b.copy()
+            for j in range(d):
+                if s[j, j]:
+                    rest = s[j, d] - s[j, :d] @ b + s[j, j] * b[j]
+                    b[j] = np.sign(rest) * max(abs(rest) - first, 0.0) / (s[j, j] + second)
+            if np.abs(b - old).max() <= tolerance:
+                break
+    own = b * (scale[d] if np.isfinite(scale[d]) else 0.0) / scale[:d]
+    return np.r_[means[d] + centre[d] - own @ (means[:d] + centre[:d]), own]
+
+
+def linear_family(df: DataFrame, features: Sequence[str], label: str, fold: str, folds: int, kinds: dict[str, tuple[float, float]], tie: str, weight: str | None = None) -> DataFrame:
+    """kind, mae (of all rows), gini (mean over folds) and gini_cv (its deviation over the mean): linear models by kind (alpha, share: see penalised()),
+    each row answered by the models fitted without its fold, scored by the normalised weighted Gini of each fold. Two passes give the sums of
+    products of all folds, whatever the number of kinds."""
+    df = kept(df.select(tie, label, fold, *features, *([weight] if weight else [])), "family")  # what makes the rows runs once, not for each pass
+    own, means = grams(df, features, label, fold, folds)
+    whole = own.sum(axis=0)
+    fitted = {c: np.stack([penalised(whole - own[k], means, *how) for k in range(folds)]) for c, how in kinds.items()}
+    answers = F.array(*[F.struct(F.lit(c).alias("kind"), fold_answer(fold, features, w).alias("p")) for c, w in fitted.items()])
+    rows = df.select(F.col(tie).alias("tie"), F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), answers.alias("s"))
+    long = rows.select("tie", "y", "fold", "w", F.inline("s"))
+    mae = long.groupBy("kind").agg(F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"))
+    found = prefix.lorenz_gini(long, "y", "p", "w", ["tie"], ["kind", "fold"])
+    best = prefix.gini_at_best(rows, "y", "w", ["fold"]).select("fold", F.col("gini").alias("best"))
+    scored = found.join(best, "fold").groupBy("kind").agg(F.avg(F.try_divide("gini", "best")).alias("gini"), F.stddev_pop(F.try_divide("gini", "best")).alias("sd"))
+    return mae.join(scored, "kind").select("kind", "mae", "gini", F.try_divide("sd", "gini").alias("gini_cv"))
