@@ -63,3 +63,22 @@ def test_visits_come_in_bounded_batches():
     asked = pd.DataFrame({"id": np.arange(1000), "v": list(rng.normal(size=(1000, 16))), "reach": 100.0})
     sizes = [len(pdf) for pdf in neighbours._visits(iter([asked]), cells, "id", 5, False)]
     assert 0 < max(sizes) <= 2 * neighbours.VISITS and sum(sizes) >= 1000 * 199
+
+
+def test_blocks_meet_without_a_row_for_each_query_and_ring(spark, monkeypatch):
+    """Without clusters nearly all rings are asked: what is exchanged are blocks of rows and the nearest found, not queries by rings."""
+    for name, value in (("ASKING", 50), ("BLOCK", 100), ("BLOCKS", 2), ("PAIRS", 1000)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(9)
+    x, y = np.round(rng.normal(size=(700, 8)), 1), rng.integers(0, 4, 700)
+    x[100:140] = x[0]
+    f = [f"f{i}" for i in range(8)]
+    rows = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(700)], ["id", "label", *f]).repartition(3)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(far, np.inf)
+    found = neighbours.nearest(rows, rows, "id", f, 5, ["label"], skip_own=True)
+    got = {}
+    for r in found.orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append((r.other, r.label))
+    assert got == {i: [(int(j), int(y[j])) for j in np.argsort(far[i], kind="stable")[:5]] for i in range(700)}
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()

@@ -2,8 +2,10 @@
 
 Rows of train belong to the cell of their nearest pivot; a cell is cut into rings by the distance r to the pivot, a crowded ring into slices
 by hash. A query first asks the rings around its own place, which bounds how far its k-th neighbour can be; with that bound the triangle
-inequality tells which rings of which cells can hold a nearer row (|d(q, pivot) - r| is at most d(q, row)), and only those are asked. Within a
-slice, distances to a few reference points rule out most rows before any distance is computed. Tasks hold one slice at a time.
+inequality tells which rings of which cells can hold a nearer row (|d(q, pivot) - r| is at most d(q, row)), and only those are asked. Around its own
+place a query goes to slices, where distances to a few reference points rule out most rows before any distance is computed. For the rest, blocks of queries
+meet blocks of rows without an exchange of either by the other: a block of queries passes all blocks of a task's rows and keeps the k nearest so far, which
+narrows its bounds. So what is written and exchanged grows with the rows, not with their pairs; a task holds one block of each.
 
 Ties in distance go to the smaller key of train. With fewer than k rows all of them are neighbours. Rows with a null feature are refused.
 """
@@ -16,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from .relational import small
 SLICE, REFERENCES = 1024, 8
 #: Pairs of a query and a cell that a task has at once.
 VISITS = 1 << 14
+#: Rows of a block of queries and of train; blocks of train that a task has at once; pairs whose distances are computed at once.
+ASKING, BLOCK, BLOCKS, PAIRS = 1 << 12, 1 << 14, 4, 1 << 21
 #: Bounds are widened by this share, so that rounding loses no neighbour.
 SLACK = 1e-9
 
@@ -186,6 +191,126 @@ def _visits(batches: Iterator[pd.DataFrame], cells: Cells, key: str, k: int, own
             yield pd.DataFrame({key: pdf[key].to_numpy()[q], "v": pdf["v"].to_numpy()[q], "refs": list(far[q][:, :REFERENCES]), "cell": c, "at": far[q, c], "reach": reach[q], "first": a, "last": b})
 
 
+def _cut(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    held, n = [], 0
+    for pdf in batches:
+        for at in range(0, len(pdf), size):
+            held.append(pdf.iloc[at : at + size])
+            n += len(held[-1])
+            if n >= size:
+                whole = pd.concat(held, ignore_index=True)
+                yield whole.iloc[:size]
+                held, n = [whole.iloc[size:]], n - size
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _doubles(column: pd.Series) -> bytes:
+    return np.ascontiguousarray(_points(column)).tobytes()
+
+
+class _Asking:
+    """A block of queries that passes blocks of train."""
+
+    def __init__(self, keys: np.ndarray, points: np.ndarray, reach: np.ndarray, cells: Cells, k: int, skip_own: bool):
+        self.keys, self.points, self.cells, self.k, self.skip_own = keys, points, cells, k, skip_own
+        self.far = _far(points, cells.pivots)
+        self.home = self.far.argmin(axis=1)
+        self.place = cells.ring(self.home, self.far[np.arange(len(keys)), self.home])
+        self.least = self.far.min(axis=1)
+        self.reach = np.minimum(cells.reach(self.far, k + skip_own), reach) * (1 + SLACK) + SLACK
+        self.squares = (points * points).sum(axis=1)
+        self.held: list[tuple] = []
+        self.computed = 0
+
+    def meet(self, cell: np.ndarray, ring: np.ndarray, points: np.ndarray, others: np.ndarray, keep: list[np.ndarray]) -> None:
+        first = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (ring[1:] != ring[:-1])])
+        squares = (points * points).sum(axis=1)
+        for a, b in zip(first, np.r_[first[1:], len(cell)], strict=True):
+            c, g, f = cell[a], ring[a], self.far[:, cell[a]]
+            lower = np.maximum(np.maximum(f - self.cells.most[c], self.cells.least[c] - f), (f - self.least) / 2)
+            here, far = np.full(len(f), c), np.minimum(self.reach, 1e300)
+            asks = (lower <= self.reach) & (self.cells.ring(here, f - far) <= g) & (g <= self.cells.ring(here, f + far))
+            asks = np.flatnonzero(asks & ~((self.home == c) & (np.abs(self.place - g) <= 1)))  # those around its place were asked before
+            step = max(1, PAIRS // (b - a))
+            for q in (asks[at : at + step] for at in range(0, len(asks), step)):
+                self._nearer(q, slice(a, b), points, squares, others, keep)
+        self._narrow()
+
+    def _nearer(self, q: np.ndarray, rows: slice, points: np.ndarray, squares: np.ndarray, others: np.ndarray, keep: list[np.ndarray]) -> None:
+        """Squares of all distances by a product, which tells whose distances are worth computing to the last digit."""
+        own = points[rows]
+        loose = 1e-11 * (self.squares[q] + squares[rows].max())
+        about = self.squares[q][:, None] + squares[rows] - 2 * self.points[q] @ own.T
+        self.computed += about.size
+        top = self.reach[q] ** 2
+        k = self.k + self.skip_own
+        if k < len(own):
+            top = np.minimum(top, np.partition(about, k - 1, axis=1)[:, k - 1] + loose)
+        i, j = np.nonzero(about <= (top + loose)[:, None])
+        for at in range(0, len(i), PAIRS // 32):
+            x, y = q[i[at : at + PAIRS // 32]], j[at : at + PAIRS // 32]
+            far = np.sqrt(((own[y] - self.points[x]) ** 2).sum(axis=1))
+            found = far <= self.reach[x]
+            if self.skip_own:
+                found &= others[rows][y] != self.keys[x]
+            if found.any():
+                self.held.append((x[found], far[found], others[rows][y[found]], *[v[rows][y[found]] for v in keep]))
+
+    def _narrow(self) -> None:
+        """The k nearest so far; a query that has so many looks no further."""
+        if not self.held:
+            return
+        q, far, other, *keep = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((other, far, q))
+        q = q[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        best = order[place < self.k]
+        self.held = [(q[place < self.k], far[best], other[best], *[v[best] for v in keep])]
+        last = place == self.k - 1
+        self.reach[q[last]] = np.minimum(self.reach[q[last]], far[order[last]] * (1 + SLACK) + SLACK)
+
+
+def _meet(made: DataFrame, asked: DataFrame, cells: Cells, key: str, k: int, keep: Sequence[str], skip_own: bool) -> DataFrame:
+    """key, other, keep, far, computed (in the first row of a block of queries): the k nearest rows, of those that are not around a query's own place,
+    of each group of blocks. asked: key, v, reach."""
+    types = {f.name: f.dataType.simpleString() for f in (*made.schema.fields, *asked.schema.fields)}
+    parts, width = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), cells.pivots.shape[1]
+    names = [key, "other", *keep, "far", "computed"]
+
+    def pack_asked(batches):
+        for n, pdf in enumerate(_cut(batches, ASKING)):
+            yield pd.DataFrame({"block": [f"{TaskContext.get().partitionId()}-{n}"], "keys": [pdf[key].to_numpy()], "points": [_doubles(pdf["v"])], "reach": [pdf["reach"].fillna(np.inf).to_numpy(float).tobytes()]})
+
+    def pack_rows(batches):
+        for pdf in _cut(batches, BLOCK):
+            yield pd.DataFrame({"cell": [pdf["cell"].to_numpy(np.int64).tobytes()], "ring": [pdf["ring"].to_numpy(np.int64).tobytes()], "rows": [_doubles(pdf["v"])], "others": [pdf["other"].to_numpy()], **{f"k{i}": [pdf[c].to_numpy()] for i, c in enumerate(keep)}})
+
+    queries = kept(asked.select(key, "v", "reach").mapInPandas(pack_asked, f"block string, keys array<{types[key]}>, points binary, reach binary"), "asking")
+    rows = made.select("cell", "ring", "v", "other", *keep).repartition(max(1, -(-int(cells.n.sum()) // BLOCK)), "cell", "ring").sortWithinPartitions("cell", "ring")
+    blocks = kept(rows.mapInPandas(pack_rows, f"cell binary, ring binary, rows binary, others array<{types['other']}>" + "".join(f", k{i} array<{types[c]}>" for i, c in enumerate(keep))), "blocks")
+    both = queries.repartition(parts).hint("shuffle_replicate_nl").crossJoin(blocks.repartition(max(1, -(-blocks.count() // BLOCKS))))
+
+    def run(batches):
+        at, state = None, None
+
+        def found() -> Iterator[pd.DataFrame]:
+            if state is not None and state.held:
+                q, far, other, *kinds = state.held[0]
+                yield pd.DataFrame({key: state.keys[q], "other": other, **dict(zip(keep, kinds, strict=True)), "far": far, "computed": np.r_[state.computed, np.zeros(len(q) - 1)].astype(np.int64)})[names]
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.block != at:
+                    yield from found()
+                    at, state = r.block, _Asking(np.asarray(r.keys), np.frombuffer(r.points).reshape(-1, width), np.frombuffer(r.reach), cells, k, skip_own)
+                state.meet(np.frombuffer(r.cell, dtype=np.int64), np.frombuffer(r.ring, dtype=np.int64), np.frombuffer(r.rows).reshape(-1, width), np.asarray(r.others), [np.asarray(getattr(r, f"k{i}")) for i in range(len(keep))])
+        yield from found()
+
+    return both.mapInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in [key, "other", *keep]) + ", far double, computed long")
+
+
 def candidates(train: DataFrame, test: DataFrame, key: str, features: Sequence[str], k: int, keep: Sequence[str] = (), skip_own: bool = False, most_pivots: int = 512) -> DataFrame:
     """key, other, keep, far, computed: rows of train among which are each query's k nearest. skip_own: a row isn't its own neighbour."""
     made, rings, cells = index(train, key, features, keep, most_pivots)
@@ -202,7 +327,7 @@ def candidates(train: DataFrame, test: DataFrame, key: str, features: Sequence[s
     nth = F.row_number().over(Window.partitionBy(key).orderBy("far", "other"))
     bound = first.select(key, "far", nth.alias("nth")).where(F.col("nth") == k).select(F.col(key).alias("__key"), F.col("far").alias("reach"))
     again = asked.join(bound, F.col(key) == F.col("__key"), "left").select(key, "v", "reach")
-    return first.unionByName(_ask(made, to_slices(again.mapInPandas(lambda b: _visits(b, cells, key, wide, False), schema)), key, k, keep, skip_own))
+    return first.unionByName(_meet(made, again, cells, key, k, keep, skip_own))
 
 
 def nearest(train: DataFrame, test: DataFrame, key: str, features: Sequence[str], k: int, keep: Sequence[str] = (), skip_own: bool = False, most_pivots: int = 512) -> DataFrame:
