@@ -222,3 +222,24 @@ def test_fits_read_one_table_and_not_the_join(spark):
     rows = model_queries._passengers(read)
     files = [f for f in rows.inputFiles() if "customer.parquet" not in f]
     assert len(files) >= spark.sparkContext.defaultParallelism and rows.count() == read("passengers").count()
+
+
+def test_boosting_by_cells_is_spark_mls(spark):
+    """Equal to GBTRegressor where all rows are taken and columns have few values; the query has 1000 trees for both losses."""
+    import inspect
+
+    from tidemark.operators import boosting
+
+    rng = np.random.default_rng(2)
+    x = np.c_[rng.integers(0, 7, 800), rng.integers(0, 20, 800), rng.integers(0, 3, 800)].astype(float)
+    y = x[:, 0] * 3 - (x[:, 1] > 9) * x[:, 2] * 5 + rng.normal(size=800)
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))], ["id", "a", "b", "c", "y"]).repartition(3)
+    made = boosting.boost(df, "id", ["a", "b", "c"], "y", trees=6, rate=0.1, share=1.0)
+    for loss in ("squared", "absolute"):
+        want = models.pipeline(["a", "b", "c"], models.regressor("gbt", "y", maxIter=6, maxDepth=3, stepSize=0.1, lossType=loss)).fit(df).transform(df)
+        got = made.predict(want.withColumnRenamed("prediction", "want"), loss).select("want", "prediction").toPandas()
+        assert np.allclose(got["want"], got["prediction"], atol=1e-9), loss
+    how = {k: p.default for k, p in inspect.signature(boosting.boost).parameters.items()}
+    assert how["trees"] == 1000 and how["share"] == 0.9 and set(how["losses"]) == {"squared", "absolute"}
+    took = boosting._taken(rng.integers(0, 1 << 62, 20_000).astype(np.uint64), 5, 0.9)
+    assert abs(took.mean() - 0.9) < 0.01
