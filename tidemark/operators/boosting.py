@@ -12,13 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dense import summed
-
-#: Rows of a chunk; cells at most.
-CHUNK, CELLS = 1 << 17, 1 << 20
+#: Rows of a chunk; cells at most; tasks' sums that the driver adds up itself.
+CHUNK, CELLS, FAN = 1 << 17, 1 << 20, 16
 #: Negative gradients by label less answer, as Spark ML's GBTRegressor has them.
 GRADIENTS = {"squared": lambda e: 2 * e, "absolute": lambda e: np.where(e < 0, -1.0, 1.0)}
 
@@ -116,25 +115,26 @@ def boost(df: DataFrame, key: str, features: Sequence[str], label: str, losses:
             yield whole(held)
 
     rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), F.col(key).cast("long").alias("ids"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
-    packed = rows.mapInArrow(pack, "y binary, ids binary, cell binary").persist()
+    packed = rows.mapInArrow(pack, "y binary, ids binary, cell binary").rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)  # a round of an RDD needs no plan
+    parts = packed.getNumPartitions()
     answers = {c: np.zeros(k) for c in losses}
     try:
         for t in range(trees):
 
-            def make(batches, t=t):
+            def make(chunks, t=t, answers=dict(answers)):
                 total = np.zeros((1 + len(losses), k))
-                for pdf in batches:
-                    for y, ids, cell in zip(pdf["y"], pdf["ids"], pdf["cell"], strict=True):
-                        y, ids, cell = np.frombuffer(y), np.frombuffer(ids, dtype=np.uint64), np.frombuffer(cell, dtype=np.int32)
-                        if share < 1:
-                            took = _taken(ids, t, share)
-                            y, cell = y[took], cell[took]
-                        total[0] += np.bincount(cell, minlength=k)
-                        for i, c in enumerate(losses):
-                            total[1 + i] += np.bincount(cell, GRADIENTS[c](y - answers[c][cell]) if t else y, k)
-                return total
-
-            sums = summed(packed, make).reshape(1 + len(losses), k)
+                for y, ids, cell in chunks:
+                    y, ids, cell = np.frombuffer(y), np.frombuffer(ids, dtype=np.uint64), np.frombuffer(cell, dtype=np.int32)
+                    if share < 1:
+                        took = _taken(ids, t, share)
+                        y, cell = y[took], cell[took]
+                    total[0] += np.bincount(cell, minlength=k)
+                    for i, c in enumerate(losses):
+                        total[1 + i] += np.bincount(cell, GRADIENTS[c](y - answers[c][cell]) if t else y, k)
+                yield total
+
+            made = packed.mapPartitions(make)
+            sums = sum(made.collect()) if parts <= FAN else made.treeReduce(np.add)
             for i, c in enumerate(losses):
                 answers[c] = answers[c] + (rate if t else 1.0) * grown(sums[0], sums[1 + i], places, sizes, depth)
     finally:
